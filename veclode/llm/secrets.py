@@ -7,7 +7,7 @@ blank line (a scope's border) lie between them; an endpoint needs both. Parts ne
 the interval join is evaluated inside the row and nothing is shuffled.
 
 Built-in functions give what a pattern matches but not where: the pattern is matched behind a lazy gap,
-`(.*?)(pattern)`, and a span's place is the running sum of the lengths of gaps and matches, in code points.
+`\\G(.*?)(pattern)`, and a span's place is the running sum of the lengths of gaps and matches, in code points.
 Cheap tests (contains) decide which texts need a pattern at all.
 
 Defined cases: a null text is empty and has no spans; spans of one kind never overlap; rows are independent,
@@ -38,7 +38,7 @@ SPAN = "array<struct<start:int,end:int>>"
 
 def spans(text: Column, pattern: str, value_min: int = 0) -> Column:
     """array<struct<start, end>> of the leftmost non-overlapping matches; value_min: group 2 has so many characters at least."""
-    gapped = F.lit(f"(?s)(.*?){pattern}")
+    gapped = F.lit(rf"(?s)\G(.*?){pattern}")
     part = lambda g: F.transform(F.regexp_extract_all(text, gapped, F.lit(g)), lambda s: F.length(s))
     lengths = F.zip_with(part(1), part(2), lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
