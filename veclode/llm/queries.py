@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, line_dedup, mixing, secrets, simhash, topk
+from . import exact, line_dedup, mixing, quality, secrets, simhash, substring, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,10 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": _on("documents", line_dedup.digest),
+    "op2_quality_ranking": lambda spark, sf_dir: quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_exact_topk": _on("embeddings", topk.search),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op6_substring_dedup": _on("documents", substring.digest),
     "op7_source_mixing": _on("documents", mixing.mixed),
     "op8_simhash_near_dedup": _on("documents", simhash.digest),
     "op9_secret_scan": _on("documents", secrets.digest),
@@ -41,6 +44,15 @@ ORACLE_SQL: dict[str, str] = {
         r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20
     """,
+    "op6_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+        p as (select doc_id, i, ws[i] w, ws[i:i + 34] win from d, range(1, len(ws) + 1) r(i)),
+        h as (select doc_id, i, w, case when len(win) = 35 then sha256(array_to_string(win, ' ')) end h from p),
+        m as (select doc_id, i, w, h is not null and count(*) over (partition by h) > 1 again from h),
+        k as (select doc_id, i, w, bool_or(again) over (partition by doc_id order by i rows between 34 preceding and current row) gone from m),
+        s as (select doc_id, count(*) filter (gone) n_removed, sha256(coalesce(string_agg(w, ' ' order by i) filter (not gone), '')) kept_sha256 from k group by doc_id)
+        select d.doc_id, len(ws)::bigint n_words, coalesce(n_removed, 0) n_removed, coalesce(kept_sha256, sha256('')) kept_sha256 from d left join s using (doc_id)
+    """,
     "op7_source_mixing": r"""
         with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, md5(doc_id::varchar) o from documents),
         s as (select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 i from d group by source),
