@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, line_dedup, mixing, quality, secrets, simhash, substring, topk, toxicity
+from . import exact, line_dedup, mixing, pieces, quality, secrets, simhash, substring, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": _on("documents", line_dedup.digest),
     "op2_quality_ranking": lambda spark, sf_dir: quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_exact_topk": _on("embeddings", topk.search),
+    "op4_piece_sampling": _on("documents", pieces.digest),
     "op5_toxicity": lambda spark, sf_dir: toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_substring_dedup": _on("documents", substring.digest),
     "op7_source_mixing": _on("documents", mixing.mixed),
