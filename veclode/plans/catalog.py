@@ -1,4 +1,893 @@
-"""The queries of the engine's own operators, and the same in SQL."""
+"""The queries of the engine's own operators over `embeddings` and `lineitem`, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Names start with the operator's id in the survey. Codebooks and centroids are the first 16 vectors, queries the
+first 20, so that SQL can say the same; scores are rounded, since engines add up in different orders.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import metrics as M
+from ..functions import sqlfn
+from ..operators import clustering, codecs, ivf, search
+from ..sources import persist, scratch, store
+from ..streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Parts that the SQL queries share.
+_L = "l as (select vec_id, (i - 1)::integer pos, embedding[i]::double x from embeddings, range(1, 65) r(i))"
+_PAIRS = _L + ", p as (select a.vec_id q_id, b.vec_id id, {score} score from l a join l b using (pos) where a.vec_id < 20 group by all)"
+_RANKED = "r as (select *, (row_number() over (partition by q_id order by round({s}, 9) desc, id))::integer rank from {t})"
+_CD = _L + ", cd as (select a.vec_id, b.vec_id::integer cell, sum((a.x - b.x) * (a.x - b.x)) dd from l a join l b using (pos) where b.vec_id < 16 group by all)"
+_CELLS = _CD + ", cells as (select vec_id, cell, dd from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from cd) where rn = 1)"
+_PQ = (
+    "sv as (select vec_id, (pos // 8)::integer sub, pos, x from l), cb as (select vec_id::integer code, sub, pos, x c from sv where vec_id < 16)"
+    ", ds as (select sv.vec_id, sv.sub, cb.code, sum((x - c) * (x - c)) dd from sv join cb on sv.sub = cb.sub and sv.pos = cb.pos group by all)"
+    ", codes as (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from ds) where rn = 1)"
+)
+_RES = (
+    "rv as (select l.vec_id, (l.pos // 8)::integer sub, l.pos, l.x - s.x x from l join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = l.pos)"
+    ", cb as (select vec_id::integer code, (pos // 8)::integer sub, pos, x c from l where vec_id < 16)"
+    ", ds as (select rv.vec_id, rv.sub, cb.code, sum((x - c) * (x - c)) dd from rv join cb on rv.sub = cb.sub and rv.pos = cb.pos group by all)"
+    ", codes as (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from ds) where rn = 1)"
+    ", dec as (select codes.vec_id, cb.pos, cb.c + s.x x from codes join cb using (sub, code) join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = cb.pos)"
+)
+_PROBES = ", probes as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id < 20) where rank <= 4)"
+_ADC = ", q as (select vec_id q_id, sub, code, dd from ds where vec_id < 20)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def queries_of(base: DataFrame, n: int = 20) -> DataFrame:
+    return base.where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+
+
+def seeds(base: DataFrame, n: int = 16) -> np.ndarray:
+    return np.array([r["vec"] for r in base.where(F.col("id") < n).orderBy("id").collect()])
+
+
+def seed_rows(base: DataFrame) -> DataFrame:
+    return base.where("id < 16").select(F.col("id").cast("int").alias("cell"), F.col("vec").alias("c"))
+
+
+def pq16(base: DataFrame) -> codecs.PQCodec:
+    return codecs.PQCodec(8, 16, codebook=seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
+
+
+def cells16(base: DataFrame) -> DataFrame:
+    return clustering.assign(base, seeds(base))
+
+
+def index16(base: DataFrame, residual: bool = False, distance: str = "euclidean", n_probe: int = 4, smart: bool = False) -> ivf.IVFPQIndex:
+    index = ivf.IVFPQIndex(8, 16, distance, residual, 16)
+    index.set_codebooks(seeds(base), seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
+    index.n_probe, index.use_smart_probing = n_probe, smart
+    index.add(base)
+    return index
+
+
+def hits(df: DataFrame) -> DataFrame:
+    return df.select("q_id", "rank", "id", r6("score").alias("score"))
+
+
+def positions(df: DataFrame, v: str = "vec", value: str = "x") -> DataFrame:
+    return df.select("id", F.posexplode(v).alias("pos", value)).withColumn(value, r6(value))
+
+
+def flat_store(base: DataFrame) -> DataFrame:
+    return base.withColumn("address", F.col("id"))
+
+
+# Exact search, metrics, top-k
+
+_SCORES = {
+    "l2": "0.0 - sum((a.x - b.x) * (a.x - b.x))",
+    "inner": "sum(a.x * b.x)",
+    "cosine": "sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) + 1e-8) / (sqrt(sum(b.x * b.x)) + 1e-8)",
+    "l1": "0.0 - sum(abs(a.x - b.x))",
+}
+
+
+def _flat(metric: str, k: int, name: str, physical: str = "gemm") -> None:
+    sql = f"with {_PAIRS.format(score=_SCORES[metric])}, {_RANKED.format(s='score', t='p')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= {k}"
+
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = embeddings(spark, sf_dir)
+        f = search.knn if physical == "gemm" else search.knn_expr
+        return hits(f(base, queries_of(base), k, metric))
+
+
+for _m in _SCORES:
+    _flat(_m, 10, f"i1_flat_{_m}")
+    _flat(_m, 10, f"j1_theta_join_{_m}", "expr")
+for _k, _n in ((1, "t2_top1"), (32, "t3_top32"), (1000, "t4_top1000"), (128, "j5_nearest_k")):
+    _flat("l2", _k, _n)
+
+
+@query("t1_topk_any", f"with {_PAIRS.format(score=_SCORES['inner'])}, {_RANKED.format(s='score', t='p')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 50")
+def _topk(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pairs = search.scored_pairs(queries_of(base).crossJoin(base), "inner")
+    return hits(search.top_k(pairs.withColumn("score", F.round("score", 9)), 50, ["q_id"]))
+
+
+@query("t3_top1_aggregate", f"with {_PAIRS.format(score=_SCORES['l2'])}, {_RANKED.format(s='score', t='p')} select q_id, id, round(score, 6) + 0.0 score from r where rank = 1")
+def _top1(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pairs = search.scored_pairs(queries_of(base).crossJoin(base)).withColumn("score", F.round("score", 9))
+    return search.top_1(pairs, ["q_id"]).select("q_id", "id", r6("score").alias("score"))
+
+
+@query("t1_filtered_knn", f"with {_PAIRS.format(score=_SCORES['l2'])}, f as (select p.* from p join embeddings e on e.vec_id = p.id where label = 3), {_RANKED.format(s='score', t='f')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 5")
+def _filtered(spark, sf_dir):
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hits(search.knn(store.vectors(raw.where("label = 3"), "vec_id", "embedding"), queries_of(embeddings(spark, sf_dir)), 5))
+
+
+@query("t1_label_vote", f"with {_PAIRS.format(score=_SCORES['l2'])}, {_RANKED.format(s='score', t='p')}, c as (select q_id, label, count(*) n from r join embeddings e on e.vec_id = r.id where rank <= 10 group by all) select q_id, label from (select *, row_number() over (partition by q_id order by n desc, label) k from c) where k = 1")
+def _vote(spark, sf_dir):
+    base, raw = embeddings(spark, sf_dir), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search.label_vote(search.knn(base, queries_of(base), 10), raw.select(F.col("vec_id").alias("id"), "label"))
+
+
+@query("t4_padding", f"with {_PAIRS.format(score=_SCORES['l2'])}, f as (select * from p where id < 3), {_RANKED.format(s='score', t='f')}, s as (select q.vec_id q_id, i::integer rank from embeddings q, range(1, 6) t(i) where q.vec_id < 20) select s.q_id, s.rank, coalesce(r.id, -1) id, coalesce(round(r.score, 6) + 0.0, '-inf'::double) score from s left join r on s.q_id = r.q_id and s.rank = r.rank")
+def _padding(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return hits(search.padded(search.knn(base.where("id < 3"), queries_of(base), 5), queries_of(base), 5))
+
+
+@query("t15_sample", "select count(*) n, count(distinct vec_id) ids from (select * from embeddings limit 25)")
+def _sample(spark, sf_dir):
+    rows = embeddings(spark, sf_dir).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(25)
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("t14_sorted_addresses", "select vec_id address from embeddings where vec_id % 7 = 0 order by 1")
+def _sorted(spark, sf_dir):
+    return embeddings(spark, sf_dir).where("id % 7 = 0").select(F.col("id").alias("address")).orderBy("address")
+
+
+# Projections and filters
+
+
+@query("p1_normalize", f"with {_L}, n as (select vec_id, sqrt(sum(x * x)) n from l group by all) select vec_id id, pos, round(x / (n + 1e-9), 6) + 0.0 x from l join n using (vec_id)")
+def _normalize(spark, sf_dir):
+    return positions(embeddings(spark, sf_dir).select("id", M.normalize(F.col("vec")).alias("vec")))
+
+
+@query("p2_subvectors", f"with {_L} select vec_id id, (pos // 8)::integer sub, round(sum(x), 6) + 0.0 total from l group by all")
+def _subvectors(spark, sf_dir):
+    subs = embeddings(spark, sf_dir).select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("sub"))
+    return subs.select("id", "sub", r6(M.total(M.subvector(F.col("vec"), F.col("sub"), 8))).alias("total"))
+
+
+@query("p3_residual", f"with {_CELLS} select l.vec_id id, l.pos, round(l.x - s.x, 6) + 0.0 x from l join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = l.pos")
+def _residual(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    near = base.join(cells16(base), "id").join(F.broadcast(seed_rows(base)), "cell")
+    return positions(near.select("id", M.residual(F.col("vec"), F.col("c")).alias("vec")))
+
+
+@query("p4_half_precision")
+def _half(spark, sf_dir):
+    return positions(embeddings(spark, sf_dir).select("id", M.half(F.col("vec"), scale=True).alias("vec")))
+
+
+@query("p5_valid_addresses", "select vec_id - 50 address from embeddings where vec_id - 50 >= 0 and vec_id - 50 < 300")
+def _valid(spark, sf_dir):
+    return embeddings(spark, sf_dir).select((F.col("id") - 50).alias("address")).where("address >= 0 and address < 300")
+
+
+@query("p6_skip_empty", "select vec_id id from embeddings where vec_id % 3 <> 0")
+def _skip(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return store.remove(base, base.where("id % 3 = 0").select("id")).select("id")
+
+
+@query("p7_cell_mask", f"with {_CELLS} select vec_id id from cells where cell = 5")
+def _mask(spark, sf_dir):
+    return cells16(embeddings(spark, sf_dir)).where("cell = 5").select("id")
+
+
+@query("p8_schema_check", "select count(*) n from embeddings")
+def _schema(spark, sf_dir):
+    return store.check_schema(embeddings(spark, sf_dir), id="bigint", vec="array<double>").agg(F.count("*").alias("n"))
+
+
+# Joins
+
+
+@query("j2_batched_product", f"with {_L}, s as (select vec_id, (pos // 8)::integer problem, pos, x from l) select a.problem, a.vec_id i, b.vec_id j, round(sum(a.x * b.x), 6) + 0.0 \"value\" from s a join s b on a.pos = b.pos where a.vec_id < 20 and b.vec_id < 16 group by all")
+def _batched(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    subs = base.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("problem"))
+    subs = subs.select("id", "problem", M.subvector(F.col("vec"), F.col("problem"), 8).alias("x"))
+    a, b = subs.where("id < 20").withColumnRenamed("id", "i"), subs.where("id < 16").selectExpr("id as j", "problem", "x as y")
+    out = search.batched_product(a, F.broadcast(b))
+    return out.select("problem", "i", "j", r6("value").alias("value"))
+
+
+@query("j3_nearest_centroid", f"with {_CELLS} select vec_id id, cell, round(0.0 - dd, 6) + 0.0 score from cells")
+def _nearest(spark, sf_dir):
+    return cells16(embeddings(spark, sf_dir)).select("id", "cell", r6("score").alias("score"))
+
+
+@query("j4_nearest_by_distance", f"with {_CELLS} select vec_id id, cell, round(dd, 6) + 0.0 distance from cells")
+def _min_product(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pairs = base.crossJoin(F.broadcast(seed_rows(base))).withColumn("distance", F.round(M.squared_l2(F.col("vec"), F.col("c")), 12))
+    return search.top_1(pairs, ["id"], "distance", "cell", largest=False).select("id", "cell", r6("distance").alias("distance"))
+
+
+for _e, _x in (("nmadd", "0.0 - sum(a.x * b.x)"), ("squared_l2", "sum((a.x - b.x) * (a.x - b.x))"), ("l1", "sum(abs(a.x - b.x))")):
+
+    @query(f"j4_element_{_e}", f"with {_L} select a.vec_id i, b.vec_id j, round({_x}, 6) + 0.0 \"value\" from l a join l b using (pos) where a.vec_id < 20 and b.vec_id < 16 group by all")
+    def _element(spark, sf_dir, e=_e):
+        base = embeddings(spark, sf_dir).withColumn("problem", F.lit(0))
+        a, b = base.where("id < 20").selectExpr("id as i", "vec as x", "problem"), base.where("id < 16").selectExpr("id as j", "vec as y", "problem")
+        return search.batched_product(a, F.broadcast(b), e).select("i", "j", r6("value").alias("value"))
+
+
+@query("j6_masked_product", f"with {_L} select a.vec_id q_id, b.vec_id id, round(sum(a.x * b.x), 6) + 0.0 score from l a join l b using (pos) where a.vec_id < 20 and (a.vec_id + b.vec_id) % 10 = 0 group by all")
+def _masked(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    ids = base.select("id")
+    mask = queries_of(base).select("q_id", ((F.lit(10) - F.col("q_id") % 10) % 10).alias("m")).join(ids.withColumn("m", F.col("id") % 10), "m").select("q_id", "id")
+    pairs = mask.join(F.broadcast(queries_of(base)), "q_id").join(base, "id")
+    return search.masked_product(pairs, mask, ["q_id", "id"]).select("q_id", "id", r6("score").alias("score"))
+
+
+@query("j7_candidate_join", f"with {_CELLS}{_PROBES} select probes.q_id, cells.vec_id id, probes.cell from probes join cells using (cell)")
+def _candidates(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = index16(base)
+    return index.probe(queries_of(base)).select("q_id", "cell").join(index.codes.select("id", "cell"), "cell").select("q_id", "id", "cell")
+
+
+@query("j8_pq_decode", f"with {_L}, {_PQ} select vec_id id, pos, round(c, 6) + 0.0 x from codes join cb using (sub, code)")
+def _pq_decode(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pq = pq16(base)
+    return positions(pq.decode(pq.encode(base)))
+
+
+@query("j9_vq_decode", f"with {_CELLS} select cells.vec_id id, s.pos, round(s.x, 6) + 0.0 x from cells join l s on s.vec_id = cells.cell")
+def _vq_decode(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    vq = codecs.VQCodec(16, seeds(base))
+    return positions(vq.decode(vq.encode(base)))
+
+
+@query("j10_address_of", "with s as (select vec_id id, vec_id address from embeddings where vec_id % 3 <> 0), i as (select vec_id * 2 id from embeddings) select i.id, coalesce(address, -1) address from i left join s using (id)")
+def _address_of(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return store.address_of(flat_store(base).where("id % 3 <> 0"), base.select((F.col("id") * 2).alias("id")))
+
+
+@query("j11_id_of", "with s as (select vec_id id, vec_id address from embeddings where vec_id % 3 <> 0), a as (select vec_id * 2 address from embeddings) select a.address, coalesce(id, -1) id from a left join s using (address)")
+def _id_of(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return store.id_of(flat_store(base).where("id % 3 <> 0"), base.select((F.col("id") * 2).alias("address")))
+
+
+_STARTS = _CELLS + ", sz as (select cell, count(*) capacity from cells group by cell), st as (select *, coalesce(sum(capacity) over (order by cell rows between unbounded preceding and 1 preceding), 0)::bigint start from sz)"
+
+
+@query("j13_cell_of_address", f"with {_STARTS}, a as (select vec_id * 3 - 30 address from embeddings) select address, coalesce(cell, -1) cell from a left join st on address >= start and address < start + capacity")
+def _cell_of(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    starts = store.cell_starts(store.cell_sizes(cells16(base)).withColumnRenamed("size", "capacity"))
+    return store.cell_of_address(base.select((F.col("id") * 3 - 30).alias("address")), F.broadcast(starts))
+
+
+@query("j15_similarity_at_id", f"with {_L}, {_PQ}{_ADC}, pr as (select a.vec_id q_id, b.vec_id id from embeddings a, embeddings b where a.vec_id < 20 and (a.vec_id * 7 + b.vec_id) % 50 = 0) select q.q_id, codes.vec_id id, round(0.0 - sum(dd), 6) + 0.0 score from pr join q using (q_id) join codes on codes.vec_id = pr.id and codes.sub = q.sub and codes.code = q.code group by q.q_id, codes.vec_id")
+def _similarity_at(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pairs = queries_of(base).select("q_id", ((F.lit(5000) - F.col("q_id") * 7) % 50).alias("m")).join(base.select("id", (F.col("id") % 50).alias("m")), "m").select("q_id", "id")
+    return index16(base).similarity_at_id(queries_of(base), pairs).select("q_id", "id", r6("score").alias("score"))
+
+
+# Aggregations and windows
+
+
+@query("a1_grouped_means", f"with {_CELLS} select cell, pos, round(avg(x), 6) + 0.0 x from l join cells using (vec_id) group by all union all select 16, i::integer, 0.0 from range(0, 64) r(i)")
+def _means(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    means = clustering.grouped_means(base.join(cells16(base), "id"), "cell", 64, cells=17)
+    return means.select("cell", F.posexplode("mean").alias("pos", "x")).withColumn("x", r6("x"))
+
+
+@query("a3_inertia", f"with {_CELLS} select round(avg(dd), 6) inertia from cells")
+def _inertia(spark, sf_dir):
+    return cells16(embeddings(spark, sf_dir)).agg(r6(F.avg(F.lit(0.0) - F.col("score"))).alias("inertia"))
+
+
+@query("a4_error", f"with {_CELLS}, m as (select cell, pos, avg(x) x from l join cells using (vec_id) group by all) select round(sum((m.x - s.x) * (m.x - s.x)), 6) error from m join l s on s.vec_id = m.cell and s.pos = m.pos")
+def _error(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    means = clustering.grouped_means(base.join(cells16(base), "id"), "cell", 64, cells=16)
+    return means.join(seed_rows(base), "cell").agg(r6(F.sum(M.squared_l2(F.col("mean"), F.col("c")))).alias("error"))
+
+
+@query("a5_cell_counts", f"with {_CELLS} select cell, count(*) size from cells group by cell")
+def _counts(spark, sf_dir):
+    return store.cell_sizes(cells16(embeddings(spark, sf_dir)))
+
+
+@query("a6_distinct_addresses", "select distinct vec_id % 40 - 5 address from embeddings where vec_id % 40 - 5 between 0 and 29")
+def _distinct(spark, sf_dir):
+    return embeddings(spark, sf_dir).select((F.col("id") % 40 - 5).alias("address")).where("address >= 0 and address < 30").dropDuplicates(["address"])
+
+
+@query("a7_min_max", f"with {_L} select pos, round(min(x), 6) + 0.0 low, round(max(x) - min(x) + 1e-8, 6) + 0.0 wide from l group by pos")
+def _minmax(spark, sf_dir):
+    sq = codecs.SQCodec()
+    sq.train(embeddings(spark, sf_dir))
+    return _ranges(spark, sq)
+
+
+def _ranges(spark: SparkSession, sq: codecs.SQCodec) -> DataFrame:
+    rows = spark.createDataFrame([(i, a, r) for i, (a, r) in enumerate(zip(sq.low, sq.range, strict=True))], "pos int, low double, wide double")
+    return rows.select("pos", r6("low").alias("low"), r6("wide").alias("wide"))
+
+
+@query("a8_mean_std", f"with {_L} select pos, round(avg(x) - 2 * stddev_samp(x), 6) + 0.0 low, round(4 * stddev_samp(x) + 1e-8, 6) + 0.0 wide from l group by pos")
+def _meanstd(spark, sf_dir):
+    sq = codecs.SQCodec(alpha=2.0, mode="meanstd")
+    sq.train(embeddings(spark, sf_dir))
+    return _ranges(spark, sq)
+
+
+@query("a9_covariance", f"with {_L} select a.pos i, b.pos j, round(covar_samp(a.x, b.x), 6) + 0.0 cov from l a join l b using (vec_id) where a.pos < 8 and b.pos < 8 group by all")
+def _covariance(spark, sf_dir):
+    _, _, cov = codecs.covariance(embeddings(spark, sf_dir).select("id", F.slice("vec", 1, 8).alias("vec")), 8)
+    rows = spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(8) for j in range(8)], "i int, j int, cov double")
+    return rows.select("i", "j", r6("cov").alias("cov"))
+
+
+@query("a10_running_counts", "select (vec_id % 4)::integer cell, count(*) + 1 n from embeddings group by 1")
+def _running(spark, sf_dir):
+    ones = spark.range(4).select(F.col("id").cast("int").alias("cell"), F.lit(1).cast("long").alias("n"))
+    batch = embeddings(spark, sf_dir).groupBy((F.col("id") % 4).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    return ones.unionByName(batch).groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+@query("a11_candidate_totals", f"with {_CELLS}{_PROBES}, sz as (select cell, count(*) size from cells group by cell) select q_id, sum(size)::bigint candidates from probes join sz using (cell) group by q_id")
+def _candidate_totals(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = index16(base)
+    return index.probe(queries_of(base)).join(store.cell_sizes(index.codes), "cell").groupBy("q_id").agg(F.sum("size").alias("candidates"))
+
+
+@query("a12_smart_probes", f"with {_CD}, pr as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id < 20) where rank <= 8), w as (select *, exp(0.0 - sqrt(dd) / 0.1) w from pr), s as (select *, w / sum(w) over (partition by q_id) p from w) select q_id, least(greatest(ceil(round(0.0 - sum(case when p > 0 then p * log2(p) else 0 end) / 3 * 8, 9)), 1), 8)::bigint n_probe from s group by q_id")
+def _smart(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    probes = clustering.nearest_cells(base.where("id < 20"), seeds(base), 8)
+    return ivf.smart_probes(probes, 8, 0.1).groupBy("q_id").agg(F.count("*").alias("n_probe"))
+
+
+@query("a14_adc_scores", f"with {_L}, {_PQ}{_ADC}, sc as (select q.q_id, codes.vec_id id, 0.0 - sum(dd) score from q join codes on q.sub = codes.sub and q.code = codes.code group by all), {_RANKED.format(s='score', t='sc')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10")
+def _adc(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return hits(index16(base, n_probe=16).search(queries_of(base), 10))
+
+
+@query("a15_max_id", "select max(vec_id) max_id from embeddings")
+def _max_id(spark, sf_dir):
+    return embeddings(spark, sf_dir).agg(F.max("id").alias("max_id"))
+
+
+@query("w1_index_of_appearance", f"with {_CELLS} select vec_id id, cell, row_number() over (partition by cell order by vec_id) - 1 ioa from cells")
+def _ioa(spark, sf_dir):
+    return store.index_of_appearance(cells16(embeddings(spark, sf_dir)), "id").select("id", "cell", "ioa")
+
+
+def cell_store(base: DataFrame) -> DataFrame:
+    """Even ids in cells (id / 2) % 4 at slots by id, every third of them deleted again."""
+    rows = base.where("id % 2 = 0").withColumn("cell", ((F.col("id") / 2) % 4).cast("int"))
+    slots = store.index_of_appearance(rows, "id").withColumnRenamed("ioa", "slot").select("cell", "slot", "id", "vec")
+    return store.remove(slots, slots.where("id % 3 = 0").select("id"))
+
+
+@query("w2_write_slots", "with a as (select vec_id id, ((vec_id // 2) % 4)::integer cell from embeddings where vec_id % 2 = 0), s as (select *, row_number() over (partition by cell order by id) - 1 slot from a), k as (select * from s where id % 3 <> 0), n as (select vec_id id, ((vec_id // 2) % 4)::integer cell from embeddings where vec_id % 2 = 1), i as (select *, row_number() over (partition by cell order by id) - 1 ioa from n), c as (select cell, slot from (select unnest([0, 1, 2, 3])::integer cell) x, (select unnest(range(0, 10000)) slot) y), f as (select cell, slot, row_number() over (partition by cell order by slot) - 1 ioa from c anti join k using (cell, slot)) select i.id, i.cell, f.slot from i join f using (cell, ioa)")
+def _slots(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    new = base.where("id % 2 = 1").withColumn("cell", F.floor((F.col("id") / 2) % 4).cast("int"))
+    return store.write_slots(cell_store(base), new).select("id", "cell", "slot")
+
+
+@query("w3_auto_ids", "select vec_id src, row_number() over (order by vec_id) - 1 + (select max(vec_id) from embeddings) + 1 id from embeddings where vec_id % 5 = 0")
+def _auto(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return store.with_auto_ids(base.where("id % 5 = 0").select(F.col("id").alias("src")), base, ["src"])
+
+
+@query("w4_cell_starts", f"with {_STARTS} select cell, capacity, start from st")
+def _starts(spark, sf_dir):
+    return store.cell_starts(store.cell_sizes(cells16(embeddings(spark, sf_dir))).withColumnRenamed("size", "capacity")).select("cell", "capacity", "start")
+
+
+@query("w5_query_ranking", f"with {_CELLS} select vec_id id, cell, (row_number() over (partition by cell order by round(dd, 9), vec_id))::integer rank from cells")
+def _cell_ranks(spark, sf_dir):
+    ranked = cells16(embeddings(spark, sf_dir)).withColumn("s", F.round("score", 9))
+    return search.top_k(ranked, 1 << 30, ["cell"], "s").select("id", "cell", "rank")
+
+
+# Sources, sinks, set operations
+
+
+@query("s1_scan", f"with {_L} select vec_id id, count(*)::integer width, round(sum(x), 6) + 0.0 total from l group by vec_id")
+def _scan(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("id", F.size("vec").alias("width"), r6(M.total(F.col("vec"))).alias("total"))
+
+
+@query("s2_save_load_index", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id)")
+def _save_load(spark, sf_dir):
+    path = scratch.folder(spark)
+    index16(embeddings(spark, sf_dir)).save(path, spark)
+    codes = ivf.IVFPQIndex.load(path, spark).codes
+    return codecs.long_codes(codes).join(codes.select("id", "cell"), "id").select("id", "cell", "sub", "code")
+
+
+@query("s5_side_table", f"with {_L} select vec_id id, round(sum(x), 6) + 0.0 total from l where vec_id % 9 = 0 group by vec_id")
+def _side(spark, sf_dir):
+    base, path = embeddings(spark, sf_dir), scratch.folder(spark)
+    base.write.parquet(path)
+    some = persist.load_side_table(path, spark, base.where("id % 9 = 0").select("id"))
+    return some.select("id", r6(M.total(F.col("vec"))).alias("total"))
+
+
+@query("s6_get_by_address", f"with {_L}, s as (select vec_id address, sum(x) total from l where vec_id % 3 <> 0 group by vec_id), a as (select vec_id * 2 address from embeddings) select address, round(coalesce(total, 0), 6) + 0.0 total from a left join s using (address)")
+def _get_address(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    got = store.get_by_address(flat_store(base).where("id % 3 <> 0"), base.select((F.col("id") * 2).alias("address")), 64)
+    return got.select("address", r6(M.total(F.col("vec"))).alias("total"))
+
+
+@query("s7_set_by_address", f"with {_L} select vec_id address, round(sum(x) * case when vec_id % 10 = 0 then 2 else 1 end, 6) + 0.0 total from l group by vec_id")
+def _set_address(spark, sf_dir):
+    base = flat_store(embeddings(spark, sf_dir))
+    changes = base.where("id % 10 = 0").select("address", F.transform("vec", lambda x: x * 2).alias("vec"))
+    outside = changes.withColumn("address", F.col("address") + 1_000_000)
+    return store.update(base, changes.unionByName(outside)).select("address", r6(M.total(F.col("vec"))).alias("total"))
+
+
+@query("s8_get_by_id", f"with {_L}, s as (select vec_id id, sum(x) total from l group by vec_id), a as (select vec_id * 2 id from embeddings) select id, round(coalesce(total, 0), 6) + 0.0 total from a left join s using (id)")
+def _get_id(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return store.get_by_id(base, base.select((F.col("id") * 2).alias("id")), 64).select("id", r6(M.total(F.col("vec"))).alias("total"))
+
+
+@query("s9_group_member", f"with {_L} select vec_id id, round(sum(x), 6) + 0.0 total from l where pos >= 16 and pos < 48 group by vec_id")
+def _member(spark, sf_dir):
+    group = embeddings(spark, sf_dir).select("id", F.slice("vec", 1, 16).alias("vec_0"), F.slice("vec", 17, 32).alias("vec_1"), F.slice("vec", 49, 16).alias("vec_2"))
+    return store.member(group, 1).select("id", r6(M.total(F.col("vec"))).alias("total"))
+
+
+@query("s10_statistics", "select count(*) n_items, max(vec_id) max_id, (count(*) * 512)::bigint bytes from embeddings")
+def _statistics(spark, sf_dir):
+    return store.statistics(embeddings(spark, sf_dir))
+
+
+@query("u1_flat_add", "select vec_id id, vec_id address from embeddings where vec_id < 100 union all select vec_id, vec_id from embeddings where vec_id >= 100")
+def _flat_add(spark, sf_dir):
+    base = flat_store(embeddings(spark, sf_dir))
+    return store.flat_add(base.where("id < 100"), base.where("id >= 100").drop("address")).select("id", "address")
+
+
+@query("u1_cell_add", "with n as (select count(*) n from embeddings where vec_id % 2 = 1 or vec_id % 3 <> 0) select n, n slots from n")
+def _cell_add(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    new = base.where("id % 2 = 1").withColumn("cell", F.floor((F.col("id") / 2) % 4).cast("int"))
+    out = store.cell_add(cell_store(base), new)
+    return out.agg(F.count("*").alias("n"), F.countDistinct("cell", "slot").alias("slots"))
+
+
+@query("u2_remove", "select vec_id id from embeddings where vec_id % 4 <> 0")
+def _remove(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    gone = base.where("id % 4 = 0").select("id").unionByName(spark.range(10_000_000, 10_000_005))
+    return store.remove(base, gone).select("id")
+
+
+@query("u2_remove_compact", "with l as (select vec_id id, vec_id address from embeddings where vec_id % 4 <> 0), n as (select count(*) n from l), h as (select vec_id hole, row_number() over (order by vec_id) k from embeddings, n where vec_id % 4 = 0 and vec_id < n), m as (select id, row_number() over (order by address) k from l, n where address >= n) select id, address from l, n where address < n union all select id, hole from m join h using (k)")
+def _compact(spark, sf_dir):
+    base = flat_store(embeddings(spark, sf_dir))
+    return store.flat_remove(base, base.where("id % 4 = 0").select("id")).select("id", "address")
+
+
+@query("u2_remove_addresses", "select vec_id id from embeddings where vec_id % 6 <> 0 or vec_id >= 300")
+def _remove_addresses(spark, sf_dir):
+    base = flat_store(embeddings(spark, sf_dir))
+    gone = base.where("id % 6 = 0").select("address")
+    return store.remove_addresses(base, gone.unionByName(gone), 300).select("id")
+
+
+@query("u3_truncate", "select vec_id id from embeddings where false")
+def _truncate(spark, sf_dir):
+    return store.truncate(embeddings(spark, sf_dir)).select("id")
+
+
+@query("u4_concat_codes", f"with {_L}, {_PQ} select vec_id id, sub, code from codes union all select vec_id, sub + 8, code from codes")
+def _concat(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    codes = pq16(base).encode(base)
+    return codecs.long_codes(codes.select("id", F.concat("code", "code").alias("code")))
+
+
+@query("u5_capacity", "select vec_id n, case when vec_id <= 64 then 64 else (64 * pow(2, ceil(round(log2(vec_id / 64), 9))))::bigint end doubled, (ceil(vec_id / 100) * 100)::bigint stepped from embeddings where vec_id > 0")
+def _capacity(spark, sf_dir):
+    n = F.col("id")
+    return embeddings(spark, sf_dir).where("id > 0").select(n.alias("n"), store.capacity(n, 64).alias("doubled"), store.capacity(n, 100, "step").alias("stepped"))
+
+
+# Clustering
+
+
+def _lloyd_sql(steps: int) -> str:
+    """CTEs of Lloyd steps from the first 16 vectors: lab{n}, cen{n}."""
+    out = [_L, "cen0 as (select vec_id::integer cell, pos, x c from l where vec_id < 16)"]
+    for n in range(steps):
+        out.append(f"d{n} as (select vec_id, cell, sum((x - c) * (x - c)) dd from l join cen{n} using (pos) group by all)")
+        out.append(f"lab{n} as (select vec_id, cell, dd from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from d{n}) where rn = 1)")
+        out.append(f"m{n} as (select cell, pos, avg(x) c from l join lab{n} using (vec_id) group by all)")
+        out.append(f"cen{n + 1} as (select a.cell, a.pos, coalesce(m.c, 0.0) c from cen0 a left join m{n} m on a.cell = m.cell and a.pos = m.pos)")
+    return "with " + ", ".join(out)
+
+
+@query("c2_kmeans_labels", f"{_lloyd_sql(3)} select vec_id id, cell from lab2")
+def _kmeans_labels(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return clustering.KMeans(16, max_iter=3, tol=0.0).fit(base, seeds(base))
+
+
+@query("c1_kmeans_centroids", f"{_lloyd_sql(3)} select cell, pos, round(c, 6) + 0.0 x from cen3")
+def _kmeans_centroids(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    km = clustering.KMeans(16, max_iter=3, tol=0.0)
+    km.fit(base, seeds(base))
+    rows = spark.createDataFrame([(c, p, float(x)) for c, v in enumerate(km.centroids[0]) for p, x in enumerate(v)], "cell int, pos int, x double")
+    return rows.select("cell", "pos", r6("x").alias("x"))
+
+
+@query("c2_kmeans_inertia", f"{_lloyd_sql(3)} select round(avg(dd), 6) + 0.0 inertia, (select round(sum((a.c - b.c) * (a.c - b.c)), 6) + 0.0 from cen3 a join cen2 b using (cell, pos)) error from lab2")
+def _kmeans_inertia(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    km = clustering.KMeans(16, max_iter=3, tol=0.0)
+    km.fit(base, seeds(base))
+    return spark.createDataFrame([(km.inertia, km.error)], "inertia double, error double").select(r6("inertia").alias("inertia"), r6("error").alias("error"))
+
+
+@query("c3_predict", f"{_lloyd_sql(4)} select vec_id id, cell from lab3")
+def _predict(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    km = clustering.KMeans(16, max_iter=3, tol=0.0)
+    km.fit(base, seeds(base))
+    return km.predict(base)
+
+
+@query("c4_farthest_first", "with recursive " + _L + ", g as (select a.vec_id a, b.vec_id b, sum((a.x - b.x) * (a.x - b.x)) d from l a join l b using (pos) group by all), f as (select 0 n, [0::bigint] s union all select n + 1, list_append(s, (select a from g where list_contains(f.s, b) group by a order by round(min(d), 12) desc, a limit 1)) from f where n < 3) select n, s[n + 1] id from f")
+def _farthest(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    found = clustering.farthest_first(base, 4, first=seeds(base, 1))
+    picked = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(found)], "n int, vec array<double>")
+    return base.join(F.broadcast(picked), "vec").select("n", "id")
+
+
+@query("c5_similarity_matrix", f"with {_L} select a.vec_id id, b.vec_id::integer cell, round({_SCORES['cosine']}, 6) + 0.0 score from l a join l b using (pos) where b.vec_id < 16 group by all")
+def _matrix(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pairs = search.scored_pairs(base.crossJoin(F.broadcast(seed_rows(base))), "cosine", "vec", "c")
+    return pairs.select("id", "cell", r6("score").alias("score"))
+
+
+@query("c6_cosine_labels", f"with {_L}, s as (select a.vec_id, b.vec_id::integer cell, {_SCORES['cosine']} score from l a join l b using (pos) where b.vec_id < 16 group by all) select vec_id id, cell from (select *, row_number() over (partition by vec_id order by round(score, 12) desc, cell) rn from s) where rn = 1")
+def _cosine_labels(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return clustering.assign(base, seeds(base), "cosine").select("id", "cell")
+
+
+@query("c7_multi_kmeans", f"with {_L}, {_PQ}, m as (select codes.sub, codes.code, pos, avg(x) c from codes join sv using (vec_id, sub) group by all) select cb.sub, cb.code, cb.pos - cb.sub * 8 pos, round(coalesce(m.c, 0.0), 6) + 0.0 x from cb left join m using (sub, code, pos)")
+def _multi(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    km = clustering.MultiKMeans(8, 16, max_iter=1)
+    km.fit(base, seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
+    rows = [(s, c, p, float(x)) for s, book in enumerate(km.centroids) for c, v in enumerate(book) for p, x in enumerate(v)]
+    return spark.createDataFrame(rows, "sub int, code int, pos int, x double").select("sub", "code", "pos", r6("x").alias("x"))
+
+
+@query("c8_minibatch", f"{_lloyd_sql(1)} select cell, pos, round(c, 6) + 0.0 x, (select count(*) + 1 from lab0 where lab0.cell = cen1.cell) n from cen1")
+def _minibatch(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    km = clustering.MinibatchKMeans(16)
+    km.fit_minibatch(base, seeds(base))
+    rows = [(c, p, float(x), int(km.counts[c])) for c, v in enumerate(km.centroids) for p, x in enumerate(v)]
+    return spark.createDataFrame(rows, "cell int, pos int, x double, n long").select("cell", "pos", r6("x").alias("x"), "n")
+
+
+@query("c9_kmeans_redos")
+def _redos(spark, sf_dir):
+    km = clustering.KMeans(8, n_redo=2, max_iter=5, init_mode="kmeans++", keep_between_redos=True)
+    labels = km.fit(embeddings(spark, sf_dir))
+    return labels.groupBy("cell").agg(F.count("*").alias("size"))
+
+
+@query("t9_nearest_cells", f"with {_CD}{_PROBES} select q_id, rank::integer rank, cell, round(0.0 - dd, 6) + 0.0 score from probes")
+def _nearest_cells(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return clustering.nearest_cells(base.where("id < 20"), seeds(base), 4).select("q_id", "rank", "cell", r6("score").alias("score"))
+
+
+# Codecs
+
+
+@query("e1_vq_encode", f"with {_CELLS} select vec_id id, cell code from cells")
+def _vq(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return codecs.VQCodec(16, seeds(base)).encode(base)
+
+
+@query("e2_pq_train")
+def _pq_train(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pq = codecs.PQCodec(8, 16, max_iter=10)
+    pq.train(base)
+    return codecs.long_codes(pq.encode(base))
+
+
+@query("e3_pq_encode", f"with {_L}, {_PQ} select vec_id id, sub, code from codes")
+def _pq_encode(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return codecs.long_codes(pq16(base).encode(base))
+
+
+@query("e5_adc_table", f"with {_L}, {_PQ} select vec_id q_id, sub, code, round(0.0 - dd, 6) + 0.0 \"value\" from ds where vec_id < 20")
+def _adc_table(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return pq16(base).precompute_adc(queries_of(base)).select("q_id", "sub", "code", r6("value").alias("value"))
+
+
+_SQ = _L + ", mm as (select pos, min(x) lo, max(x) - min(x) + 1e-8 wide from l group by pos), c as (select vec_id, pos, lo, wide, least(greatest(round_even((x - lo) / wide * {n}, 0), 0), {n} - 1)::integer code from l join mm using (pos))"
+
+
+def _trained(base: DataFrame, **options) -> codecs.SQCodec:
+    sq = codecs.SQCodec(**options)
+    sq.train(base)
+    return sq
+
+
+@query("e7_sq8_encode", f"with {_SQ.format(n=256)} select vec_id id, pos, code from c")
+def _sq8(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return _trained(base).encode(base).select("id", F.posexplode("code").alias("pos", "code"))
+
+
+@query("e8_sq8_decode", f"with {_SQ.format(n=256)} select vec_id id, pos, round(code / 256 * wide + lo, 6) + 0.0 x from c")
+def _sq8_decode(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    sq = _trained(base)
+    return positions(sq.decode(sq.encode(base)))
+
+
+@query("e9_sq4_encode", f"with {_SQ.format(n=16)} select a.vec_id id, a.pos, a.code * 16 + b.code code from c a join c b on a.vec_id = b.vec_id and b.pos = a.pos + 32")
+def _sq4(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return _trained(base, bits=4).encode(base).select("id", F.posexplode("code").alias("pos", "code"))
+
+
+@query("e9_sq4_decode", f"with {_SQ.format(n=16)} select vec_id id, pos, round(code / 16 * wide + lo, 6) + 0.0 x from c")
+def _sq4_decode(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    sq = _trained(base, bits=4)
+    return positions(sq.decode(sq.encode(base)))
+
+
+@query("e10_sq16")
+def _sq16(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    sq = _trained(base, bits=16)
+    return positions(sq.decode(sq.encode(base)))
+
+
+@query("e10_sq32", f"with {_L} select vec_id id, pos, round(x, 6) + 0.0 x from l")
+def _sq32(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    sq = _trained(base, bits=32)
+    return positions(sq.decode(sq.encode(base)))
+
+
+@query("e11_pca_project")
+def _pca(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pca = codecs.PCA(8)
+    pca.train(base)
+    return positions(pca.encode(base))
+
+
+@query("e11_pca_round_trip", f"with {_L} select vec_id id, pos, round(x, 6) + 0.0 x from l")
+def _pca_back(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    pca = codecs.PCA(64)
+    pca.train(base)
+    return positions(pca.decode(pca.encode(base)))
+
+
+# Indexes
+
+
+@query("e14_residual_decode", f"with {_CELLS}, {_RES} select vec_id id, pos, round(x, 6) + 0.0 x from dec")
+def _residual_decode(spark, sf_dir):
+    index = index16(embeddings(spark, sf_dir), residual=True)
+    return positions(index.decode(index.codes))
+
+
+@query("i3_train")
+def _train(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = ivf.IVFPQIndex(8, 8, n_pq_clusters=16, vq_iter=3, pq_iter=3)
+    index.train(base)
+    index.add(base)
+    index.n_probe = 8
+    return hits(index.search(queries_of(base), 10))
+
+
+@query("i4_add", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id)")
+def _add(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = index16(base.where("id < 100"))
+    index.add(base.where("id >= 100"))
+    return codecs.long_codes(index.codes).join(index.codes.select("id", "cell"), "id").select("id", "cell", "sub", "code")
+
+
+_IVF = ", sc as (select q.q_id, codes.vec_id id, 0.0 - sum(q.dd) score from probes join cells using (cell) join codes using (vec_id) join q on q.q_id = probes.q_id and q.sub = codes.sub and q.code = codes.code{where} group by all)"
+_HITS = f", {_RANKED.format(s='score', t='sc')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10"
+
+
+@query("i5_ivfpq_search", f"with {_CELLS}, {_PQ}{_PROBES}{_ADC}{_IVF.format(where='')}{_HITS}")
+def _ivfpq(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return hits(index16(base).search(queries_of(base), 10))
+
+
+@query("i6_search_cells", f"with {_CELLS}, {_PQ}, probes as (select vec_id q_id, (vec_id % 16)::integer cell from embeddings where vec_id < 20 union all select vec_id, ((vec_id + 3) % 16)::integer from embeddings where vec_id < 20){_ADC}{_IVF.format(where='')}{_HITS}")
+def _search_cells(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    q = queries_of(base)
+    probes = q.select("q_id", F.explode(F.array((F.col("q_id") % 16).cast("int"), ((F.col("q_id") + 3) % 16).cast("int"))).alias("cell"))
+    return hits(index16(base).search_cells(q, probes, 10))
+
+
+@query("i7_smart_search")
+def _smart_search(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = index16(base, n_probe=8, smart=True)
+    index.temperature = 0.1
+    return hits(index.search(queries_of(base), 10))
+
+
+@query("i8_residual_search", f"with {_CELLS}, {_RES}{_PROBES}, sc as (select probes.q_id, dec.vec_id id, 0.0 - sum((l.x - dec.x) * (l.x - dec.x)) score from probes join cells using (cell) join dec using (vec_id) join l on l.vec_id = probes.q_id and l.pos = dec.pos group by all){_HITS}")
+def _residual_search(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    return hits(index16(base, residual=True).search(queries_of(base), 10))
+
+
+@query("i9_remove", f"with {_CELLS}, {_PQ}{_PROBES}{_ADC}{_IVF.format(where=' where codes.vec_id % 2 = 1')}{_HITS}")
+def _index_remove(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = index16(base)
+    index.remove(base.where("id % 2 = 0").select("id"))
+    return hits(index.search(queries_of(base), 10))
+
+
+@query("i10_rerank_search")
+def _rerank(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = ivf.IVFPQRIndex(8, 8, 16, 4, 16)
+    index.set_codebooks(seeds(base), seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
+    index.n_probe, index.use_smart_probing = 8, False
+    index.fine.train(index._left_over(base))
+    index.add(base)
+    return hits(index.search(queries_of(base), 10))
+
+
+@query("t13_distributed_cells", f"with {_CELLS}, {_PQ}{_PROBES}{_ADC}{_IVF.format(where='')}{_HITS}")
+def _distributed(spark, sf_dir):
+    base, path = embeddings(spark, sf_dir), scratch.folder(spark)
+    index = index16(base)
+    index.codes.write.partitionBy("cell").parquet(path)
+    index.codes = spark.read.parquet(path)
+    return hits(index.search(queries_of(base), 10))
+
+
+# SQL functions, bits, streaming, volume
+
+
+@query("f1_sql_functions", f"with {_PAIRS.format(score=_SCORES['l2'])} select q_id, id, round(score, 6) + 0.0 score from p where id < 50")
+def _sql(spark, sf_dir):
+    sqlfn.register(spark)
+    base = embeddings(spark, sf_dir)
+    pairs = queries_of(base).crossJoin(base.where("id < 50"))
+    return pairs.select("q_id", "id", r6(F.expr("vec_l2(q_vec, vec)")).alias("score"))
+
+
+@query("f2_nibbles", "select vec_id id, ((vec_id % 256) // 16)::integer high, (vec_id % 16)::integer low from embeddings")
+def _nibbles(spark, sf_dir):
+    c = (F.col("id") % 256).cast("int")
+    return embeddings(spark, sf_dir).select("id", F.shiftright(c, 4).alias("high"), c.bitwiseAND(F.lit(15)).alias("low"))
+
+
+def _stream(spark: SparkSession, base: DataFrame, files: int = 3) -> DataFrame:
+    """The rows as a stream of `files` files, one a batch, in the order of id % files."""
+    path = scratch.folder(spark)
+    for i in range(files):
+        base.where(F.col("id") % files == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("st1_stream_kmeans", "select (select count(*) from embeddings) + 4 n, 4::bigint cells")
+def _stream_kmeans(spark, sf_dir):
+    base, path = embeddings(spark, sf_dir), scratch.folder(spark)
+    incremental.minibatch_kmeans(_stream(spark, base), f"{path}/state", f"{path}/checkpoint", 4, init=seeds(base, 4)).awaitTermination()
+    return incremental.read_state(spark, f"{path}/state").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("cells"))
+
+
+@query("st2_stream_index", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id) where vec_id % 5 <> 0")
+def _stream_index(spark, sf_dir):
+    base, path = embeddings(spark, sf_dir), scratch.folder(spark)
+    index = index16(base)
+    incremental.index_adds(_stream(spark, base), index, path, f"{path}/c1").awaitTermination()
+    incremental.index_removes(_stream(spark, base.where("id % 5 = 0").select("id"), 1), path, f"{path}/c2").awaitTermination()
+    codes = incremental.live_codes(spark, path)
+    return codecs.long_codes(codes).join(codes.select("id", "cell"), "id").select("id", "cell", "sub", "code")
+
+
+def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return t.select(key.alias("id"), F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, "l_discount", "l_tax").alias("vec"))
+
+
+@query("c2_kmeans_volume")
+def _volume(spark, sf_dir):
+    km = clustering.KMeans(16, max_iter=10, tol=0.0)
+    km.fit(line_vectors(spark, sf_dir))
+    return clustering.assign(line_vectors(spark, sf_dir), km.centroids[0]).groupBy("cell").agg(F.count("*").alias("size"))
+
+
+@query("a9_covariance_volume", "with v as (select l_quantity / 50 a, l_extendedprice / 100000 b from lineitem) select round(var_samp(a), 6) aa, round(covar_samp(a, b), 6) ab from v")
+def _cov_volume(spark, sf_dir):
+    _, _, cov = codecs.covariance(line_vectors(spark, sf_dir), 4)
+    return spark.createDataFrame([(round(float(cov[0, 0]), 6), round(float(cov[0, 1]), 6))], "aa double, ab double")
+
+
+@query("a5_window_counts", "select l_returnflag flag, count(*) n from lineitem group by all")
+def _flags(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    counted = t.select("l_returnflag", F.row_number().over(W.partitionBy("l_returnflag", "l_linenumber").orderBy("l_orderkey")).alias("n"), "l_linenumber")
+    return counted.groupBy("l_returnflag", "l_linenumber").agg(F.max("n").alias("n")).groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("n").cast("long").alias("n"))
