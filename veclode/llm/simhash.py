@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import batches, cut, texts
 from .components import components
 
-SEED, CHUNK = 42, 65_536
+SEED, CHUNK, BINS = 42, 65_536, 512
 #: Nodes of a shard's tree, on average; a shard of over twice as many is dealt into tiles.
 SHARD = 1024
+#: Bits of the five-word fingerprint that candidates may differ in, and the tolerance of a sketched similarity.
+FAR, MARGIN = 18, 0.02
 #: Fingerprints that may agree on the chosen blocks by chance, on average, before more blocks are used.
 CHANCE = 16
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1  # of a byte, lowest first
@@ -59,30 +61,54 @@ def distinct(words: list[bytes]) -> list[bytes]:
     return list(set(words))
 
 
-def votes(features: list[bytes], seed: int = SEED) -> int:
+def hashes(features: list[bytes], seed: int = SEED) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(f, seed) for f in features), "<u8", len(features))
+
+
+def votes(h: np.ndarray) -> int:
     """The fingerprint: a bit is set if it is in over half the hashes."""
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, len(features), CHUNK):
-        h = np.array([digest(f, seed) for f in features[i : i + CHUNK]], "<u8")
-        bins = np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLS).ravel(), minlength=2048).reshape(8, 256)
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), CHUNK):
+        bins = np.bincount((h[i : i + CHUNK].view(np.uint8).reshape(-1, 8) + _COLS).ravel(), minlength=2048).reshape(8, 256)
         counts += (bins @ _BITS).ravel()
-    bits = counts * 2 > len(features)
+    bits = counts * 2 > len(h)
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, views: dict[str, tuple[Callable, int]]) -> DataFrame:
-    """doc_id and a bigint fingerprint for each view (name: features of the words, seed)."""
+def sketch(h: np.ndarray) -> bytes:
+    """One-permutation MinHash: of the hashes in each of BINS bins, 8 bits of the smallest; 0 where a bin is empty."""
+    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(low, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
+    full = low != np.iinfo(np.uint64).max
+    return np.where(full, 1 + (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity (Jaccard) of sets by the rows of their sketches; where sets are smaller than BINS, nearly exact."""
+    union = ((a > 0) | (b > 0)).sum(1)
+    same = ((a == b) & (a > 0)).sum(1) / np.maximum(union, 1)
+    return np.where(union == 0, 1.0, (same - 1 / 255) / (1 - 1 / 255))
+
+
+def fingerprints(docs: DataFrame, views: dict[str, Callable], sketched: Callable | None = None) -> DataFrame:
+    """doc_id and a bigint fingerprint for each view (name: features of the words) and, of the features `sketched`, a
+    column of that name with their sketch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            out = [[] for _ in views]
+            out, sketches = [[] for _ in views], []
             for t in b.column("text"):
                 words = t.as_py().encode().lower().split()
-                for o, (features, seed) in zip(out, views.values(), strict=True):
-                    o.append(votes(features(words), seed))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(o, pa.int64()) for o in out)], names=["doc_id", *views])
+                for o, features in zip(out, views.values(), strict=True):
+                    h = hashes(features(words))
+                    o.append(votes(h))
+                    if features is sketched:
+                        sketches.append(sketch(h))
+            more = [pa.array(sketches, pa.binary())] if sketched else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(o, pa.int64()) for o in out), *more], names=["doc_id", *views, *(["sketch"] if sketched else [])])
 
-    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{v} long" for v in views))
+    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{v} long" for v in views) + (", sketch binary" if sketched else ""))
 
 
 class BKTree:
@@ -142,13 +168,14 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _tile(radius: int, checks: int, most: int):
+def _tile(radius: int, accept: Callable | None, columns: list[str]):
     def run(key, t):
         _, a, b = (x.as_py() for x in key[-3:])
         t = t.combine_chunks()
         node, fp, tile = (t.column(c).to_numpy() for c in ("node", "fp", "tile"))
         fp = fp.view(np.uint64)
-        check = [t.column(f"check{i}").to_numpy().view(np.uint64) for i in range(checks)]
+        check = [t.column(c) for c in columns]
+        check = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(node), -1) if pa.types.is_binary(c.type) else c.to_numpy().view(np.uint64) for c in check]
         left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
         tree = BKTree(fp[left])
 
@@ -156,10 +183,12 @@ def _tile(radius: int, checks: int, most: int):
             for x, y in tree.search(fp[right], radius):
                 x, y = right[x], left[y]
                 ok = x != y
-                if check:
-                    ok &= sum(np.bitwise_count(c[x] ^ c[y]).astype(int) for c in check) <= most
-                if ok.any():
-                    yield x[ok], y[ok]
+                x, y = x[ok], y[ok]
+                if accept:
+                    ok = accept(*(c[x] for c in check), *(c[y] for c in check))
+                    x, y = x[ok], y[ok]
+                if len(x):
+                    yield x, y
 
         label = forest(len(node), pairs())
         own = np.flatnonzero(label != np.arange(len(node)))
@@ -179,12 +208,11 @@ def _blocks(n: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(parts, m - radius)]
 
 
-def links(nodes: DataFrame, fps: list[str], radius: int, checks: list[str] | None = None, most: int = 0) -> DataFrame:
-    """A spanning forest (u, v) of the links between nodes: within the radius in any of the columns fps and, if
-    there are columns to check, at most `most` differing bits in those. nodes: node, fps, checks; distinct."""
-    checks = checks or []
+def links(nodes: DataFrame, fps: list[str], radius: int, accept: Callable | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A spanning forest (u, v) of the links between nodes: within the radius in any of the columns fps and, if there
+    is an `accept`, accepted by it from the values of `columns` at either end. nodes: node, fps, columns; distinct."""
+    keep = columns or []
     n = nodes.count()
-    keep = [F.col(c).alias(f"check{i}") for i, c in enumerate(checks)]
     routes = []
     for f in fps:
         for i, mask in enumerate(_blocks(n, radius)):
@@ -196,36 +224,46 @@ def links(nodes: DataFrame, fps: list[str], radius: int, checks: list[str] | Non
     rows = rows.join(sizes, "shard", "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / SHARD).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
     ends = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least("tile", x).alias("a"), F.greatest("tile", x).alias("b")))
-    rows = rows.select("shard", "node", "fp", *(f"check{i}" for i in range(len(checks))), "tile", F.inline(ends))
-    return rows.groupBy("shard", "a", "b").applyInArrow(_tile(radius, len(checks), most), "u long, v long")
+    rows = rows.select("shard", "node", "fp", *keep, "tile", F.inline(ends))
+    return rows.groupBy("shard", "a", "b").applyInArrow(_tile(radius, accept, keep), "u long, v long")
 
 
-def near_classes(prints: DataFrame, fps: list[str], radius: int, checks: list[str] | None = None, most: int = 0) -> DataFrame:
-    """prints (doc_id, fps, checks) with component_id, the smallest doc_id that links reach."""
-    every = [*fps, *(checks or [])]
-    node = F.col(fps[0]) if len(every) == 1 else F.xxhash64(*every)
+def _nodes(prints: DataFrame, fps: list[str]) -> tuple[DataFrame, DataFrame]:
+    """prints with the node of each row, and the nodes: what its rows share, and their smallest doc_id."""
+    node = F.col(fps[0]) if len(fps) == 1 else F.xxhash64(*fps)
     prints = cut(prints.withColumn("node", node))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in every if c != "node")))
-    roots = components(links(nodes.select("node", *every), fps, radius, checks, most))
+    shared = [F.min(c).alias(c) for c in prints.columns if c not in ("doc_id", "node")]
+    return prints, cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *shared))
+
+
+def _named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, node and component_id, the smallest doc_id that the edges reach."""
+    roots = components(edges)
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return prints.join(named, "node").drop("node")
+    return prints.join(named, "node")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """3-word fingerprints, linked at up to 2 differing bits."""
-    out = near_classes(fingerprints(docs, {"fp": (shingled(3), SEED)}), ["fp"], 2)
+    prints, nodes = _nodes(fingerprints(docs, {"fp": shingled(3)}), ["fp"])
+    out = _named(prints, nodes, links(nodes.select("node", "fp"), ["fp"], 2))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = 4, most: int = 26) -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = 4, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id.
 
     Candidates are within the radius by the words or by the distinct words, which hardly move when a few words
-    change; a link then needs at most `most` of 128 bits of five-word fingerprints to differ. Of shingle sets
-    with similarity 0.8 about 19.5 of them differ (standard deviation 4.1); of unrelated texts, 64."""
+    change, and not far apart by five-word shingles. Those that have any candidate are searched again, and a link then
+    needs sketches of five-word shingles with the similarity (less MARGIN, about one standard deviation of the
+    estimate for long texts)."""
     five = shingled(5)
-    views = {"words": (shingled(1), SEED), "kinds": (distinct, SEED), "five": (five, SEED), "five2": (five, SEED + 1)}
-    found = near_classes(fingerprints(docs, views), ["words", "kinds"], radius, ["five", "five2"], most)
+    views = {"words": shingled(1), "kinds": distinct, "five": five}
+    prints, nodes = _nodes(fingerprints(docs, views, five), [*views, "sketch"])
+    loose = links(nodes.select("node", *views), ["words", "kinds"], radius, lambda a, b: np.bitwise_count(a ^ b) <= FAR, ["five"])
+    some = cut(loose.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    near = cut(nodes.join(some, "node", "left_semi").select("node", "words", "kinds", "sketch"))
+    found = _named(prints, nodes, links(near, ["words", "kinds"], radius, lambda a, b: similar(a, b) >= similarity - MARGIN, ["sketch"]))
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_n_id")).distinct()
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_n_id"], "left_anti")
