@@ -32,6 +32,9 @@ from .common import batches, texts, with_key
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Characters a bucket of hashes stands for, and hashes a task gathers before it packs them.
 BUCKET_CHARS, FLUSH = 40_000_000, 1_000_000
+#: Documents of a home.
+HOME = 16
+_RECORD = np.dtype([("k1", "<i8"), ("pos", "<u4")])
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd: they have inverses modulo 2^64
 _PACK = "bucket int, h binary, g binary, doc binary, pos binary, flag binary, keys binary"
 
@@ -114,8 +117,10 @@ def _extended(size: int, buckets: int):
         pack = _Packer(buckets)
         for b in it:
             for k1, k2, text, found in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), b.column("found"), strict=True):
+                p = _positions(found, k1)
+                if not len(p):
+                    continue
                 words = text.as_py().encode().split()
-                p = _positions(found)
                 edge = np.zeros(len(words) + 2, np.int32)
                 np.add.at(edge, np.maximum(p - PERIOD + 1, 0), 1)
                 np.add.at(edge, p + 1, -1)
@@ -127,13 +132,31 @@ def _extended(size: int, buckets: int):
     return run
 
 
-def _positions(found: pa.Scalar) -> np.ndarray:
-    parts = found.as_py() or []
-    return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
+def _positions(found: pa.Scalar, k1: int) -> np.ndarray:
+    """A document's positions among those of its home."""
+    r = np.frombuffer(b"".join(found.as_py() or []), _RECORD)
+    return r["pos"][r["k1"] == k1].astype(np.int64)
+
+
+def _repeats(homes: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k1, pos = _twice(it)
+        home = k1 % homes
+        order = np.argsort(home, kind="stable")
+        records = np.empty(len(order), _RECORD)
+        records["k1"], records["pos"] = k1[order], pos[order]
+        own, first = np.unique(home[order], return_index=True)
+        ends = np.append(first, len(order))
+        for i in range(0, len(own), 10_000):
+            j = min(i + 10_000, len(own))
+            found = pa.array([records[a:b].tobytes() for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own[i:j]), found], names=["home", "found"])
+
+    return run
 
 
-def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's hashes those that occur twice: k1, k2 and the packed positions of each document."""
+def _twice(it: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's hashes those that occur twice: the document (k1) and position of each."""
     rows, keys, n = [], [], 0
     for b in it:
         for h, g, doc, pos, flag, ks in zip(*(b.column(c) for c in ("h", "g", "doc", "pos", "flag", "keys")), strict=True):
@@ -144,7 +167,7 @@ def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(own)
             n += len(own)
     if not rows:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     h, g, doc, pos, flag = (np.concatenate(c) for c in zip(*rows, strict=True))
     del rows
     known = flag == 2
@@ -158,38 +181,34 @@ def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = (size > 1) | (np.maximum.reduceat(flag[order], starts) == 1)
         known[order] = np.repeat(twice, size)
     hit = np.flatnonzero(known)
-    hit = hit[np.argsort(doc[hit], kind="stable")]
-    docs, first = np.unique(doc[hit], return_index=True)
-    keys = np.concatenate(keys)[docs]
-    data = pos[hit].tobytes()
-    ends = np.append(first, len(hit)) * 4
-    for i in range(0, len(docs), 10_000):
-        j = min(i + 10_000, len(docs))
-        found = pa.array([data[a:b] for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i:j, 0]), pa.array(keys[i:j, 1]), found], names=["k1", "k2", "found"])
+    return np.concatenate(keys)[doc[hit], 0], pos[hit]
 
 
-def _by_document(packed: DataFrame, buckets: int) -> DataFrame:
-    found = packed.repartition(buckets, "bucket").mapInArrow(_repeats, "k1 long, k2 long, found binary")
-    return found.groupBy("k1", "k2").agg(F.collect_list("found").alias("found"))
+def _by_home(packed: DataFrame, buckets: int, homes: int) -> DataFrame:
+    found = packed.repartition(buckets, "bucket").mapInArrow(_repeats(homes), "home long, found binary")
+    return found.groupBy("home").agg(F.collect_list("found").alias("found"))
 
 
-def repeated_windows(rows: DataFrame, size: int) -> DataFrame:
-    """k1, k2, found (packed starts) of the windows whose words also start elsewhere. rows: k1, k2, text."""
+def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, k1, k2, text of every row and found: the packed starts, of its home's documents, of the windows whose words
+    also start elsewhere. A home is some HOME documents by their key, so that what comes back from the buckets is a row
+    a home, not one a document. Both steps join the same exchange of the texts, which Spark runs once."""
     assert size >= PERIOD, "a window must be as long as the period of the cover"
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-chars // BUCKET_CHARS))
-    anchors = _by_document(rows.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets)
-    near = rows.join(anchors, ["k1", "k2"]).select("k1", "k2", "text", "found")
-    return _by_document(near.mapInArrow(_extended(size, buckets), _PACK), buckets)
+    rows = with_key(texts(docs))
+    chars, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    buckets, homes = max(8, -(-(chars or 0) // BUCKET_CHARS)), max(64, n // HOME)
+    rows = rows.withColumn("home", F.pmod("k1", F.lit(homes)))
+    anchors = _by_home(rows.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets, homes)
+    near = rows.join(anchors, "home", "left")
+    return rows.join(_by_home(near.mapInArrow(_extended(size, buckets), _PACK), buckets, homes), "home", "left")
 
 
 def _kept(size: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n_words, n_removed, texts_ = [], [], []
-            for text, found in zip(b.column("text"), b.column("found"), strict=True):
-                words, p = text.as_py().encode().split(), _positions(found)
+            for k1, text, found in zip(b.column("k1").to_pylist(), b.column("text"), b.column("found"), strict=True):
+                words, p = text.as_py().encode().split(), _positions(found, k1)
                 if len(p):
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, p, 1)
@@ -208,10 +227,7 @@ def _kept(size: int):
 
 def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row."""
-    rows = with_key(texts(docs))
-    found = repeated_windows(rows, size)
-    out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found")
-    return out.mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
+    return repeated_windows(docs, size).mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
