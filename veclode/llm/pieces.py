@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -227,7 +228,7 @@ class _Row:
                 phi = before + np.log(rest)
                 draw = -np.log(uniform(np.uint64(self.key) + np.arange(i, i + len(own), dtype=np.uint64) * _M1, 1_000_003 + leaf))
                 bound = phi - np.log(np.exp(phi - g) + draw)
-            best = np.argsort(-bound, kind="stable")[: k + 1]
+            best = np.argpartition(-bound, k)[: k + 1] if len(bound) > k else np.arange(len(bound))
             self.frontier += [(float(bound[t]), leaf, i + int(t), barred if i + t == start else ()) for t in best if bound[t] > -np.inf]
             self.frontier = sorted(self.frontier, key=lambda x: -x[0])[: k + 1]
             ahead = float(before[-1] + own[-1])
@@ -250,10 +251,12 @@ class _Row:
 
 def sample(v: Vocabulary, keys: list[int], docs: list[str], k: int) -> tuple[Lattice, list[tuple[list, float]]]:
     """The lattice of the texts and, for each, its leaves (path, log p, perturbed log p), best first, and kappa."""
-    number: dict[str, int] = {}
-    own = [[number.setdefault(u, len(number)) for u in _UNITS.findall(" " + text)] if text else [] for text in docs]
+    own = [_UNITS.findall(" " + text) if text else [] for text in docs]
+    number = dict.fromkeys(chain.from_iterable(own))
     lattice = Lattice(v, list(number))
-    rows = [_Row(key, lattice.start[np.array(units, np.int64)]) for key, units in zip(keys, own, strict=True)]
+    number = dict(zip(number, lattice.start.tolist(), strict=True))
+    starts = np.fromiter(map(number.__getitem__, chain.from_iterable(own)), np.int64, sum(map(len, own)))
+    rows = [_Row(key, units) for key, units in zip(keys, np.split(starts, np.cumsum([len(u) for u in own])[:-1]), strict=True)]
     starts = [r.units for r in rows]
     paths = _split(lattice.walk(np.concatenate(starts), np.concatenate([r.unit_keys(0) for r in rows])), [len(s) for s in starts])
     for r, path in zip(rows, paths, strict=True):
