@@ -89,6 +89,8 @@ class Ranking:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> Ranking:
     sample = F.broadcast(learn_sample(labels, "quality", modulus, held, SAMPLE))
     rows = texts(docs).join(sample, "doc_id").select("y", "text").mapInArrow(_measured, "y int, x array<double>").toArrow()
+    if not rows.num_rows:
+        return Ranking(np.zeros((0, 1)), np.zeros(0))
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     y = rows.column("y").to_numpy()
     order = np.lexsort((y, *x.T))  # the order of the rows must not matter
