@@ -194,7 +194,12 @@ def _residual(spark, sf_dir):
     return positions(near.select("id", M.residual(F.col("vec"), F.col("c")).alias("vec")))
 
 
-@query("p4_half_precision")
+def _half_sql(top: str) -> str:
+    unit = "pow(2.0, greatest(floor(log2(abs(y))), -14) - 10)"
+    return f"with {_L}, t as (select vec_id, {top} top from l group by vec_id), y as (select vec_id, pos, top, x / top y from l join t using (vec_id)) select vec_id id, pos, round(case when y = 0 then 0.0 else round_even(y / {unit}, 0) * {unit} * top end, 6) + 0.0 x from y"
+
+
+@query("p4_half_precision", _half_sql("greatest(max(abs(x)), 1e-30)"))
 def _half(spark, sf_dir):
     return positions(embeddings(spark, sf_dir).select("id", M.half(F.col("vec"), scale=True).alias("vec")))
 
@@ -550,15 +555,19 @@ def _capacity(spark, sf_dir):
 # Clustering
 
 
-def _lloyd_sql(steps: int) -> str:
-    """CTEs of Lloyd steps from the first 16 vectors: lab{n}, cen{n}."""
-    out = [_L, "cen0 as (select vec_id::integer cell, pos, x c from l where vec_id < 16)"]
+def _lloyd_ctes(steps: int) -> str:
+    """CTEs of Lloyd steps from cen0 over l: lab{n}, cen{n}."""
+    out = []
     for n in range(steps):
         out.append(f"d{n} as (select vec_id, cell, sum((x - c) * (x - c)) dd from l join cen{n} using (pos) group by all)")
         out.append(f"lab{n} as (select vec_id, cell, dd from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from d{n}) where rn = 1)")
         out.append(f"m{n} as (select cell, pos, avg(x) c from l join lab{n} using (vec_id) group by all)")
         out.append(f"cen{n + 1} as (select a.cell, a.pos, coalesce(m.c, 0.0) c from cen0 a left join m{n} m on a.cell = m.cell and a.pos = m.pos)")
-    return "with " + ", ".join(out)
+    return ", ".join(out)
+
+
+def _lloyd_sql(steps: int) -> str:
+    return f"with {_L}, cen0 as (select vec_id::integer cell, pos, x c from l where vec_id < 16), {_lloyd_ctes(steps)}"
 
 
 @query("c2_kmeans_labels", f"{_lloyd_sql(3)} select vec_id id, cell from lab2")
@@ -708,7 +717,7 @@ def _sq4_decode(spark, sf_dir):
     return positions(sq.decode(sq.encode(base)))
 
 
-@query("e10_sq16")
+@query("e10_sq16", _half_sql("1.0"))
 def _sq16(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     sq = _trained(base, bits=16)
@@ -783,7 +792,15 @@ def _search_cells(spark, sf_dir):
     return hits(index16(base).search_cells(q, probes, 10))
 
 
-@query("i7_smart_search")
+_SMART = (
+    ", pr as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id < 20) where rank <= 8)"
+    ", sm as (select *, exp(0.0 - sqrt(dd) / 0.1) / sum(exp(0.0 - sqrt(dd) / 0.1)) over (partition by q_id) p from pr)"
+    ", np as (select q_id, least(greatest(ceil(round(0.0 - sum(case when p > 0 then p * log2(p) else 0 end) / 3 * 8, 9)), 1), 8) n from sm group by q_id)"
+    ", probes as (select pr.q_id, cell, dd, rank from pr join np using (q_id) where rank <= n)"
+)
+
+
+@query("i7_smart_search", f"with {_CELLS}, {_PQ}{_SMART}{_ADC}{_IVF.format(where='')}{_HITS}")
 def _smart_search(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     index = index16(base, n_probe=8, smart=True)
@@ -805,13 +822,24 @@ def _index_remove(spark, sf_dir):
     return hits(index.search(queries_of(base), 10))
 
 
-@query("i10_rerank_search")
+_FINE = (
+    ", lv as (select l.vec_id, cb.sub, l.pos, cb.c c1, l.x - cb.c x from codes join cb using (sub, code) join l on l.vec_id = codes.vec_id and l.pos = cb.pos)"
+    ", fd as (select lv.vec_id, lv.sub, cb.code, sum((lv.x - cb.c) * (lv.x - cb.c)) dd from lv join cb on lv.sub = cb.sub and lv.pos = cb.pos group by all)"
+    ", fc as (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from fd) where rn = 1)"
+    ", near as (select lv.vec_id, lv.pos, lv.c1 + cb.c x from lv join fc using (vec_id, sub) join cb on cb.sub = fc.sub and cb.code = fc.code and cb.pos = lv.pos)"
+)
+_FIRST = ", f as (select * from (select *, row_number() over (partition by q_id order by round(score, 9) desc, id) rank from s1) where rank <= 40)"
+_SECOND = ", sc as (select f.q_id, f.id, 0.0 - sum((l.x - near.x) * (l.x - near.x)) score from f join near on near.vec_id = f.id join l on l.vec_id = f.q_id and l.pos = near.pos group by all)"
+
+
+@query("i10_rerank_search", f"with {_CELLS}, {_PQ}{_FINE}{_PROBES}{_ADC}{_IVF.format(where='').replace('sc as', 's1 as')}{_FIRST}{_SECOND}{_HITS}")
 def _rerank(spark, sf_dir):
     base = embeddings(spark, sf_dir)
+    book = seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy()
     index = ivf.IVFPQRIndex(8, 8, 16, 4, 16)
-    index.set_codebooks(seeds(base), seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
-    index.n_probe, index.use_smart_probing = 8, False
-    index.fine.train(index._left_over(base))
+    index.set_codebooks(seeds(base), book)
+    index.fine = codecs.PQCodec(8, 16, codebook=book)
+    index.n_probe, index.use_smart_probing = 4, False
     index.add(base)
     return hits(index.search(queries_of(base), 10))
 
@@ -869,15 +897,23 @@ def _stream_index(spark, sf_dir):
 
 def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return t.select(key.alias("id"), F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, "l_discount", "l_tax").alias("vec"))
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return t.select("*", key.alias("id"), F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, "l_discount", "l_tax").alias("vec"))
 
 
-@query("c2_kmeans_volume")
+_VOLUME = (
+    "v as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) id, [l_quantity / 50, l_extendedprice / 100000, l_discount, l_tax] v from lineitem)"
+    ", l as (select id vec_id, i - 1 pos, v[i] x from v, range(1, 5) r(i)), o as (select id, (row_number() over (order by id) - 1)::integer cell from v order by id limit 16)"
+    ", cen0 as (select cell, pos, x c from l join o on o.id = l.vec_id)"
+)
+
+
+@query("c2_kmeans_volume", f"with {_VOLUME}, {_lloyd_ctes(3)} select cell, count(*) size from lab2 group by cell")
 def _volume(spark, sf_dir):
-    km = clustering.KMeans(16, max_iter=10, tol=0.0)
-    km.fit(line_vectors(spark, sf_dir))
-    return clustering.assign(line_vectors(spark, sf_dir), km.centroids[0]).groupBy("cell").agg(F.count("*").alias("size"))
+    df = line_vectors(spark, sf_dir)
+    first = np.array([r["vec"] for r in df.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").limit(16).collect()])
+    labels = clustering.KMeans(16, max_iter=3, tol=0.0).fit(df, first)
+    return labels.groupBy("cell").agg(F.count("*").alias("size"))
 
 
 @query("a9_covariance_volume", "with v as (select l_quantity / 50 a, l_extendedprice / 100000 b from lineitem) select round(var_samp(a), 6) aa, round(covar_samp(a, b), 6) ab from v")
