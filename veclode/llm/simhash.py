@@ -35,8 +35,8 @@ SEED, CHUNK, BINS = 42, 65_536, 512
 SHARD = 1024
 #: Bits of the five-word fingerprint that candidates may differ in, and the tolerance of a sketched similarity.
 FAR, MARGIN = 18, 0.02
-#: Fingerprints that may agree on the chosen blocks by chance, on average, before more blocks are used.
-CHANCE = 16
+#: Fingerprints that may agree on the chosen blocks by chance, on average, before more blocks are used: a part of a shard.
+CHANCE = 256
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1  # of a byte, lowest first
 _COLS = np.arange(8) * 256
 
