@@ -403,3 +403,29 @@ def test_pieces_of_a_single_character():
     lattice, ((leaves, kappa),) = pieces.sample(v, [1], ["\n"], 5)
     assert 1 <= len(leaves) <= 5 and all(v.decode(lattice.ids(p[1]).tolist()) == "\n" for p, _, _ in leaves)
     assert kappa == -math.inf or len(leaves) == 5
+
+
+def edited(words, how, share, rng):
+    """A near copy that differs in one block of a share of the words."""
+    n = max(1, round(share * len(words)))
+    block, at = [f"new{x}" for x in rng.integers(0, 10**9, n)], int(rng.integers(0, len(words) - n))
+    return words + block if how == "append" else words[:at] + block + words[at + (n if how == "replace" else 0) :]
+
+
+def test_near_dedup_finds_what_differs_in_one_block(spark):
+    """Recall and precision against the exact similarity, on blocks appended, inserted and replaced."""
+    rng, data, copies, kept = np.random.default_rng(8), [], 0, set()
+    for size in (30, 100, 300, 1000):
+        for how, shares in (("append", (0.10, 0.15, 0.22, 0.30)), ("insert", (0.05, 0.10, 0.15, 0.30)), ("replace", (0.03, 0.07, 0.10, 0.20))):
+            for share in np.repeat(shares, 15):
+                a = [f"w{x}" for x in rng.zipf(1.3, size) % 20_000]
+                b = edited(a, how, share, rng)
+                x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+                same = 5 * len(x & y) >= 4 * len(x | y)
+                copies += same
+                kept |= {len(data)} | ({len(data) + 1} if not same else set())
+                data += [(len(data), " ".join(a), "s"), (len(data) + 1, " ".join(b), "s")]
+    assert copies > 300
+    out = {r["doc_id"] for r in simhash.near_dedup(frame(spark, data)).collect()}
+    print("copies", copies, "missed", len(out - kept), "wrongly dropped", len(kept - out))
+    assert out == kept

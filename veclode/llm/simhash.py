@@ -11,6 +11,9 @@ it. It goes through the shuffle rather than through the driver, which never hold
 returns a spanning forest of the links it found, so its output is as long as its input, not its square; the
 forests' connected components are the result.
 
+The pipeline's stage, near_dedup, owes similarity 0.8 of five-word shingles, which no radius of a fingerprint stands
+for. Its candidates come from MinHash bands of the shingles instead, and exact shingle sets decide.
+
 Defined cases: a text without words has fingerprint zero and links like any other; null text is empty; rows
 that repeat belong to one node; null ids are the smallest only where a component has no other; an empty table
 gives an empty result.
@@ -27,14 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, texts
+from .common import batches, cut, list_array, texts
 from .components import components
 
 SEED, CHUNK, BINS = 42, 65_536, 512
 #: Nodes of a shard's tree, on average; a shard of over twice as many is dealt into tiles.
 SHARD = 1024
-#: Bits of the five-word fingerprint that candidates may differ in, and the tolerance of a sketched similarity.
-FAR, MARGIN = 18, 0.02
+#: Candidates agree in one of BANDS bands of ROWS minima: a pair of similarity 0.8 does not with probability 7e-5.
+BANDS, ROWS, LOOSE = 24, 5, 0.08
+EMPTY = np.iinfo(np.uint64).max
+#: The order in which a minimum looks for a full bin: its own first, then the others at random.
+_PROBE = np.random.default_rng(SEED).permuted(np.tile(np.arange(BINS, dtype=np.int64), (BANDS * ROWS, 1)), axis=1)
+_PROBE = np.array([[i, *row[row != i]] for i, row in enumerate(_PROBE)])
 #: Fingerprints that may agree on the chosen blocks by chance, on average, before more blocks are used: a part of a shard.
 CHANCE = 256
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1  # of a byte, lowest first
@@ -57,10 +64,6 @@ def shingled(n: int) -> Callable[[list[bytes]], list[bytes]]:
     return features
 
 
-def distinct(words: list[bytes]) -> list[bytes]:
-    return list(set(words))
-
-
 def hashes(features: list[bytes], seed: int = SEED) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(f, seed) for f in features), "<u8", len(features))
@@ -76,12 +79,9 @@ def votes(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """One-permutation MinHash: of the hashes in each of BINS bins, 8 bits of the smallest; 0 where a bin is empty."""
-    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(low, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
-    full = low != np.iinfo(np.uint64).max
-    return np.where(full, 1 + (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+def sketch(lows: np.ndarray) -> bytes:
+    """One-permutation MinHash: of the smallest hash in each of BINS bins, 8 bits; 0 where a bin is empty."""
+    return np.where(lows != EMPTY, 1 + (lows * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,24 +91,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union == 0, 1.0, (same - 1 / 255) / (1 - 1 / 255))
 
 
-def fingerprints(docs: DataFrame, views: dict[str, Callable], sketched: Callable | None = None) -> DataFrame:
-    """doc_id and a bigint fingerprint for each view (name: features of the words) and, of the features `sketched`, a
-    column of that name with their sketch."""
+def fingerprints(docs: DataFrame, views: dict[str, Callable]) -> DataFrame:
+    """doc_id and a bigint fingerprint for each view (name: features of the words)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            out, sketches = [[] for _ in views], []
+            out = [[] for _ in views]
             for t in b.column("text"):
                 words = t.as_py().encode().lower().split()
                 for o, features in zip(out, views.values(), strict=True):
-                    h = hashes(features(words))
-                    o.append(votes(h))
-                    if features is sketched:
-                        sketches.append(sketch(h))
-            more = [pa.array(sketches, pa.binary())] if sketched else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(o, pa.int64()) for o in out), *more], names=["doc_id", *views, *(["sketch"] if sketched else [])])
+                    o.append(votes(hashes(features(words))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(o, pa.int64()) for o in out)], names=["doc_id", *views])
 
-    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{v} long" for v in views) + (", sketch binary" if sketched else ""))
+    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{v} long" for v in views))
 
 
 class BKTree:
@@ -251,19 +246,151 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = 4, similarity: float = 0.8) -> DataFrame:
-    """The documents with one of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id.
-
-    Candidates are within the radius by the words or by the distinct words, which hardly move when a few words
-    change, and not far apart by five-word shingles. Those that have any candidate are searched again, and a link then
-    needs sketches of five-word shingles with the similarity (less MARGIN, about one standard deviation of the
-    estimate for long texts)."""
-    five = shingled(5)
-    views = {"words": shingled(1), "kinds": distinct, "five": five}
-    prints, nodes = _nodes(fingerprints(docs, views, five), [*views, "sketch"])
-    loose = links(nodes.select("node", *views), ["words", "kinds"], radius, lambda a, b: np.bitwise_count(a ^ b) <= FAR, ["five"])
-    some = cut(loose.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    near = cut(nodes.join(some, "node", "left_semi").select("node", "words", "kinds", "sketch"))
-    found = _named(prints, nodes, links(near, ["words", "kinds"], radius, lambda a, b: similar(a, b) >= similarity - MARGIN, ["sketch"]))
+def low(h: np.ndarray) -> np.ndarray:
+    """The smallest hash in each of BINS bins (less the bin's number), EMPTY where there is none."""
+    out = np.full(BINS, EMPTY, np.uint64)
+    np.minimum.at(out, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
+    return out
+
+
+def bands(lows: np.ndarray) -> np.ndarray:
+    """BANDS keys of ROWS minima each. An empty bin takes the first full one in an order of its own, so each minimum
+    agrees with the probability of the similarity however few hashes there are."""
+    full = lows != EMPTY
+    if not full.any():
+        return np.zeros(0, np.int64)
+    pick = _PROBE[np.arange(len(_PROBE)), full[_PROBE].argmax(1)]
+    least = (lows[pick] * np.uint64(BINS) + pick.astype(np.uint64)).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least)], np.uint64).view(np.int64)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted hashes of the five-word shingles."""
+    return np.unique(hashes(shingled(5)(text.encode().lower().split())))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and th, the text's hash: what names a row here."""
+    return texts(docs).withColumn("th", F.xxhash64("text"))
+
+
+def minhashes(docs: DataFrame) -> DataFrame:
+    """doc_id, th, node (the set of five-word shingles, hashed), its sketch and its bands."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            nodes, sketches, keys = [], [], []
+            for t in b.column("text"):
+                h = shingle_set(t.as_py())
+                lows = low(h)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sketches.append(sketch(lows))
+                keys.append(bands(lows))
+            sizes = np.array([len(k) for k in keys], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+            arrays = [b.column("doc_id"), b.column("th"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), list_array(flat, sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "node", "sketch", "bands"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, node long, sketch binary, bands array<long>")
+
+
+def sets(rows: DataFrame) -> DataFrame:
+    """node and load, the shingle set, of rows node, text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["node", "load"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, load binary")
+
+
+def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smallest position linked to each of n, by links that are found when looked for: near(i, others) says which
+    of the others i is linked to. Positions already reached are not looked at again, so a group of copies takes one
+    look and the components are still those of all pairs."""
+    label, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        todo = [first]
+        while todo and len(rest):
+            hit = near(todo.pop(), rest)
+            label[rest[hit]] = first
+            todo += rest[hit].tolist()
+            rest = rest[~hit]
+    return label
+
+
+def by_sketch(loads: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    all_ = np.frombuffer(b"".join(loads), np.uint8).reshape(len(loads), -1)
+    return lambda i, others: similar(all_[i : i + 1], all_[others]) >= least
+
+
+def by_set(loads: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    own = [np.frombuffer(x, np.uint64) for x in loads]
+    size = np.array([len(x) for x in own])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), bool)
+        a, n = own[i], size[others]
+        may = np.flatnonzero((np.minimum(n, len(a)) >= least * np.maximum(n, len(a)) - 1e-9) & (n > 0))
+        for k in range(0, len(may), 256):
+            part = may[k : k + 256]
+            flat = np.concatenate([own[j] for j in others[part]])
+            at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+            both = np.add.reduceat((a[at] == flat).astype(np.int64), np.cumsum(n[part]) - n[part])
+            out[part] = both >= least * (len(a) + n[part] - both) - 1e-9
+        return out
+
+    return near
+
+
+def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, least: float, most: int) -> DataFrame:
+    """A spanning forest (u, v) of the links between nodes that share a key. rows: key, node, distinct; loads: node,
+    load, what links_of makes links from. Keys share shards of `most` rows on average; a larger one is dealt into
+    tiles, and each pair of tiles is a task."""
+    rows = rows.withColumn("shard", F.pmod("key", F.lit(max(1, rows.count() // most))))
+    sizes = rows.groupBy("shard").count().where(F.col("count") > 2 * most)
+    rows = rows.join(sizes, "shard", "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / most).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least("tile", x).alias("a"), F.greatest("tile", x).alias("b")))
+    rows = rows.select("shard", "key", "node", F.inline(ends)).join(loads, "node")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        key, node = (t.column(c).to_numpy() for c in ("key", "node"))
+        order = np.lexsort((node, key))
+        load, u, v = t.column("load").to_pylist(), [], []
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            label = spread(len(part), links_of([load[i] for i in part], least))
+            own = np.flatnonzero(label != np.arange(len(part)))
+            u.append(node[part[own]])
+            v.append(node[part[label[own]]])
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return rows.groupBy("shard", "a", "b").applyInArrow(run, "u long, v long")
+
+
+def near_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """A spanning forest (u, v) of the nodes whose sets of five-word shingles have the similarity (Jaccard), exactly.
+
+    Candidates share a band; those whose sketches are less than LOOSE below the similarity (over four standard
+    deviations of the estimate) are joined into groups, and within a group the sets themselves decide."""
+    nodes = cut(prints.groupBy("node").agg(F.min("sketch").alias("load"), F.min("bands").alias("bands"), F.min(F.struct("doc_id", "th")).alias("row")))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    rows = cut(keys.join(shared, "key", "left_semi"))
+    roots = components(grouped_links(rows, nodes.select("node", "load"), by_sketch, similarity - LOOSE, SHARD))
+    roots = cut(roots.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node"))).distinct())
+    named = nodes.join(roots.select("node"), "node", "left_semi").select("node", F.col("row.doc_id").alias("_n_id"), F.col("row.th").alias("_n_th"))
+    some = _keyed(docs)
+    some = some.join(named, some["doc_id"].eqNullSafe(named["_n_id"]) & (some["th"] == named["_n_th"])).select("node", "text").dropDuplicates(["node"])
+    return grouped_links(roots.withColumnRenamed("root", "key"), sets(some), by_set, similarity, SHARD // 4)
+
+
+def near_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The documents with one of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id."""
+    prints = cut(minhashes(docs))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    found = _named(prints.select("doc_id", "node"), nodes, near_links(docs, prints, similarity))
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_n_id")).distinct()
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_n_id"], "left_anti")
