@@ -429,3 +429,42 @@ def test_near_dedup_finds_what_differs_in_one_block(spark):
     out = {r["doc_id"] for r in simhash.near_dedup(frame(spark, data)).collect()}
     print("copies", copies, "missed", len(out - kept), "wrongly dropped", len(kept - out))
     assert out == kept
+
+
+@pytest.mark.parametrize("text", ["see https://www.example.com/international/internationalization.html now", " " * 12 + "return x", "0123456789abcdef" * 30, "日本語の文章には空白がない" * 12, "a" + " " * 70 + "b\n\n  c", "x" * 40_000])
+def test_pieces_lattice_is_the_whole_text(text):
+    """log p against the sum over all segmentations, and the model's own segmentation, which must have a probability."""
+    import sentencepiece
+
+    v, sp = pieces.Vocabulary(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    weight = {}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
+            weight[sp.id_to_piece(i).replace("▁", " ")] = 1 / (pieces.SHIFT - sp.get_score(i))
+    full, longest = " " + text, max(map(len, weight))
+    edge = lambda a, b: weight.get(full[a:b], v.rare if b == a + 1 else 0)
+    z = [0.0] * (len(full) + 1)
+    for a in range(len(full) - 1, -1, -1):
+        own = [(math.log(w) + z[b]) for b in range(a + 1, min(len(full), a + longest) + 1) if (w := edge(a, b))]
+        z[a] = max(own) + math.log(sum(math.exp(x - max(own)) for x in own))
+    lattice, ((leaves, _),) = pieces.sample(v, [5], [text], 2)
+    for (_, path), log_p, _ in leaves:
+        ids = lattice.ids(path).tolist()
+        assert v.decode(ids) == text
+        want = sum(math.log(v.rare if c < 0 else weight[v.raw[c].decode()]) for c in lattice.code[path].tolist()) - z[0]
+        assert log_p == pytest.approx(want, rel=1e-6, abs=1e-6)
+    at = {}
+    for state, unit in zip(lattice.start.tolist(), dict.fromkeys(v.units.findall(full)), strict=True):
+        at[unit] = state
+    steps, place = {}, 0
+    for unit in v.units.findall(full):
+        steps |= {place + k: at[unit] + k for k in range(len(unit))}
+        place += len(unit)
+    done = b""
+    for i in sp.encode(text):
+        if not sp.is_byte(i):
+            state = steps[len(done.decode())]
+            own = range(lattice.off[state], lattice.off[state] + lattice.count[state])
+            assert any(lattice.code[e] == i and lattice.p[e] > 0 for e in own), sp.id_to_piece(i)
+        done += v.raw[i]
+    assert done.decode() == full

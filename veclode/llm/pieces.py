@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding with Gumbel top-k sampling without replacement.
 
 The lattice of a text is the product of the lattices of its units: a unit is a run of spaces with the
-characters after it, or a newline, of bounded length. A vocabulary piece is an edge; a character that no piece
+characters up to the next space or newline, or a newline. No piece crosses from one into the next (the vocabulary
+is asked; if one did, a text would be one unit), so no segmentation is lost. A vocabulary piece is an edge; a character that no piece
 holds is one edge, its byte pieces. The model is a BPE model without probabilities, so a piece weighs
 1 / (rank + SHIFT), by its merge rank (Zipf's law). Backward sums turn the weights into the exact
 probability of each edge given where it starts. A batch of texts builds the lattices of its distinct units, all
-at once.
+at once; the sums carry exponents of their own, so a unit may be of any length.
 
 A segmentation gets a Gumbel-perturbed log probability. The root's is drawn first; the best leaf below it is a
 plain sample, and each set of alternatives that a step of it passes by gets the maximum of its own Gumbels,
@@ -41,8 +42,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Zipf's shift; edges of a state, one for each length of a piece in code points; slots of the table of pieces.
 SHIFT, WIDE, _SLOTS = 3.0, 17, 1 << 20
 _DROP, _MUL = 44, np.uint64(0x9E3779B97F4A7C15)
-#: At most 8 spaces and 16 characters, or 16 spaces.
-_UNITS = re.compile(r" {0,8}[^ \n]{1,16}| {1,16}|\n")
+#: Where no piece can cross, and a piece that does.
+_UNITS, _WHOLE, _CROSSES = re.compile(r" *[^ \n]+| +|\n"), re.compile(r"[\s\S]+"), re.compile(r"[^ ] |.\n|\n.", re.S)
+#: From so many characters before a unit's end on, backward sums have exponents of their own.
+_SCALED = 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,7 +56,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
+        n, self.units = sp.get_piece_size(), _UNITS
         self.byte, self.raw = np.zeros(256, np.int32), []
         self.key, self.id, self.w = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS)
         for i in range(n):
@@ -66,6 +69,8 @@ class Vocabulary:
             else:
                 text = piece.replace("\u2581", " ")
                 self.raw.append(text.encode())
+                if _CROSSES.search(text):
+                    self.units = _WHOLE
                 if len(text) <= WIDE:
                     self._put(text, i, 1 / (SHIFT - sp.get_score(i)))
         self.rare = 1 / (n + SHIFT)
@@ -117,7 +122,7 @@ class Lattice:
         self.start = np.cumsum(size + 1) - size - 1
         n = int(size.sum()) + len(units)
         at = np.arange(len(text)) + np.repeat(np.arange(len(units)), size)  # the characters' states
-        left = np.zeros(n, np.int16)
+        left = np.zeros(n, np.int16 if size.max(initial=0) < 1 << 15 else np.int64)
         left[at] = np.repeat(self.start + size, size) - at
         chars = np.zeros(n + WIDE, np.uint64)
         chars[at] = text + np.uint64(1)
@@ -145,15 +150,22 @@ class Lattice:
             place = cursor[state]
             cursor[state] += 1
             self.p[place], self.code[place], self.to[place], self.of[place] = w, code, state + e, state
-        self.cum, total = np.zeros(m), np.ones(n)
+        self.cum, total, power = np.zeros(m), np.ones(n), np.zeros(n, np.int32)
         ends = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        for i, j in zip(ends, ends[1:], strict=False):
+        for d, (i, j) in enumerate(zip(ends, ends[1:], strict=False), 1):
             if i == j:
                 continue
             states, a, b = order[i:j], first[i], first[j] if j < n else m
             w = self.p[a:b] * total[self.to[a:b]]
-            total[states] = np.add.reduceat(w, first[i:j] - a)
-            p = self.p[a:b] = w / np.repeat(total[states], count[states])
+            if d > _SCALED:
+                w = np.ldexp(w, power[self.to[a:b]] - np.repeat(power[states + 1], count[states]))
+            sums = np.add.reduceat(w, first[i:j] - a)
+            p = self.p[a:b] = w / np.repeat(sums, count[states])
+            if d < _SCALED:
+                total[states] = sums
+            else:
+                total[states], more = np.frexp(sums)
+                power[states] = power[states + 1] + more
             self.cum[a:b] = np.cumsum(p) - np.repeat(np.arange(j - i), count[states])
         last = self.off[:n][count[:n] > 0] + count[:n][count[:n] > 0] - 1
         self.cum[last] = 2.0
@@ -251,7 +263,7 @@ class _Row:
 
 def sample(v: Vocabulary, keys: list[int], docs: list[str], k: int) -> tuple[Lattice, list[tuple[list, float]]]:
     """The lattice of the texts and, for each, its leaves (path, log p, perturbed log p), best first, and kappa."""
-    own = [_UNITS.findall(" " + text) if text else [] for text in docs]
+    own = [v.units.findall(" " + text) if text else [] for text in docs]
     number = dict.fromkeys(chain.from_iterable(own))
     lattice = Lattice(v, list(number))
     number = dict(zip(number, lattice.start.tolist(), strict=True))
