@@ -38,3 +38,14 @@ def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["q_id", "rank", "id", "score"] and out.count() == 200
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_trained_index_has_recall(spark):
+    """Of the true ten nearest of every 50th vector, by brute force."""
+    from veclode.operators import search
+    from veclode.plans import catalog
+
+    base = catalog.embeddings(spark, DATA)
+    truth = {(r["q_id"], r["id"]) for r in search.knn(base, catalog.every_50th(base), 10).collect()}
+    mine = {(r["q_id"], r["id"]) for r in QUERIES["i3_train"](spark, DATA).collect()}
+    assert {q for q, _ in mine} == {q for q, _ in truth} and len(truth & mine) >= 0.9 * len(truth)

@@ -23,6 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Vectors that an index is trained on, at most, in the order of a hash of the id.
+TRAIN = 20_000
+
 # Parts that the SQL queries share.
 _L = "l as (select vec_id, (i - 1)::integer pos, embedding[i]::double x from embeddings, range(1, 65) r(i))"
 _PAIRS = _L + ", p as (select a.vec_id q_id, b.vec_id id, {score} score from l a join l b using (pos) where a.vec_id < 20 group by all)"
@@ -67,6 +70,10 @@ def queries_of(base: DataFrame, n: int = 20) -> DataFrame:
     return base.where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
 
 
+def every_50th(base: DataFrame) -> DataFrame:
+    return base.where("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+
+
 def seeds(base: DataFrame, n: int = 16) -> np.ndarray:
     return np.array([r["vec"] for r in base.where(F.col("id") < n).orderBy("id").collect()])
 
@@ -759,11 +766,11 @@ def _residual_decode(spark, sf_dir):
 @query("i3_train")
 def _train(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    index = ivf.IVFPQIndex(8, 8, n_pq_clusters=16, vq_iter=3, pq_iter=3)
-    index.train(base)
+    index = ivf.IVFPQRIndex(16, 16, 16, 8)
+    index.train(base.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(TRAIN))
     index.add(base)
-    index.n_probe = 8
-    return hits(index.search(queries_of(base), 10))
+    index.n_probe, index.use_smart_probing = 14, False
+    return hits(index.search(every_50th(base), 10))
 
 
 @query("i4_add", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id)")
