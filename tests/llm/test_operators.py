@@ -159,20 +159,67 @@ def test_mixing(docs, empty):
     assert mixing.mixed(empty).collect() == [] and mixing.mix(empty).collect() == []
 
 
-def test_mix_repeats_and_cuts_texts(docs):
+def test_mix_repeats_and_cuts_texts(spark, docs):
     out = mixing.mix(docs)
     assert out.columns == docs.columns
-    words, length = Counter(), defaultdict(set)
+    own, texts = Counter(), Counter()
     for r in out.collect():
         assert r["n_chars"] == len(r["text"])
-        words[r["source"]] += len(WORD.findall(r["text"]))
-        length[r["doc_id"]].add(r["text"])
+        own[r["source"]] += len(WORD.findall(r["text"]))
+        texts[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+    size = Counter()
+    for _, t, s in rows():
+        size[s] += len(WORD.findall(t or ""))
+    of = {}
+    for r in mixing.mixed(docs).collect():
+        of.setdefault((r["source_size"]), set()).add(r["target"])
+    for s, n in own.items():
+        assert any(n == math.floor(t) for t in of[size[s]])
     want = Counter()
-    for r in mixing.mixed(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").where("doc_id <> 304").collect():
-        want[r["source"]] += r["taken"]
-    assert all(words[s] == want[s] for s in ("s0", "s3", "hot") if s in want)
+    for r in mixing.mixed(docs).collect():
+        want[r["doc_id"]] += r["taken"]
+    mine = Counter()
+    for (i, _), n in texts.items():
+        mine[i] += n
+    assert mine == +want
     plan = mixing.schedule(docs).collect()
     assert plan and all(0 < r["words"] <= r["size"] for r in plan)
+    assert [(r["finish"], r["source"] or "", r["start"]) for r in plan] == sorted((r["finish"], r["source"] or "", r["start"]) for r in plan)
+
+
+def test_schedule_is_cut_where_the_budget_ends(spark, docs):
+    """The running total of the packets in their global order, by hand."""
+    rows_ = mixing.cut(mixing.sized(docs))
+    queues = mixing.Queues(rows_, (5, 2, 1), 1.5, 2.0)
+    placed = mixing.cut(queues.placed(rows_))
+    packets = sorted((p["finish"], p["src"], p["start"], p["words"]) for r in placed.select(queues.packets().alias("p")).collect() for p in r["p"])
+    for budget in (queues.budget, 1000, 1):
+        queues.budget, left, want = budget, budget, None
+        for f, s, b, n in packets:
+            if left > 0:
+                want = (f, s, b, min(n, left))
+            left -= n
+        assert mixing.cut_of(placed, queues) == (want if left <= 0 else None)
+
+
+def test_mix_gives_repeated_rows_their_own_share(spark):
+    data = [(1, "a b c d e f", "x")] * 3 + [(2, "g h i j k l m n o p", "y")]
+    df = frame(spark, data)
+    taken = Counter()
+    for r in mixing.mixed(df).collect():
+        taken[r["doc_id"]] += r["taken"]
+    words = Counter()
+    for r in mixing.mix(df).collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    assert words == taken and sum(words.values()) == 42
+
+
+def test_prefix_sums_over_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    rng = np.random.default_rng(1)
+    data = [(s, f"{b:03x}", int(rng.integers(0, 9))) for s in "ab" for b in rng.choice(4096, 300, replace=False)]
+    out = mixing.prefix_sums(spark.createDataFrame(data, "src string, bucket string, words long"), 3).collect()
+    assert len(out) == 600 and all(r["base"] == sum(n for s, b, n in data if s == r["src"] and b < r["bucket"]) for r in out)
 
 
 def brute_spans(t):
@@ -284,6 +331,27 @@ def test_near_dedup(spark, docs, empty):
     assert simhash.near_dedup(empty).collect() == []
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    a, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    data = [(1, a, "s"), (2, a, "s"), (2, other, "s"), (None, a, "s"), (1, a, "s"), (None, "x y", "s"), (None, "x y", "s")]
+    out = [(r["doc_id"], r["text"]) for r in simhash.near_dedup(frame(spark, data)).collect()]
+    assert Counter(out) == Counter([(1, a), (2, other), (None, "x y")])
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(6)
+    for share in (0.0, 0.3, 0.6, 0.8, 0.95, 1.0):
+        for n in (40, 3000):
+            both = rng.integers(0, 1 << 63, round(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, (n - len(both)) // 2, dtype=np.uint64)])) for _ in range(2))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            x, y = (np.frombuffer(simhash.sketch(simhash.low(h)), np.uint8)[None] for h in (a, b))
+            assert abs(simhash.similar(x, y)[0] - true) < simhash.LOOSE
+            if true == 1:
+                assert (simhash.bands(simhash.low(a)) == simhash.bands(simhash.low(b))).all()
+    assert simhash.similar(np.zeros((1, simhash.BINS), np.uint8), np.zeros((1, simhash.BINS), np.uint8)) == 1
+
+
 def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
@@ -304,10 +372,20 @@ def test_exact_topk(spark, monkeypatch):
 def test_exact_topk_of_large_numbers(spark):
     big = 1 << 40
     df = spark.createDataFrame([(0, [big, 3]), (1, [big, 1]), (2, [big, 2]), (3, [-big, 5])], "vec_id long, v array<long>")
-    out = topk.exact_topk(df, df.where("vec_id = 0"), 2) if big * big < 2**62 else None
+    out = topk.exact_topk(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(2, 2**63 - 1), (1, 2**63 - 1), (3, 1 - 2**63)]
     small = spark.createDataFrame([(i, [1 << 28, i]) for i in range(4)], "vec_id long, v array<long>")
     assert [(r["vec_id"], r["score"]) for r in topk.exact_topk(small, small.where("vec_id = 1"), 2).orderBy("rank").collect()] == [(3, (1 << 56) + 3), (2, (1 << 56) + 2)]
-    assert out is None
+
+
+def test_exact_topk_of_repeated_rows(spark):
+    data = [(0, [1, 0]), (0, [0, 1]), (0, [0, 1]), (1, [5, 1]), (2, [3, 3]), (3, [1, 9]), (20, []), (40, [])]
+    df = spark.createDataFrame(data, "vec_id long, v array<long>").repartition(3)
+    got = defaultdict(list)
+    for r in topk.exact_topk(df, df.where("vec_id % 20 = 0"), 2).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[0]) == sorted([(1, 1, 5), (2, 2, 3)] + [(1, 3, 9), (2, 2, 3)] * 2)
+    assert got[20] == [(1, 40, 0)] and got[40] == [(1, 20, 0)]
 
 
 def labelled(spark, n=600):

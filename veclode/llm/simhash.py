@@ -11,12 +11,15 @@ it. It goes through the shuffle rather than through the driver, which never hold
 returns a spanning forest of the links it found, so its output is as long as its input, not its square; the
 forests' connected components are the result.
 
-The pipeline's stage, near_dedup, owes similarity 0.8 of five-word shingles, which no radius of a fingerprint stands
-for. Its candidates come from MinHash bands of the shingles instead, and exact shingle sets decide.
+The pipeline's stage, near_dedup, owes similarity 0.8 of five-word shingles. At that similarity two fingerprints of 64
+bits differ in ten bits on average and in over twenty now and then, as unrelated ones do in thirty-two: a BK-tree
+would follow nearly every edge, and blocks would find nearly every pair. Its candidates come from MinHash bands of the
+shingles instead, and exact shingle sets decide.
 
 Defined cases: a text without words has fingerprint zero and links like any other; null text is empty; rows
 that repeat belong to one node; null ids are the smallest only where a component has no other; an empty table
-gives an empty result.
+gives an empty result. near_dedup names a row by its id and text: of rows that repeat both, one stays at most, and of
+rows that repeat an id alone each has a fate of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, list_array, texts
+from .common import batches, cut, list_array, texts, with_key
 from .components import components
 
 SEED, CHUNK, BINS = 42, 65_536, 512
@@ -269,13 +272,8 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(hashes(shingled(5)(text.encode().lower().split())))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and th, the text's hash: what names a row here."""
-    return texts(docs).withColumn("th", F.xxhash64("text"))
-
-
 def minhashes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node (the set of five-word shingles, hashed), its sketch and its bands."""
+    """doc_id, k1, k2 (they name a row), node (the set of five-word shingles, hashed), its sketch and its bands."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -288,10 +286,10 @@ def minhashes(docs: DataFrame) -> DataFrame:
                 keys.append(bands(lows))
             sizes = np.array([len(k) for k in keys], np.int64)
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
-            arrays = [b.column("doc_id"), b.column("th"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), list_array(flat, sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "node", "sketch", "bands"])
+            arrays = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), list_array(flat, sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k1", "k2", "node", "sketch", "bands"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, node long, sketch binary, bands array<long>")
+    return with_key(texts(docs)).mapInArrow(run, "doc_id long, k1 long, k2 long, node long, sketch binary, bands array<long>")
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -375,22 +373,32 @@ def near_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFra
 
     Candidates share a band; those whose sketches are less than LOOSE below the similarity (over four standard
     deviations of the estimate) are joined into groups, and within a group the sets themselves decide."""
-    nodes = cut(prints.groupBy("node").agg(F.min("sketch").alias("load"), F.min("bands").alias("bands"), F.min(F.struct("doc_id", "th")).alias("row")))
+    nodes = cut(prints.groupBy("node").agg(F.min("sketch").alias("load"), F.min("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row")))
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     rows = cut(keys.join(shared, "key", "left_semi"))
     roots = components(grouped_links(rows, nodes.select("node", "load"), by_sketch, similarity - LOOSE, SHARD))
     roots = cut(roots.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node"))).distinct())
-    named = nodes.join(roots.select("node"), "node", "left_semi").select("node", F.col("row.doc_id").alias("_n_id"), F.col("row.th").alias("_n_th"))
-    some = _keyed(docs)
-    some = some.join(named, some["doc_id"].eqNullSafe(named["_n_id"]) & (some["th"] == named["_n_th"])).select("node", "text").dropDuplicates(["node"])
+    named = nodes.join(roots.select("node"), "node", "left_semi").select("node", "row.k1", "row.k2")
+    some = with_key(texts(docs)).join(named, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
     return grouped_links(roots.withColumnRenamed("root", "key"), sets(some), by_set, similarity, SHARD // 4)
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The documents with one of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id."""
+    """The documents with one of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id, a
+    row without an id only where the group has no other."""
     prints = cut(minhashes(docs))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
-    found = _named(prints.select("doc_id", "node"), nodes, near_links(docs, prints, similarity))
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_n_id")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_n_id"], "left_anti")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    nodes = prints.groupBy("node").agg(F.min(order).alias("first"))
+    named = nodes.join(components(near_links(docs, prints, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("stays")), "root").select("node", "stays")
+    other = (F.col("k1") != F.col("stays.k1")) | (F.col("k2") != F.col("stays.k2"))
+    gone = prints.select("node", "k1", "k2").join(named, "node").where(other).select(F.col("k1").alias("_n_k1"), F.col("k2").alias("_n_k2")).distinct()
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"_n_k1": F.xxhash64(doc_id, text), "_n_k2": F.xxhash64(F.lit(1), text, doc_id)})
+    out = keyed.join(gone, ["_n_k1", "_n_k2"], "left_anti")
+    again = cut(prints.groupBy(F.col("k1").alias("_n_k1"), F.col("k2").alias("_n_k2")).count().where("count > 1").drop("count"))
+    if not again.isEmpty():
+        once = out.join(again, ["_n_k1", "_n_k2"], "left_semi").dropDuplicates(["_n_k1", "_n_k2"])
+        out = out.join(again, ["_n_k1", "_n_k2"], "left_anti").unionByName(once)
+    return out.select(*docs.columns)
