@@ -255,6 +255,50 @@ def test_secret_parts_are_linked(spark):
     assert out == {1: ["weak_id", "weak_secret", "endpoint"], 2: [], 3: [], 4: [], 5: [], 6: ["access", "weak_secret"]}
 
 
+def brute_parts(t, reach):
+    """All spans, the weak parts by comparing every pair."""
+    find = lambda pattern: [(m.start(1), m.end(1)) for m in re.finditer(pattern, t, re.A)]
+    base = [tuple(x.split(":")) for x in brute_spans(t).split(",") if x]
+    base = [(int(a), int(b), k) for k, a, b in base]
+    free = lambda spans: [s for s in spans if not any(s[0] < b and a < s[1] for a, b, _ in base)]
+    ids, secrets_ = free(find(secrets.WEAK_ID)), free(find(secrets.WEAK_SECRET))
+    ends, borders = find(secrets.ENDPOINT), find(secrets.BORDER)
+    all_ids = ids + [(a, b) for a, b, k in base if k == "access"]
+    all_secrets = secrets_ + [(a, b) for a, b, k in base if k != "access"]
+
+    def near(x, others):
+        low, high = (lambda y: min(x[1], y[1])), (lambda y: max(x[0], y[0]))
+        return any(high(y) - low(y) <= reach and not any(low(y) <= a and b <= high(y) for a, b in borders) for y in others)
+
+    out = [(a, secrets.KINDS.index(k), b, k) for a, b, k in base]
+    out += [(a, 3, b, "weak_id") for a, b in ids if near((a, b), all_secrets)] + [(a, 4, b, "weak_secret") for a, b in secrets_ if near((a, b), all_ids)]
+    out += [(a, 5, b, "endpoint") for a, b in ends if near((a, b), all_ids) and near((a, b), all_secrets)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secret_parts_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    bits = [
+        "ABCD1234EFGH5678", "ZZZZ9999YYYY8888XX", "AKIA" + "Q7" * 9, "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5", "ABCD1234EFGH5678/aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1v/ZZZZ9999YYYY8888", "deadbeef" * 4,
+        "https://api.example.com:8443/x", "http://h.io", "token = abcdefghij", "secret: ABCD1234EFGH5678", "password='aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5'",
+    ]
+    gaps = [" ", " and ", "\n", "\n\n", "\n \t\n", "\n\n\n", " 日本 ", " x" * 40, " y" * 130, ",", "\n-\n"]
+    data = [(i, "".join(str(rng.choice(bits)) + str(rng.choice(gaps)) for _ in range(int(rng.integers(1, 60)))), "s") for i in range(150)]
+    out = {r["doc_id"]: r["spans"] for r in secrets.digest(frame(spark, data)).collect()}
+    want = {i: brute_parts(t, 256) for i, t, _ in data}
+    assert out == want and sum(w.count("weak") for w in want.values()) > 300
+
+
+def test_running_results(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    data = [(rng.integers(-50, 50, n).tolist(),) for n in (0, 1, 31, 32, 33, 64, 1000, 5000)]
+    sums, most = secrets.running(F.col("v"), lambda a, b: a + b), secrets.running(F.col("v"), F.greatest)
+    for r in spark.createDataFrame(data, "v array<bigint>").select("v", sums.alias("s"), most.alias("m")).collect():
+        assert r["s"] == np.cumsum(np.array(r["v"], int)).tolist() and r["m"] == np.maximum.accumulate(np.array(r["v"], int)).tolist()
+
+
 def fingerprint(t):
     w = (t or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
