@@ -520,6 +520,27 @@ def test_pieces_sample_without_replacement():
         assert c / n == pytest.approx(q, abs=4 * math.sqrt(q / n))
 
 
+@pytest.mark.parametrize("text", ["the", "the cats"])
+def test_inclusion_scores_are_unbiased(text):
+    """Each segmentation, counted by one over its inclusion probability where it is sampled, averages to one; weighted by
+    its probability, the sum of the samples averages to one too."""
+    v, n = pieces.Vocabulary(), 20_000
+    lattice, found = pieces.sample(v, [xxhash.xxh64_intdigest(f"i{j}".encode()) for j in range(n)], [text] * n, 2)
+    weight, total, square = defaultdict(float), 0.0, defaultdict(float)
+    for own, kappa in found:
+        for path, log_p, _ in own[:2]:
+            ids = tuple(lattice.ids(path[1]).tolist())
+            w = math.exp(-pieces.inclusion(log_p, kappa))
+            weight[ids] += w / n
+            square[ids] += w * w / n
+            total += math.exp(log_p) * w / n
+    assert total == pytest.approx(1, abs=0.02)
+    common = [i for i in weight if square[i] < 60]
+    assert len(common) >= 2
+    for i in common:
+        assert weight[i] == pytest.approx(1, abs=5 * math.sqrt(square[i] / n))
+
+
 def test_pieces_of_a_single_character():
     v = pieces.Vocabulary()
     lattice, ((leaves, kappa),) = pieces.sample(v, [1], ["\n"], 5)

@@ -74,6 +74,8 @@ class Vocabulary:
                 if len(text) <= WIDE:
                     self._put(text, i, 1 / (SHIFT - sp.get_score(i)))
         self.rare = 1 / (n + SHIFT)
+        self.size = np.array([len(x) for x in self.raw], np.int64)
+        self.first, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(self.raw), np.uint8)
 
     def _put(self, text: str, i: int, w: float) -> None:
         h = 0
@@ -99,7 +101,11 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text: the first space, which encoding puts in front, goes."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at].tobytes().decode()[1:]
 
 
 def uniform(key: np.ndarray, step: int) -> np.ndarray:
@@ -196,10 +202,22 @@ class Lattice:
         return unit[order], edge[order]
 
     def ids(self, edge: np.ndarray) -> np.ndarray:
+        """The piece ids along a path; a character in bytes is its byte pieces."""
         code = self.code[edge]
-        if code.min(initial=0) >= 0:
+        rare = np.flatnonzero(code < 0)
+        if not len(rare):
             return code
-        return np.array([i for c in code.tolist() for i in ((c,) if c >= 0 else self.v.byte[list(chr(-1 - c).encode())])], np.int32)
+        chars, which = np.unique(code[rare], return_inverse=True)
+        spelt = [self.v.byte[list(chr(-1 - c).encode())] for c in chars.tolist()]
+        long = np.array([len(x) for x in spelt])[which]
+        size = np.ones(len(code), np.int64)
+        size[rare] = long
+        out = np.repeat(code, size)
+        at = (np.cumsum(size) - size)[rare]
+        for n in range(int(long.max())):  # the n-th byte of each
+            own = long > n
+            out[at[own] + n] = np.array([x[n] if len(x) > n else 0 for x in spelt], np.int32)[which[own]]
+        return out
 
 
 #: What -log of an exponential draw can be at most, given the resolution of uniform().
@@ -310,7 +328,7 @@ def encode_samples(docs: DataFrame, k: int = 2, seed: int = 1, path: str = MODEL
                 for n, ((_, edge), log_p, g) in enumerate(leaves):
                     own = lattice.ids(edge)
                     pieces.append(own)
-                    out.append((i, n + 1, log_p, g, inclusion(log_p, kappa), v.decode(own.tolist()) == text))
+                    out.append((i, n + 1, log_p, g, inclusion(log_p, kappa), v.decode(own) == text))
             i, n, log_p, g, inc, same = zip(*out, strict=True) if out else [()] * 6
             flat = np.concatenate([np.zeros(0, np.int32), *pieces])
             yield pa.RecordBatch.from_arrays(
