@@ -1,11 +1,12 @@
 """Line dedup: range-partitioned line hashes, sorted by document and position, leave keep bitmaps.
 
 A line's key is the line without white space at its ends, A-Z lower-cased. Each occurrence is a row of two
-64-bit hashes, a document key and a position: the text itself is never sorted or grouped. The rows are
-range-partitioned by (hash, document), so that the run of one very common line spans as many partitions as
-it fills, and sorted by position within that. Each partition streams its runs into one row a document and
-then one row a hash; only these partial rows are shuffled to be merged. What is frequent comes back to the
-lines by a join, broadcast only below a checked size, and per document as a run-compressed keep bitmap.
+64-bit hashes, a document key and a position: the text itself is never sorted or grouped. These narrow rows are
+made once and kept. They are range-partitioned by (hash, document), so that the run of one very common line spans
+as many partitions as it fills, and sorted by position within that. Each partition streams its runs into one row a
+document and then one row a hash; only these partial rows are shuffled to be merged. What is frequent is joined
+with the narrow rows, broadcast only below a checked size, and a document's positions become its run-compressed
+keep bitmap; texts are split again only where a bitmap is applied.
 
 Defined cases: a null or empty text is one empty line, an empty key never drops, a row that repeats another
 counts as a document of its own, a null doc_id is kept as null, and an empty table gives an empty result.
@@ -22,17 +23,18 @@ from .common import WS, ascii_lower, cut, partitions, texts, with_key
 BROADCAST_KEYS = 250_000
 
 
-def _occurrences(rows: DataFrame, min_len: int) -> DataFrame:
+def occurrences(docs: DataFrame, min_len: int = 1) -> DataFrame:
+    """doc_id, k1, k2 (they name a row), pos, h1, h2 (a key's hashes) of every line with a key, computed once."""
     key = ascii_lower(F.btrim(F.col("line"), F.lit(WS)))
-    lines = rows.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = with_key(texts(docs)).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc_id", "k1", "k2", "pos", key.alias("key")).where(F.length("key") >= min_len)
-    return lines.select("doc_id", "k1", "k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
+    return cut(lines.select("doc_id", "k1", "k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")))
 
 
-def frequent_keys(docs: DataFrame, min_docs: int = 10, min_len: int = 1) -> DataFrame:
+def frequent_keys(lines: DataFrame, min_docs: int = 10) -> DataFrame:
     """h1, h2, n_docs and the first occurrence (by doc_id, key, position) of each key in min_docs documents or more."""
     at = ["h1", "h2", "doc_id", "k1", "k2"]
-    runs = _occurrences(with_key(texts(docs)), min_len).repartitionByRange(partitions(docs.sparkSession), *at)
+    runs = lines.repartitionByRange(partitions(lines.sparkSession), *at)
     # one row a document and key; the range partitioning already holds these together. Repeated rows repeat a position.
     per_doc = runs.sortWithinPartitions(*at, "pos").groupBy(*at, "pos").agg(F.count("*").alias("copies"))
     per_doc = per_doc.groupBy(*at).agg(F.min("pos").alias("pos"), F.max("copies").alias("copies"))
@@ -44,10 +46,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_len: int = 1, keep: st
     """k1, k2 and `dropped`, the sorted positions that a document loses; documents that lose none are absent.
 
     keep: of a frequent key stay "none" of its lines, or the "first" one in the corpus."""
-    frequent = cut(frequent_keys(docs, min_docs, min_len))
+    lines = occurrences(docs, min_len)
+    frequent = cut(frequent_keys(lines, min_docs).drop("n_docs", *([] if keep == "first" else ["first"])))
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
-    hits = _occurrences(with_key(texts(docs)), min_len).join(frequent, ["h1", "h2"])
+    hits = lines.join(frequent, ["h1", "h2"])
     if keep == "first":
         hits = hits.where(~F.struct("k1", "k2", "pos").eqNullSafe(F.struct("first.k1", "first.k2", "first.pos")))
     return hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
