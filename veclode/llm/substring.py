@@ -10,7 +10,8 @@ occurs twice is a repeat.
 Hashes travel packed, an array a task and bucket rather than a row each. Before that, every input partition
 sends only the first of its equal hashes to the hash's bucket, marked as repeated, and the rest, whose answer
 is then known, to any bucket: a passage that a third of all documents share is one row a partition. The
-number of buckets follows the size of the corpus, so a bucket's arrays keep their size.
+number of buckets follows the size of the corpus, so a bucket's arrays keep their size. What comes back is packed by
+home (a few documents) with an index by document, so that a document takes its own positions before it reaches Python.
 
 Defined cases: null or empty texts have no words; fewer words than a window hold none; rows that repeat a
 doc_id and a text repeat each other's windows; a null doc_id is a document; an empty table gives an empty result.
@@ -23,18 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts, with_key
+from .common import batches, list_array, texts, with_key
 
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members (fixed values).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Characters a bucket of hashes stands for, and hashes a task gathers before it packs them.
-BUCKET_CHARS, FLUSH = 40_000_000, 1_000_000
+BUCKET_CHARS, FLUSH = 40_000_000, 500_000
 #: Documents of a home.
 HOME = 16
-_RECORD = np.dtype([("k1", "<i8"), ("pos", "<u4")])
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd: they have inverses modulo 2^64
 _PACK = "bucket int, h binary, g binary, doc binary, pos binary, flag binary, keys binary"
 
@@ -117,7 +117,7 @@ def _extended(size: int, buckets: int):
         pack = _Packer(buckets)
         for b in it:
             for k1, k2, text, found in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), b.column("found"), strict=True):
-                p = _positions(found, k1)
+                p = _positions(found)
                 if not len(p):
                     continue
                 words = text.as_py().encode().split()
@@ -132,24 +132,42 @@ def _extended(size: int, buckets: int):
     return run
 
 
-def _positions(found: pa.Scalar, k1: int) -> np.ndarray:
-    """A document's positions among those of its home."""
-    r = np.frombuffer(b"".join(found.as_py() or []), _RECORD)
-    return r["pos"][r["k1"] == k1].astype(np.int64)
+def _positions(found: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(b"".join(found.as_py() or []), "<u4").astype(np.int64)
+
+
+_FOUND = "struct<ks: array<bigint>, at: array<int>, pos: binary>"
+
+
+def _own() -> Column:
+    """Of the packed positions of a home those of the row's document: array<binary>."""
+
+    def part(f: Column) -> Column:
+        i = F.array_position(f["ks"], F.col("k1")).cast("int")
+        start = F.get(f["at"], i - 1)
+        return F.when(i > 0, F.substring(f["pos"], start + 1, F.get(f["at"], i) - start))
+
+    return F.filter(F.transform("found", part), lambda x: x.isNotNull())
 
 
 def _repeats(homes: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, pos = _twice(it)
         home = k1 % homes
-        order = np.argsort(home, kind="stable")
-        records = np.empty(len(order), _RECORD)
-        records["k1"], records["pos"] = k1[order], pos[order]
-        own, first = np.unique(home[order], return_index=True)
-        ends = np.append(first, len(order))
+        order = np.lexsort((k1, home))
+        k1, home, pos = k1[order], home[order], pos[order].astype("<u4")
+        doc = np.flatnonzero(np.diff(k1, prepend=k1[:1] - 1) != 0)  # where the records of a document begin
+        own, first = np.unique(home, return_index=True)
+        ends, of = np.append(first, len(pos)), np.searchsorted(doc, np.append(first, len(pos)))
         for i in range(0, len(own), 10_000):
             j = min(i + 10_000, len(own))
-            found = pa.array([records[a:b].tobytes() for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)], pa.binary())
+            ks, at = doc[of[i] : of[j]], np.zeros(of[j] - of[i] + j - i, np.int32)
+            n = np.diff(of[i : j + 1])
+            rank = np.repeat(np.arange(j - i), n)
+            at[np.arange(len(ks)) + rank] = (ks - first[i:j][rank]) * 4
+            at[np.cumsum(n + 1) - 1] = np.diff(ends[i : j + 1]) * 4
+            raw = pa.array([pos[a:b].tobytes() for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)], pa.binary())
+            found = pa.StructArray.from_arrays([list_array(k1[ks], n, pa.int64()), list_array(at, n + 1, pa.int32()), raw], names=["ks", "at", "pos"])
             yield pa.RecordBatch.from_arrays([pa.array(own[i:j]), found], names=["home", "found"])
 
     return run
@@ -185,13 +203,12 @@ def _twice(it: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_home(packed: DataFrame, buckets: int, homes: int) -> DataFrame:
-    found = packed.repartition(buckets, "bucket").mapInArrow(_repeats(homes), "home long, found binary")
+    found = packed.repartition(buckets, "bucket").mapInArrow(_repeats(homes), f"home long, found {_FOUND}")
     return found.groupBy("home").agg(F.collect_list("found").alias("found"))
 
 
 def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, k1, k2, text of every row and found: the packed starts, of its home's documents, of the windows whose words
-    also start elsewhere. A home is some HOME documents by their key, so that what comes back from the buckets is a row
+    """doc_id, k1, k2, text of every row and found: the packed starts of its windows whose words also start elsewhere. A home is some HOME documents by their key, so that what comes back from the buckets is a row
     a home, not one a document. Both steps join the same exchange of the texts, which Spark runs once."""
     assert size >= PERIOD, "a window must be as long as the period of the cover"
     rows = with_key(texts(docs))
@@ -199,16 +216,17 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     buckets, homes = max(8, -(-(chars or 0) // BUCKET_CHARS)), max(64, n // HOME)
     rows = rows.withColumn("home", F.pmod("k1", F.lit(homes)))
     anchors = _by_home(rows.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets, homes)
-    near = rows.join(anchors, "home", "left")
-    return rows.join(_by_home(near.mapInArrow(_extended(size, buckets), _PACK), buckets, homes), "home", "left")
+    near = rows.join(anchors, "home", "left").select("k1", "k2", "text", _own().alias("found"))
+    ends = _by_home(near.mapInArrow(_extended(size, buckets), _PACK), buckets, homes)
+    return rows.join(ends, "home", "left").select("doc_id", "k1", "k2", "text", _own().alias("found"))
 
 
 def _kept(size: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n_words, n_removed, texts_ = [], [], []
-            for k1, text, found in zip(b.column("k1").to_pylist(), b.column("text"), b.column("found"), strict=True):
-                words, p = text.as_py().encode().split(), _positions(found, k1)
+            for text, found in zip(b.column("text"), b.column("found"), strict=True):
+                words, p = text.as_py().encode().split(), _positions(found)
                 if len(p):
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, p, 1)
@@ -227,7 +245,7 @@ def _kept(size: int):
 
 def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row."""
-    return repeated_windows(docs, size).mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
+    return repeated_windows(docs, size).select("doc_id", "text", "found").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
