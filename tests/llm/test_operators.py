@@ -472,6 +472,83 @@ def test_classifiers(spark, empty, digest, column, modulus, held, at):
     assert len(digest(frame(spark, docs), table.limit(0)).collect()) == len(docs)
 
 
+def test_toxicity_features_are_the_log_count_ratios(spark, monkeypatch):
+    """Counts, significance and ratios of every n-gram of characters, from sets of strings."""
+    monkeypatch.setattr(toxicity, "FEATURES", 300)
+    docs, labels, table = labelled(spark)
+    docs = [(i, (t or "") + " 日本語です" * (i is not None and i % 9 == 0), s) for i, t, s in docs]
+
+    def number(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * (0x2C1B3C6D + 2 * len(gram)) & 0xFFFFFFFF
+        return h >> 12
+
+    truth, text, n = {}, {}, Counter()
+    for i, _, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            truth[i] = max(y, truth.get(i, 0))
+    for i, t, _ in docs:
+        if i in truth:
+            text[i] = min(t, text.get(i, t))
+    count = {0: Counter(), 1: Counter()}
+    for i, t in text.items():
+        own = " " + " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", t.translate(LOW)) if x) + " "
+        n[truth[i]] += 1
+        count[truth[i]].update({number(own[a : a + k]) for k in (4, 5, 6, 7) for a in range(len(own) - k + 1)})
+    ranked = []
+    for f in count[0].keys() | count[1].keys():
+        pos, neg = count[1][f], count[0][f]
+        share = (pos + neg) / (n[0] + n[1])
+        z = (pos / n[1] - neg / n[0]) / math.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+        if abs(z) >= toxicity.Z and (pos if z > 0 else neg) >= 3:
+            ranked.append((-round(abs(z), 9), f, math.log((pos + 1) / (n[1] + 2) * (n[0] + 2) / (neg + 1))))
+    ranked.sort()
+    model = toxicity.fit(frame(spark, docs), table)
+    assert len(model.ratio) == min(300, len(ranked)) > 60
+    edge = ranked[len(model.ratio) - 1][0]
+    want = {f: r for z, f, r in ranked if z < edge}
+    mine = {int(f): float(model.ratio[model.slot[f] - 1]) for f in np.flatnonzero(model.slot)}
+    assert len(want) > 40 and all(mine[f] == pytest.approx(r) for f, r in want.items())
+
+
+def test_toxicity_weights_have_no_gradient():
+    rng = np.random.default_rng(3)
+    y, bits = (rng.random(300) < 0.3).astype(float), rng.random((300, 40)) < 0.3
+    bits[:, :5] |= (y[:, None] > 0) & (rng.random((300, 5)) < 0.6)
+    model = toxicity.Toxic(np.arange(40), rng.normal(size=40))
+    model.learn(y, np.packbits(bits, axis=1), steps=20_000, ridge=1e-2)
+
+    def loss(w):
+        s = (bits * model.ratio) @ w[:-1] + w[-1]
+        return np.mean(np.log1p(np.exp(-s * (2 * y - 1)))) + 0.005 * (w[:-1] ** 2).sum()
+
+    best = min((loss(np.append(model.w, b)), b) for b in np.linspace(-20, 20, 40_001))[1]
+    at = np.append(model.w, best)
+    for i in range(40):
+        step = np.zeros(41)
+        step[i] = 1e-4
+        assert abs(loss(at + step) - loss(at - step)) / 2e-4 < 2e-3
+    rows_, cols = np.nonzero(bits)
+    numeric = [(loss(at + h) - loss(at - h)) / 2e-5 for h in np.eye(41) * 1e-5]
+    assert np.allclose(toxicity.gradient(at, rows_, cols, model.ratio[cols], y, 1e-2), numeric, atol=1e-6)
+
+
+def test_quality_weights_have_no_gradient():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(400, 6)), (rng.random(400) < 0.5).astype(int)
+    x[:, 0] += 1.5 * y
+    model = quality.Ranking(x, y, seed=7)
+    again, z = np.random.default_rng(7), np.clip((x - x.mean(0)) / (x.std(0) + 1e-3), -6, 6)
+    d = z[again.choice(np.flatnonzero(y == 1), quality.PAIRS)] - z[again.choice(np.flatnonzero(y == 0), quality.PAIRS)]
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).sum() + quality.RIDGE / 2 * (w @ w)
+    for h in np.eye(6) * 1e-4:
+        assert abs(loss(model.w + h) - loss(model.w - h)) / 2e-4 < 1e-2
+    wins = lambda cut: (z[y == 1] @ model.w >= cut).mean() + (z[y == 0] @ model.w < cut).mean()
+    assert wins(model.cut) >= max(map(wins, np.quantile(z @ model.w, np.linspace(0, 1, 2001)))) - 1e-9
+
+
 def test_quality_filter_keeps_columns(spark):
     docs, _, table = labelled(spark)
     out = quality.good(frame(spark, docs), table)

@@ -55,3 +55,19 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
         stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() == 0
+
+
+def test_pipeline_run(spark):
+    """run() gives the rows of its stages applied one after the other; only the last stage's folder stays."""
+    import corpus_pipeline
+    from veclode.llm.common import shared_dir
+
+    out = corpus_pipeline.run(spark, DATA)
+    assert {"doc_id", "sample", "ids", "decoded"} <= set(out.columns)
+    rows = out.select("doc_id", "sample", "decoded").collect()
+    assert rows and all(r["decoded"] for r in rows)
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in rows} <= set(docs)
+    root = shared_dir(spark).removeprefix("file:")
+    kept = [sorted(os.listdir(f"{root}/{x}")) for x in os.listdir(root) if x.startswith("pipeline-")]
+    assert ["4"] in kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -37,13 +38,23 @@ def with_key(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The checkpoint folder: the cluster's spark.checkpoint.dir. Where that is unset, a temporary folder serves a local
+    master, on which every task sees it; any other master is refused."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veclode-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veclode-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path_, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder: later steps read it from there."""
     shared_dir(df.sparkSession)

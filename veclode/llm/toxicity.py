@@ -1,15 +1,16 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams of 4 to 7 bytes of the text (A-Z lower-cased, runs of white space as one space,
-one at either end), hashed to 2^20; a feature is present or absent. From the labelled texts come r, the log
-ratio of a feature's shares among toxic and other texts, and the FEATURES of the highest significance. A text
-is the vector of r where a selected feature is present, and a logistic regression on these gives the score,
-shifted so that the best cut on the training texts gets `at`.
+Features are the n-grams of 4 to 7 characters (code points) of the text (A-Z lower-cased, runs of white space as one
+space, one at either end), hashed to 2^20; a feature is present or absent. From the labelled texts come r, the log
+ratio of a feature's shares among toxic and other texts, and the FEATURES that tell the two apart most
+significantly, whichever they speak for. A text is the vector of r where a selected feature is present, and a
+logistic regression on these gives the score, shifted so that the best cut on the training texts gets `at`.
 
 The fit uses at most SAMPLE labelled texts (in the order of a hash of doc_id), whose ids are broadcast; what
-reaches the driver is one row a selected feature and FEATURES bits a sampled text. Scoring is one pass over
-whole texts. Defined cases: a null or empty text has no feature present; without labels of both kinds every
-score is 0; repeated rows repeat their score; null labels and ids teach nothing; an empty table gives an empty result.
+reaches the driver is one row a selected feature and FEATURES bits a sampled text. A labelled id is one text: of rows
+that repeat an id the least text is learnt from. Scoring is one pass over whole texts. Defined cases: a null or
+empty text has no feature present; without labels of both kinds every score is 0; repeated rows repeat their
+score; null labels and ids teach nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, held_out, learn_sample, sigmoid, texts
 
-BITS, ORDERS = 20, (4, 5, 6, 7)
-SAMPLE, FEATURES, LEAST, Z = 20_000, 4096, 3, 3.0
+BITS, ORDERS, RIDGE = 20, (4, 5, 6, 7), 1e-4
+SAMPLE, FEATURES, LEAST, Z = 20_000, 8192, 3, 4.0
 
 
 def ngrams(text: str) -> Iterator[np.ndarray]:
     """The hashed n-grams of each order, in their order in the text."""
-    b = np.frombuffer(b" " + b" ".join(text.encode().lower().split()) + b" ", np.uint8).astype(np.uint32)
+    words = b" ".join(text.encode().lower().split()).decode()
+    b = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32)
     h = b
     for n in range(1, max(ORDERS) + 1):
         if n > 1:
@@ -60,7 +62,7 @@ class Toxic:
     """The selected features, their ratios and weights, and the cut."""
 
     def __init__(self, features: np.ndarray, ratio: np.ndarray) -> None:
-        self.ratio, self.w, self.cut = ratio, np.zeros(len(ratio)), 1e9
+        self.ratio, self.w, self.cut, self.trained = ratio, np.zeros(len(ratio)), 0.0, False
         self.slot = np.zeros(1 << BITS, np.int16)
         self.slot[features] = np.arange(1, len(features) + 1)
 
@@ -69,7 +71,7 @@ class Toxic:
         found = [s[s > 0] for h in ngrams(text) for s in (self.slot[h],)]
         return np.unique(np.concatenate([np.zeros(0, np.int16), *found])).astype(np.int64) - 1
 
-    def learn(self, y: np.ndarray, bits: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> None:
+    def learn(self, y: np.ndarray, bits: np.ndarray, steps: int = 400, ridge: float = RIDGE) -> None:
         """Logistic regression on r where present, by Nesterov's gradient; bits: a row of packed presences a text."""
         present = [np.flatnonzero(np.unpackbits(row)[: len(self.w)]) for row in bits]
         rows, cols = np.repeat(np.arange(len(y)), list(map(len, present))), np.concatenate([np.zeros(0, np.int64), *present])
@@ -79,10 +81,8 @@ class Toxic:
         rate = 4.0 / (norm**2 / 16 + 1)
         for k in range(steps):
             v = w + k / (k + 3) * (w - old)
-            e = sigmoid(np.bincount(rows, x * v[cols], len(y)) + v[-1]) - y
-            grad = np.append(np.bincount(cols, x * e[rows], len(self.w)), e.sum()) / len(y)
-            old, w = w, v - rate * (grad + ridge * np.append(v[:-1], 0))
-        self.w = w[:-1]
+            old, w = w, v - rate * gradient(v, rows, cols, x, y, ridge)
+        self.w, self.trained = w[:-1], True
         s = np.bincount(rows, x * w[cols], len(y))
         order = np.argsort(-s, kind="stable")
         hit = np.cumsum(y[order])
@@ -93,20 +93,30 @@ class Toxic:
         self.cut = s[order[top]] * 0.4 + low * 0.6
 
     def score(self, text: str, at: float) -> float:
+        if not self.trained:
+            return 0.0
         f = self.hits(text)
         return float(sigmoid(np.log(at / (1 - at)) + (self.ratio[f] * self.w[f]).sum() - self.cut))
 
 
+def gradient(v: np.ndarray, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Of the mean logistic loss and ridge / 2 * |v|^2 (without the intercept) at v, over entries x at (rows, cols)."""
+    e = sigmoid(np.bincount(rows, x * v[cols], len(y)) + v[-1]) - y
+    return np.append(np.bincount(cols, x * e[rows], len(v) - 1), e.sum()) / len(y) + ridge * np.append(v[:-1], 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> Toxic:
     sample = F.broadcast(learn_sample(labels, "toxic", modulus, held, SAMPLE))
-    rows = cut(texts(docs).join(sample, "doc_id").select("doc_id", "y", "text").repartition(16, F.xxhash64("doc_id")))
+    rows = texts(docs).join(sample, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    rows = cut(rows.repartition(16, F.xxhash64("doc_id")))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(n) < 2:
         return Toxic(np.zeros(0, np.int64), np.zeros(0))
     counts = rows.select("y", "text").mapInArrow(_counts, "f int, pos int, neg int").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = (F.col("pos") + F.col("neg")) / (n[0] + n[1])
     z = (F.col("pos") / n[1] - F.col("neg") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    chosen = counts.where(F.col("pos") >= LEAST).withColumn("z", z).where(F.col("z") >= Z).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
+    leaning = F.when(F.col("z") > 0, F.col("pos")).otherwise(F.col("neg"))
+    chosen = counts.withColumn("z", z).where((F.abs("z") >= Z) & (leaning >= LEAST)).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()
     ratio = np.array([np.log((r["pos"] + 1) / (n[1] + 2) * (n[0] + 2) / (r["neg"] + 1)) for r in chosen])
     model = Toxic(np.array([r["f"] for r in chosen], np.int64), ratio)
 
