@@ -216,7 +216,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     buckets, homes = max(8, -(-(chars or 0) // BUCKET_CHARS)), max(64, n // HOME)
     rows = rows.withColumn("home", F.pmod("k1", F.lit(homes)))
     anchors = _by_home(rows.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets, homes)
-    near = rows.join(anchors, "home", "left").select("k1", "k2", "text", _own().alias("found"))
+    near = rows.join(anchors, "home", "left").select("doc_id", "k1", "k2", "text", _own().alias("found"))  # the same columns as below: one exchange
     ends = _by_home(near.mapInArrow(_extended(size, buckets), _PACK), buckets, homes)
     return rows.join(ends, "home", "left").select("doc_id", "k1", "k2", "text", _own().alias("found"))
 
@@ -245,7 +245,7 @@ def _kept(size: int):
 
 def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row."""
-    return repeated_windows(docs, size).select("doc_id", "text", "found").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
+    return repeated_windows(docs, size).mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
