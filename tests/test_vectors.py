@@ -298,3 +298,47 @@ def test_sql_functions(spark, df, x):
     assert np.allclose(r["n"], x[3] / np.linalg.norm(x[3])) and np.allclose(r["p"], pq.decoded(pq.codes(x[3:4]))[0])
     near = spark.sql(f"select id from knn(table(v), '{x[3].tolist()}', 4) order by score desc, id limit 4").collect()
     assert [r["id"] for r in near] == np.argsort(((x - x[3]) ** 2).sum(1))[:4].tolist()
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}, {"spark.sql.adaptive.enabled": "false"}])
+def test_numbers_are_dense_over_many_partitions(spark, conf):
+    old = {k: spark.conf.get(k, None) for k in (*conf, "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in (conf | {"spark.sql.shuffle.partitions": "64"}).items():
+            spark.conf.set(k, v)
+        n = 200_000
+        rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("src"), F.array_repeat(F.col("id").cast("double"), 16).alias("vec"))
+        out = store.with_auto_ids(rows, None, ["src"])
+        r = out.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum((F.col("id") != F.col("src")).cast("int")).alias("wrong")).first()
+        assert (r["n"], r["ids"], r["wrong"]) == (n, n, 0)
+        full = store.flat_add(rows.limit(0).selectExpr("src as address", "src as id", "vec"), rows.withColumnRenamed("src", "id"))
+        left = store.flat_remove(full, spark.range(0, n, 3))
+        r = left.agg(F.count("*").alias("n"), F.countDistinct("address").alias("a"), F.min("address").alias("low"), F.max("address").alias("high"), F.sum((F.col("id") % 3 == 0).cast("int")).alias("bad")).first()
+        m = n - len(range(0, n, 3))
+        assert (r["n"], r["a"], r["low"], r["high"], r["bad"]) == (m, m, 0, m - 1, 0)
+        tied = store.numbered(rows.withColumn("one", F.lit(1)), ["one"], "n")
+        assert tied.agg(F.countDistinct("n")).first()[0] == n
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_group_store(spark, df, x):
+    group = df.select("id", F.slice("vec", 1, 3).alias("vec_0"), F.slice("vec", 4, 5).alias("vec_1"))
+    full = store.flat_add(group.where("id < 100").withColumn("address", F.col("id")).select("address", "id", "vec_0", "vec_1"), group.where("id >= 100"))
+    assert sorted((r["address"], r["id"]) for r in full.collect()) == [(i, i) for i in range(300)]
+    changed = store.update(full, df.where("id in (3, 5)").select("id", F.array_repeat(F.lit(9.0), 5).alias("vec_1")), "id")
+    got = {r["id"]: r for r in store.get_by_id(changed, spark.range(2, 7).unionByName(spark.range(900, 901)), {"vec_0": 3, "vec_1": 5}).collect()}
+    assert got[3]["vec_1"] == [9.0] * 5 and np.allclose(got[3]["vec_0"], x[3][:3]) and np.allclose(got[4]["vec_1"], x[4][3:])
+    assert got[900]["vec_0"] == [0.0] * 3 and got[900]["vec_1"] == [0.0] * 5
+    left = store.flat_remove(full, df.where("id % 2 = 0").select("id"))
+    assert sorted(r["address"] for r in left.collect()) == list(range(150)) and left.columns == full.columns
+    back = store.get_by_address(left, left.select("address"), {"vec_0": 3, "vec_1": 5}).join(left.select("address", "id"), "address").collect()
+    assert all(np.allclose(r["vec_0"] + r["vec_1"], x[r["id"]]) for r in back)
+
+
+def test_cell_of_address(spark):
+    starts = spark.createDataFrame([(4, 0, 3), (7, 3, 0), (2, 3, 5), (9, 10, 2)], "cell int, start long, capacity long")
+    out = {r["address"]: r["cell"] for r in store.cell_of_address(spark.range(-2, 15).withColumnRenamed("id", "address"), starts).collect()}
+    assert out == {a: 4 if 0 <= a < 3 else 2 if 3 <= a < 8 else 9 if 10 <= a < 12 else -1 for a in range(-2, 15)}
+    assert {r["cell"] for r in store.cell_of_address(spark.range(3).withColumnRenamed("id", "address"), starts.limit(0)).collect()} == {-1}

@@ -18,17 +18,42 @@ def from_matrix(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel()))
 
 
+def usable(column, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column that operators work on, as doubles, and their positions. A vector that is null, has
+    another width (width None: than most have, ties to the wider) or holds a null or non-finite element takes no part."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if width is None:
+        own, n = np.unique(size[size >= 0], return_counts=True)
+        width = int(own[np.flatnonzero(n == n.max())[-1]]) if len(own) else 0
+    at = np.flatnonzero(size == width)
+    if len(at) < len(size):
+        column = column.take(pa.array(at))
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
+    whole = np.isfinite(x).all(1)
+    return (x, at) if whole.all() else (x[whole], at[whole])
+
+
+def widths(column) -> list[int]:
+    """The widths that occur in a list column."""
+    return sorted(set(column.combine_chunks().value_lengths().drop_null().to_pylist() if isinstance(column, pa.ChunkedArray) else column.value_lengths().drop_null().to_pylist()))
+
+
 def best_rows(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k largest of each row, equal scores by the smaller id, in no order."""
     k = min(k, s.shape[1])
+    rows = np.repeat(np.arange(len(s)), k)
     if k == s.shape[1]:
-        cols = np.broadcast_to(np.arange(k), s.shape)
-    else:
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        cols = np.empty((len(s), k), np.int64)
-        by_id = np.argsort(ids, kind="stable")
-        for r in range(len(s)):
-            above = np.flatnonzero(s[r] > least[r])
-            ties = by_id[s[r][by_id] == least[r]][: k - len(above)]
-            cols[r] = np.concatenate([above, ties])
-    return np.repeat(np.arange(len(s)), k), np.ascontiguousarray(cols).ravel()
+        return rows, np.tile(np.arange(k), len(s))
+    order = None
+    if (ids[1:] < ids[:-1]).any():
+        order = np.argsort(ids, kind="stable")
+        s = s[:, order]
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+    take, ties = s > least, s == least
+    room = k - take.sum(1)
+    if (ties.sum(1) > room).any():
+        ties &= np.cumsum(ties, axis=1) <= room[:, None]
+    cols = np.nonzero(take | ties)[1]
+    return rows, cols if order is None else order[cols]

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from . import scratch
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -28,27 +29,31 @@ def check_schema(df: DataFrame, **types: str) -> DataFrame:
     return df
 
 
-def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with dense numbers from 0 in the given order. Partitions are counted, then numbered on their own: no task
-    sees all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    ahead = sizes.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
-    return ranged.join(F.broadcast(ahead), "_p").withColumn(name, F.col("_a") + F.col("_r") - 1).drop("_p", "_r", "_a")
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with dense numbers from 0 in the given order. Rows are range-partitioned and sorted, and kept with the number of
+    their partition, so that counting and numbering see the same partitions; a partition is numbered on its own, and no
+    task sees all rows. Rows equal in `order` follow a hash of the row, so that many of them share no partition."""
+    tie = F.xxhash64(*df.columns)
+    ranged = df.withColumn("_t", tie).repartitionByRange(*order, "_t").sortWithinPartitions(*order, "_t")
+    ranged = scratch.cut(ranged.withColumn("_p", F.spark_partition_id()))
+    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_a"))
+    ranged = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order, "_t")))
+    return ranged.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_a") + F.col("_r") - 1).drop("_p", "_r", "_a", "_t")
 
 
 def with_auto_ids(new: DataFrame, store: DataFrame | None, order: list[str]) -> DataFrame:
     """new with dense ids from the store's largest id + 1 (0 for an empty store)."""
     top = -1 if store is None else store.agg(F.max("id")).first()[0]
     start = 0 if top is None else top + 1
-    return _numbered(new, order, "_i").withColumn("id", F.col("_i") + F.lit(start)).drop("_i")
+    return numbered(new, order, "_i").withColumn("id", F.col("_i") + F.lit(start)).drop("_i")
 
 
 def flat_add(store: DataFrame, new: DataFrame) -> DataFrame:
-    """(address, id, vec) with the rows of new (id, vec) at the next addresses, in the order of id."""
+    """(address, id, vec) with the rows of new (id, vec) at the next addresses, in the order of id. So too for a group
+    store (address, id, vec_0, vec_1, ...)."""
     end = store.agg(F.coalesce(F.max("address") + 1, F.lit(0))).first()[0]
-    placed = _numbered(new, ["id"], "_n").withColumn("address", F.col("_n") + F.lit(end)).drop("_n")
+    placed = numbered(new, ["id"], "_n").withColumn("address", F.col("_n") + F.lit(end)).drop("_n")
     return store.unionByName(placed.select(*store.columns))
 
 
@@ -58,8 +63,8 @@ def flat_remove(store: DataFrame, ids: DataFrame) -> DataFrame:
     n = left.count()
     holes = store.join(ids.select("id").distinct(), "id", "left_semi").where(F.col("address") < n).select(F.col("address").alias("hole"))
     movers = left.where(F.col("address") >= n)
-    moved = _numbered(movers, ["address"], "_k").join(_numbered(holes, ["hole"], "_k"), "_k").withColumn("address", F.col("hole"))
-    return left.where(F.col("address") < n).unionByName(moved.select(*left.columns))
+    moved = numbered(movers, ["address"], "_k").join(numbered(holes, ["hole"], "_k"), "_k").withColumn("address", F.col("hole"))
+    return left.where(F.col("address") < n).unionByName(moved.select(*left.columns)).select(*store.columns)
 
 
 def remove(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -77,22 +82,28 @@ def truncate(store: DataFrame) -> DataFrame:
     return store.limit(0)
 
 
-def get_by_address(store: DataFrame, addresses: DataFrame, width: int) -> DataFrame:
-    """address, vec; the zero vector where there is no row."""
-    zero = F.array_repeat(F.lit(0.0), width)
-    return addresses.join(store.select("address", "vec"), "address", "left").withColumn("vec", F.coalesce(M.doubles("vec"), zero))
+def _filled(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(M.doubles(c), F.array_repeat(F.lit(0.0), n)) for c, n in widths.items()})
 
 
-def get_by_id(store: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, vec; the zero vector for an unknown id."""
-    zero = F.array_repeat(F.lit(0.0), width)
-    return ids.join(store.select("id", "vec"), "id", "left").withColumn("vec", F.coalesce(M.doubles("vec"), zero))
+def get_by_address(store: DataFrame, addresses: DataFrame, width: int | dict[str, int]) -> DataFrame:
+    """address, vec; the zero vector where there is no row. Of a group store: its members, width by column."""
+    widths = width if isinstance(width, dict) else {"vec": width}
+    return _filled(addresses.join(store.select("address", *widths), "address", "left"), widths)
+
+
+def get_by_id(store: DataFrame, ids: DataFrame, width: int | dict[str, int]) -> DataFrame:
+    """id, vec; the zero vector for an unknown id. Of a group store: its members, width by column."""
+    widths = width if isinstance(width, dict) else {"vec": width}
+    return _filled(ids.join(store.select("id", *widths), "id", "left"), widths)
 
 
 def update(store: DataFrame, changes: DataFrame, key: str = "address") -> DataFrame:
-    """The store with vec replaced where changes (key, vec) has the key; unknown keys are ignored."""
-    new = changes.select(F.col(key), F.col("vec").alias("_new"))
-    return store.join(new, key, "left").withColumn("vec", F.coalesce("_new", "vec")).select(*store.columns)
+    """The store with vectors replaced where changes (key, vec, or some members of a group) has the key; unknown keys are
+    ignored, and of several changes of a key the one whose vectors are largest holds."""
+    own = [c for c in changes.columns if c != key]
+    new = changes.groupBy(key).agg(F.max(F.struct(*own)).alias("_new"))
+    return store.join(new, key, "left").withColumns({c: F.coalesce(F.col("_new")[c], F.col(c)) for c in own}).select(*store.columns)
 
 
 def address_of(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -149,10 +160,21 @@ def cell_starts(sizes: DataFrame, size: str = "capacity") -> DataFrame:
 
 
 def cell_of_address(addresses: DataFrame, starts: DataFrame) -> DataFrame:
-    """address, cell: the cell whose slots hold it, -1 outside. starts: cell, start, capacity (one row a cell)."""
-    at = starts.select("cell", "start", (F.col("start") + F.col("capacity")).alias("end"))
-    inside = (F.col("address") >= F.col("start")) & (F.col("address") < F.col("end"))
-    return addresses.join(at, inside, "left").select(*addresses.columns, F.coalesce("cell", F.lit(-1)).alias("cell"))
+    """address, cell: the cell whose slots hold it, -1 outside. starts: cell, start, capacity (one row a cell); they reach
+    every task as one sorted array, and an address finds its cell by bisection."""
+    at = starts.where("capacity > 0").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("capacity")).alias("end"), "cell"))).alias("_at"))
+    low, high = F.lit(0), F.size("_at")
+    bounds = F.struct(low.alias("low"), high.alias("high"))
+
+    def halve(b: Column, _: Column) -> Column:
+        mid = F.floor((b["low"] + b["high"]) / 2).cast("int")
+        right = F.get("_at", mid)["start"] <= F.col("address")
+        return F.when(b["low"] < b["high"], F.struct(F.when(right, mid + 1).otherwise(b["low"]).alias("low"), F.when(right, b["high"]).otherwise(mid).alias("high"))).otherwise(b)
+
+    # as many steps as a number of cells has bits
+    found = addresses.crossJoin(F.broadcast(at)).withColumn("_i", F.aggregate(F.sequence(F.lit(1), F.lit(32)), bounds, halve)["low"] - 1)
+    own = F.get("_at", F.col("_i"))
+    return found.withColumn("_own", own).select(*addresses.columns, F.when((F.col("_own.start") <= F.col("address")) & (F.col("address") < F.col("_own.end")), F.col("_own.cell")).otherwise(F.lit(-1)).alias("cell"))
 
 
 def write_slots(store: DataFrame, new: DataFrame, order: str = "id") -> DataFrame:
