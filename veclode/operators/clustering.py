@@ -1,8 +1,12 @@
 """k-means: one problem, many problems at once, and mini-batches.
 
 Data stay distributed; an iteration is one job. Tasks assign their vectors to the broadcast centroids by a
-matrix product and return a partial sum, count and score per cell; these are added up by a hash aggregate and
+matrix product, tile by tile, and return a partial sum, count and score per cell; these are added up by a hash aggregate and
 only k rows reach the driver, which holds the new centroids. No lineage grows over the iterations.
+
+Defined cases: a vector that is null, has another width than the centroids (when they are sampled: than most sampled
+vectors) or holds a null or non-finite element takes no part and has no row in a result; repeated ids are rows of
+their own; ties go to the smaller cell.
 """
 
 from __future__ import annotations
@@ -15,23 +19,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.arrow import from_matrix, to_matrix
+from ..functions.arrow import best_rows, from_matrix, usable
+from ..sources import scratch
 
 #: Bytes of centroids that are sent to every task; more are refused here (search.knn assigns to larger sets).
 CENTROID_BYTES = 256_000_000
+#: Bytes of similarities that a task holds at once; sums that travel in one row.
+TILE_BYTES, CHUNK = 64_000_000, 32
+#: Seeds after which the running minimum of farthest_first is written out, so that lineage stays short.
+SEEDS_A_CUT = 16
 
 
 def _prepared(df: DataFrame) -> DataFrame:
     return df.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("vec"))
 
 
+def tiles(metric: str, n: int, c: np.ndarray) -> range:
+    """Starts of slices of n vectors whose similarities to c (and, for manhattan, whose differences) fit in TILE_BYTES."""
+    each = 8 * max(1, len(c)) * (c.shape[1] if M.canonical(metric) == "manhattan" else 1)
+    return range(0, n, max(1, TILE_BYTES // max(1, each)))
+
+
 def nearest(metric: str, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score and index of the most similar centroid; ties (to 12 digits) to the lower index."""
-    s = M.matrix(metric, x, c)
-    cell = np.argmax(np.round(s, 12), axis=1)
+    cell, parts = np.zeros(len(x), np.int64), tiles(metric, len(x), c)
+    for i in parts:
+        own = slice(i, i + parts.step)
+        cell[own] = np.argmax(np.round(M.matrix(metric, x[own], c), 12), axis=1)
     return M.direct(metric, x, c[cell]), cell
 
 
+def nearest_k(metric: str, x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """[n, k]: the k most similar centroids of each vector, best first; ties (to 12 digits) to the lower index."""
+    k = min(k, len(c))
+    out, parts = np.zeros((len(x), k), np.int64), tiles(metric, len(x), c)
+    for i in parts:
+        s = np.round(M.matrix(metric, x[i : i + parts.step], c), 12)
+        cols = np.sort(best_rows(s, np.arange(len(c)), k)[1].reshape(-1, k), axis=1)
+        order = np.argsort(-np.take_along_axis(s, cols, 1), axis=1, kind="stable")
+        out[i : i + parts.step] = np.take_along_axis(cols, order, 1)
+    return out
+
+
 def assign(df: DataFrame, centroids: np.ndarray, metric: str = "euclidean") -> DataFrame:
     """id, cell, score: the nearest centroid of each vector (id, vec)."""
     if centroids.nbytes > CENTROID_BYTES:
@@ -39,66 +68,98 @@ def assign(df: DataFrame, centroids: np.ndarray, metric: str = "euclidean") -> D
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            score, cell = nearest(metric, to_matrix(b.column("vec")), centroids)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell, pa.int32()), pa.array(score)], names=["id", "cell", "score"])
+            x, at = usable(b.column("vec"), centroids.shape[1])
+            score, cell = nearest(metric, x, centroids)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(cell, pa.int32()), pa.array(score)], names=["id", "cell", "score"])
 
     return _prepared(df).mapInArrow(run, "id long, cell int, score double")
 
 
 def grouped_means(df: DataFrame, by: str, width: int, cells: int | None = None) -> DataFrame:
     """by, mean (array<double>) and n of the vectors of each group; with `cells`, one row for each of 0..cells-1, zero
-    where a group is empty. Expressions only: partial sums, then one row a group."""
-    sums = [F.sum(F.get(M.doubles("vec"), F.lit(i))).alias(f"s{i}") for i in range(width)]
-    out = df.groupBy(by).agg(F.count("*").alias("n"), *sums)
+    where a group is empty. Expressions only: partial sums by group and position, then one row a group. Vectors that
+    are null or of another width, or hold null or non-finite elements, do not count."""
+    x = M.doubles("vec")
+    good = x.isNotNull() & (F.size(x) == width) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    sums = df.where(good).select(by, F.posexplode(x).alias("pos", "x")).groupBy(by, "pos").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))), lambda e: e["m"])
+    out = sums.groupBy(by).agg(F.max("n").alias("n"), mean.alias("mean"))
     if cells is not None:
         every = df.sparkSession.range(cells).select(F.col("id").cast("int").alias(by))
         out = every.join(out, by, "left")
-    n = F.coalesce("n", F.lit(0))
-    mean = F.array(*(F.coalesce(F.col(f"s{i}") / F.greatest(n, F.lit(1)), F.lit(0.0)) for i in range(width)))
-    return out.select(by, mean.alias("mean"), n.alias("n"))
+    return out.select(by, F.coalesce("mean", F.array_repeat(F.lit(0.0), width)).alias("mean"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def _partials(df: DataFrame, centroids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums [l, k, d], counts [l, k] and total similarities [l] of the assignment to centroids [l, k, d]."""
     l, k, d = centroids.shape  # noqa: E741
+    chunks = -(-d // CHUNK)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, count, score = np.zeros((l * k, d)), np.zeros(l * k), np.zeros(l * k)
+        sums, count, score = np.zeros((l * k, chunks * CHUNK)), np.zeros(l * k), np.zeros(l * k)
         for b in it:
-            x = to_matrix(b.column("vec")).reshape(b.num_rows, l, d)
+            x = usable(b.column("vec"), l * d)[0].reshape(-1, l, d)
             for p in range(l):
                 s, cell = nearest(metric, x[:, p], centroids[p])
                 cell = cell + p * k
-                np.add.at(sums, cell, x[:, p])
+                np.add.at(sums[:, :d], cell, x[:, p])
                 count += np.bincount(cell, minlength=l * k)
                 score += np.bincount(cell, s, l * k)
         on = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(count[on]), pa.array(score[on]), from_matrix(sums[on])], names=["cell", "n", "score", "sums"])
-
-    parts = _prepared(df).mapInArrow(run, "cell long, n double, score double, sums array<double>")
-    total = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("score").alias("score"), *(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(d)))
-    t = total.toPandas()
-    sums, count, score = np.zeros((l * k, d)), np.zeros(l * k), np.zeros(l * k)
+        for c in range(chunks):
+            own = np.full(len(on), c)
+            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(own, pa.int32()), pa.array(count[on]), pa.array(score[on]), from_matrix(sums[on, c * CHUNK : (c + 1) * CHUNK])], names=["cell", "chunk", "n", "score", "sums"])
+
+    parts = _prepared(df).mapInArrow(run, "cell long, chunk int, n double, score double, sums array<double>")
+    added = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(CHUNK)]
+    t = parts.groupBy("cell", "chunk").agg(F.sum("n").alias("n"), F.sum("score").alias("score"), *added).toPandas()
+    sums, count, score = np.zeros((l * k, chunks, CHUNK)), np.zeros(l * k), np.zeros(l * k)
     at = t["cell"].to_numpy()
-    sums[at], count[at], score[at] = t[[f"s{i}" for i in range(d)]].to_numpy(), t["n"], t["score"]
-    return sums.reshape(l, k, d), count.reshape(l, k), score.reshape(l, k).sum(1)
+    sums[at, t["chunk"].to_numpy()], count[at], score[at] = t[[f"s{i}" for i in range(CHUNK)]].to_numpy(), t["n"], t["score"]
+    return sums.reshape(l * k, -1)[:, :d].reshape(l, k, d), count.reshape(l, k), score.reshape(l, k).sum(1)
 
 
 def sample_rows(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    """k vectors in the order of a hash of (id, seed): the same for every run and partitioning."""
-    rows = _prepared(df).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).toArrow()
-    if rows.num_rows < k:
-        raise ValueError(f"{k} clusters need as many vectors; there are {rows.num_rows}")
-    return to_matrix(rows.column("vec"))
+    """k vectors in the order of a hash of (id, vec, seed): the same for every run and partitioning."""
+    x = F.col("vec")
+    whole = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    prepared = _prepared(df).where(whole)
+    rows = prepared.orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("vec")).limit(k).toArrow()
+    found = usable(rows.column("vec"))[0]
+    if len(found) < rows.num_rows:  # several widths: as many of the sample's most frequent one
+        rows = prepared.where(F.size(x) == found.shape[1]).orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("vec")).limit(k).toArrow()
+        found = usable(rows.column("vec"))[0]
+    if len(found) < k:
+        raise ValueError(f"{k} clusters need as many vectors; there are {len(found)}")
+    return found
 
 
 def farthest_first(df: DataFrame, k: int, metric: str = "euclidean", first: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
-    """k seeds: the first given or sampled, each next one the vector least similar to its nearest seed."""
+    """k seeds: the first given or sampled, each next one the vector least similar to its nearest seed.
+
+    Each vector keeps its similarity to the nearest seed so far, so a further seed costs one product a vector: its own."""
     seeds = sample_rows(df, 1, seed) if first is None else np.atleast_2d(first)
+
+    def compared(state: DataFrame, new: np.ndarray) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                x, at = usable(b.column("vec"), new.shape[1])
+                best = np.maximum(b.column("best").to_numpy(zero_copy_only=False)[at], nearest(metric, x, new)[0])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), from_matrix(x), pa.array(best)], names=["id", "vec", "best"])
+
+        return state.mapInArrow(run, "id long, vec array<double>, best double")
+
+    state, new, held = _prepared(df).withColumn("best", F.lit(float("-inf"))), seeds, None
     while len(seeds) < k:
-        far = assign(df, seeds, metric).select("id", F.round("score", 12).alias("score")).orderBy("score", "id").limit(1)
-        row = _prepared(df).join(F.broadcast(far.select("id")), "id").limit(1).toArrow()
-        seeds = np.concatenate([seeds, to_matrix(row.column("vec"))])
+        state = compared(state, new)
+        state = scratch.cut(state) if len(seeds) % SEEDS_A_CUT == 0 else state.persist()
+        far = state.agg(F.min(F.struct(F.round("best", 12).alias("score"), "id", "vec")).alias("far")).first()["far"]
+        if held is not None:
+            held.unpersist()
+        held, new = state, np.array([far["vec"]])
+        seeds = np.concatenate([seeds, new])
+    if held is not None:
+        held.unpersist()
     return seeds
 
 
@@ -150,15 +211,20 @@ class MultiKMeans:
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                x = to_matrix(b.column("vec")).reshape(b.num_rows, l, -1)
+                x, at = usable(b.column("vec"), l * centroids.shape[2])
+                x = x.reshape(len(at), l, -1)
                 cells = np.stack([nearest(metric, x[:, p], centroids[p])[1] for p in range(l)], axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("id"), from_matrix(cells)], names=["id", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), from_matrix(cells)], names=["id", "cells"])
 
         return _prepared(df).mapInArrow(run, "id long, cells array<int>")
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self._labels(df, self.centroids)
 
+    def topk(self, df: DataFrame, k: int) -> DataFrame:
+        """q_id, problem, rank, cell, score: the k nearest centroids of each vector (id, vec) in every problem."""
+        return nearest_cells(df, self.centroids, k, self.distance)
+
 
 class KMeans(MultiKMeans):
     """Lloyd's algorithm for one problem. An empty cluster's centroid becomes the zero vector."""
@@ -175,21 +241,27 @@ class KMeans(MultiKMeans):
 
     def topk(self, df: DataFrame, k: int) -> DataFrame:
         """q_id, rank, cell, score: the k nearest centroids of each vector (id, vec)."""
-        return nearest_cells(df, self.centroids[0], k, self.distance)
+        return nearest_cells(df, self.centroids, k, self.distance).drop("problem")
 
 
 def nearest_cells(df: DataFrame, centroids: np.ndarray, k: int, metric: str = "euclidean") -> DataFrame:
-    k = min(k, len(centroids))
+    """q_id, rank, cell, score of the k centroids [n, d] nearest to each vector (id, vec); of several problems, centroids
+    [l, n, d] and vectors of l * d elements, with a column `problem`."""
+    several = centroids.ndim == 3
+    book = centroids if several else centroids[None]
+    k = min(k, book.shape[1])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = to_matrix(b.column("vec"))
-            order = np.argsort(-np.round(M.matrix(metric, x, centroids), 12), axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(x)), k), order.ravel()
-            rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array(rank), pa.array(cols, pa.int32()), pa.array(M.direct(metric, x[rows], centroids[cols]))], names=["q_id", "rank", "cell", "score"])
-
-    return _prepared(df).mapInArrow(run, "q_id long, rank int, cell int, score double")
+            x, at = usable(b.column("vec"), len(book) * book.shape[2])
+            x = x.reshape(len(at), len(book), -1)
+            for p, c in enumerate(book):
+                rows, cols = np.repeat(np.arange(len(at)), k), nearest_k(metric, x[:, p], c, k).ravel()
+                arrays = [b.column("id").take(pa.array(at[rows])), pa.array(np.full(len(rows), p), pa.int32()), pa.array(np.tile(np.arange(1, k + 1), len(at)), pa.int32()), pa.array(cols, pa.int32()), pa.array(M.direct(metric, x[rows, p], c[cols]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["q_id", "problem", "rank", "cell", "score"])
+
+    out = _prepared(df).mapInArrow(run, "q_id long, problem int, rank int, cell int, score double")
+    return out if several else out.drop("problem")
 
 
 class MinibatchKMeans:

@@ -1,4 +1,9 @@
-"""Exact search: products of queries and base vectors, and top-k."""
+"""Exact search: products of queries and base vectors, and top-k.
+
+Defined cases: a vector that is null or holds a null or non-finite element takes no part, and a query meets the base
+vectors of its own width; repeated ids are rows of their own, as bases and as queries share the list of their id; ties
+go to the smaller id; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.arrow import best_rows, to_matrix
+from ..functions.arrow import best_rows, usable, widths
 
 #: A query block sent to every task of the base, and the tiles of the grid that larger sets of queries use.
 BROADCAST_BYTES, TILE = 32_000_000, 4096
@@ -45,16 +50,20 @@ def scored_pairs(pairs: DataFrame, metric: str = "euclidean", a: str = "q_vec",
     return pairs.withColumn("score", M.similarity(metric, M.doubles(a), M.doubles(b)))
 
 
-def _select(metric: str, k: int, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def select(metric: str, k: int, q: np.ndarray, ids: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q and of b, and their scores: each q's k best (and SLACK more) of b by the fast product, scored directly."""
     out = []
-    step = max(1, 4_000_000 // max(1, len(ids)))
+    step = max(1, 4_000_000 // max(1, len(ids) * (b.shape[1] if M.canonical(metric) == "manhattan" else 1)))
     for i in range(0, len(q), step):
         s = np.round(M.matrix(metric, q[i : i + step], b), 12)
         rows, cols = best_rows(s, ids, k + SLACK)
-        exact = M.direct(metric, q[i + rows], b[cols])
-        out.append((qid[i + rows], ids[cols], exact))
-    q_id, id_, score = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(id_), pa.array(score)], names=["q_id", "id", "score"])
+        out.append((i + rows, cols, M.direct(metric, q[i + rows], b[cols])))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _hits(metric: str, k: int, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    rows, cols, score = select(metric, k, q, ids, b) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(ids[cols]), pa.array(score)], names=["q_id", "id", "score"])
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", digits: int = 9) -> DataFrame:
@@ -64,34 +73,35 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean",
     are merged by a window that cuts each group early. Queries of a checked size are sent to every task; more
     of them are dealt, with the base, into a grid of tiles. Scores equal up to `digits` rank by id."""
     M.canonical(metric)
-    found = None
-    small = queries.select("q_id", M.doubles("q_vec").alias("v"))
-    n = small.count()
-    width = small.select(F.max(F.size("v"))).first()[0] or 0
+    small = queries.select(F.col("q_id").cast("long").alias("q_id"), M.doubles("q_vec").alias("v"))
+    n, width = small.select(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     base = base.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("v"))
-    if n * width * 8 <= BROADCAST_BYTES:
+    if n * max(1, width) * 8 <= BROADCAST_BYTES:
         t = small.toArrow()
-        qid, q = t.column("q_id").to_numpy().astype(np.int64), to_matrix(t.column("v")) if n else np.zeros((0, 0))
+        blocks_of = [(t.column("q_id").to_numpy().astype(np.int64)[at], q) for w in widths(t.column("v")) for q, at in (usable(t.column("v"), w),) if len(at)]
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                if len(qid) and b.num_rows:
-                    yield _select(metric, k, qid, q, b.column("id").to_numpy(), to_matrix(b.column("v")))
+                for qid, q in blocks_of:
+                    x, at = usable(b.column("v"), q.shape[1])
+                    if len(at):
+                        yield _hits(metric, k, qid, q, b.column("id").to_numpy()[at], x)
 
         found = base.mapInArrow(run, "q_id long, id long, score double")
     else:
 
         def tile(key, left, right):
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"q_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            one = _select(metric, k, left["q_id"].to_numpy(), to_matrix(left["v"]), right["id"].to_numpy(), to_matrix(right["v"]))
-            return pa.Table.from_batches([one])
+            out = [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["q_id", "id", "score"])]
+            for w in widths(left["v"]) if left.num_rows and right.num_rows else []:
+                (q, own), (x, at) = usable(left["v"], w), usable(right["v"], w)
+                out.append(_hits(metric, k, left["q_id"].to_numpy()[own], q, right["id"].to_numpy()[at], x))
+            return pa.Table.from_batches(out)
 
         blocks, shards = -(-n // TILE), max(1, -(-base.count() // TILE))
         every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-        spread = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
-        left = small.withColumns({"q_id": F.col("q_id").cast("long"), "block": spread("q_id", blocks)}).withColumn("shard", every(shards))
-        right = base.withColumn("shard", spread("id", shards)).withColumn("block", every(blocks))
+        spread = lambda size, *c: F.pmod(F.xxhash64(*c), F.lit(size)).cast("int")
+        left = small.withColumn("block", spread(blocks, "q_id", "v")).withColumn("shard", every(shards))
+        right = base.withColumn("shard", spread(shards, "id", "v")).withColumn("block", every(blocks))
         found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(tile, "q_id long, id long, score double")
     ranked = top_k(found.withColumn("_s", F.round("score", digits)), k, ["q_id"], "_s")
     return ranked.select("q_id", "rank", "id", "score")
@@ -112,6 +122,14 @@ def masked_product(pairs: DataFrame, mask: DataFrame, on: list[str], metric: str
     return scored_pairs(pairs.join(mask, on, "left_semi"), metric)
 
 
+def block_masked_product(a: DataFrame, b: DataFrame, blocks: DataFrame, size: int, metric: str = "inner") -> DataFrame:
+    """i, j, score of the pairs of a (i, x) and b (j, y) in the size x size blocks that `blocks` (bi, bj) lists; the others
+    are never formed."""
+    left = a.withColumn("bi", F.floor(F.col("i") / size).cast("long")).join(blocks.select(F.col("bi").cast("long"), F.col("bj").cast("long")).distinct(), "bi")
+    pairs = left.join(b.withColumn("bj", F.floor(F.col("j") / size).cast("long")), "bj")
+    return scored_pairs(pairs, metric, "x", "y").select("i", "j", "score")
+
+
 def batched_product(a: DataFrame, b: DataFrame, element: str = "madd") -> DataFrame:
     """problem, i, j, value: within each problem the product of every a (problem, i, x) with every b (problem, j, y)."""
     value = M.ELEMENT[element](M.doubles("x"), M.doubles("y"))
