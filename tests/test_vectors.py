@@ -1,5 +1,7 @@
 """Operators against numpy, and the properties of stores and indexes."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -342,3 +344,144 @@ def test_cell_of_address(spark):
     out = {r["address"]: r["cell"] for r in store.cell_of_address(spark.range(-2, 15).withColumnRenamed("id", "address"), starts).collect()}
     assert out == {a: 4 if 0 <= a < 3 else 2 if 3 <= a < 8 else 9 if 10 <= a < 12 else -1 for a in range(-2, 15)}
     assert {r["cell"] for r in store.cell_of_address(spark.range(3).withColumnRenamed("id", "address"), starts.limit(0)).collect()} == {-1}
+
+
+def awkward(spark, x):
+    """Vectors that cannot be compared among those that can."""
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    n = len(rows)
+    bad = [None, [], [1.0] * (x.shape[1] - 1), [None] * x.shape[1], [float("nan")] * x.shape[1], [float("inf")] + [0.0] * (x.shape[1] - 1)]
+    return spark.createDataFrame(rows + [(n + i, v) for i, v in enumerate(bad)] + [(None, rows[0][1])], "id long, vec array<double>").repartition(3), n
+
+
+def test_vectors_that_cannot_be_compared_take_no_part(spark, x):
+    df, n = awkward(spark, x[:60])
+    good = df.where(f"id < {n}")
+    q = as_queries(df.where(f"id < 4 or id >= {n}"))
+    want = found(search.knn(good, as_queries(good.where("id < 4")), 5))
+    assert [f for f in found(search.knn(df.where("id is not null"), q, 5)) if f[0] < 4] == want
+    short = found(search.knn(df.where("id is not null"), q, 5))
+    assert [f for f in short if f[0] >= 4] == [(n + 1, 1, n + 1), (n + 2, 1, n + 2)]  # the empty and the shorter one meet themselves
+    assert clustering.assign(df, x[:5]).count() == n + 1
+    km, plain = clustering.KMeans(4, max_iter=3, tol=0.0), clustering.KMeans(4, max_iter=3, tol=0.0)
+    km.fit(df.where("id is not null"), x[:4])
+    plain.fit(good, x[:4])
+    assert np.allclose(km.centroids, plain.centroids) and clustering.KMeans(4, max_iter=2, init_mode="kmeans++").fit(df).count() == n + 1
+    means = clustering.grouped_means(df.withColumn("g", F.lit(1)), "g", x.shape[1]).first()
+    assert means["n"] == n + 1 and np.allclose(means["mean"], np.concatenate([x[:60], x[:1]]).mean(0))
+    for codec in (codecs.PQCodec(4, 8, max_iter=2), codecs.SQCodec(8), codecs.PCA(3), codecs.VQCodec(4, max_iter=2)):
+        codec.train(df)
+        assert codec.decode(codec.encode(df)).count() == n + 1
+    index = ivf.IVFPQRIndex(4, 4, 3, 2, 8, vq_iter=2, pq_iter=2)
+    index.train(df)
+    index.add(df)
+    index.n_probe, index.use_smart_probing = 3, False
+    assert index.codes.count() == n + 1 and {r["q_id"] for r in index.search(q, 2).collect()} == {0, 1, 2, 3}
+    empty = df.limit(0)
+    index.add(empty)
+    assert index.search(as_queries(empty), 3).count() == 0 and search.knn(empty, q, 3).count() == 0 and clustering.assign(empty, x[:3]).count() == 0
+
+
+def test_repeated_ids_in_an_index(spark, x):
+    df = frame(spark, x[:40]).unionByName(frame(spark, x[40:50]))  # ids 0 to 9 twice
+    index = ivf.IVFPQIndex(4, 3, residual=True, n_pq_clusters=16, vq_iter=2, pq_iter=2)
+    index.train(df)
+    assert index.add(df).count() == 50 and index.decode(index.codes).count() == 50
+    rows = index.rows.select("cell", "slot").collect()
+    assert len(set(rows)) == 50 and sorted(r["slot"] for r in rows if r["cell"] == 0) == list(range(sum(r["cell"] == 0 for r in rows)))
+
+
+def test_addresses(spark, df, x):
+    index = ivf.IVFPQIndex(4, 5, n_pq_clusters=16, vq_iter=3, pq_iter=3)
+    index.train(df)
+    index.add(df.where("id < 100"))
+    added = index.add(df.where("id >= 100"))
+    assert added.count() == 200 and index.rows.select("cell", "slot").distinct().count() == 300
+    index.n_probe, index.use_smart_probing = 5, False
+    q = as_queries(df.where("id < 6"))
+    hits = index.search(q, 4, return_address=True)
+    plain = {(r["q_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in index.search(q, 4).collect()}
+    assert {(r["q_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in hits.collect()} == plain
+    by_address = {(r["q_id"], r["cell"], r["slot"]): r["score"] for r in index.similarity_at_address(q, hits.select("q_id", "cell", "slot")).collect()}
+    by_id = {(r["q_id"], r["id"]): r["score"] for r in index.similarity_at_id(q, hits.select("q_id", "id")).collect()}
+    for r in hits.collect():
+        assert by_address[r["q_id"], r["cell"], r["slot"]] == pytest.approx(r["score"]) == by_id[r["q_id"], r["id"]]
+    starts = {r["cell"]: r["start"] for r in index.cell_starts(spark).collect()}
+    assert len({starts[r["cell"]] + r["slot"] for r in index.rows.collect()}) == 300
+    flat_ = ivf.FlatIndex()
+    flat_.add(df.where("id >= 200"))
+    assert sorted((r["id"], r["address"]) for r in flat_.add(df.where("id < 200"), return_address=True).collect()) == [(i, i + 100) for i in range(200)]
+    out = flat_.search(q, 3, return_address=True).collect()
+    assert all(r["address"] == (r["id"] + 100) % 300 for r in out) and [(r["q_id"], r["id"]) for r in out if r["rank"] == 1] == [(i, i) for i in range(6)]
+
+
+def test_search_reads_the_probed_cells_alone(spark, df):
+    index = ivf.IVFPQIndex(4, 8, n_pq_clusters=16, vq_iter=3, pq_iter=3)
+    index.train(df)
+    index.add(df)
+    q = as_queries(df.where("id < 1"))
+    (cell,) = [r["cell"] for r in index.probe(q).collect()]
+    plan = index.search(q, 3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^\]]*cell#\d+ (= {cell}|IN \({cell}\))", plan), plan
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_product_quantizer_codes_by_its_metric(df, x, metric):
+    pq = codecs.PQCodec(2, 8, metric, max_iter=4)
+    pq.train(df)
+    codes = pq.codes(x)
+    for s in range(2):
+        want = np.argmax(np.round(M.matrix(metric, x.reshape(-1, 2, 4)[:, s], pq.codebook[s]), 12), axis=1)
+        assert (codes[:, s] == want).all()
+
+
+@pytest.mark.parametrize("m", [4, 8])
+def test_half_byte_codes(spark, df, x, m):
+    pq = codecs.PQCodec(m, 16, max_iter=3, packed=True)
+    pq.train(df)
+    column = pq.pack(pq.codes(x))
+    assert len(column[0].as_py()) == m // 2 and (pq.unpack(column) == pq.codes(x)).all()
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(x), -1)
+    table = pq.adc(x[:5])
+    want = sum(table[:, s][:, pq.codes(x)[:, s]] for s in range(m))
+    assert np.allclose(pq.packed_scan(x[:5], packed), want)
+    index = ivf.IVFPQIndex(m, 4, n_pq_clusters=16, packed=True)
+    index.set_codebooks(x[:4], pq.codebook)
+    index.add(df)
+    index.n_probe, index.use_smart_probing = 4, False
+    top = {r["q_id"]: round(r["score"], 6) for r in index.search(as_queries(df.where("id < 5")), 1).collect()}
+    assert top == {i: round(want[i].max(), 6) + 0.0 for i in range(5)}
+
+
+def test_top_cells_of_many_problems(df, x):
+    km = clustering.MultiKMeans(2, 5)
+    km.centroids = x[:5].reshape(5, 2, 4).transpose(1, 0, 2).copy()
+    out = km.topk(df.where("id < 7"), 3).collect()
+    for p in range(2):
+        d = ((x[:7, None, p * 4 : p * 4 + 4] - km.centroids[p]) ** 2).sum(-1)
+        for i in range(7):
+            assert [r["cell"] for r in sorted((r for r in out if r["q_id"] == i and r["problem"] == p), key=lambda r: r["rank"])] == np.argsort(d[i], kind="stable")[:3].tolist()
+
+
+def test_farthest_first_equals_rescoring_all_seeds(df, x, monkeypatch):
+    monkeypatch.setattr(clustering, "SEEDS_A_CUT", 3)
+    want = [0]
+    while len(want) < 9:
+        d = np.round(np.min([((x - x[i]) ** 2).sum(1) for i in want], axis=0), 12)
+        want.append(int(np.lexsort((np.arange(len(x)), -d))[0]))
+    assert np.allclose(clustering.farthest_first(df, 9, first=x[0]), x[want])
+
+
+@pytest.mark.parametrize("mode", ["a", "b", "both", "none"])
+def test_half_precision_products(x, mode):
+    q, b = x[:5] * 1000, x * 1e-3
+    half = lambda v, on: (v / (np.abs(v).max() if on else 1)).astype(np.float16).astype(float) * (np.abs(v).max() if on else 1)
+    assert np.allclose(M.half_matrix("inner", q, b, mode), half(q, mode in ("a", "both")) @ half(b, mode in ("b", "both")).T)
+
+
+def test_block_masks(spark, df, x):
+    a, b = df.select(F.col("id").alias("i"), F.col("vec").alias("x")), df.select(F.col("id").alias("j"), F.col("vec").alias("y"))
+    blocks = spark.createDataFrame([(0, 1), (2, 2), (2, 2), (99, 0)], "bi int, bj int")
+    out = {(r["i"], r["j"]): r["score"] for r in search.block_masked_product(a, b, blocks, 8).collect()}
+    assert set(out) == {(i, j) for i in range(8) for j in range(8, 16)} | {(i, j) for i in range(16, 24) for j in range(16, 24)}
+    assert all(s == pytest.approx(x[i] @ x[j]) for (i, j), s in out.items())

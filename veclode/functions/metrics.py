@@ -107,6 +107,20 @@ def matrix(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s if name != "euclidean" else 2 * s - (q * q).sum(1)[:, None] - (b * b).sum(1)[None]
 
 
+def half_matrix(metric: str, q: np.ndarray, b: np.ndarray, mode: str = "none") -> np.ndarray:
+    """Similarities as matrix, of elements kept in half precision: mode "a" divides the queries by their largest magnitude
+    before and multiplies after, "b" the base vectors, "both" either, "none" neither (beyond 65504 is infinite then)."""
+    if mode not in ("a", "b", "both", "none"):
+        raise ValueError("mode: a, b, both or none")
+
+    def kept(x: np.ndarray, scaled: bool) -> np.ndarray:
+        top = max(float(np.abs(x).max(initial=0)), 1e-30) if scaled else 1.0
+        with np.errstate(over="ignore"):
+            return (x / top).astype(np.float16).astype(np.float64) * top
+
+    return matrix(metric, kept(q, mode in ("a", "both")), kept(b, mode in ("b", "both")))
+
+
 def direct(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities of rows of q with the rows of b at the same place, without cancellation."""
     name = canonical(metric)

@@ -2,6 +2,9 @@
 
 Each has train, encode and decode over DataFrames (id, vec). Codebooks are small numpy arrays held by the codec
 and sent to tasks; codes are columns.
+
+Defined cases: a vector that is null, has another width than the codec's (in training: than most sampled ones) or
+holds a null or non-finite element is not learnt from and gets no code; repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.arrow import from_matrix, to_matrix
-from .clustering import KMeans, MultiKMeans, assign
+from ..functions.arrow import from_matrix, usable
+from .clustering import KMeans, MultiKMeans, assign, nearest
 
 
 class BaseCodec(ABC):
@@ -61,13 +64,14 @@ class VQCodec(BaseCodec):
 
 
 class PQCodec(BaseCodec):
-    """The vector is cut into sub-vectors, each coded by its nearest of up to 256 centroids: m bytes."""
-
-    def __init__(self, n_subvectors: int = 8, n_clusters: int = 256, distance: str = "euclidean", max_iter: int = 25, codebook: np.ndarray | None = None, **options) -> None:
-        if n_clusters > 256:
-            raise ValueError("a code is one byte: at most 256 clusters")
-        self.m, self.distance = n_subvectors, M.canonical(distance)
-        self.kmeans = MultiKMeans(n_subvectors, n_clusters, distance="euclidean", max_iter=max_iter, **options)
+    """The vector is cut into sub-vectors, each coded by its nearest (by `distance`) of up to 256 centroids: m bytes.
+    packed: of up to 16 centroids, two codes a byte (sub-vector 2i in the high half)."""
+
+    def __init__(self, n_subvectors: int = 8, n_clusters: int = 256, distance: str = "euclidean", max_iter: int = 25, codebook: np.ndarray | None = None, packed: bool = False, **options) -> None:
+        if n_clusters > (16 if packed else 256):
+            raise ValueError("a code is one byte (packed: half a byte): at most 256 (16) clusters")
+        self.m, self.distance, self.packed = n_subvectors, M.canonical(distance), packed
+        self.kmeans = MultiKMeans(n_subvectors, n_clusters, distance=distance, max_iter=max_iter, **options)
         if codebook is not None:
             self.kmeans.centroids, self.is_trained = codebook, True
 
@@ -80,10 +84,29 @@ class PQCodec(BaseCodec):
         self.kmeans.fit(df)
         self.is_trained = True
 
+    @property
+    def width(self) -> int:
+        """Elements of a vector."""
+        return self.m * self.codebook.shape[2]
+
     def codes(self, x: np.ndarray) -> np.ndarray:
-        book = self.codebook
-        x = x.reshape(len(x), self.m, -1)
-        return np.stack([np.argmax(np.round(M.matrix("euclidean", x[:, s], book[s]), 12), axis=1) for s in range(self.m)], axis=1).astype(np.uint8)
+        """[n, m]: the code of each sub-vector."""
+        book, x = self.codebook, x.reshape(len(x), self.m, -1)
+        return np.stack([nearest(self.distance, x[:, s], book[s])[1] for s in range(self.m)], axis=1).astype(np.uint8)
+
+    def pack(self, codes: np.ndarray) -> pa.Array:
+        """Codes as binary."""
+        if self.packed:
+            codes = np.concatenate([codes, np.zeros((len(codes), self.m % 2), np.uint8)], axis=1)
+            codes = codes[:, ::2] << 4 | codes[:, 1::2]
+        n, size = codes.shape
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
+
+    def unpack(self, column) -> np.ndarray:
+        """[n, m] of binary codes."""
+        size = -(-self.m // 2) if self.packed else self.m
+        codes = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), size)
+        return np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : self.m] if self.packed else codes
 
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return self.codebook[np.arange(self.m)[None], codes].reshape(len(codes), -1)
@@ -98,12 +121,12 @@ class PQCodec(BaseCodec):
         return (q * self.codebook[None]).sum(-1)
 
     def encode(self, df: DataFrame) -> DataFrame:
-        """id, code (binary of m bytes)"""
+        """id, code (binary of m bytes; packed: of half as many)"""
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                code = self.codes(to_matrix(b.column("vec")))
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
+                x, at = usable(b.column("vec"), self.width)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), self.pack(self.codes(x))], names=["id", "code"])
 
         return df.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("vec")).mapInArrow(run, "id long, code binary")
 
@@ -112,8 +135,7 @@ class PQCodec(BaseCodec):
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                code = np.array([np.frombuffer(c.as_py(), np.uint8) for c in b.column("code")]).reshape(b.num_rows, self.m)
-                yield pa.RecordBatch.from_arrays([b.column("id"), from_matrix(self.decoded(code))], names=["id", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), from_matrix(self.decoded(self.unpack(b.column("code"))))], names=["id", "vec"])
 
         return codes.select("id", "code").mapInArrow(run, "id long, vec array<double>")
 
@@ -122,9 +144,10 @@ class PQCodec(BaseCodec):
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                t = self.adc(to_matrix(b.column("v")))
+                x, at = usable(b.column("v"), self.width)
+                t = self.adc(x)
                 n, m, k = t.shape
-                q = np.repeat(np.arange(n), m * k)
+                q = np.repeat(at, m * k)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("q_id").take(pa.array(q)), pa.array(np.tile(np.repeat(np.arange(m), k), n), pa.int32()), pa.array(np.tile(np.arange(k), n * m), pa.int32()), pa.array(t.ravel())], names=["q_id", "sub", "code", "value"]
                 )
@@ -132,14 +155,34 @@ class PQCodec(BaseCodec):
         return queries.select("q_id", M.doubles("q_vec").alias("v")).mapInArrow(run, "q_id long, sub int, code int, value double")
 
 
+    def packed_scan(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """[queries, n]: scores of half-byte codes by tables of whole bytes: a byte is looked up once for its two codes."""
+        table = self.adc(q)
+        k = table.shape[2]
+        out = np.zeros((len(q), len(codes)))
+        for i in range(0, self.m, 2):
+            pair = np.zeros((len(q), 16, 16))
+            pair[:, :k] += table[:, i, :, None]
+            if i + 1 < self.m:
+                pair[:, :, :k] += table[:, i + 1, None, :]
+            out += pair.reshape(len(q), 256)[:, codes[:, i // 2]]
+        return out
+
+
 def long_codes(codes: DataFrame) -> DataFrame:
-    """id, sub, code of packed codes: one row a byte."""
+    """id, sub, code of binary codes: one row a byte."""
     m = F.octet_length("code")
     at = F.explode(F.sequence(F.lit(0), m - 1)).alias("sub")
     value = F.conv(F.hex(F.expr("substring(code, sub + 1, 1)")), 16, 10).cast("int")
     return codes.select("id", "code", at).select("id", "sub", value.alias("code"))
 
 
+def whole(v: str) -> Column:
+    """Whether a vector has no null and no non-finite element."""
+    x = M.doubles(v)
+    return x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+
+
 class SQCodec(BaseCodec):
     """Each dimension is scaled into a range learnt from the data and rounded to 4 or 8 bits; 16 bits are half
     precision, 32 the value itself. Expressions only."""
@@ -152,7 +195,7 @@ class SQCodec(BaseCodec):
         self.range: list[float] = []
 
     def train(self, df: DataFrame) -> None:
-        per = df.select(F.posexplode(M.doubles("vec")).alias("pos", "x")).groupBy("pos")
+        per = df.where(whole("vec")).select(F.posexplode(M.doubles("vec")).alias("pos", "x")).groupBy("pos")
         if self.mode == "minmax":
             t = per.agg(F.min("x").alias("low"), F.max("x").alias("high"))
         else:
@@ -171,7 +214,7 @@ class SQCodec(BaseCodec):
         if self.bits >= 16:
             return df.select("id", (M.half(v) if self.bits == 16 else v).alias("code"))
         low, wide = self._columns()
-        bins = 1 << self.bits
+        bins, df = 1 << self.bits, df.where(whole("vec") & (F.size("vec") == len(self.low)))
         unit = F.zip_with(F.zip_with(v, low, lambda x, a: x - a), wide, lambda x, r: x / r)
         code = F.transform(unit, lambda x: F.least(F.greatest(F.rint(x * bins), F.lit(0.0)), F.lit(bins - 1.0)).cast("int"))
         if self.bits == 4:
@@ -194,12 +237,14 @@ class SQCodec(BaseCodec):
 def covariance(df: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     """n, the mean and the covariance (over n - 1) of vec. Tasks add up X'X around a pilot mean, so that a large offset
     does not cancel; width^2 + width + 1 numbers a task are summed by an aggregate, by position."""
-    pilot = np.array(df.select(M.doubles("vec").alias("v")).limit(1).toArrow()["v"].to_pylist()[:1] or [[0.0] * width])[0]
+    some = df.where(whole("vec") & (F.size("vec") == width)).select(M.doubles("vec").alias("v")).limit(1).toArrow()
+    pilot = np.array(some["v"].to_pylist()[:1] or [[0.0] * width])[0]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width + 1, width + 1))
         for b in it:
-            x = np.concatenate([to_matrix(b.column("v")) - pilot, np.ones((b.num_rows, 1))], axis=1) if b.num_rows else np.zeros((0, width + 1))
+            own = usable(b.column("v"), width)[0]
+            x = np.concatenate([own - pilot, np.ones((len(own), 1))], axis=1)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "x"])
 
@@ -218,7 +263,7 @@ class PCA(BaseCodec):
         self.mean = self.components = self.variances = np.zeros(0)
 
     def train(self, df: DataFrame) -> None:
-        width = df.select(F.max(F.size("vec"))).first()[0]
+        width = df.where(whole("vec")).groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()["w"]  # one row a width
         _, self.mean, cov = covariance(df, width)
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(-values, kind="stable")[: self.n_components]
@@ -226,15 +271,16 @@ class PCA(BaseCodec):
         self.components = w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(1)])[:, None]
         self.variances, self.is_trained = values[order], True
 
-    def _mapped(self, df: DataFrame, f) -> DataFrame:
+    def _mapped(self, df: DataFrame, f, width: int) -> DataFrame:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                yield pa.RecordBatch.from_arrays([b.column("id"), from_matrix(f(to_matrix(b.column("vec"))))], names=["id", "vec"])
+                x, at = usable(b.column("vec"), width)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), from_matrix(f(x))], names=["id", "vec"])
 
         return df.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("vec")).mapInArrow(run, "id long, vec array<double>")
 
     def encode(self, df: DataFrame) -> DataFrame:
-        return self._mapped(df, lambda x: (x - self.mean) @ self.components.T)
+        return self._mapped(df, lambda x: (x - self.mean) @ self.components.T, len(self.mean))
 
     def decode(self, codes: DataFrame) -> DataFrame:
-        return self._mapped(codes, lambda y: y @ self.components + self.mean)
+        return self._mapped(codes, lambda y: y @ self.components + self.mean, len(self.components))

@@ -1,23 +1,30 @@
 """IVF-PQ: cells by a coarse quantizer, product-quantized codes in the cells, search in the nearest cells.
 
-The index is a table (id, cell, code) and two small codebooks. A search finds each query's cells, joins them
-with the codes by cell, scores inside the cell by lookup tables and keeps each query's k best of a cell before
-anything is merged. A cell with many codes is salted into pieces, since lists of best hits can be merged.
+Adding vectors assigns and encodes them in one pass and stores the codes once, in the shared folder, partitioned by cell;
+sizes of cells (one number a cell) stay beside them. A search finds each query's cells and reads those alone: the
+numbers of the probed cells are a filter of the scan, which leaves out the other cells' files. Codes meet the queries that ask for their
+cell by a cogroup; inside it they are decoded and multiplied with all of them at once, and only each query's best of
+the cell goes on. A cell with many codes is dealt into pieces, since lists of best hits can be merged.
+
+Defined cases: a vector that is null, has another width than the codebooks or holds a null or non-finite element is
+not added, and as a query finds nothing; repeated ids are entries of their own; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.arrow import best_rows, to_matrix
-from ..sources import persist
-from .clustering import KMeans, assign, nearest_cells
+from ..functions.arrow import from_matrix, to_matrix, usable
+from ..sources import persist, scratch, store
+from .clustering import KMeans, nearest, nearest_cells
 from .codecs import PQCodec, VQCodec
-from .search import padded, top_k
+from .search import knn, padded, select, top_k
 
 #: Codes that a task scores at once.
 PIECE = 65_536
@@ -40,122 +47,231 @@ def smart_probes(probes: DataFrame, n_probe: int, temperature: float = 30.0) ->
 
 class IVFPQIndex:
     """distance: euclidean, inner, cosine or manhattan; the coarse step is always Euclidean. With residual, codes are of the
-    vector less its cell's centroid and scores are negative squared distances."""
+    vector less its cell's centroid and scores are negative squared distances. packed: half-byte codes."""
 
-    def __init__(self, n_subvectors: int = 8, n_cells: int = 128, distance: str = "euclidean", residual: bool = False, n_pq_clusters: int = 256, vq_iter: int = 15, pq_iter: int = 25, seed: int = 0) -> None:
+    def __init__(self, n_subvectors: int = 8, n_cells: int = 128, distance: str = "euclidean", residual: bool = False, n_pq_clusters: int = 256, vq_iter: int = 15, pq_iter: int = 25, seed: int = 0, packed: bool = False) -> None:
         self.distance, self.residual, self.n_cells = M.canonical(distance), residual, n_cells
         self.vq = VQCodec(n_cells, max_iter=vq_iter, seed=seed)
-        self.pq = PQCodec(n_subvectors, n_pq_clusters, "euclidean" if residual else self.distance, pq_iter, seed=seed)
+        self.pq = PQCodec(n_subvectors, n_pq_clusters, "euclidean" if residual else self.distance, pq_iter, packed=packed, seed=seed)
         self.n_probe, self.use_smart_probing, self.temperature = 1, True, 30.0
-        self.codes: DataFrame | None = None
+        self._parts: list[DataFrame] = []
+        self._gone: list[DataFrame] = []
+        self._sizes = np.zeros(n_cells, np.int64)
+
+    def __getstate__(self) -> dict:
+        """What tasks need: all but the tables."""
+        return self.__dict__ | {"_parts": [], "_gone": []}
 
     @property
     def is_trained(self) -> bool:
         return self.vq.is_trained and self.pq.is_trained
 
+    @property
+    def score_metric(self) -> str:
+        """What hits are scored by: cosine vectors are normalised before, so theirs is the inner product."""
+        return "euclidean" if self.residual else "inner" if self.distance == "cosine" else self.distance
+
     def set_codebooks(self, centroids: np.ndarray, codebook: np.ndarray) -> None:
         """Known codebooks instead of training: [n_cells, d] and [m, k, d / m]."""
         self.vq.kmeans.centroids, self.vq.is_trained = centroids[None], True
         self.pq.kmeans.centroids, self.pq.is_trained = codebook, True
 
-    def _ready(self, df: DataFrame, id_: str = "id", vec: str = "vec") -> DataFrame:
-        v = M.doubles(vec)
-        return df.select(F.col(id_).cast("long").alias("id"), (M.normalize(v) if self.distance == "cosine" else v).alias("vec"))
+    def _plain(self, df: DataFrame, id_: str = "id", vec: str = "vec") -> DataFrame:
+        return df.select(F.col(id_).cast("long").alias("id"), M.doubles(vec).alias("vec"))
+
+    def _ready(self, x: np.ndarray) -> np.ndarray:
+        return M.unit_rows(x, M.NORM_EPS) if self.distance == "cosine" else x
+
+    def _mapped(self, df: DataFrame, f, width: int | None = None) -> DataFrame:
+        """(id, vec) with f of the ready vectors."""
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                x, at = usable(b.column("vec"), width)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), from_matrix(f(self._ready(x)))], names=["id", "vec"])
+
+        return df.mapInArrow(run, "id long, vec array<double>")
 
     def train(self, df: DataFrame, force_retrain: bool = False) -> None:
         if self.is_trained and not force_retrain:
             return
-        df = self._ready(df)
-        self.vq.train(df)
-        self.pq.train(self._residuals(df) if self.residual else df)
+        df = self._plain(df)
+        ready = self._mapped(df, lambda x: x) if self.distance == "cosine" else df
+        self.vq.train(ready)
+        book = self.vq.codebook
+        self.pq.train(self._mapped(df, lambda x: x - book[nearest("euclidean", x, book)[1]], book.shape[1]) if self.residual else ready)
+
+    # what a row holds besides its id: the cell and the codes
+
+    def _fields(self) -> list[str]:
+        return ["code"]
+
+    def _coded(self, x: np.ndarray, cell: np.ndarray) -> list[pa.Array]:
+        return [self.pq.pack(self.pq.codes(x - self.vq.codebook[cell] if self.residual else x))]
 
-    def _residuals(self, df: DataFrame) -> DataFrame:
-        near = self.vq.decode(self.vq.encode(df)).withColumnRenamed("vec", "c")
-        return df.join(near, "id").select("id", M.residual(F.col("vec"), F.col("c")).alias("vec"))
+    def _near(self, cell: np.ndarray, codes: list) -> np.ndarray:
+        """What the first codes stand for."""
+        x = self.pq.decoded(self.pq.unpack(codes[0]))
+        return x + self.vq.codebook[cell] if self.residual else x
+
+    def _encoded(self, df: DataFrame) -> DataFrame:
+        book, fields = self.vq.codebook, self._fields()
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                x, at = usable(b.column("vec"), book.shape[1])
+                x = self._ready(x)
+                cell = nearest("euclidean", x, book)[1]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(cell, pa.int32()), *self._coded(x, cell)], names=["id", "cell", *fields])
+
+        return self._plain(df).mapInArrow(run, "id long, cell int, " + ", ".join(f"{f} binary" for f in fields))
 
     def encode(self, df: DataFrame) -> DataFrame:
-        """id, cell, code of each vector (id, vec)."""
-        df = self._ready(df)
-        cells = assign(df, self.vq.codebook)
-        codes = self.pq.encode(self._residuals(df) if self.residual else df)
-        return codes.join(cells.select("id", "cell"), "id").select("id", "cell", "code")
+        """id, cell, code of each vector (id, vec), in one pass."""
+        return self._encoded(df).select("id", "cell", "code")
 
     def decode(self, codes: DataFrame) -> DataFrame:
         """id, vec of codes (id, cell, code)."""
-        out = self.pq.decode(codes)
-        if not self.residual:
-            return out
-        near = self.vq.decode(codes.select("id", F.col("cell").alias("code"))).withColumnRenamed("vec", "c")
-        return out.join(near, "id").select("id", F.zip_with("vec", "c", lambda a, b: a + b).alias("vec"))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                yield pa.RecordBatch.from_arrays([b.column("id"), from_matrix(self._near(b.column("cell").to_numpy(), [b.column("code")]))], names=["id", "vec"])
+
+        return codes.select("id", "cell", "code").mapInArrow(run, "id long, vec array<double>")
+
+    # the stored rows
+
+    @property
+    def rows(self) -> DataFrame:
+        """id, cell, slot, code of what was added and not removed."""
+        out = self._parts[0]
+        for part in self._parts[1:]:
+            out = out.unionByName(part)
+        for ids in self._gone:
+            out = out.join(ids, "id", "left_anti")
+        return out
+
+    @property
+    def codes(self) -> DataFrame:
+        return self.rows.select("id", "cell", "code")
+
+    @codes.setter
+    def codes(self, rows: DataFrame) -> None:
+        """Rows that were encoded before (id, cell, code and, if they have them, slot), instead of what was added."""
+        own = rows if "slot" in rows.columns else rows.withColumn("slot", F.lit(-1).cast("long"))
+        self._parts, self._gone = [own.select("id", F.col("cell").cast("int").alias("cell"), "slot", *self._fields())], []
+        self._sizes = self._counted(own)
+
+    def _counted(self, rows: DataFrame) -> np.ndarray:
+        sizes = np.zeros(self.n_cells, np.int64)
+        for r in rows.groupBy("cell").count().collect():  # one row a cell
+            sizes[r["cell"]] = r["count"]
+        return sizes
+
+    def _per_cell(self, spark, values: np.ndarray, name: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(list(enumerate(values.tolist())), f"cell int, {name} long"))
 
     def add(self, df: DataFrame) -> DataFrame:
-        """Appends vectors (id, vec) and returns their codes."""
-        new = self.encode(df)
-        self.codes = new if self.codes is None else self.codes.unionByName(new)
-        return new
+        """Appends vectors (id, vec) and returns their codes and addresses: id, cell, slot, code. Slots of a cell go on from
+        its size, in the order of id."""
+        spark, path = df.sparkSession, scratch.folder(df.sparkSession)
+        placed = store.numbered(self._encoded(df), ["cell", "id"], "n")
+        sizes = self._counted(placed)
+        first = self._per_cell(spark, self._sizes - (np.cumsum(sizes) - sizes), "shift")
+        placed = placed.join(first, "cell").withColumn("slot", F.col("n") + F.col("shift")).select("id", "slot", *self._fields(), "cell")
+        placed.repartitionByRange("cell", "slot").sortWithinPartitions("cell", "slot").write.partitionBy("cell").parquet(path)
+        part = spark.read.schema(f"id long, slot long, {', '.join(f'{f} binary' for f in self._fields())}, cell int").parquet(path)
+        self._sizes = self._sizes + sizes
+        self._parts.append(part.select("id", "cell", "slot", *self._fields()))
+        return self._parts[-1]
 
     def remove(self, ids: DataFrame) -> None:
-        self.codes = self.codes.join(ids.select("id").distinct(), "id", "left_anti")
+        self._gone.append(ids.select("id").distinct())
+
+    def cell_starts(self, spark) -> DataFrame:
+        """cell, start, capacity: an address is the cell's start and the slot."""
+        return store.cell_starts(spark.createDataFrame(list(enumerate(self._sizes.tolist())), "cell int, capacity long"))
+
+    # search
 
     def probe(self, queries: DataFrame) -> DataFrame:
         """q_id, rank, cell, score of the cells that each query (q_id, q_vec) will search."""
-        q = self._ready(queries, "q_id", "q_vec")
-        probes = nearest_cells(q, self.vq.codebook, self.n_probe)
+        q = self._plain(queries, "q_id", "q_vec")
+        probes = nearest_cells(self._mapped(q, lambda x: x) if self.distance == "cosine" else q, self.vq.codebook, self.n_probe)
         return smart_probes(probes, min(self.n_probe, self.n_cells), self.temperature) if self.use_smart_probing else probes
 
-    def search(self, queries: DataFrame, k: int = 1, pad: bool = False) -> DataFrame:
-        """q_id, rank, id, score"""
-        found = self.search_cells(queries, self.probe(queries), k)
+    def search(self, queries: DataFrame, k: int = 1, pad: bool = False, return_address: bool = False) -> DataFrame:
+        """q_id, rank, id, score and, if asked for, cell and slot."""
+        found = self.search_cells(queries, self.probe(queries), k, return_address)
         return padded(found, queries, k) if pad else found
 
-    def search_cells(self, queries: DataFrame, probes: DataFrame, k: int = 1) -> DataFrame:
+    def search_cells(self, queries: DataFrame, probes: DataFrame, k: int = 1, return_address: bool = False) -> DataFrame:
         """As search, in the cells that probes (q_id, cell) lists."""
-        q = self._ready(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
-        asked = probes.select("q_id", "cell").distinct().join(q, "q_id")
-        sizes = self.codes.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-        left = asked.join(sizes, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        right = self.codes.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-        found = left.select("cell", "piece", "q_id", "v").groupBy("cell", "piece").cogroup(right.select("cell", "piece", "id", "code").groupBy("cell", "piece")).applyInArrow(self._scan(k), "q_id long, id long, score double")
-        return top_k(found.withColumn("_s", F.round("score", 9)), k, ["q_id"], "_s").select("q_id", "rank", "id", "score")
-
-    def _scan(self, k: int):
-        pq, residual, centroids = self.pq, self.residual, self.vq.codebook
+        found = self._first(queries, probes, k)
+        return found.select("q_id", "rank", "id", "score", *(["cell", "slot"] if return_address else []))
+
+    def _first(self, queries: DataFrame, probes: DataFrame, k: int, *more: str) -> DataFrame:
+        spark = queries.sparkSession
+        q = self._plain(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
+        pieces = self._per_cell(spark, -(-self._sizes // PIECE), "pieces")
+        probes = scratch.cut(probes.select("q_id", F.col("cell").cast("int").alias("cell")).distinct())
+        asked = probes.join(q, "q_id").join(pieces, "cell").where("pieces > 0")
+        left = asked.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        probed = [r["cell"] for r in probes.select("cell").distinct().collect()]  # one row a cell at most
+        right = self.rows.where(F.col("cell").isin(probed)).join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("id", "slot"), F.col("pieces")))
+        fields = "".join(f", {f} binary" for f in more)
+        left, right = left.select("cell", "piece", "q_id", "v").groupBy("cell", "piece"), right.select("cell", "piece", "id", "slot", *self._fields()).groupBy("cell", "piece")
+        found = left.cogroup(right).applyInArrow(self._scan(k, more), f"q_id long, id long, cell int, slot long, score double{fields}")
+        return top_k(found.withColumn("_s", F.round("score", 9)), k, ["q_id"], "_s")
+
+    def _scan(self, k: int, more: tuple[str, ...]):
+        metric, fields, width = self.score_metric, self._fields(), self.vq.codebook.shape[1]
+        schema = pa.schema([("q_id", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("slot", pa.int64()), ("score", pa.float64()), *((f, pa.binary()) for f in more)])
 
         def run(key, left, right):
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"q_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            q, ids = to_matrix(left["v"]), right["id"].to_numpy()
-            code = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(ids), pq.m)
-            if residual:
-                q = q - centroids[key[0].as_py()]
-            out = []
-            for i in range(0, len(q), 64):
-                table = pq.adc(q[i : i + 64])
-                s = sum(table[:, m][:, code[:, m]] for m in range(pq.m))
-                rows, cols = best_rows(np.round(s, 9), ids, k)
-                out.append((i + rows, cols, s[rows, cols]))
-            rows, cols, s = (np.concatenate(c) for c in zip(*out, strict=True))
-            return pa.table({"q_id": left["q_id"].to_numpy()[rows], "id": ids[cols], "score": s})
+            q, own = usable(left["v"], width) if left.num_rows and right.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
+            if not len(own):
+                return schema.empty_table()
+            right, cell = right.combine_chunks(), key[0].as_py()
+            ids = right["id"].to_numpy()
+            near = self._near(np.full(len(ids), cell), [right[f].combine_chunks() for f in fields])
+            rows, cols, score = select(metric, k, self._ready(q), ids, near)
+            hit = right.take(pa.array(cols))
+            return pa.table([pa.array(left["q_id"].to_numpy()[own[rows]]), hit["id"], pa.array(np.full(len(rows), cell), pa.int32()), hit["slot"], pa.array(score), *(hit[f] for f in more)], schema=schema)
 
         return run
 
+    def _similarity(self, queries: DataFrame, pairs: DataFrame, on: list[str]) -> DataFrame:
+        q = self._mapped(self._plain(queries, "q_id", "q_vec"), lambda x: x).select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
+        some = self.rows.join(pairs.select(*on).distinct(), on, "left_semi")
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                near = self._near(b.column("cell").to_numpy(), [b.column("code")])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cell"), b.column("slot"), from_matrix(near)], names=["id", "cell", "slot", "vec"])
+
+        near = some.select("id", "cell", "slot", "code").mapInArrow(run, "id long, cell int, slot long, vec array<double>")
+        return pairs.join(near, on).join(q, "q_id").select("q_id", *on, M.similarity(self.score_metric, F.col("v"), F.col("vec")).alias("score"))
+
     def similarity_at_id(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """q_id, id, score of given pairs (q_id, id); unknown ids are absent."""
-        q = self._ready(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
-        near = self.decode(self.codes.join(pairs.select("id").distinct(), "id", "left_semi"))
-        metric = "euclidean" if self.residual else "inner" if self.distance == "cosine" else self.distance
-        return pairs.join(near, "id").join(q, "q_id").select("q_id", "id", M.similarity(metric, F.col("v"), F.col("vec")).alias("score"))
+        return self._similarity(queries, pairs, ["id"]).select("q_id", "id", "score")
+
+    def similarity_at_address(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """q_id, cell, slot, score of given pairs (q_id, cell, slot); addresses without an entry are absent."""
+        return self._similarity(queries, pairs.withColumn("cell", F.col("cell").cast("int")), ["cell", "slot"])
 
     def save(self, path: str, spark) -> None:
-        settings = {"m": self.pq.m, "n_cells": self.n_cells, "distance": self.distance, "residual": self.residual, "k": int(self.pq.codebook.shape[1]), "n_probe": self.n_probe, "smart": self.use_smart_probing, "temperature": self.temperature}
-        persist.save(path, spark, settings, {"centroids": self.vq.codebook, "codebook": self.pq.codebook}, {"codes": self.codes})
+        settings = {"m": self.pq.m, "n_cells": self.n_cells, "distance": self.distance, "residual": self.residual, "k": int(self.pq.codebook.shape[1]), "n_probe": self.n_probe, "smart": self.use_smart_probing, "temperature": self.temperature, "packed": self.pq.packed}
+        persist.save(path, spark, settings, {"centroids": self.vq.codebook, "codebook": self.pq.codebook}, {"codes": self.rows}, {"codes": "cell"})
 
     @classmethod
     def load(cls, path: str, spark) -> IVFPQIndex:
         s, arrays, tables = persist.load(path, spark)
-        index = cls(s["m"], s["n_cells"], s["distance"], s["residual"], s["k"])
+        index = cls(s["m"], s["n_cells"], s["distance"], s["residual"], s["k"], packed=s["packed"])
         index.set_codebooks(arrays["centroids"], arrays["codebook"])
-        index.n_probe, index.use_smart_probing, index.temperature, index.codes = s["n_probe"], s["smart"], s["temperature"], tables["codes"]
+        index.n_probe, index.use_smart_probing, index.temperature = s["n_probe"], s["smart"], s["temperature"]
+        index.codes = tables["codes"]
         return index
 
 
@@ -166,55 +282,65 @@ class IVFPQRIndex(IVFPQIndex):
         super().__init__(n_subvectors, n_cells, n_pq_clusters=n_pq_clusters, **options)
         self.factor = rerank_factor
         self.fine = PQCodec(n_rerank, n_pq_clusters, max_iter=25)
-        self.fine_codes: DataFrame | None = None
-
-    def _left_over(self, df: DataFrame) -> DataFrame:
-        ready = self._ready(df)
-        near = self.decode(super().encode(df)).withColumnRenamed("vec", "c")
-        return ready.join(near, "id").select("id", M.residual(F.col("vec"), F.col("c")).alias("vec"))
 
     def train(self, df: DataFrame, force_retrain: bool = False) -> None:
         super().train(df, force_retrain)
         if force_retrain or not self.fine.is_trained:
-            self.fine.train(self._left_over(df))
+            book = self.vq.codebook
 
-    def add(self, df: DataFrame) -> DataFrame:
-        new = self.fine.encode(self._left_over(df))
-        self.fine_codes = new if self.fine_codes is None else self.fine_codes.unionByName(new)
-        return super().add(df)
+            def left_over(x: np.ndarray) -> np.ndarray:
+                cell = nearest("euclidean", x, book)[1]
+                return x - self._near(cell, super(IVFPQRIndex, self)._coded(x, cell))
 
-    def remove(self, ids: DataFrame) -> None:
-        super().remove(ids)
-        self.fine_codes = self.fine_codes.join(ids.select("id").distinct(), "id", "left_anti")
-
-    def search(self, queries: DataFrame, k: int = 1, pad: bool = False) -> DataFrame:
-        first = super().search(queries, k * self.factor).select("q_id", "id")
-        some = first.select("id").distinct()
-        near = self.decode(self.codes.join(some, "id", "left_semi")).join(self.fine.decode(self.fine_codes.join(some, "id", "left_semi")).withColumnRenamed("vec", "r"), "id")
-        near = near.select("id", F.zip_with("vec", "r", lambda a, b: a + b).alias("vec"))
-        q = self._ready(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
+            self.fine.train(self._mapped(self._plain(df), left_over, book.shape[1]))
+
+    def _fields(self) -> list[str]:
+        return ["code", "fine"]
+
+    def _coded(self, x: np.ndarray, cell: np.ndarray) -> list[pa.Array]:
+        first = super()._coded(x, cell)
+        return [*first, self.fine.pack(self.fine.codes(x - self._near(cell, first)))]
+
+    def search_cells(self, queries: DataFrame, probes: DataFrame, k: int = 1, return_address: bool = False) -> DataFrame:
         metric = "inner" if self.distance == "cosine" else self.distance
-        pairs = first.join(near, "id").join(q, "q_id").withColumn("score", M.similarity(metric, F.col("v"), F.col("vec")))
-        found = top_k(pairs.withColumn("_s", F.round("score", 9)), k, ["q_id"], "_s").select("q_id", "rank", "id", "score")
-        return padded(found, queries, k) if pad else found
+        first = self._first(queries, probes, k * self.factor, *self._fields())
+        q = self._plain(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
+
+        def again(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                near = self._near(b.column("cell").to_numpy(), [b.column("code")]) + self.fine.decoded(self.fine.unpack(b.column("fine")))
+                score = M.direct(metric, self._ready(to_matrix(b.column("v"))), near) if b.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("q_id", "id", "cell", "slot")), pa.array(score)], names=["q_id", "id", "cell", "slot", "score"])
+
+        pairs = first.join(q, "q_id").select("q_id", "id", "cell", "slot", "code", "fine", "v")
+        found = pairs.mapInArrow(again, "q_id long, id long, cell int, slot long, score double")
+        found = top_k(found.withColumn("_s", F.round("score", 9)), k, ["q_id"], "_s")
+        return found.select("q_id", "rank", "id", "score", *(["cell", "slot"] if return_address else []))
 
 
 class FlatIndex:
-    """Exact search over a store (id, vec)."""
+    """Exact search over a store (address, id, vec); addresses are dense, in the order of addition and of id."""
 
     def __init__(self, distance: str = "euclidean") -> None:
         self.distance, self.data = M.canonical(distance), None
 
-    def add(self, df: DataFrame) -> None:
-        self.data = df if self.data is None else self.data.unionByName(df)
+    def add(self, df: DataFrame, return_address: bool = False) -> DataFrame | None:
+        """Appends vectors (id, vec); their id and address, if asked for."""
+        own = df.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("vec"))
+        old = own.limit(0).select(F.col("id").alias("address"), "id", "vec") if self.data is None else self.data
+        self.data = store.flat_add(old, own)
+        return self.data.join(own.select("id").distinct(), "id", "left_semi").select("id", "address") if return_address else None
 
     def remove(self, ids: DataFrame) -> None:
         self.data = self.data.join(ids.select("id").distinct(), "id", "left_anti")
 
-    def search(self, queries: DataFrame, k: int = 1, pad: bool = False) -> DataFrame:
-        from .search import knn
-
-        found = knn(self.data, queries, k, self.distance)
+    def search(self, queries: DataFrame, k: int = 1, pad: bool = False, return_address: bool = False) -> DataFrame:
+        """q_id, rank, id, score and, if asked for, address. Rows that repeat an id have addresses of their own."""
+        if return_address:  # a row is found by its address, which names it; ties go to the smaller address then
+            by_address = knn(self.data.select(F.col("address").alias("id"), "vec"), queries, k, self.distance).withColumnRenamed("id", "address")
+            found = by_address.join(self.data.select("address", "id"), "address").select("q_id", "rank", "id", "score", "address")
+        else:
+            found = knn(self.data, queries, k, self.distance)
         return padded(found, queries, k) if pad else found
 
 
