@@ -32,7 +32,7 @@ from .common import batches, list_array, texts, with_key
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members (fixed values).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Characters a bucket of hashes stands for, and hashes a task gathers before it packs them.
-BUCKET_CHARS, FLUSH = 16_000_000, 500_000
+BUCKET_CHARS, FLUSH = 24_000_000, 500_000
 #: Documents of a home.
 HOME = 16
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd: they have inverses modulo 2^64
