@@ -119,16 +119,21 @@ def _partials(df: DataFrame, centroids: np.ndarray, metric: str) -> tuple[np.nda
     return sums.reshape(l * k, -1)[:, :d].reshape(l, k, d), count.reshape(l, k), score.reshape(l, k).sum(1)
 
 
-def sample_rows(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    """k vectors in the order of a hash of (id, vec, seed): the same for every run and partitioning."""
+def sampled(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k rows (id, vec) without null or non-finite elements, in the order of md5("seed/id"): the same for every run and
+    partitioning."""
     x = F.col("vec")
     whole = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    prepared = _prepared(df).where(whole)
-    rows = prepared.orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("vec")).limit(k).toArrow()
+    key = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    return _prepared(df).where(whole).orderBy(key, "id", F.xxhash64("vec")).limit(k)
+
+
+def sample_rows(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    """The vectors of k sampled rows, of the width that most of the first k have."""
+    rows = sampled(df, k, seed).toArrow()
     found = usable(rows.column("vec"))[0]
-    if len(found) < rows.num_rows:  # several widths: as many of the sample's most frequent one
-        rows = prepared.where(F.size(x) == found.shape[1]).orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("vec")).limit(k).toArrow()
-        found = usable(rows.column("vec"))[0]
+    if len(found) < rows.num_rows:
+        found = usable(sampled(df.where(F.size("vec") == found.shape[1]), k, seed).toArrow().column("vec"))[0]
     if len(found) < k:
         raise ValueError(f"{k} clusters need as many vectors; there are {len(found)}")
     return found

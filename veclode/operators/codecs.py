@@ -80,8 +80,9 @@ class PQCodec(BaseCodec):
         """[m, k, width]"""
         return self.kmeans.centroids
 
-    def train(self, df: DataFrame) -> None:
-        self.kmeans.fit(df)
+    def train(self, df: DataFrame, centroids: np.ndarray | None = None) -> None:
+        """centroids: where to start from, [m, k, width]."""
+        self.kmeans.fit(df, centroids)
         self.is_trained = True
 
     @property

@@ -98,8 +98,12 @@ class IVFPQIndex:
         df = self._plain(df)
         ready = self._mapped(df, lambda x: x) if self.distance == "cosine" else df
         self.vq.train(ready)
+        self.pq.train(self.residuals(df) if self.residual else ready)
+
+    def residuals(self, df: DataFrame) -> DataFrame:
+        """(id, vec) less the centroid of its cell."""
         book = self.vq.codebook
-        self.pq.train(self._mapped(df, lambda x: x - book[nearest("euclidean", x, book)[1]], book.shape[1]) if self.residual else ready)
+        return self._mapped(self._plain(df), lambda x: x - book[nearest("euclidean", x, book)[1]], book.shape[1])
 
     # what a row holds besides its id: the cell and the codes
 
@@ -286,13 +290,17 @@ class IVFPQRIndex(IVFPQIndex):
     def train(self, df: DataFrame, force_retrain: bool = False) -> None:
         super().train(df, force_retrain)
         if force_retrain or not self.fine.is_trained:
-            book = self.vq.codebook
+            self.fine.train(self.left_over(df))
 
-            def left_over(x: np.ndarray) -> np.ndarray:
-                cell = nearest("euclidean", x, book)[1]
-                return x - self._near(cell, super(IVFPQRIndex, self)._coded(x, cell))
+    def left_over(self, df: DataFrame) -> DataFrame:
+        """(id, vec) less what its first code stands for."""
+        book, first = self.vq.codebook, super()._coded
+
+        def less(x: np.ndarray) -> np.ndarray:
+            cell = nearest("euclidean", x, book)[1]
+            return x - self._near(cell, first(x, cell))
 
-            self.fine.train(self._mapped(self._plain(df), left_over, book.shape[1]))
+        return self._mapped(self._plain(df), less, book.shape[1])
 
     def _fields(self) -> list[str]:
         return ["code", "fine"]

@@ -1,7 +1,9 @@
 """The queries of the engine's own operators over `embeddings` and `lineitem`, and the same in SQL.
 
-Names start with the operator's id in the survey. Codebooks and centroids are the first 16 vectors, queries the
-first 20, so that SQL can say the same; scores are rounded, since engines add up in different orders.
+Names start with the operator's id in the survey. Searches ask for every vector whose id is divisible by 50, against
+all vectors. Centroids are the first 16 vectors, and codebooks the first vectors or, where a search is to find the true
+neighbours, a grid of 256 values between the least and the largest of each dimension, so that SQL can say the same;
+scores are rounded, since engines add up in different orders.
 """
 
 from __future__ import annotations
@@ -27,25 +29,40 @@ ORACLE_SQL: dict[str, str] = {}
 TRAIN = 20_000
 
 # Parts that the SQL queries share.
-_L = "l as (select vec_id, (i - 1)::integer pos, embedding[i]::double x from embeddings, range(1, 65) r(i))"
-_PAIRS = _L + ", p as (select a.vec_id q_id, b.vec_id id, {score} score from l a join l b using (pos) where a.vec_id < 20 group by all)"
+_L = "l as materialized (select vec_id, (i - 1)::integer pos, embedding[i]::double x from embeddings, range(1, 65) r(i))"
+_PAIRS = _L + ", p as (select a.vec_id q_id, b.vec_id id, {score} score from l a join l b using (pos) where a.vec_id % 50 = 0 group by all)"
 _RANKED = "r as (select *, (row_number() over (partition by q_id order by round({s}, 9) desc, id))::integer rank from {t})"
-_CD = _L + ", cd as (select a.vec_id, b.vec_id::integer cell, sum((a.x - b.x) * (a.x - b.x)) dd from l a join l b using (pos) where b.vec_id < 16 group by all)"
-_CELLS = _CD + ", cells as (select vec_id, cell, dd from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from cd) where rn = 1)"
-_PQ = (
-    "sv as (select vec_id, (pos // 8)::integer sub, pos, x from l), cb as (select vec_id::integer code, sub, pos, x c from sv where vec_id < 16)"
-    ", ds as (select sv.vec_id, sv.sub, cb.code, sum((x - c) * (x - c)) dd from sv join cb on sv.sub = cb.sub and sv.pos = cb.pos group by all)"
-    ", codes as (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from ds) where rn = 1)"
-)
+_CD = _L + ", cd as materialized (select a.vec_id, b.vec_id::integer cell, sum((a.x - b.x) * (a.x - b.x)) dd from l a join l b using (pos) where b.vec_id < 16 group by all)"
+_CELLS = _CD + ", cells as materialized (select vec_id, cell, dd from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from cd) where rn = 1)"
+
+
+def _pq(width: int = 8, k: int = 16) -> str:
+    """Sub-vectors of so many elements, coded by those of the first k vectors."""
+    return (
+        f"sv as (select vec_id, (pos // {width})::integer sub, pos, x from l), cb as (select vec_id::integer code, sub, pos, x c from sv where vec_id < {k})"
+        ", ds as (select sv.vec_id, sv.sub, cb.code, sum((x - c) * (x - c)) dd from sv join cb on sv.sub = cb.sub and sv.pos = cb.pos group by all)"
+        ", codes as materialized (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from ds) where rn = 1)"
+    )
+
+
+def _grid(table: str) -> str:
+    """What the grid's codes of (vec_id, pos, x) stand for."""
+    return (
+        f"mm as (select pos, min(x) lo, max(x) hi from {table} group by pos)"
+        f", dec as materialized (select vec_id, pos, lo + (least(floor((x - lo) / (hi - lo) * 256), 255) + 0.5) / 256 * (hi - lo) x from {table} join mm using (pos))"
+    )
+
+
+_PQ = _pq()
 _RES = (
-    "rv as (select l.vec_id, (l.pos // 8)::integer sub, l.pos, l.x - s.x x from l join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = l.pos)"
-    ", cb as (select vec_id::integer code, (pos // 8)::integer sub, pos, x c from l where vec_id < 16)"
-    ", ds as (select rv.vec_id, rv.sub, cb.code, sum((x - c) * (x - c)) dd from rv join cb on rv.sub = cb.sub and rv.pos = cb.pos group by all)"
-    ", codes as (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from ds) where rn = 1)"
-    ", dec as (select codes.vec_id, cb.pos, cb.c + s.x x from codes join cb using (sub, code) join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = cb.pos)"
+    "rv as materialized (select l.vec_id, l.pos, l.x - s.x x from l join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = l.pos), "
+    + _grid("rv").replace("dec as", "rd as")
+    + ", dec as (select rd.vec_id, rd.pos, rd.x + s.x x from rd join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = rd.pos)"
 )
-_PROBES = ", probes as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id < 20) where rank <= 4)"
-_ADC = ", q as (select vec_id q_id, sub, code, dd from ds where vec_id < 20)"
+#: Cells that a search probes, of 16.
+N_PROBE = 14
+_PROBES = f", probes as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id % 50 = 0) where rank <= {N_PROBE})"
+_ADC = ", q as (select vec_id q_id, sub, code, dd from ds where vec_id % 50 = 0)"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -66,11 +83,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
 
 
-def queries_of(base: DataFrame, n: int = 20) -> DataFrame:
-    return base.where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-
-
-def every_50th(base: DataFrame) -> DataFrame:
+def queries_of(base: DataFrame) -> DataFrame:
     return base.where("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
 
 
@@ -90,14 +103,31 @@ def cells16(base: DataFrame) -> DataFrame:
     return clustering.assign(base, seeds(base))
 
 
-def index16(base: DataFrame, residual: bool = False, distance: str = "euclidean", n_probe: int = 4, smart: bool = False) -> ivf.IVFPQIndex:
-    index = ivf.IVFPQIndex(8, 16, distance, residual, 16)
+def index16(base: DataFrame) -> ivf.IVFPQIndex:
+    index = ivf.IVFPQIndex(8, 16, n_pq_clusters=16)
     index.set_codebooks(seeds(base), seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
-    index.n_probe, index.use_smart_probing = n_probe, smart
+    index.n_probe, index.use_smart_probing = N_PROBE, False
     index.add(base)
     return index
 
 
+def grid_book(df: DataFrame) -> np.ndarray:
+    """[64, 256, 1]: 256 values between the least and the largest of each dimension."""
+    rows = df.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("pos").collect()  # one row a dimension
+    return np.array([[[r["lo"] + (code + 0.5) / 256 * (r["hi"] - r["lo"])] for code in range(256)] for r in rows])
+
+
+def grid_index(base: DataFrame, residual: bool = False, n_probe: int = N_PROBE, smart: bool = False, add: bool = True) -> ivf.IVFPQIndex:
+    """An index fit to the extremes of all vectors."""
+    index = ivf.IVFPQIndex(64, 16, residual=residual)
+    index.set_codebooks(seeds(base), np.zeros((64, 256, 1)))
+    index.set_codebooks(seeds(base), grid_book(index.residuals(base) if residual else base))
+    index.n_probe, index.use_smart_probing = n_probe, smart
+    if add:
+        index.add(base)
+    return index
+
+
 def hits(df: DataFrame) -> DataFrame:
     return df.select("q_id", "rank", "id", r6("score").alias("score"))
 
@@ -163,16 +193,16 @@ def _vote(spark, sf_dir):
     return search.label_vote(search.knn(base, queries_of(base), 10), raw.select(F.col("vec_id").alias("id"), "label"))
 
 
-@query("t4_padding", f"with {_PAIRS.format(score=_SCORES['l2'])}, f as (select * from p where id < 3), {_RANKED.format(s='score', t='f')}, s as (select q.vec_id q_id, i::integer rank from embeddings q, range(1, 6) t(i) where q.vec_id < 20) select s.q_id, s.rank, coalesce(r.id, -1) id, coalesce(round(r.score, 6) + 0.0, '-inf'::double) score from s left join r on s.q_id = r.q_id and s.rank = r.rank")
+@query("t4_padding", f"with {_PAIRS.format(score=_SCORES['l2'])}, f as (select p.* from p join embeddings e on e.vec_id = p.id where label = 3), {_RANKED.format(s='score', t='f')}, s as (select q.vec_id q_id, i::integer rank from embeddings q, range(1, 301) t(i) where q.vec_id % 50 = 0) select s.q_id, s.rank, coalesce(r.id, -1) id, coalesce(round(r.score, 6) + 0.0, '-inf'::double) score from s left join r on s.q_id = r.q_id and s.rank = r.rank")
 def _padding(spark, sf_dir):
-    base = embeddings(spark, sf_dir)
-    return hits(search.padded(search.knn(base.where("id < 3"), queries_of(base), 5), queries_of(base), 5))
+    base, some = embeddings(spark, sf_dir), spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label = 3")
+    found = search.knn(store.vectors(some, "vec_id", "embedding"), queries_of(base), 300)
+    return hits(search.padded(found, queries_of(base), 300))
 
 
-@query("t15_sample", "select count(*) n, count(distinct vec_id) ids from (select * from embeddings limit 25)")
+@query("t15_sample", "select vec_id id from embeddings order by md5('7/' || vec_id), vec_id limit 25")
 def _sample(spark, sf_dir):
-    rows = embeddings(spark, sf_dir).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(25)
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return clustering.sampled(embeddings(spark, sf_dir), 25, 7).select("id")
 
 
 @query("t14_sorted_addresses", "select vec_id address from embeddings where vec_id % 7 = 0 order by 1")
@@ -235,12 +265,12 @@ def _schema(spark, sf_dir):
 # Joins
 
 
-@query("j2_batched_product", f"with {_L}, s as (select vec_id, (pos // 8)::integer problem, pos, x from l) select a.problem, a.vec_id i, b.vec_id j, round(sum(a.x * b.x), 6) + 0.0 \"value\" from s a join s b on a.pos = b.pos where a.vec_id < 20 and b.vec_id < 16 group by all")
+@query("j2_batched_product", f"with {_L}, s as (select vec_id, (pos // 8)::integer problem, pos, x from l) select a.problem, a.vec_id i, b.vec_id j, round(sum(a.x * b.x), 6) + 0.0 \"value\" from s a join s b on a.pos = b.pos where b.vec_id < 16 group by all")
 def _batched(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     subs = base.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("problem"))
     subs = subs.select("id", "problem", M.subvector(F.col("vec"), F.col("problem"), 8).alias("x"))
-    a, b = subs.where("id < 20").withColumnRenamed("id", "i"), subs.where("id < 16").selectExpr("id as j", "problem", "x as y")
+    a, b = subs.withColumnRenamed("id", "i"), subs.where("id < 16").selectExpr("id as j", "problem", "x as y")
     out = search.batched_product(a, F.broadcast(b))
     return out.select("problem", "i", "j", r6("value").alias("value"))
 
@@ -259,14 +289,14 @@ def _min_product(spark, sf_dir):
 
 for _e, _x in (("nmadd", "0.0 - sum(a.x * b.x)"), ("squared_l2", "sum((a.x - b.x) * (a.x - b.x))"), ("l1", "sum(abs(a.x - b.x))")):
 
-    @query(f"j4_element_{_e}", f"with {_L} select a.vec_id i, b.vec_id j, round({_x}, 6) + 0.0 \"value\" from l a join l b using (pos) where a.vec_id < 20 and b.vec_id < 16 group by all")
+    @query(f"j4_element_{_e}", f"with {_L} select a.vec_id i, b.vec_id j, round({_x}, 6) + 0.0 \"value\" from l a join l b using (pos) where b.vec_id < 16 group by all")
     def _element(spark, sf_dir, e=_e):
         base = embeddings(spark, sf_dir).withColumn("problem", F.lit(0))
-        a, b = base.where("id < 20").selectExpr("id as i", "vec as x", "problem"), base.where("id < 16").selectExpr("id as j", "vec as y", "problem")
+        a, b = base.selectExpr("id as i", "vec as x", "problem"), base.where("id < 16").selectExpr("id as j", "vec as y", "problem")
         return search.batched_product(a, F.broadcast(b), e).select("i", "j", r6("value").alias("value"))
 
 
-@query("j6_masked_product", f"with {_L} select a.vec_id q_id, b.vec_id id, round(sum(a.x * b.x), 6) + 0.0 score from l a join l b using (pos) where a.vec_id < 20 and (a.vec_id + b.vec_id) % 10 = 0 group by all")
+@query("j6_masked_product", f"with {_L} select a.vec_id q_id, b.vec_id id, round(sum(a.x * b.x), 6) + 0.0 score from l a join l b using (pos) where a.vec_id % 50 = 0 and (a.vec_id + b.vec_id) % 10 = 0 group by all")
 def _masked(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     ids = base.select("id")
@@ -275,6 +305,15 @@ def _masked(spark, sf_dir):
     return search.masked_product(pairs, mask, ["q_id", "id"]).select("q_id", "id", r6("score").alias("score"))
 
 
+@query("j6_block_masked", f"with {_L}, bl as (select distinct (vec_id // 10) bi, (vec_id // 10 * 7) % 50 bj from embeddings) select a.vec_id i, b.vec_id j, round(sum(a.x * b.x), 6) + 0.0 score from bl join l a on a.vec_id // 10 = bi join l b on b.vec_id // 10 = bj and a.pos = b.pos group by all")
+def _block_masked(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    block = F.floor(F.col("id") / 10).cast("long")
+    blocks = base.select(block.alias("bi"), (block * 7 % 50).alias("bj"))
+    out = search.block_masked_product(base.select(F.col("id").alias("i"), F.col("vec").alias("x")), base.select(F.col("id").alias("j"), F.col("vec").alias("y")), blocks, 10)
+    return out.select("i", "j", r6("score").alias("score"))
+
+
 @query("j7_candidate_join", f"with {_CELLS}{_PROBES} select probes.q_id, cells.vec_id id, probes.cell from probes join cells using (cell)")
 def _candidates(spark, sf_dir):
     base = embeddings(spark, sf_dir)
@@ -318,10 +357,10 @@ def _cell_of(spark, sf_dir):
     return store.cell_of_address(base.select((F.col("id") * 3 - 30).alias("address")), F.broadcast(starts))
 
 
-@query("j15_similarity_at_id", f"with {_L}, {_PQ}{_ADC}, pr as (select a.vec_id q_id, b.vec_id id from embeddings a, embeddings b where a.vec_id < 20 and (a.vec_id * 7 + b.vec_id) % 50 = 0) select q.q_id, codes.vec_id id, round(0.0 - sum(dd), 6) + 0.0 score from pr join q using (q_id) join codes on codes.vec_id = pr.id and codes.sub = q.sub and codes.code = q.code group by q.q_id, codes.vec_id")
+@query("j15_similarity_at_id", f"with {_L}, {_PQ}{_ADC}, pr as (select a.vec_id q_id, b.vec_id id from embeddings a, embeddings b where a.vec_id % 50 = 0 and (a.vec_id // 50 * 7 + b.vec_id) % 50 = 0) select q.q_id, codes.vec_id id, round(0.0 - sum(dd), 6) + 0.0 score from pr join q using (q_id) join codes on codes.vec_id = pr.id and codes.sub = q.sub and codes.code = q.code group by q.q_id, codes.vec_id")
 def _similarity_at(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    pairs = queries_of(base).select("q_id", ((F.lit(5000) - F.col("q_id") * 7) % 50).alias("m")).join(base.select("id", (F.col("id") % 50).alias("m")), "m").select("q_id", "id")
+    pairs = queries_of(base).select("q_id", F.pmod(F.lit(0) - F.floor(F.col("q_id") / 50) * 7, F.lit(50)).alias("m")).join(base.select("id", (F.col("id") % 50).alias("m")), "m").select("q_id", "id")
     return index16(base).similarity_at_id(queries_of(base), pairs).select("q_id", "id", r6("score").alias("score"))
 
 
@@ -376,20 +415,13 @@ def _meanstd(spark, sf_dir):
     return _ranges(spark, sq)
 
 
-@query("a9_covariance", f"with {_L} select a.pos i, b.pos j, round(covar_samp(a.x, b.x), 6) + 0.0 cov from l a join l b using (vec_id) where a.pos < 8 and b.pos < 8 group by all")
+@query("a9_covariance", f"with {_L} select a.pos i, b.pos j, round(covar_samp(a.x, b.x), 6) + 0.0 cov from l a join l b using (vec_id) group by all")
 def _covariance(spark, sf_dir):
-    _, _, cov = codecs.covariance(embeddings(spark, sf_dir).select("id", F.slice("vec", 1, 8).alias("vec")), 8)
-    rows = spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(8) for j in range(8)], "i int, j int, cov double")
+    _, _, cov = codecs.covariance(embeddings(spark, sf_dir), 64)
+    rows = spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(64) for j in range(64)], "i int, j int, cov double")
     return rows.select("i", "j", r6("cov").alias("cov"))
 
 
-@query("a10_running_counts", "select (vec_id % 4)::integer cell, count(*) + 1 n from embeddings group by 1")
-def _running(spark, sf_dir):
-    ones = spark.range(4).select(F.col("id").cast("int").alias("cell"), F.lit(1).cast("long").alias("n"))
-    batch = embeddings(spark, sf_dir).groupBy((F.col("id") % 4).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    return ones.unionByName(batch).groupBy("cell").agg(F.sum("n").alias("n"))
-
-
 @query("a11_candidate_totals", f"with {_CELLS}{_PROBES}, sz as (select cell, count(*) size from cells group by cell) select q_id, sum(size)::bigint candidates from probes join sz using (cell) group by q_id")
 def _candidate_totals(spark, sf_dir):
     base = embeddings(spark, sf_dir)
@@ -397,17 +429,17 @@ def _candidate_totals(spark, sf_dir):
     return index.probe(queries_of(base)).join(store.cell_sizes(index.codes), "cell").groupBy("q_id").agg(F.sum("size").alias("candidates"))
 
 
-@query("a12_smart_probes", f"with {_CD}, pr as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id < 20) where rank <= 8), w as (select *, exp(0.0 - sqrt(dd) / 0.1) w from pr), s as (select *, w / sum(w) over (partition by q_id) p from w) select q_id, least(greatest(ceil(round(0.0 - sum(case when p > 0 then p * log2(p) else 0 end) / 3 * 8, 9)), 1), 8)::bigint n_probe from s group by q_id")
+@query("a12_smart_probes", f"with {_CD}, pr as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id % 50 = 0) where rank <= 8), w as (select *, exp(0.0 - sqrt(dd) / 0.1) w from pr), s as (select *, w / sum(w) over (partition by q_id) p from w) select q_id, least(greatest(ceil(round(0.0 - sum(case when p > 0 then p * log2(p) else 0 end) / 3 * 8, 9)), 1), 8)::bigint n_probe from s group by q_id")
 def _smart(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    probes = clustering.nearest_cells(base.where("id < 20"), seeds(base), 8)
+    probes = clustering.nearest_cells(base.where("id % 50 = 0"), seeds(base), 8)
     return ivf.smart_probes(probes, 8, 0.1).groupBy("q_id").agg(F.count("*").alias("n_probe"))
 
 
-@query("a14_adc_scores", f"with {_L}, {_PQ}{_ADC}, sc as (select q.q_id, codes.vec_id id, 0.0 - sum(dd) score from q join codes on q.sub = codes.sub and q.code = codes.code group by all), {_RANKED.format(s='score', t='sc')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10")
+@query("a14_adc_scores", f"with {_L}, {_grid('l')}, sc as (select q.vec_id q_id, dec.vec_id id, 0.0 - sum((q.x - dec.x) * (q.x - dec.x)) score from l q join dec using (pos) where q.vec_id % 50 = 0 group by all), {_RANKED.format(s='score', t='sc')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10")
 def _adc(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    return hits(index16(base, n_probe=16).search(queries_of(base), 10))
+    return hits(grid_index(base, n_probe=16).search(queries_of(base), 10))
 
 
 @query("a15_max_id", "select max(vec_id) max_id from embeddings")
@@ -427,7 +459,10 @@ def cell_store(base: DataFrame) -> DataFrame:
     return store.remove(slots, slots.where("id % 3 = 0").select("id"))
 
 
-@query("w2_write_slots", "with a as (select vec_id id, ((vec_id // 2) % 4)::integer cell from embeddings where vec_id % 2 = 0), s as (select *, row_number() over (partition by cell order by id) - 1 slot from a), k as (select * from s where id % 3 <> 0), n as (select vec_id id, ((vec_id // 2) % 4)::integer cell from embeddings where vec_id % 2 = 1), i as (select *, row_number() over (partition by cell order by id) - 1 ioa from n), c as (select cell, slot from (select unnest([0, 1, 2, 3])::integer cell) x, (select unnest(range(0, 10000)) slot) y), f as (select cell, slot, row_number() over (partition by cell order by slot) - 1 ioa from c anti join k using (cell, slot)) select i.id, i.cell, f.slot from i join f using (cell, ioa)")
+_SLOTS = "with a as (select vec_id id, ((vec_id // 2) % 4)::integer cell from embeddings where vec_id % 2 = 0), s as (select *, row_number() over (partition by cell order by id) - 1 slot from a), k as (select * from s where id % 3 <> 0), n as (select vec_id id, ((vec_id // 2) % 4)::integer cell from embeddings where vec_id % 2 = 1), i as (select *, row_number() over (partition by cell order by id) - 1 ioa from n), c as (select cell, slot from (select unnest([0, 1, 2, 3])::integer cell) x, (select unnest(range(0, 10000)) slot) y), f as (select cell, slot, row_number() over (partition by cell order by slot) - 1 ioa from c anti join k using (cell, slot))"
+
+
+@query("w2_write_slots", _SLOTS + " select i.id, i.cell, f.slot from i join f using (cell, ioa)")
 def _slots(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     new = base.where("id % 2 = 1").withColumn("cell", F.floor((F.col("id") / 2) % 4).cast("int"))
@@ -513,12 +548,11 @@ def _flat_add(spark, sf_dir):
     return store.flat_add(base.where("id < 100"), base.where("id >= 100").drop("address")).select("id", "address")
 
 
-@query("u1_cell_add", "with n as (select count(*) n from embeddings where vec_id % 2 = 1 or vec_id % 3 <> 0) select n, n slots from n")
+@query("u1_cell_add", _SLOTS + " select id, cell, slot from k union all select i.id, i.cell, f.slot from i join f using (cell, ioa)")
 def _cell_add(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     new = base.where("id % 2 = 1").withColumn("cell", F.floor((F.col("id") / 2) % 4).cast("int"))
-    out = store.cell_add(cell_store(base), new)
-    return out.agg(F.count("*").alias("n"), F.countDistinct("cell", "slot").alias("slots"))
+    return store.cell_add(cell_store(base), new).select("id", "cell", "slot")
 
 
 @query("u2_remove", "select vec_id id from embeddings where vec_id % 4 <> 0")
@@ -629,35 +663,71 @@ def _cosine_labels(spark, sf_dir):
     return clustering.assign(base, seeds(base), "cosine").select("id", "cell")
 
 
-@query("c7_multi_kmeans", f"with {_L}, {_PQ}, m as (select codes.sub, codes.code, pos, avg(x) c from codes join sv using (vec_id, sub) group by all) select cb.sub, cb.code, cb.pos - cb.sub * 8 pos, round(coalesce(m.c, 0.0), 6) + 0.0 x from cb left join m using (sub, code, pos)")
+def _multi_sql(steps: int) -> str:
+    """CTEs of Lloyd steps in 8 problems of 8 elements, from the first 16 vectors: lab{n}, cen{n}."""
+    out = ["sv as (select vec_id, (pos // 8)::integer sub, pos, x from l)", "cen0 as (select vec_id::integer cell, sub, pos, x c from sv where vec_id < 16)"]
+    for n in range(steps):
+        out.append(f"d{n} as (select vec_id, sub, cell, sum((x - c) * (x - c)) dd from sv join cen{n} using (sub, pos) group by all)")
+        out.append(f"lab{n} as (select vec_id, sub, cell from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), cell) rn from d{n}) where rn = 1)")
+        out.append(f"m{n} as (select sub, cell, pos, avg(x) c from sv join lab{n} using (vec_id, sub) group by all)")
+        out.append(f"cen{n + 1} as (select a.sub, a.cell, a.pos, coalesce(m.c, 0.0) c from cen0 a left join m{n} m on a.sub = m.sub and a.cell = m.cell and a.pos = m.pos)")
+    return f"with {_L}, {', '.join(out)}"
+
+
+@query("c7_multi_kmeans", f"{_multi_sql(3)} select sub, cell code, pos - sub * 8 pos, round(c, 6) + 0.0 x from cen3")
 def _multi(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    km = clustering.MultiKMeans(8, 16, max_iter=1)
+    km = clustering.MultiKMeans(8, 16, max_iter=3, tol=0.0)
     km.fit(base, seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
     rows = [(s, c, p, float(x)) for s, book in enumerate(km.centroids) for c, v in enumerate(book) for p, x in enumerate(v)]
     return spark.createDataFrame(rows, "sub int, code int, pos int, x double").select("sub", "code", "pos", r6("x").alias("x"))
 
 
-@query("c8_minibatch", f"{_lloyd_sql(1)} select cell, pos, round(c, 6) + 0.0 x, (select count(*) + 1 from lab0 where lab0.cell = cen1.cell) n from cen1")
-def _minibatch(spark, sf_dir):
-    base = embeddings(spark, sf_dir)
+def _batches_sql(cells: int) -> str:
+    """Two mini-batches, even ids and then odd ones: cen2 (cell, pos, c) and n2 (cell, n)."""
+    label = "select vec_id, cell from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from {0}) where rn = 1"
+    return (
+        f"with {_L}, cen0 as (select vec_id::integer cell, pos, x c from l where vec_id < {cells})"
+        ", d0 as (select vec_id, cell, sum((x - c) * (x - c)) dd from l join cen0 using (pos) where vec_id % 2 = 0 group by all), lab0 as (" + label.format("d0") + ")"
+        ", m0 as (select cell, pos, avg(x) c from l join lab0 using (vec_id) group by all), cen1 as (select a.cell, a.pos, coalesce(m.c, a.c) c from cen0 a left join m0 m using (cell, pos))"
+        ", n1 as (select a.cell, 1 + count(lab0.vec_id) n from (select distinct cell from cen0) a left join lab0 using (cell) group by a.cell)"
+        ", d1 as (select vec_id, cell, sum((x - c) * (x - c)) dd from l join cen1 using (pos) where vec_id % 2 = 1 group by all), lab1 as (" + label.format("d1") + ")"
+        ", m1 as (select cell, pos, avg(x) c from l join lab1 using (vec_id) group by all)"
+        ", cen2 as (select a.cell, a.pos, coalesce(a.c * (1 - 1 / n1.n) + m.c / n1.n, a.c) c from cen1 a join n1 using (cell) left join m1 m on m.cell = a.cell and m.pos = a.pos)"
+        ", n2 as (select n1.cell, n1.n + count(lab1.vec_id) n from n1 left join lab1 using (cell) group by n1.cell, n1.n)"
+    )
+
+
+def _two_batches(base: DataFrame) -> clustering.MinibatchKMeans:
     km = clustering.MinibatchKMeans(16)
-    km.fit_minibatch(base, seeds(base))
+    km.fit_minibatch(base.where("id % 2 = 0"), seeds(base))
+    km.fit_minibatch(base.where("id % 2 = 1"))
+    return km
+
+
+@query("a10_running_counts", f"{_batches_sql(16)} select cell, n from n2")
+def _running(spark, sf_dir):
+    km = _two_batches(embeddings(spark, sf_dir))
+    return spark.createDataFrame([(c, int(n)) for c, n in enumerate(km.counts)], "cell int, n long")
+
+
+@query("c8_minibatch", f"{_batches_sql(16)} select cell, pos, round(c, 6) + 0.0 x, n from cen2 join n2 using (cell)")
+def _minibatch(spark, sf_dir):
+    km = _two_batches(embeddings(spark, sf_dir))
     rows = [(c, p, float(x), int(km.counts[c])) for c, v in enumerate(km.centroids) for p, x in enumerate(v)]
     return spark.createDataFrame(rows, "cell int, pos int, x double, n long").select("cell", "pos", r6("x").alias("x"), "n")
 
 
-@query("c9_kmeans_redos")
+@query("c9_kmeans_redos", f"{_lloyd_sql(4)} select vec_id id, cell from lab3")
 def _redos(spark, sf_dir):
-    km = clustering.KMeans(8, n_redo=2, max_iter=5, init_mode="kmeans++", keep_between_redos=True)
-    labels = km.fit(embeddings(spark, sf_dir))
-    return labels.groupBy("cell").agg(F.count("*").alias("size"))
+    base = embeddings(spark, sf_dir)
+    return clustering.KMeans(16, n_redo=2, max_iter=2, tol=0.0, keep_between_redos=True).fit(base, seeds(base))
 
 
 @query("t9_nearest_cells", f"with {_CD}{_PROBES} select q_id, rank::integer rank, cell, round(0.0 - dd, 6) + 0.0 score from probes")
 def _nearest_cells(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    return clustering.nearest_cells(base.where("id < 20"), seeds(base), 4).select("q_id", "rank", "cell", r6("score").alias("score"))
+    return clustering.nearest_cells(base.where("id % 50 = 0"), seeds(base), N_PROBE).select("q_id", "rank", "cell", r6("score").alias("score"))
 
 
 # Codecs
@@ -669,11 +739,11 @@ def _vq(spark, sf_dir):
     return codecs.VQCodec(16, seeds(base)).encode(base)
 
 
-@query("e2_pq_train")
+@query("e2_pq_train", f"{_multi_sql(3)}, d3 as (select vec_id, sub, cell, sum((x - c) * (x - c)) dd from sv join cen3 using (sub, pos) group by all) select vec_id id, sub, cell code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), cell) rn from d3) where rn = 1")
 def _pq_train(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    pq = codecs.PQCodec(8, 16, max_iter=10)
-    pq.train(base)
+    pq = codecs.PQCodec(8, 16, max_iter=3, tol=0.0)
+    pq.train(base, seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
     return codecs.long_codes(pq.encode(base))
 
 
@@ -683,7 +753,7 @@ def _pq_encode(spark, sf_dir):
     return codecs.long_codes(pq16(base).encode(base))
 
 
-@query("e5_adc_table", f"with {_L}, {_PQ} select vec_id q_id, sub, code, round(0.0 - dd, 6) + 0.0 \"value\" from ds where vec_id < 20")
+@query("e5_adc_table", f"with {_L}, {_PQ} select vec_id q_id, sub, code, round(0.0 - dd, 6) + 0.0 \"value\" from ds where vec_id % 50 = 0")
 def _adc_table(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     return pq16(base).precompute_adc(queries_of(base)).select("q_id", "sub", "code", r6("value").alias("value"))
@@ -759,18 +829,19 @@ def _pca_back(spark, sf_dir):
 
 @query("e14_residual_decode", f"with {_CELLS}, {_RES} select vec_id id, pos, round(x, 6) + 0.0 x from dec")
 def _residual_decode(spark, sf_dir):
-    index = index16(embeddings(spark, sf_dir), residual=True)
+    index = grid_index(embeddings(spark, sf_dir), residual=True)
     return positions(index.decode(index.codes))
 
 
 @query("i3_train")
 def _train(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    index = ivf.IVFPQRIndex(16, 16, 16, 8)
-    index.train(base.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(TRAIN))
+    index = ivf.IVFPQRIndex(16, 64, 16, 20, vq_iter=8, pq_iter=8)
+    index.fine.kmeans.max_iter = 8
+    index.train(clustering.sampled(base, TRAIN, 11))
     index.add(base)
-    index.n_probe, index.use_smart_probing = 14, False
-    return hits(index.search(every_50th(base), 10))
+    index.n_probe, index.use_smart_probing = N_PROBE, False
+    return hits(index.search(queries_of(base), 10))
 
 
 @query("i4_add", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id)")
@@ -781,100 +852,99 @@ def _add(spark, sf_dir):
     return codecs.long_codes(index.codes).join(index.codes.select("id", "cell"), "id").select("id", "cell", "sub", "code")
 
 
-_IVF = ", sc as (select q.q_id, codes.vec_id id, 0.0 - sum(q.dd) score from probes join cells using (cell) join codes using (vec_id) join q on q.q_id = probes.q_id and q.sub = codes.sub and q.code = codes.code{where} group by all)"
+_IVF = ", sc as (select probes.q_id, dec.vec_id id, 0.0 - sum((l.x - dec.x) * (l.x - dec.x)) score from probes join cells using (cell) join dec using (vec_id) join l on l.vec_id = probes.q_id and l.pos = dec.pos{where} group by all)"
 _HITS = f", {_RANKED.format(s='score', t='sc')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10"
 
 
-@query("i5_ivfpq_search", f"with {_CELLS}, {_PQ}{_PROBES}{_ADC}{_IVF.format(where='')}{_HITS}")
+@query("i5_ivfpq_search", f"with {_CELLS}, {_grid('l')}{_PROBES}{_IVF.format(where='')}{_HITS}")
 def _ivfpq(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    return hits(index16(base).search(queries_of(base), 10))
+    return hits(grid_index(base).search(queries_of(base), 10))
 
 
-@query("i6_search_cells", f"with {_CELLS}, {_PQ}, probes as (select vec_id q_id, (vec_id % 16)::integer cell from embeddings where vec_id < 20 union all select vec_id, ((vec_id + 3) % 16)::integer from embeddings where vec_id < 20){_ADC}{_IVF.format(where='')}{_HITS}")
+@query("i6_search_cells", f"with {_CELLS}, {_grid('l')}, probes as (select vec_id q_id, (vec_id // 50 % 16)::integer cell from embeddings where vec_id % 50 = 0 union all select vec_id, ((vec_id // 50 + 3) % 16)::integer from embeddings where vec_id % 50 = 0){_IVF.format(where='')}{_HITS}")
 def _search_cells(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    q = queries_of(base)
-    probes = q.select("q_id", F.explode(F.array((F.col("q_id") % 16).cast("int"), ((F.col("q_id") + 3) % 16).cast("int"))).alias("cell"))
-    return hits(index16(base).search_cells(q, probes, 10))
+    q, n = queries_of(base), F.floor(F.col("q_id") / 50)
+    probes = q.select("q_id", F.explode(F.array((n % 16).cast("int"), ((n + 3) % 16).cast("int"))).alias("cell"))
+    return hits(grid_index(base).search_cells(q, probes, 10))
 
 
 _SMART = (
-    ", pr as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id < 20) where rank <= 8)"
+    ", pr as (select * from (select vec_id q_id, cell, dd, row_number() over (partition by vec_id order by round(dd, 12), cell) rank from cd where vec_id % 50 = 0) where rank <= 16)"
     ", sm as (select *, exp(0.0 - sqrt(dd) / 0.1) / sum(exp(0.0 - sqrt(dd) / 0.1)) over (partition by q_id) p from pr)"
-    ", np as (select q_id, least(greatest(ceil(round(0.0 - sum(case when p > 0 then p * log2(p) else 0 end) / 3 * 8, 9)), 1), 8) n from sm group by q_id)"
+    ", np as (select q_id, least(greatest(ceil(round(0.0 - sum(case when p > 0 then p * log2(p) else 0 end) / 4 * 16, 9)), 1), 16) n from sm group by q_id)"
     ", probes as (select pr.q_id, cell, dd, rank from pr join np using (q_id) where rank <= n)"
 )
 
 
-@query("i7_smart_search", f"with {_CELLS}, {_PQ}{_SMART}{_ADC}{_IVF.format(where='')}{_HITS}")
+@query("i7_smart_search", f"with {_CELLS}, {_grid('l')}{_SMART}{_IVF.format(where='')}{_HITS}")
 def _smart_search(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    index = index16(base, n_probe=8, smart=True)
+    index = grid_index(base, n_probe=16, smart=True)
     index.temperature = 0.1
     return hits(index.search(queries_of(base), 10))
 
 
-@query("i8_residual_search", f"with {_CELLS}, {_RES}{_PROBES}, sc as (select probes.q_id, dec.vec_id id, 0.0 - sum((l.x - dec.x) * (l.x - dec.x)) score from probes join cells using (cell) join dec using (vec_id) join l on l.vec_id = probes.q_id and l.pos = dec.pos group by all){_HITS}")
+@query("i8_residual_search", f"with {_CELLS}, {_RES}{_PROBES}{_IVF.format(where='')}{_HITS}")
 def _residual_search(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    return hits(index16(base, residual=True).search(queries_of(base), 10))
+    return hits(grid_index(base, residual=True).search(queries_of(base), 10))
 
 
-@query("i9_remove", f"with {_CELLS}, {_PQ}{_PROBES}{_ADC}{_IVF.format(where=' where codes.vec_id % 2 = 1')}{_HITS}")
+@query("i9_remove", f"with {_CELLS}, {_grid('l')}{_PROBES}{_IVF.format(where=' where dec.vec_id % 2 = 1')}{_HITS}")
 def _index_remove(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    index = index16(base)
+    index = grid_index(base)
     index.remove(base.where("id % 2 = 0").select("id"))
     return hits(index.search(queries_of(base), 10))
 
 
-_FINE = (
-    ", lv as (select l.vec_id, cb.sub, l.pos, cb.c c1, l.x - cb.c x from codes join cb using (sub, code) join l on l.vec_id = codes.vec_id and l.pos = cb.pos)"
-    ", fd as (select lv.vec_id, lv.sub, cb.code, sum((lv.x - cb.c) * (lv.x - cb.c)) dd from lv join cb on lv.sub = cb.sub and lv.pos = cb.pos group by all)"
-    ", fc as (select vec_id, sub, code from (select *, row_number() over (partition by vec_id, sub order by round(dd, 12), code) rn from fd) where rn = 1)"
-    ", near as (select lv.vec_id, lv.pos, lv.c1 + cb.c x from lv join fc using (vec_id, sub) join cb on cb.sub = fc.sub and cb.code = fc.code and cb.pos = lv.pos)"
+_LEFT = ", lv as materialized (select l.vec_id, l.pos, cb.c c1, l.x - cb.c x from codes join cb using (sub, code) join l on l.vec_id = codes.vec_id and l.pos = cb.pos), "
+_FIRST = (
+    ", s1 as (select probes.q_id, lv.vec_id id, 0.0 - sum((l.x - c1) * (l.x - c1)) score from probes join cells using (cell) join lv using (vec_id) join l on l.vec_id = probes.q_id and l.pos = lv.pos group by all)"
+    ", f as (select * from (select *, row_number() over (partition by q_id order by round(score, 9) desc, id) rank from s1) where rank <= 100)"
+    ", sc as (select f.q_id, f.id, 0.0 - sum((l.x - c1 - dec.x) * (l.x - c1 - dec.x)) score from f join lv on lv.vec_id = f.id join dec on dec.vec_id = f.id and dec.pos = lv.pos join l on l.vec_id = f.q_id and l.pos = lv.pos group by all)"
 )
-_FIRST = ", f as (select * from (select *, row_number() over (partition by q_id order by round(score, 9) desc, id) rank from s1) where rank <= 40)"
-_SECOND = ", sc as (select f.q_id, f.id, 0.0 - sum((l.x - near.x) * (l.x - near.x)) score from f join near on near.vec_id = f.id join l on l.vec_id = f.q_id and l.pos = near.pos group by all)"
 
 
-@query("i10_rerank_search", f"with {_CELLS}, {_PQ}{_FINE}{_PROBES}{_ADC}{_IVF.format(where='').replace('sc as', 's1 as')}{_FIRST}{_SECOND}{_HITS}")
+@query("i10_rerank_search", f"with {_CELLS}, {_pq(2, 256)}{_LEFT}{_grid('lv')}{_PROBES}{_FIRST}{_HITS}")
 def _rerank(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    book = seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy()
-    index = ivf.IVFPQRIndex(8, 8, 16, 4, 16)
-    index.set_codebooks(seeds(base), book)
-    index.fine = codecs.PQCodec(8, 16, codebook=book)
-    index.n_probe, index.use_smart_probing = 4, False
+    book = seeds(base, 256)
+    index = ivf.IVFPQRIndex(32, 64, 16, 10)
+    index.set_codebooks(seeds(base), book.reshape(len(book), 32, 2).transpose(1, 0, 2).copy())
+    index.fine = codecs.PQCodec(64, 256, codebook=grid_book(index.left_over(base)))
+    index.n_probe, index.use_smart_probing = N_PROBE, False
     index.add(base)
     return hits(index.search(queries_of(base), 10))
 
 
-@query("t13_distributed_cells", f"with {_CELLS}, {_PQ}{_PROBES}{_ADC}{_IVF.format(where='')}{_HITS}")
+@query("t13_distributed_cells", f"with {_CELLS}, {_grid('l')}{_PROBES}{_IVF.format(where='')}{_HITS}")
 def _distributed(spark, sf_dir):
     base, path = embeddings(spark, sf_dir), scratch.folder(spark)
-    index = index16(base)
-    index.codes.write.partitionBy("cell").parquet(path)
-    index.codes = spark.read.parquet(path)
-    return hits(index.search(queries_of(base), 10))
+    index = grid_index(base)
+    index.save(path, spark)
+    return hits(ivf.IVFPQIndex.load(path, spark).search(queries_of(base), 10))
 
 
 # SQL functions, bits, streaming, volume
 
 
-@query("f1_sql_functions", f"with {_PAIRS.format(score=_SCORES['l2'])} select q_id, id, round(score, 6) + 0.0 score from p where id < 50")
+@query("f1_sql_functions", f"with {_PAIRS.format(score=_SCORES['l2'])} select q_id, id, round(score, 6) + 0.0 score from p")
 def _sql(spark, sf_dir):
     sqlfn.register(spark)
     base = embeddings(spark, sf_dir)
-    pairs = queries_of(base).crossJoin(base.where("id < 50"))
+    pairs = F.broadcast(queries_of(base)).crossJoin(base)
     return pairs.select("q_id", "id", r6(F.expr("vec_l2(q_vec, vec)")).alias("score"))
 
 
-@query("f2_nibbles", "select vec_id id, ((vec_id % 256) // 16)::integer high, (vec_id % 16)::integer low from embeddings")
+@query("f2_nibbles", f"with {_L}, {_PQ} select a.vec_id id, (a.sub // 2)::integer pos, a.code high, b.code low from codes a join codes b on a.vec_id = b.vec_id and b.sub = a.sub + 1 where a.sub % 2 = 0")
 def _nibbles(spark, sf_dir):
-    c = (F.col("id") % 256).cast("int")
-    return embeddings(spark, sf_dir).select("id", F.shiftright(c, 4).alias("high"), c.bitwiseAND(F.lit(15)).alias("low"))
+    base = embeddings(spark, sf_dir)
+    pq = codecs.PQCodec(8, 16, codebook=seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy(), packed=True)
+    bytes_ = codecs.long_codes(pq.encode(base))
+    return bytes_.select("id", F.col("sub").alias("pos"), F.shiftright("code", 4).alias("high"), F.col("code").bitwiseAND(F.lit(15)).alias("low"))
 
 
 def _stream(spark: SparkSession, base: DataFrame, files: int = 3) -> DataFrame:
@@ -885,11 +955,12 @@ def _stream(spark: SparkSession, base: DataFrame, files: int = 3) -> DataFrame:
     return spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("st1_stream_kmeans", "select (select count(*) from embeddings) + 4 n, 4::bigint cells")
+@query("st1_stream_kmeans", f"{_batches_sql(4)} select cell, pos, round(c, 6) + 0.0 x, n from cen2 join n2 using (cell)")
 def _stream_kmeans(spark, sf_dir):
     base, path = embeddings(spark, sf_dir), scratch.folder(spark)
-    incremental.minibatch_kmeans(_stream(spark, base), f"{path}/state", f"{path}/checkpoint", 4, init=seeds(base, 4)).awaitTermination()
-    return incremental.read_state(spark, f"{path}/state").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("cells"))
+    incremental.minibatch_kmeans(_stream(spark, base, 2), f"{path}/state", f"{path}/checkpoint", 4, init=seeds(base, 4)).awaitTermination()
+    state = incremental.read_state(spark, f"{path}/state")
+    return state.select("cell", F.posexplode("centroid").alias("pos", "x"), F.col("n").cast("long").alias("n")).withColumn("x", r6("x"))
 
 
 @query("st2_stream_index", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id) where vec_id % 5 <> 0")
