@@ -422,7 +422,7 @@ def test_search_reads_the_probed_cells_alone(spark, df):
     q = as_queries(df.where("id < 1"))
     (cell,) = [r["cell"] for r in index.probe(q).collect()]
     plan = index.search(q, 3)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(rf"PartitionFilters: \[[^\]]*cell#\d+ (= {cell}|IN \({cell}\))", plan), plan
+    assert re.search(rf"PartitionFilters: \[[^\]]*shelf#\d+ (= {cell}|IN \({cell}\))", plan), plan
 
 
 @pytest.mark.parametrize("metric", METRICS)

@@ -24,8 +24,9 @@ from ..sources import scratch
 
 #: Bytes of centroids that are sent to every task; more are refused here (search.knn assigns to larger sets).
 CENTROID_BYTES = 256_000_000
-#: Bytes of similarities that a task holds at once; sums that travel in one row.
-TILE_BYTES, CHUNK = 64_000_000, 32
+#: Bytes of similarities that a task holds at once (about what a core's cache holds); what counts as a tie; sums that
+#: travel in one row.
+TILE_BYTES, TIE, CHUNK = 2_000_000, 1e-12, 32
 #: Seeds after which the running minimum of farthest_first is written out, so that lineage stays short.
 SEEDS_A_CUT = 16
 
@@ -41,11 +42,15 @@ def tiles(metric: str, n: int, c: np.ndarray) -> range:
 
 
 def nearest(metric: str, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score and index of the most similar centroid; ties (to 12 digits) to the lower index."""
+    """Score and index of the most similar centroid; ties (up to TIE) to the lower index."""
     cell, parts = np.zeros(len(x), np.int64), tiles(metric, len(x), c)
+    flat = M.canonical(metric) == "euclidean"
+    half = (c * c).sum(1) / 2
     for i in parts:
-        own = slice(i, i + parts.step)
-        cell[own] = np.argmax(np.round(M.matrix(metric, x[own], c), 12), axis=1)
+        own = x[i : i + parts.step]
+        # of the squared distance, what differs between centroids
+        s = own @ c.T - half if flat else M.matrix(metric, own, c)
+        cell[i : i + parts.step] = (s >= s.max(axis=1, keepdims=True) - (TIE / 2 if flat else TIE)).argmax(axis=1)
     return M.direct(metric, x, c[cell]), cell
 
 

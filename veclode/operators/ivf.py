@@ -1,8 +1,8 @@
 """IVF-PQ: cells by a coarse quantizer, product-quantized codes in the cells, search in the nearest cells.
 
-Adding vectors assigns and encodes them in one pass and stores the codes once, in the shared folder, partitioned by cell;
-sizes of cells (one number a cell) stay beside them. A search finds each query's cells and reads those alone: the
-numbers of the probed cells are a filter of the scan, which leaves out the other cells' files. Codes meet the queries that ask for their
+Adding vectors assigns and encodes them in one pass and stores the codes once, in the shared folder, sorted by cell and
+partitioned by shelf, a run of neighbouring cells; sizes of cells (one number a cell) stay beside them. A search finds
+each query's cells and reads those alone: their shelves are a filter of the scan, which leaves out the other files. Codes meet the queries that ask for their
 cell by a cogroup; inside it they are decoded and multiplied with all of them at once, and only each query's best of
 the cell goes on. A cell with many codes is dealt into pieces, since lists of best hits can be merged.
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -26,8 +26,8 @@ from .clustering import KMeans, nearest, nearest_cells
 from .codecs import PQCodec, VQCodec
 from .search import knn, padded, select, top_k
 
-#: Codes that a task scores at once.
-PIECE = 65_536
+#: Codes that a task scores at once, and shelves of an index: as many folders, however many cells there are.
+PIECE, SHELVES = 65_536, 64
 
 
 def smart_probes(probes: DataFrame, n_probe: int, temperature: float = 30.0) -> DataFrame:
@@ -145,9 +145,15 @@ class IVFPQIndex:
 
     # the stored rows
 
+    def _shelf(self, cell: Column) -> Column:
+        return F.floor(cell * min(SHELVES, self.n_cells) / self.n_cells).cast("int")
+
     @property
     def rows(self) -> DataFrame:
         """id, cell, slot, code of what was added and not removed."""
+        return self._stored().drop("shelf")
+
+    def _stored(self) -> DataFrame:
         out = self._parts[0]
         for part in self._parts[1:]:
             out = out.unionByName(part)
@@ -163,7 +169,8 @@ class IVFPQIndex:
     def codes(self, rows: DataFrame) -> None:
         """Rows that were encoded before (id, cell, code and, if they have them, slot), instead of what was added."""
         own = rows if "slot" in rows.columns else rows.withColumn("slot", F.lit(-1).cast("long"))
-        self._parts, self._gone = [own.select("id", F.col("cell").cast("int").alias("cell"), "slot", *self._fields())], []
+        shelf = F.col("shelf") if "shelf" in rows.columns else self._shelf(F.col("cell"))
+        self._parts, self._gone = [own.select("id", F.col("cell").cast("int").alias("cell"), "slot", *self._fields(), shelf.cast("int").alias("shelf"))], []
         self._sizes = self._counted(own)
 
     def _counted(self, rows: DataFrame) -> np.ndarray:
@@ -182,12 +189,12 @@ class IVFPQIndex:
         placed = store.numbered(self._encoded(df), ["cell", "id"], "n")
         sizes = self._counted(placed)
         first = self._per_cell(spark, self._sizes - (np.cumsum(sizes) - sizes), "shift")
-        placed = placed.join(first, "cell").withColumn("slot", F.col("n") + F.col("shift")).select("id", "slot", *self._fields(), "cell")
-        placed.repartitionByRange("cell", "slot").sortWithinPartitions("cell", "slot").write.partitionBy("cell").parquet(path)
-        part = spark.read.schema(f"id long, slot long, {', '.join(f'{f} binary' for f in self._fields())}, cell int").parquet(path)
+        placed = placed.join(first, "cell").withColumn("slot", F.col("n") + F.col("shift")).select("id", "cell", "slot", *self._fields(), self._shelf(F.col("cell")).alias("shelf"))
+        placed.repartitionByRange("shelf", "cell", "slot").sortWithinPartitions("shelf", "cell", "slot").write.partitionBy("shelf").parquet(path)
+        part = spark.read.schema(f"id long, cell int, slot long, {', '.join(f'{f} binary' for f in self._fields())}, shelf int").parquet(path)
         self._sizes = self._sizes + sizes
-        self._parts.append(part.select("id", "cell", "slot", *self._fields()))
-        return self._parts[-1]
+        self._parts.append(part)
+        return part.drop("shelf")
 
     def remove(self, ids: DataFrame) -> None:
         self._gone.append(ids.select("id").distinct())
@@ -222,7 +229,8 @@ class IVFPQIndex:
         asked = probes.join(q, "q_id").join(pieces, "cell").where("pieces > 0")
         left = asked.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
         probed = [r["cell"] for r in probes.select("cell").distinct().collect()]  # one row a cell at most
-        right = self.rows.where(F.col("cell").isin(probed)).join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("id", "slot"), F.col("pieces")))
+        shelves = sorted({c * min(SHELVES, self.n_cells) // self.n_cells for c in probed})
+        right = self._stored().where(F.col("shelf").isin(shelves) & F.col("cell").isin(probed)).join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("id", "slot"), F.col("pieces")))
         fields = "".join(f", {f} binary" for f in more)
         left, right = left.select("cell", "piece", "q_id", "v").groupBy("cell", "piece"), right.select("cell", "piece", "id", "slot", *self._fields()).groupBy("cell", "piece")
         found = left.cogroup(right).applyInArrow(self._scan(k, more), f"q_id long, id long, cell int, slot long, score double{fields}")
@@ -267,7 +275,7 @@ class IVFPQIndex:
 
     def save(self, path: str, spark) -> None:
         settings = {"m": self.pq.m, "n_cells": self.n_cells, "distance": self.distance, "residual": self.residual, "k": int(self.pq.codebook.shape[1]), "n_probe": self.n_probe, "smart": self.use_smart_probing, "temperature": self.temperature, "packed": self.pq.packed}
-        persist.save(path, spark, settings, {"centroids": self.vq.codebook, "codebook": self.pq.codebook}, {"codes": self.rows}, {"codes": "cell"})
+        persist.save(path, spark, settings, {"centroids": self.vq.codebook, "codebook": self.pq.codebook}, {"codes": self._stored()}, {"codes": "shelf"})
 
     @classmethod
     def load(cls, path: str, spark) -> IVFPQIndex:
