@@ -291,14 +291,13 @@ def test_streams(spark, df, x, tmp_path):
 
 def test_sql_functions(spark, df, x):
     sqlfn.register(spark)
-    sqlfn.register_knn(spark)
     pq = codecs.PQCodec(4, 16, codebook=x[:16].reshape(16, 4, 2).transpose(1, 0, 2).copy())
     sqlfn.register_pq(spark, pq)
     df.createOrReplaceTempView("v")
     r = spark.sql("select vec_dot(vec, vec) d, vec_l2(vec, vec) e, vec_l1(vec, vec) m, vec_cosine(vec, vec) c, vec_normalize(vec) n, pq_decode(pq_encode(vec)) p from v where id = 3").first()
     assert r["d"] == pytest.approx(x[3] @ x[3]) and r["e"] == 0 and r["m"] == 0 and r["c"] == pytest.approx(1, abs=1e-6)
     assert np.allclose(r["n"], x[3] / np.linalg.norm(x[3])) and np.allclose(r["p"], pq.decoded(pq.codes(x[3:4]))[0])
-    near = spark.sql(f"select id from knn(table(v), '{x[3].tolist()}', 4) order by score desc, id limit 4").collect()
+    near = sqlfn.knn(spark, "v", x[3].tolist(), 4).collect()
     assert [r["id"] for r in near] == np.argsort(((x - x[3]) ** 2).sum(1))[:4].tolist()
 
 

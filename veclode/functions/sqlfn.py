@@ -1,14 +1,19 @@
-"""Vector functions for SQL: vec_l2, vec_dot, vec_cosine, vec_l1, vec_normalize, pq_encode, pq_decode and the table function knn."""
+"""Vector functions for SQL: vec_l2, vec_dot, vec_cosine, vec_l1, vec_normalize, pq_encode, pq_decode and the table function
+knn_partial, whose lists `knn` merges."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
+
+from . import metrics as M
+from .arrow import usable
 
 _PAIR = "CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}"
 _SUM = "aggregate(zip_with(a, b, (x, y) -> {0}), 0.0D, (s, x) -> s + x)"
@@ -33,36 +38,42 @@ def register_pq(spark: SparkSession, codec) -> None:
 
     @F.pandas_udf("binary")
     def encode(v: pd.Series) -> pd.Series:
-        return pd.Series([c.tobytes() for c in codec.codes(np.array(v.tolist(), float))])
+        return pd.Series(codec.pack(codec.codes(np.array(v.tolist(), float))).to_pylist())
 
     @F.pandas_udf("array<double>")
     def decode(c: pd.Series) -> pd.Series:
-        return pd.Series(list(codec.decoded(np.array([np.frombuffer(x, np.uint8) for x in c]))))
+        return pd.Series(list(codec.decoded(codec.unpack(pa.array(c, pa.binary())))))
 
     spark.udf.register("pq_encode", encode)
     spark.udf.register("pq_decode", decode)
 
 
-@F.udtf(returnType="id bigint, score double")
-class _Knn:
-    """knn(TABLE(vectors) , query as JSON, k): the k nearest of each partition of the table; merge with ORDER BY ... LIMIT k."""
+@F.arrow_udtf(returnType="id bigint, score double")
+class _KnnPartial:
+    """knn_partial(TABLE(vectors), query as JSON, k): the k nearest of each partition of the table, by Arrow batches."""
 
     def __init__(self) -> None:
-        self.heap: list[tuple[float, int]] = []
-        self.k, self.query = 0, None
+        self.ids, self.scores, self.k = np.zeros(0, np.int64), np.zeros(0), 0
 
-    def eval(self, row: Row, query: str, k: int) -> None:
-        if self.query is None:
-            self.query, self.k = np.array(json.loads(query), float), k
-        score = -float(((np.array(row["vec"], float) - self.query) ** 2).sum())
-        self.heap.append((-score, row["id"]))
-        if len(self.heap) > 4 * self.k:
-            self.heap = sorted(self.heap)[: self.k]
+    def eval(self, batch: pa.RecordBatch, query: pa.Array, k: pa.Array) -> Iterator[pa.Table]:
+        q = np.array([json.loads(query[0].as_py())], float)
+        self.k = k[0].as_py()
+        x, at = usable(batch.column("vec"), q.shape[1])
+        self.ids = np.concatenate([self.ids, batch.column("id").to_numpy(zero_copy_only=False)[at]])
+        self.scores = np.concatenate([self.scores, M.direct("euclidean", np.broadcast_to(q, x.shape), x)])
+        best = np.lexsort((self.ids, -self.scores))[: self.k]
+        self.ids, self.scores = self.ids[best], self.scores[best]
+        yield from ()
 
-    def terminate(self):
-        for distance, i in sorted(self.heap)[: self.k]:
-            yield i, -distance
+    def terminate(self) -> Iterator[pa.Table]:
+        yield pa.table({"id": pa.array(self.ids, pa.int64()), "score": self.scores})
 
 
 def register_knn(spark: SparkSession) -> None:
-    spark.udtf.register("knn", _Knn)
+    spark.udtf.register("knn_partial", _KnnPartial)
+
+
+def knn(spark: SparkSession, view: str, query: list[float], k: int) -> DataFrame:
+    """id, score of the k nearest of a view (id, vec) to a query: the partial lists, k rows a partition, merged."""
+    register_knn(spark)
+    return spark.sql(f"SELECT * FROM knn_partial(TABLE({view}), '{json.dumps(list(map(float, query)))}', {int(k)}) ORDER BY score DESC, id LIMIT {int(k)}")
