@@ -6,7 +6,7 @@ these feature differences. The cut is a quantile of the training scores. A score
 to the cut, mapped so that the cut gets `at`.
 
 The fit uses at most SAMPLE labelled texts (in the order of a hash of doc_id), whose ids are broadcast, and PAIRS
-pairs of them; of rows that repeat an id the least text is learnt from; scoring is one pass over all texts. Defined cases: a null or empty text has the statistics of an
+pairs of them; of rows that repeat an id the least statistics are learnt from; scoring is one pass over all texts. Defined cases: a null or empty text has the statistics of an
 empty one; without labels of both kinds every score is 0.5; repeated rows repeat their score; null labels and
 ids teach nothing; an empty table gives an empty result.
 """
@@ -48,7 +48,7 @@ def statistics(text: str) -> list[float]:
 def _measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
         x = pa.array([statistics(t.as_py()) for t in b.column("text")], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([b.column("y"), x], names=["y", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), x], names=["doc_id", "y", "x"])
 
 
 class Ranking:
@@ -88,8 +88,8 @@ class Ranking:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> Ranking:
     sample = F.broadcast(learn_sample(labels, "quality", modulus, held, SAMPLE))
-    once = texts(docs).join(sample, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
-    rows = once.select("y", "text").mapInArrow(_measured, "y int, x array<double>").toArrow()
+    measured = texts(docs).join(sample, "doc_id").select("doc_id", "y", "text").mapInArrow(_measured, "doc_id long, y int, x array<double>")
+    rows = measured.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()  # one row a sampled id
     if not rows.num_rows:
         return Ranking(np.zeros((0, 1)), np.zeros(0))
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
