@@ -396,6 +396,64 @@ def test_sketches_estimate_similarity():
     assert simhash.similar(np.zeros((1, simhash.BINS), np.uint8), np.zeros((1, simhash.BINS), np.uint8)) == 1
 
 
+def test_wide_fingerprints():
+    """Bit by bit against plain sums, and the radius against sets of similarity 0.8 and unrelated ones."""
+    m, rng = (1 << 64) - 1, np.random.default_rng(7)
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def whole(h):
+        words = [[mixed((x + w * 0x9E3779B97F4A7C15) & m) for x in h.tolist()] for w in range(simhash.WORDS)]
+        return b"".join(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in word) > len(h)).to_bytes(8, "little") for word in words)
+
+    for n in (0, 1, 4, 99):
+        h = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        assert simhash.wide(h) == whole(h)
+    assert simhash.wide(np.tile(h, 500)) == whole(h)
+    assert simhash.radius_of(0.8) == 74 and simhash.radius_of(1) == 0
+    for both, a, b in ((4, 1, 0), (12, 1, 2), (40, 5, 5), (400, 100, 0)):
+        for _ in range(200):
+            h = rng.integers(0, 1 << 64, both + a + b, dtype=np.uint64)
+            x, y, far = (np.frombuffer(simhash.wide(s), np.uint64) for s in (h[: both + a], np.delete(h, np.s_[both : both + a]), rng.integers(0, 1 << 64, both, dtype=np.uint64)))
+            assert np.bitwise_count(x ^ y).sum() <= 74 < np.bitwise_count(x ^ far).sum()
+
+
+@pytest.mark.parametrize("most", [16, 1000])
+def test_trees_of_wide_fingerprints_lose_no_link(spark, most):
+    """The components of a shard's links, in one piece and in tiles, against all pairs: groups of copies, chains, equal ones."""
+    from veclode.llm.components import components
+
+    rng, radius, prints = np.random.default_rng(9), 20, []
+    for _ in range(12):
+        x = rng.integers(0, 2, 256, dtype=np.uint8)
+        for _ in range(rng.integers(1, 40)):
+            prints.append(np.packbits(x).tobytes())
+            x = x ^ (rng.random(256) < rng.choice([0, 0.02, 0.07]))
+    prints = [prints[i] for i in rng.permutation(len(prints))]
+    all_ = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+    label, near = np.arange(len(prints)), np.bitwise_count(all_[:, None] ^ all_).sum(-1) <= radius
+    while (label != (new := np.array([label[x].min() for x in near]))).any():
+        label = new
+    assert 12 < len(set(label.tolist())) < len(prints) / 2
+    assert simhash.spread(len(prints), simhash.by_tree(prints, radius)).tolist() == label.tolist()
+    keys = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(prints))], "key long, node long")
+    loads = spark.createDataFrame(list(enumerate(map(bytearray, prints))), "node long, load binary")
+    root = {r["node"]: r["root"] for r in components(simhash.grouped_links(keys, loads, simhash.by_tree, radius, most)).collect()}
+    assert [root.get(i, i) for i in range(len(prints))] == label.tolist()
+
+
+def test_near_dedup_finds_its_pairs_in_the_trees(spark, monkeypatch):
+    """A near copy goes because a tree's search returns it: with a radius that returns nothing, only equal sets go."""
+    words = [f"w{i}" for i in range(200)]
+    data = [(1, " ".join(words), "s"), (2, " ".join(words[:-3]), "s"), (3, " ".join(words).upper(), "s")]
+    assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, data)).collect()} == {1}
+    monkeypatch.setattr(simhash, "radius_of", lambda similarity: -1)
+    assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, data)).collect()} == {1, 2}
+
+
 def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)

@@ -12,9 +12,10 @@ returns a spanning forest of the links it found, so its output is as long as its
 forests' connected components are the result.
 
 The pipeline's stage, near_dedup, owes similarity 0.8 of five-word shingles. At that similarity two fingerprints of 64
-bits differ in ten bits on average and in over twenty now and then, as unrelated ones do in thirty-two: a BK-tree
-would follow nearly every edge, and blocks would find nearly every pair. Its candidates come from MinHash bands of the
-shingles instead, and exact shingle sets decide.
+bits differ in ten bits on average and in over twenty now and then, as unrelated ones do in thirty-two: too few bits to
+tell them apart. Its fingerprints are SimHashes of the set of shingles in 256 bits, where they differ in 39 and 128 bits,
+and radius 74 lies far from both. Choices of blocks that agree do not exist at such a radius, so MinHash bands of the
+shingles deal the fingerprints into shards; the BK-tree of a shard finds the pairs, and exact shingle sets decide.
 
 Defined cases: a text without words has fingerprint zero and links like any other; null text is empty; rows
 that repeat belong to one node; null ids are the smallest only where a component has no other; an empty table
@@ -24,6 +25,7 @@ rows that repeat an id alone each has a fate of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -41,6 +43,9 @@ SEED, CHUNK, BINS = 42, 65_536, 512
 SHARD = 1024
 #: Candidates agree in one of BANDS bands of ROWS minima: a pair of similarity 0.8 does not with probability 7e-5.
 BANDS, ROWS, LOOSE = 24, 5, 0.08
+#: Words of 64 bits of a set's fingerprint, and the deviations above the mean up to which differing bits make a candidate.
+#: At similarity 0.8 that is a radius of 74: it is passed with probability 7e-9 in large sets, 3e-5 at most (4 shingles of 5).
+WORDS, DEVIATIONS = 4, 6
 EMPTY = np.iinfo(np.uint64).max
 #: The order in which a minimum looks for a full bin: its own first, then the others at random.
 _PROBE = np.random.default_rng(SEED).permuted(np.tile(np.arange(BINS, dtype=np.int64), (BANDS * ROWS, 1)), axis=1)
@@ -49,6 +54,7 @@ _PROBE = np.array([[i, *row[row != i]] for i, row in enumerate(_PROBE)])
 CHANCE = 256
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1  # of a byte, lowest first
 _COLS = np.arange(8) * 256
+_STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingled(n: int) -> Callable[[list[bytes]], list[bytes]]:
@@ -82,8 +88,27 @@ def votes(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
+def wide(h: np.ndarray) -> bytes:
+    """The fingerprint of a set of hashes in WORDS words, from as many hashes made of each (splitmix64)."""
+    counts = np.zeros((8 * WORDS, 8))
+    for i in range(0, len(h), CHUNK // WORDS):
+        z = h[i : i + CHUNK // WORDS, None] + _STEPS
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        at = z.view(np.uint8).reshape(len(z), -1) + np.arange(8 * WORDS) * 256
+        counts += np.bincount(at.ravel(), minlength=2048 * WORDS).reshape(-1, 256).astype(float) @ _BITS.astype(float)
+    return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
+
+
+def radius_of(similarity: float) -> int:
+    """The bits in which wide fingerprints of sets of the similarity may differ: such sets are at the angle p pi at most."""
+    n, p = 64 * WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 def sketch(lows: np.ndarray) -> bytes:
-    """One-permutation MinHash: of the smallest hash in each of BINS bins, 8 bits; 0 where a bin is empty."""
+    """One-permutation MinHash, which near_dedup does not use: of the smallest hash in each of BINS bins, 8 bits; 0 where a bin is empty."""
     return np.where(lows != EMPTY, 1 + (lows * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
 
 
@@ -110,10 +135,15 @@ def fingerprints(docs: DataFrame, views: dict[str, Callable]) -> DataFrame:
 
 
 class BKTree:
-    """A static BK-tree over distinct uint64, built and searched in batches. Up to LEAF nodes stay a list."""
+    """A static BK-tree over distinct uint64, or rows of several, built and searched in batches. Up to LEAF nodes stay
+    a list."""
 
     LEAF = 24
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(a ^ b)
+        return d.sum(-1, dtype=np.int16) if self.values.ndim > 1 else d
+
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
         self.nodes: list = []
@@ -124,7 +154,7 @@ class BKTree:
                 self.nodes.append((members, None))
             else:
                 head, rest = members[0], members[1:]
-                d = np.bitwise_count(values[rest] ^ values[head])
+                d = self.apart(values[rest], values[head])
                 order = np.argsort(d, kind="stable")
                 keys, first = np.unique(d[order], return_index=True)
                 edges: dict[int, int] = {}
@@ -139,7 +169,7 @@ class BKTree:
         while todo:
             at, q = todo.pop()
             members, edges = self.nodes[at]
-            d = np.bitwise_count(queries[q, None] ^ self.values[members])
+            d = self.apart(queries[q, None], self.values[members])
             hit, which = np.nonzero(d <= radius)
             if len(hit):
                 yield q[hit], members[which]
@@ -272,24 +302,23 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(hashes(shingled(5)(text.encode().lower().split())))
 
 
-def minhashes(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (they name a row), node (the set of five-word shingles, hashed), its sketch and its bands."""
+def set_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 (they name a row), node (the set of five-word shingles, hashed), its wide fingerprint and its bands."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            nodes, sketches, keys = [], [], []
+            nodes, prints, keys = [], [], []
             for t in b.column("text"):
                 h = shingle_set(t.as_py())
-                lows = low(h)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                sketches.append(sketch(lows))
-                keys.append(bands(lows))
+                prints.append(wide(h))
+                keys.append(bands(low(h)))
             sizes = np.array([len(k) for k in keys], np.int64)
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
-            arrays = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), list_array(flat, sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k1", "k2", "node", "sketch", "bands"])
+            arrays = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), list_array(flat, sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k1", "k2", "node", "fp", "bands"])
 
-    return with_key(texts(docs)).mapInArrow(run, "doc_id long, k1 long, k2 long, node long, sketch binary, bands array<long>")
+    return with_key(texts(docs)).mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp binary, bands array<long>")
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -318,9 +347,22 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return label
 
 
-def by_sketch(loads: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
-    all_ = np.frombuffer(b"".join(loads), np.uint8).reshape(len(loads), -1)
-    return lambda i, others: similar(all_[i : i + 1], all_[others]) >= least
+def by_tree(loads: list[bytes], radius: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links within the radius, found in a BK-tree of wide fingerprints. Others only ever get fewer; once they are less
+    than half of the tree's, they get a tree of their own."""
+    all_ = np.frombuffer(b"".join(loads), np.uint64).reshape(len(loads), -1)
+    held, tree = np.zeros(0, np.int64), BKTree(all_[:0])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        nonlocal held, tree
+        if not len(held) or 2 * len(others) < len(held):
+            held, tree = others, BKTree(all_[others])
+        hit = np.zeros(len(all_), bool)
+        for _, at in tree.search(all_[i : i + 1], radius):
+            hit[held[at]] = True
+        return hit[others]
+
+    return near
 
 
 def by_set(loads: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -342,9 +384,9 @@ def by_set(loads: list[bytes], least: float) -> Callable[[int, np.ndarray], np.n
     return near
 
 
-def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, least: float, most: int) -> DataFrame:
+def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, bound: float, most: int) -> DataFrame:
     """A spanning forest (u, v) of the links between nodes that share a key. rows: key, node, distinct; loads: node,
-    load, what links_of makes links from. Keys share shards of `most` rows on average; a larger one is dealt into
+    load, what links_of makes links from, within the bound. Keys share shards of `most` rows on average; a larger one is dealt into
     tiles, and each pair of tiles is a task."""
     rows = rows.withColumn("shard", F.pmod("key", F.lit(max(1, rows.count() // most))))
     sizes = rows.groupBy("shard").count().where(F.col("count") > 2 * most)
@@ -359,7 +401,7 @@ def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, least:
         order = np.lexsort((node, key))
         load, u, v = t.column("load").to_pylist(), [], []
         for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            label = spread(len(part), links_of([load[i] for i in part], least))
+            label = spread(len(part), links_of([load[i] for i in part], bound))
             own = np.flatnonzero(label != np.arange(len(part)))
             u.append(node[part[own]])
             v.append(node[part[label[own]]])
@@ -371,13 +413,13 @@ def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, least:
 def near_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """A spanning forest (u, v) of the nodes whose sets of five-word shingles have the similarity (Jaccard), exactly.
 
-    Candidates share a band; those whose sketches are less than LOOSE below the similarity (over four standard
-    deviations of the estimate) are joined into groups, and within a group the sets themselves decide."""
-    nodes = cut(prints.groupBy("node").agg(F.min("sketch").alias("load"), F.min("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row")))
+    Fingerprints share a shard where they share a band; a band's BK-tree finds those within the radius, which are joined into
+    groups, and within a group the sets themselves decide."""
+    nodes = cut(prints.groupBy("node").agg(F.min("fp").alias("load"), F.min("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row")))
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     rows = cut(keys.join(shared, "key", "left_semi"))
-    roots = components(grouped_links(rows, nodes.select("node", "load"), by_sketch, similarity - LOOSE, SHARD))
+    roots = components(grouped_links(rows, nodes.select("node", "load"), by_tree, radius_of(similarity), SHARD))
     roots = cut(roots.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node"))).distinct())
     named = nodes.join(roots.select("node"), "node", "left_semi").select("node", "row.k1", "row.k2")
     some = with_key(texts(docs)).join(named, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
@@ -387,7 +429,7 @@ def near_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFra
 def near_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id, a
     row without an id only where the group has no other."""
-    prints = cut(minhashes(docs))
+    prints = cut(set_prints(docs))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     nodes = prints.groupBy("node").agg(F.min(order).alias("first"))
     named = nodes.join(components(near_links(docs, prints, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
