@@ -3,6 +3,7 @@ very long texts, ties, repeated rows, no rows, and columns whose names clash wit
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -746,3 +747,38 @@ def test_pieces_lattice_is_the_whole_text(text):
             assert any(lattice.code[e] == i and lattice.p[e] > 0 for e in own), sp.id_to_piece(i)
         done += v.raw[i]
     assert done.decode() == full
+
+
+def test_pieces_build_a_unit_once_and_the_same_in_any_batch(monkeypatch):
+    """What a lattice holds of a unit depends on the unit alone, to the last bit; batches that share a lattice build a unit
+    once, get the same samples as alone, and beyond KEPT edges build the other units anew."""
+    v, rng = pieces.Vocabulary(), np.random.default_rng(4)
+    text = [" ".join("".join(rng.choice(list("aeinrst"), rng.integers(1, 50))) for _ in range(40)) + "\n é 🙂" for _ in range(30)]
+    units = list(dict.fromkeys(u for t in text for u in v.units.findall(" " + t)))
+    lattice = pieces.Lattice(v, units)
+    for unit, start in zip(units, lattice.start.tolist(), strict=True):
+        alone = pieces.Lattice(v, [unit])
+        for state in range(len(unit) + 1):
+            a, b, n = lattice.off[start + state], alone.off[state], lattice.count[start + state]
+            assert n == alone.count[state]
+            assert all((getattr(lattice, x)[a : a + n] == getattr(alone, x)[b : b + n]).all() for x in ("p", "logp", "cum", "code"))
+    sent = pieces.sample(pickle.loads(pickle.dumps(v)), list(range(len(text))), text, 2)[0]  # as a broadcast sends it
+    assert len(sent.start) == len(units)
+    looked, find = [], pieces.Vocabulary.find
+    monkeypatch.setattr(pieces.Vocabulary, "find", lambda self, h: looked.append(len(h)) or find(self, h))
+
+    def samples(docs, **shared):
+        own, found = pieces.sample(v, [7] * len(docs), docs, 2, **shared)
+        return [([(own.ids(path[1]).tolist(), log_p, g) for path, log_p, g in leaves], kappa) for leaves, kappa in found]
+
+    want = [samples([t])[0] for t in text]
+    assert samples(text[:1] * 3)[0] == want[0]
+    for most in (pieces.KEPT, 5000):
+        monkeypatch.setattr(pieces, "KEPT", most)
+        shared = pieces.Lattice(v)
+        for again in range(2):
+            looked.clear()
+            assert [samples([t], lattice=shared)[0] for t in text] == want
+            assert (sum(looked) == 0) == (again and most > 5000)
+        assert shared.size[1] <= most
+    assert 0 < shared.size[1] and len(shared.p) < 50_000

@@ -87,7 +87,7 @@ def held_out(modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
 
 
-def batches(arrow: Iterator[pa.RecordBatch], mb: int = 4) -> Iterator[pa.RecordBatch]:
+def batches(arrow: Iterator[pa.RecordBatch], mb: float = 4) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `mb` MB, so that what a function makes of a slice stays bounded."""
     for b in arrow:
         step = max(1, int(b.num_rows * mb * 1e6 / max(1, b.nbytes)))
