@@ -37,6 +37,8 @@ MODEL = "word_bpe_49k.json"
 #: Distinct units whose ids a task keeps, and the longest (in bytes) among them.
 KEPT, SHORT = 1 << 18, 64
 #: Punctuation that starts no contraction and no special token.
+#: The characters that stand for the bytes of a letter beyond ASCII; those of U+00E0 on and of ASCII stand for themselves.
+_LETTERS = "".join(chr(b + 0xA2 if 0x7F <= b <= 0xA0 else 0x143 if b == 0xAD else b) for b in range(256))
 _MARKS = np.isin(np.arange(256), np.frombuffer(rb"""!"#$%&()*+,-./:;=?@[\]^_`{}~""", np.uint8))
 _FIELDS = "doc_id long, start long, length long, doc_tokens long, sequence_id long, ids array<int>"
 #: A sequence's number: bucket, task and place, the last two in so many bits.
@@ -54,17 +56,15 @@ def model_path(name: str = MODEL) -> str:
 
 class Encoder:
     """Texts to ids, by their distinct units. Entry 0 is the end id, the others are units: words, cut further between a
-    letter and punctuation. Those of letters alone, with A-Z lower-cased, are one word to the tokenizer too, so that many of
-    them are encoded as one text, whose words end where a token ends one."""
+    letter and punctuation. Those of letters alone, lower-cased, are one word to the tokenizer too and go straight to its model,
+    in the characters that stand for their bytes."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model, self.end = Tokenizer.from_file(path), end
-        vocabulary = self.model.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = self.model.model
         self._reset()
 
     def _reset(self) -> None:
@@ -73,13 +73,12 @@ class Encoder:
 
     def _encode(self, units: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units one after another, and how many each has; the first n are of letters."""
-        plain = np.array(self.model.encode_batch_fast([b" ".join(units[:n]).decode()], add_special_tokens=False)[0].ids if n else [], np.int32)
-        ends = np.flatnonzero(self.closes[plain]) + 1
-        if len(ends) != n or n and ends[-1] != len(plain):
-            raise ValueError("the vocabulary does not mark the ends of words")
-        other = [x.ids for x in self.model.encode_batch_fast([u.decode() for u in units[n:]], add_special_tokens=False)]
-        size = np.fromiter(map(len, other), np.int64, len(other))
-        return np.concatenate([plain, np.fromiter(chain.from_iterable(other), np.int32, int(size.sum()))]), np.append(np.diff(ends, prepend=0), size)
+        letters = b"\n".join(units[:n]).decode("latin-1").split("\n") if n else []
+        encode = self.words.tokenize
+        found = [[token.id for token in encode(x if x.isascii() else x.translate(_LETTERS))] for x in letters]
+        found += [x.ids for x in self.model.encode_batch_fast([u.decode() for u in units[n:]], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
     def _entries(self, units: list[bytes], plain: np.ndarray) -> np.ndarray:
         """The entry of each of these distinct units (plain: of letters). What is kept begins anew beyond KEPT units."""
@@ -113,7 +112,10 @@ class Encoder:
         offsets = np.append(count[at], count[-1])
         body, letter, upper = data[word], letter[word], upper[word]
         plain = np.logical_and.reduceat(letter, offsets[:-1]) if len(at) else np.zeros(0, bool)
-        body[upper & np.repeat(plain, np.diff(offsets))] += 32
+        plain_ = np.repeat(plain, np.diff(offsets))
+        body[upper & plain_] += 32
+        capital = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] < 0x9F) & plain_[1:]) + 1  # U+00C0 to U+00DE
+        body[capital] += 32
         units = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
         kinds = np.zeros(len(units.dictionary), bool)
         kinds[units.indices.to_numpy()] = plain
