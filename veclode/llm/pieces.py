@@ -48,7 +48,10 @@ _UNITS, _WHOLE, _CROSSES = re.compile(r" *[^ \n]+| +|\n"), re.compile(r"[\s\S]+"
 #: From so many characters before a unit's end on, backward sums have exponents of their own.
 _SCALED = 32
 #: Edges whose lattices a task keeps from batch to batch (40 bytes each); characters of units built at once.
-KEPT, _SLICE = 1 << 20, 1 << 16
+KEPT, _SLICE = 1 << 18, 1 << 16
+#: From so many characters before a unit's end on, states are summed one by one, and so few units are walked one by one, so
+#: many steps at once: array operations for single characters would cost more.
+_LONG, _FEW, _STEPS = 4096, 4, 4096
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -117,9 +120,9 @@ class Vocabulary:
         return self.flat[at].tobytes().decode()[1:]
 
 
-def uniform(key: np.ndarray, step: int) -> np.ndarray:
+def uniform(key: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """In (0, 1), by key (uint64) and step."""
-    z = key + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = key + np.asarray(step + 1).astype(np.uint64) * _MUL
     z = (z ^ (z >> np.uint64(30))) * _M1
     z = (z ^ (z >> np.uint64(27))) * _M2
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
@@ -206,7 +209,7 @@ class Lattice:
             cursor[state] += 1
             weight[place], piece[place], lead[place] = w, code, state + e
         total, power = np.ones(n), np.zeros(n, np.int32)
-        ends = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        ends = np.searchsorted(left[order], np.arange(1, min(_LONG, int(left.max(initial=0))) + 2))
         for d, (i, j) in enumerate(zip(ends, ends[1:], strict=False), 1):
             if i == j:
                 continue
@@ -221,6 +224,8 @@ class Lattice:
             else:
                 total[states], more = np.frexp(sums)
                 power[states] = power[states + 1] + more
+        for i in np.flatnonzero(size > _LONG).tolist():
+            self._backward(int(start[i]), int(size[i]) - _LONG, count, level, weight, lead, total, power)
         off = np.cumsum(count) - count
         own = np.repeat(level - off, count) + np.arange(m)  # from the order of levels to that of states
         p, lead = weight[own], lead[own]
@@ -241,6 +246,26 @@ class Lattice:
         self.to[b], self.of[b], self.then[b] = lead + s, np.repeat(np.arange(s, s + n), count), off[lead]
         self.states, self.edges = s + n, a + m
 
+    @staticmethod
+    def _backward(start: int, n: int, count: np.ndarray, level: np.ndarray, weight: np.ndarray, lead: np.ndarray, total: np.ndarray, power: np.ndarray) -> None:
+        """The weights of the edges of a unit's first n states, which begin at `start`, become their probabilities."""
+        near = slice(start + n, start + n + WIDE)
+        sums = np.ldexp(total[near], power[near] - power[start + n]).tolist()  # of the states that follow, up to a power of 2
+        for end in range(start + n, start, -_STEPS):
+            states = np.arange(end - 1, max(start, end - _STEPS) - 1, -1)
+            size = count[states]
+            at = np.repeat(level[states] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            w, step, out, a = weight[at].tolist(), (lead[at] - np.repeat(states, size) - 1).tolist(), [], 0
+            for c in size.tolist():
+                own = [x * sums[e] for x, e in zip(w[a : a + c], step[a : a + c], strict=True)]
+                a, whole = a + c, sum(own)
+                out += [x / whole for x in own]
+                sums.insert(0, whole)
+                sums.pop()
+                if whole < 2.0**-300:
+                    sums = [x * 2.0**300 for x in sums]
+            weight[at] = out
+
     def src(self, edge: np.ndarray) -> np.ndarray:
         """The states that edges leave from."""
         return self.of[edge]
@@ -250,7 +275,7 @@ class Lattice:
         edge, size, steps, step = self.off[cur], np.zeros(len(cur), np.int64), [], 0
         unit = np.flatnonzero(edge >= 0)
         edge, keys = edge[unit], keys[unit]
-        while len(unit):
+        while len(unit) > _FEW or len(unit) and step < _STEPS:
             u = uniform(keys, step)
             on = np.flatnonzero(u >= self.cum[edge])
             u, at = u[on], edge[on]
@@ -264,12 +289,32 @@ class Lattice:
             then = self.then[edge]
             more = np.flatnonzero(then >= 0)
             unit, keys, edge, step = unit[more], keys[more], then[more].astype(np.int64), step + 1
+        rest = [self._walk(int(e), k, step) for e, k in zip(edge, keys, strict=True)]
+        size[unit] += np.array([len(x) for x in rest], np.int64)
         first = np.cumsum(size) - size
         out = np.zeros(int(size.sum()), np.int64)
+        for i, x in zip(unit.tolist(), rest, strict=True):
+            out[first[i] + step : first[i] + size[i]] = x
         for step, (unit, edge) in enumerate(steps):
             out[first[unit] + step] = edge
         return size, out
 
+    def _walk(self, edge: int, key: np.uint64, step: int) -> np.ndarray:
+        """The rest of a sampled path, from a state's first edge and a step on."""
+        cum, then, out = memoryview(self.cum), memoryview(self.then), []
+        while edge >= 0:
+            now = []
+            for u in uniform(key, np.arange(step, step + _STEPS)).tolist():
+                while u >= cum[edge]:
+                    edge += 1
+                now.append(edge)
+                edge = then[edge]
+                if edge < 0:
+                    break
+            out.append(np.array(now, np.int64))
+            step += _STEPS
+        return np.concatenate(out)
+
     def ids(self, edge: np.ndarray) -> np.ndarray:
         """The piece ids along a path; a character in bytes is its byte pieces."""
         return self.spelt(edge)[0]
@@ -456,7 +501,7 @@ def encode_samples(docs: DataFrame, k: int = 2, seed: int = 1, path: str = MODEL
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = broadcast.value
         lattice = Lattice(v)
-        for b in batches(it, 0.5):
+        for b in batches(it, 0.2):
             ids, body = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             keys = [xxhash.xxh64_intdigest(f"{seed}/{i}".encode()) for i in ids]
             _, found = sample(v, keys, body, k, lattice)
