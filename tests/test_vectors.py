@@ -1,5 +1,6 @@
 """Operators against numpy, and the properties of stores and indexes."""
 
+import os
 import re
 
 import numpy as np
@@ -269,7 +270,8 @@ def test_index_survives_saving(spark, df, tmp_path):
     index.save(str(tmp_path / "i"), spark)
     q = as_queries(df.where("id < 5"))
     assert found(ivf.IVFPQIndex.load(str(tmp_path / "i"), spark).search(q, 5)) == found(index.search(q, 5))
-    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "i" / "codes"))
+    (version,) = (tmp_path / "i").glob("v-*")
+    spark.range(3).write.mode("overwrite").parquet(str(version / "codes"))
     with pytest.raises(ValueError):
         persist.load(str(tmp_path / "i"), spark)
 
@@ -420,8 +422,175 @@ def test_search_reads_the_probed_cells_alone(spark, df):
     index.add(df)
     q = as_queries(df.where("id < 1"))
     (cell,) = [r["cell"] for r in index.probe(q).collect()]
-    plan = index.search(q, 3)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(rf"PartitionFilters: \[[^\]]*shelf#\d+ (= {cell}|IN \({cell}\))", plan), plan
+    found = index.search(q, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"cell#\d+ (= {cell}|IN \({cell}\))", plan) and "SelectedBucketsCount: 1 out of 8" in plan, plan
+
+
+def side(plan: str) -> list[str]:
+    """The lines of a plan that feed the codes into the cogroup: from the scan of codes up to the cogroup."""
+    lines = plan.splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "FileScan" in line and "code#" in line]
+    depth, out = len(lines[at]), []
+    for line in reversed(lines[: at + 1]):
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth or line is lines[at]:
+            out.append(line)
+            depth = indent
+        if "FlatMapCoGroups" in line:
+            return out
+    raise AssertionError(plan)
+
+
+def test_search_moves_no_codes_and_decodes_none(spark, df, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = ivf.IVFPQIndex(4, 8, n_pq_clusters=16, vq_iter=3, pq_iter=3)
+        index.train(df)
+        index.add(df)
+        index.n_probe, index.use_smart_probing = 8, False
+        index.remove(df.where("id = 5").select("id"))
+        monkeypatch.setattr(codecs.PQCodec, "decoded", None)
+        found = index.search(as_queries(df.where("id < 6")), 3)
+        own = side(found._jdf.queryExecution().executedPlan().toString())
+        assert not any("Exchange" in line for line in own), own
+        assert found.where("rank = 1").count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize(("metric", "residual"), [("euclidean", False), ("euclidean", True), ("inner", False), ("cosine", False), ("manhattan", False)])
+def test_a_large_cell_is_many_units(df, x, monkeypatch, metric, residual):
+    """Units of 16 slots, few queries at once, look-ups of few codes: the same hits."""
+    def hits():
+        index = ivf.IVFPQIndex(4, 2, metric, residual, n_pq_clusters=16)
+        index.set_codebooks(x[:2], x[:16].reshape(16, 4, 2).transpose(1, 0, 2).copy())
+        index.add(df.where("id < 170"))
+        index.add(df.where("id >= 170"))
+        index.remove(df.where("id % 7 = 3").select("id"))
+        index.n_probe, index.use_smart_probing = 2, False
+        return found(index.search(as_queries(df.where("id < 20")), 6))
+
+    want = hits()
+    monkeypatch.setattr(ivf, "PIECE", 16)
+    monkeypatch.setattr(ivf, "ASKING", 6)
+    monkeypatch.setattr(ivf, "LOOKED", 70)
+    monkeypatch.setattr(ivf, "NAMED", 1)
+    assert hits() == want
+
+
+def plain_index(x, cells=4, m=4):
+    index = ivf.IVFPQIndex(m, cells, n_pq_clusters=16)
+    index.set_codebooks(x[:cells], x[:16].reshape(16, m, 8 // m).transpose(1, 0, 2).copy())
+    index.n_probe, index.use_smart_probing = cells, False
+    return index
+
+
+def test_an_id_that_is_removed_and_added_again_lives(spark, df, x, tmp_path):
+    index = plain_index(x)
+    index.add(df.where("id < 60"))
+    index.remove(df.where("id < 10").select("id").unionByName(spark.range(900, 903)).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("id"))))
+    assert index.rows.count() == 50
+    again = df.where("id < 10").select("id", F.transform("vec", lambda e: e + 1).alias("vec"))
+    index.add(again)
+    path = str(tmp_path / "i")
+    index.save(path, spark)
+    index.save(path, spark)
+    loaded = ivf.IVFPQIndex.load(path, spark)
+    want = index.encode(again.unionByName(df.where("id between 10 and 59"))).collect()
+    folders = [p.path for p in index._parts]
+    index.add(df.limit(0))
+    index.compact(purge=True)
+    assert len(index._parts) == 1 and not any(os.path.exists(f.removeprefix("file:")) for f in folders if f)
+    for own in (index, loaded):
+        assert sorted(map(tuple, own.codes.collect())) == sorted(map(tuple, want))
+        (hit,) = own.search(as_queries(again.where("id = 3")), 1).collect()
+        near = own.similarity_at_id(as_queries(again.where("id = 3")), spark.createDataFrame([(3, 3)], "q_id long, id long")).first()["score"]
+        assert hit["score"] >= near - 1e-12
+        own.remove(spark.range(3, 4))
+        own.remove(spark.range(3, 4))
+        own.add(df.where("id = 3"))
+        own.remove(spark.range(4, 5))
+        assert own.rows.count() == 59 and own.rows.select("cell", "slot").distinct().count() == 59
+
+
+def test_addresses_go_on_after_loading(spark, df, x, tmp_path):
+    index = plain_index(x)
+    index.add(df.where("id < 40"))
+    index.remove(df.where("id >= 30").select("id"))
+    index.save(str(tmp_path / "i"), spark)
+    old = {(r["cell"], r["slot"]): r["id"] for r in index.rows.collect()}
+    loaded = ivf.IVFPQIndex.load(str(tmp_path / "i"), spark)
+    loaded.add(df.where("id between 100 and 119"))
+    rows = {(r["cell"], r["slot"]): r["id"] for r in loaded.rows.collect()}
+    assert len(rows) == 50 and old.items() <= rows.items()
+
+
+def test_the_inverse_map_reads_the_asked_buckets(spark, df, x, tmp_path):
+    index = plain_index(x)
+    index.add(df)
+    index.add(df.where("id < 5"))
+    index.remove(spark.range(2, 4))
+    index.add(df.where("id = 3"))
+    where = {}
+    for r in index.rows.collect():
+        where.setdefault(r["id"], set()).add((r["cell"], r["slot"]))
+    for found in (index.locate(1, 2, 3, 250, 999), index.addresses(spark.createDataFrame([(1,), (2,), (3,), (250,), (999,), (250,)], "id long"))):
+        out = {}
+        for r in found.collect():
+            out.setdefault(r["id"], set()).add((r["cell"], r["slot"]))
+        assert out == {i: where[i] for i in (1, 3, 250)} and len(out[1]) == 2 and len(out[3]) == 1
+    index.save(str(tmp_path / "i"), spark)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # or the plan does not say how many
+    try:
+        for own in (index, ivf.IVFPQIndex.load(str(tmp_path / "i"), spark)):
+            assert "SelectedBucketsCount: 1 out of 8" in own.locate(250)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_the_reranked_index_survives_saving(spark, df, tmp_path):
+    index = ivf.IVFPQRIndex(4, 8, 4, 5, 16, vq_iter=3, pq_iter=3)
+    index.train(df)
+    index.add(df)
+    index.n_probe, index.use_smart_probing = 3, False
+    index.save(str(tmp_path / "i"), spark)
+    q = as_queries(df.where("id < 9"))
+    for kind in (ivf.IVFPQRIndex, ivf.IVFPQIndex):
+        loaded = kind.load(str(tmp_path / "i"), spark)
+        assert type(loaded) is ivf.IVFPQRIndex and loaded.factor == 5 and found(loaded.search(q, 5)) == found(index.search(q, 5))
+    plain = ivf.IVFPQIndex(4, 4, n_pq_clusters=16, vq_iter=2, pq_iter=2)
+    plain.train(df)
+    plain.add(df)
+    plain.save(str(tmp_path / "p"), spark)
+    with pytest.raises(TypeError):
+        ivf.IVFPQRIndex.load(str(tmp_path / "p"), spark)
+
+
+def test_a_save_that_is_killed_leaves_the_older_version(spark, df, x, tmp_path, monkeypatch):
+    path, index = str(tmp_path / "i"), plain_index(x)
+    index.add(df.where("id < 100"))
+    index.save(path, spark)
+    loaded = ivf.IVFPQIndex.load(path, spark)
+    loaded.add(df.where("id >= 100"))
+    real, seen = persist.write_bucketed, []
+
+    def killed(rows, folder, layout):
+        seen.append(folder)
+        if len(seen) == 2:
+            raise RuntimeError("killed")
+        return real(rows, folder, layout)
+
+    monkeypatch.setattr(persist, "write_bucketed", killed)
+    with pytest.raises(RuntimeError):
+        loaded.save(path, spark)
+    monkeypatch.setattr(persist, "write_bucketed", real)
+    assert ivf.IVFPQIndex.load(path, spark).rows.count() == 100 and loaded.rows.count() == 300
+    for n in range(3):
+        loaded.save(path, spark)  # over what it was read from
+    assert persist.versions(path, spark) == [2, 3] and ivf.IVFPQIndex.load(path, spark).rows.count() == 300
+    with pytest.raises(FileNotFoundError):
+        persist.load(str(tmp_path / "none"), spark)
 
 
 @pytest.mark.parametrize("metric", METRICS)
@@ -440,10 +609,9 @@ def test_half_byte_codes(spark, df, x, m):
     pq.train(df)
     column = pq.pack(pq.codes(x))
     assert len(column[0].as_py()) == m // 2 and (pq.unpack(column) == pq.codes(x)).all()
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(x), -1)
     table = pq.adc(x[:5])
     want = sum(table[:, s][:, pq.codes(x)[:, s]] for s in range(m))
-    assert np.allclose(pq.packed_scan(x[:5], packed), want)
+    assert np.allclose(pq.scan(table, pq.raw(column)), want) and np.allclose(pq.scan(table, pq.raw(column.slice(7, 9))), want[:, 7:16])
     index = ivf.IVFPQIndex(m, 4, n_pq_clusters=16, packed=True)
     index.set_codebooks(x[:4], pq.codebook)
     index.add(df)

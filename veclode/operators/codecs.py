@@ -156,17 +156,23 @@ class PQCodec(BaseCodec):
         return queries.select("q_id", M.doubles("q_vec").alias("v")).mapInArrow(run, "q_id long, sub int, code int, value double")
 
 
-    def packed_scan(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """[queries, n]: scores of half-byte codes by tables of whole bytes: a byte is looked up once for its two codes."""
-        table = self.adc(q)
-        k = table.shape[2]
-        out = np.zeros((len(q), len(codes)))
-        for i in range(0, self.m, 2):
-            pair = np.zeros((len(q), 16, 16))
-            pair[:, :k] += table[:, i, :, None]
-            if i + 1 < self.m:
-                pair[:, :, :k] += table[:, i + 1, None, :]
-            out += pair.reshape(len(q), 256)[:, codes[:, i // 2]]
+    def raw(self, column) -> np.ndarray:
+        """[n, bytes] of binary codes, without a copy if they lie in one piece."""
+        size = -(-self.m // 2) if self.packed else self.m
+        at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+        return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(len(column), size)
+
+    def scan(self, table: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """[queries, n]: scores of codes as bytes (raw) by the queries' tables (adc). Of half-byte codes, a byte is looked
+        up once for its two: their tables are added up to one of whole bytes first."""
+        if self.packed:
+            k, pairs = table.shape[2], np.zeros((len(table), raw.shape[1], 16, 16))
+            pairs[:, :, :k] += table[:, ::2, :, None]
+            pairs[:, : self.m // 2, :, :k] += table[:, 1::2, None, :]
+            table = pairs.reshape(len(table), raw.shape[1], 256)
+        out, one = np.zeros((len(table), len(raw))), np.empty((len(table), len(raw)))
+        for i in range(table.shape[1]):
+            out += np.take(table[:, i], raw[:, i], axis=1, out=one, mode="clip")
         return out
 
 

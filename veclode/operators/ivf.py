@@ -1,18 +1,25 @@
 """IVF-PQ: cells by a coarse quantizer, product-quantized codes in the cells, search in the nearest cells.
 
-Adding vectors assigns and encodes them in one pass and stores the codes once, in the shared folder, sorted by cell and
-partitioned by shelf, a run of neighbouring cells; sizes of cells (one number a cell) stay beside them. A search finds
-each query's cells and reads those alone: their shelves are a filter of the scan, which leaves out the other files. Codes meet the queries that ask for their
-cell by a cogroup; inside it they are decoded and multiplied with all of them at once, and only each query's best of
-the cell goes on. A cell with many codes is dealt into pieces, since lists of best hits can be merged.
+Adding vectors assigns and encodes them in one pass and stores the codes once, in the shared folder, as a table bucketed by
+unit: a cell, or a run of PIECE slots of a large one. The next free slot of each cell (one number a cell) stays beside it,
+and so does the inverse map (id, cell, slot), a table bucketed by id. A search shuffles the queries to the buckets of the
+units that they ask for; the codes stay where they were written. They meet in a cogroup, inside which a code is never
+decoded: each query has a table of what every sub-code adds to its score, and the codes' bytes look it up (half-byte codes
+two at once). Only each query's best of a unit go on to be merged.
+
+Removes are addresses: an id is looked up in the inverse map when it is removed, and the slots found are dead from then on.
+So order holds: an id that is added again gets a new slot and lives. Dead slots travel to their unit with the queries,
+and `compact` writes the living rows anew. Slots are never given twice.
 
 Defined cases: a vector that is null, has another width than the codebooks or holds a null or non-finite element is
-not added, and as a query finds nothing; repeated ids are entries of their own; ties go to the smaller id.
+not added, and as a query finds nothing; repeated ids are entries of their own; ties go to the smaller id; removing an
+unknown or null id changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +31,11 @@ from ..functions.arrow import from_matrix, to_matrix, usable
 from ..sources import persist, scratch, store
 from .clustering import KMeans, nearest, nearest_cells
 from .codecs import PQCodec, VQCodec
-from .search import knn, padded, select, top_k
+from .search import SLACK, best_rows, knn, padded, top_k
 
-#: Codes that a task scores at once, and shelves of an index: as many folders, however many cells there are.
-PIECE, SHELVES = 65_536, 64
+#: Slots of a unit, queries times codes of a look-up, queries that a unit meets at once, rows of a bucket (about), and units
+#: that a search names to the scan, so that it leaves out other buckets.
+PIECE, LOOKED, ASKING, BUCKET, NAMED = 65_536, 1 << 21, 16_384, 1 << 20, 1000
 
 
 def smart_probes(probes: DataFrame, n_probe: int, temperature: float = 30.0) -> DataFrame:
@@ -45,6 +53,23 @@ def smart_probes(probes: DataFrame, n_probe: int, temperature: float = 30.0) ->
     return lists.select("q_id", need.alias("n"), F.inline("p")).where(F.col("rank") <= F.col("n")).select("q_id", "rank", "cell", "score")
 
 
+class Part(NamedTuple):
+    """What one add stored: codes (id, cell, slot, unit, code, ...), ids (id, cell, slot), in so many buckets, each cell's
+    first slot and the one after its last, and the folder, where it is the index's own."""
+
+    codes: DataFrame
+    ids: DataFrame
+    buckets: int
+    low: np.ndarray
+    high: np.ndarray
+    path: str | None = None
+
+
+def unit(cell: Column, slot: Column) -> Column:
+    """The bucketing key of a cell's run of PIECE slots."""
+    return F.shiftleft(cell.cast("long"), 32) + F.floor(slot / PIECE).cast("long")
+
+
 class IVFPQIndex:
     """distance: euclidean, inner, cosine or manhattan; the coarse step is always Euclidean. With residual, codes are of the
     vector less its cell's centroid and scores are negative squared distances. packed: half-byte codes."""
@@ -54,8 +79,8 @@ class IVFPQIndex:
         self.vq = VQCodec(n_cells, max_iter=vq_iter, seed=seed)
         self.pq = PQCodec(n_subvectors, n_pq_clusters, "euclidean" if residual else self.distance, pq_iter, packed=packed, seed=seed)
         self.n_probe, self.use_smart_probing, self.temperature = 1, True, 30.0
-        self._parts: list[DataFrame] = []
-        self._gone: list[DataFrame] = []
+        self._parts: list[Part] = []
+        self._gone: list[DataFrame] = []  # unit, slot
         self._sizes = np.zeros(n_cells, np.int64)
 
     def __getstate__(self) -> dict:
@@ -145,21 +170,26 @@ class IVFPQIndex:
 
     # the stored rows
 
-    def _shelf(self, cell: Column) -> Column:
-        return F.floor(cell * min(SHELVES, self.n_cells) / self.n_cells).cast("int")
-
     @property
     def rows(self) -> DataFrame:
         """id, cell, slot, code of what was added and not removed."""
-        return self._stored().drop("shelf")
+        return self._stored().drop("unit")
 
     def _stored(self) -> DataFrame:
-        out = self._parts[0]
-        for part in self._parts[1:]:
+        return self._living([p.codes for p in self._parts], ["unit", "slot"])
+
+    def _living(self, parts: list[DataFrame], on: list[str]) -> DataFrame:
+        out = parts[0]
+        for part in parts[1:]:
             out = out.unionByName(part)
-        for ids in self._gone:
-            out = out.join(ids, "id", "left_anti")
-        return out
+        return out.join(self._dead(), on, "left_anti") if self._gone else out
+
+    def _dead(self) -> DataFrame:
+        """unit, slot, cell of what was removed."""
+        out = self._gone[0]
+        for more in self._gone[1:]:
+            out = out.unionByName(more)
+        return out.withColumn("cell", F.shiftright("unit", 32).cast("int"))
 
     @property
     def codes(self) -> DataFrame:
@@ -168,40 +198,82 @@ class IVFPQIndex:
     @codes.setter
     def codes(self, rows: DataFrame) -> None:
         """Rows that were encoded before (id, cell, code and, if they have them, slot), instead of what was added."""
-        own = rows if "slot" in rows.columns else rows.withColumn("slot", F.lit(-1).cast("long"))
-        shelf = F.col("shelf") if "shelf" in rows.columns else self._shelf(F.col("cell"))
-        self._parts, self._gone = [own.select("id", F.col("cell").cast("int").alias("cell"), "slot", *self._fields(), shelf.cast("int").alias("shelf"))], []
-        self._sizes = self._counted(own)
-
-    def _counted(self, rows: DataFrame) -> np.ndarray:
+        own = rows.withColumn("cell", F.col("cell").cast("int"))
+        if "slot" not in rows.columns:
+            own = store.numbered(own, ["cell", "id"], "n")
+            sizes = self._counted(own, F.count("*"))
+            first = self._per_cell(own.sparkSession, first=np.cumsum(sizes) - sizes)
+            own = own.join(first, "cell").withColumn("slot", F.col("n") - F.col("first"))
+        own = own.withColumn("unit", unit(F.col("cell"), F.col("slot"))).select(*self._columns())
+        self._sizes = self._counted(own, F.max("slot") + 1)
+        self._parts, self._gone = [Part(own, own.select("id", "cell", "slot"), 0, np.zeros(self.n_cells, np.int64), self._sizes)], []
+
+    def _columns(self) -> list[str]:
+        return ["id", "cell", "slot", "unit", *self._fields()]
+
+    def _counted(self, rows: DataFrame, what: Column) -> np.ndarray:
         sizes = np.zeros(self.n_cells, np.int64)
-        for r in rows.groupBy("cell").count().collect():  # one row a cell
-            sizes[r["cell"]] = r["count"]
+        for r in rows.groupBy("cell").agg(what.alias("n")).collect():  # one row a cell
+            sizes[r["cell"]] = r["n"]
         return sizes
 
-    def _per_cell(self, spark, values: np.ndarray, name: str) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(list(enumerate(values.tolist())), f"cell int, {name} long"))
+    def _per_cell(self, spark, **values: np.ndarray) -> DataFrame:
+        """cell and a column of numbers for each name: one row a cell."""
+        return spark.createDataFrame(list(enumerate(zip(*(v.tolist() for v in values.values()), strict=True))), f"cell int, v struct<{', '.join(f'{n}: long' for n in values)}>").select("cell", "v.*")
+
+    def _put(self, rows: DataFrame, n: int, low: np.ndarray, high: np.ndarray, path: str | None = None) -> Part:
+        """Writes rows, n of them: codes bucketed by unit and the inverse map bucketed by id, with a bucket for about BUCKET
+        rows."""
+        spark = rows.sparkSession
+        own, buckets = None if path else scratch.folder(spark), 8
+        path = path or own
+        while buckets * BUCKET < n:
+            buckets *= 2
+        rows = rows.withColumn("unit", unit(F.col("cell"), F.col("slot"))).select(*self._columns())
+        codes = persist.write_bucketed(rows, f"{path}/codes", persist.Bucketed("unit", ["unit", "slot"], buckets))
+        ids = persist.write_bucketed(codes.select("id", "cell", "slot"), f"{path}/ids", persist.Bucketed("id", ["id"], buckets))
+        return Part(codes, ids, buckets, low, high, own)
 
     def add(self, df: DataFrame) -> DataFrame:
         """Appends vectors (id, vec) and returns their codes and addresses: id, cell, slot, code. Slots of a cell go on from
-        its size, in the order of id."""
-        spark, path = df.sparkSession, scratch.folder(df.sparkSession)
+        its last, in the order of id."""
         placed = store.numbered(self._encoded(df), ["cell", "id"], "n")
-        sizes = self._counted(placed)
-        first = self._per_cell(spark, self._sizes - (np.cumsum(sizes) - sizes), "shift")
-        placed = placed.join(first, "cell").withColumn("slot", F.col("n") + F.col("shift")).select("id", "cell", "slot", *self._fields(), self._shelf(F.col("cell")).alias("shelf"))
-        placed.repartitionByRange("shelf", "cell", "slot").sortWithinPartitions("shelf", "cell", "slot").write.partitionBy("shelf").parquet(path)
-        part = spark.read.schema(f"id long, cell int, slot long, {', '.join(f'{f} binary' for f in self._fields())}, shelf int").parquet(path)
+        sizes = self._counted(placed, F.count("*"))
+        first = self._per_cell(df.sparkSession, shift=self._sizes - (np.cumsum(sizes) - sizes))
+        placed = placed.join(first, "cell").withColumn("slot", F.col("n") + F.col("shift"))
+        part = self._put(placed, int(sizes.sum()), self._sizes, self._sizes + sizes)
         self._sizes = self._sizes + sizes
         self._parts.append(part)
-        return part.drop("shelf")
+        return part.codes.drop("unit")
 
     def remove(self, ids: DataFrame) -> None:
-        self._gone.append(ids.select("id").distinct())
+        """Removes the rows that these ids (id) have now."""
+        found = self.addresses(ids).select(unit(F.col("cell"), F.col("slot")).alias("unit"), "slot")
+        self._gone.append(scratch.cut(found))
+
+    def addresses(self, ids: DataFrame) -> DataFrame:
+        """id, cell, slot of every row that these ids (id) have: a look-up in the inverse map, which is not moved."""
+        ids = ids.select(F.col("id").cast("long").alias("id")).distinct()
+        return self._lookup(lambda part: part.join(ids, "id", "left_semi"))
+
+    def locate(self, *ids: int) -> DataFrame:
+        """As addresses, for a few given ids: of the inverse map, their buckets alone are read."""
+        return self._lookup(lambda part: part.where(F.col("id").isin(*ids)))
+
+    def _lookup(self, f) -> DataFrame:
+        return self._living([f(p.ids).withColumn("unit", unit(F.col("cell"), F.col("slot"))) for p in self._parts], ["unit", "slot"]).select("id", "cell", "slot")
+
+    def compact(self, purge: bool = False) -> None:
+        """Writes the living rows anew, in one part at their old addresses, and forgets what was removed. purge: deletes what
+        adds had stored; results that were not computed before cannot be any more."""
+        n, old = sum(int((p.high - p.low).sum()) for p in self._parts), self._parts
+        self._parts, self._gone = [self._put(self.rows, n, np.zeros(self.n_cells, np.int64), self._sizes)], []
+        for path in [p.path for p in old if p.path] if purge else []:
+            scratch.remove(self._parts[0].codes.sparkSession, path)
 
     def cell_starts(self, spark) -> DataFrame:
         """cell, start, capacity: an address is the cell's start and the slot."""
-        return store.cell_starts(spark.createDataFrame(list(enumerate(self._sizes.tolist())), "cell int, capacity long"))
+        return store.cell_starts(self._per_cell(spark, capacity=self._sizes))
 
     # search
 
@@ -222,34 +294,58 @@ class IVFPQIndex:
         return found.select("q_id", "rank", "id", "score", *(["cell", "slot"] if return_address else []))
 
     def _first(self, queries: DataFrame, probes: DataFrame, k: int, *more: str) -> DataFrame:
-        spark = queries.sparkSession
         q = self._plain(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
-        pieces = self._per_cell(spark, -(-self._sizes // PIECE), "pieces")
         probes = scratch.cut(probes.select("q_id", F.col("cell").cast("int").alias("cell")).distinct())
-        asked = probes.join(q, "q_id").join(pieces, "cell").where("pieces > 0")
-        left = asked.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-        probed = [r["cell"] for r in probes.select("cell").distinct().collect()]  # one row a cell at most
-        shelves = sorted({c * min(SHELVES, self.n_cells) // self.n_cells for c in probed})
-        right = self._stored().where(F.col("shelf").isin(shelves) & F.col("cell").isin(probed)).join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("id", "slot"), F.col("pieces")))
-        fields = "".join(f", {f} binary" for f in more)
-        left, right = left.select("cell", "piece", "q_id", "v").groupBy("cell", "piece"), right.select("cell", "piece", "id", "slot", *self._fields()).groupBy("cell", "piece")
-        found = left.cogroup(right).applyInArrow(self._scan(k, more), f"q_id long, id long, cell int, slot long, score double{fields}")
-        return top_k(found.withColumn("_s", F.round("score", 9)), k, ["q_id"], "_s")
+        most = probes.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        turns = max(1, -(-most // ASKING))  # a unit meets a bounded number of queries at once
+        probed = [r["cell"] for r in probes.select("cell").distinct().limit(NAMED + 1).collect()]
+        schema = ", ".join(["q_id long, id long, cell int, slot long, score double", *(f"{f} binary" for f in more)])
+        found = []
+        for part in self._parts:
+            some = part.high > part.low
+            span = self._per_cell(q.sparkSession, low=np.where(some, part.low // PIECE, 0), high=np.where(some, (part.high - 1) // PIECE, -1)).where("low <= high")
+            asked = probes.join(span, "cell").select("q_id", "cell", F.explode(F.sequence("low", "high")).alias("piece"))
+            asked = asked.select("q_id", (F.shiftleft(F.col("cell").cast("long"), 32) + F.col("piece")).alias("unit")).join(q, "q_id")
+            right = part.codes.where(F.col("cell").isin(probed)) if len(probed) <= NAMED else part.codes
+            if len(probed) <= NAMED and sum(int(part.high[c] > part.low[c]) * (int(part.high[c] - 1) // PIECE + 1) for c in probed) <= NAMED:
+                right = right.where(F.col("unit").isin([c << 32 | i for c in probed if some[c] for i in range(int(part.low[c]) // PIECE, (int(part.high[c]) - 1) // PIECE + 1)]))
+            right = right.select("unit", "id", "slot", *self._fields()).groupBy("unit")
+            for turn in range(turns):
+                left = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(turns)) == turn).select("unit", "q_id", "v", F.lit(None).cast("long").alias("dead"))
+                if self._gone:
+                    dead = self._dead().join(probes.select("cell").distinct(), "cell", "left_semi")
+                    left = left.unionByName(dead.select("unit", F.lit(None).cast("long").alias("q_id"), F.lit(None).cast("array<double>").alias("v"), F.col("slot").alias("dead")))
+                found.append(left.groupBy("unit").cogroup(right).applyInArrow(self._scan(k, more), schema))
+        if not found:
+            return q.sparkSession.createDataFrame([], f"{schema}, _s double, rank int")
+        every = found[0]
+        for one in found[1:]:
+            every = every.unionByName(one)
+        return top_k(every.withColumn("_s", F.round("score", 9)), k, ["q_id"], "_s")
 
     def _scan(self, k: int, more: tuple[str, ...]):
-        metric, fields, width = self.score_metric, self._fields(), self.vq.codebook.shape[1]
+        fields, width = self._fields(), self.vq.codebook.shape[1]
         schema = pa.schema([("q_id", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("slot", pa.int64()), ("score", pa.float64()), *((f, pa.binary()) for f in more)])
 
         def run(key, left, right):
-            q, own = usable(left["v"], width) if left.num_rows and right.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
-            if not len(own):
+            dead = left["dead"].drop_null().to_numpy()
+            asking = left.filter(left["q_id"].is_valid())
+            q, own = usable(asking["v"], width) if asking.num_rows and right.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
+            if len(own) and len(dead):
+                right = right.filter(pa.array(~np.isin(right["slot"].to_numpy(), dead)))
+            if not len(own) or not right.num_rows:
                 return schema.empty_table()
-            right, cell = right.combine_chunks(), key[0].as_py()
-            ids = right["id"].to_numpy()
-            near = self._near(np.full(len(ids), cell), [right[f].combine_chunks() for f in fields])
-            rows, cols, score = select(metric, k, self._ready(q), ids, near)
+            right, cell = right.combine_chunks(), key[0].as_py() >> 32
+            ids, packed, out = right["id"].to_numpy(), self.pq.raw(right[fields[0]].combine_chunks()), []
+            q = self._ready(q) - (self.vq.codebook[cell] if self.residual else 0)
+            step = max(1, LOOKED // max(len(ids), self.pq.m * self.pq.codebook.shape[1]))
+            for i in range(0, len(q), step):
+                s = self.pq.scan(self.pq.adc(q[i : i + step]), packed)
+                rows, cols = best_rows(np.round(s, 12), ids, k + SLACK)
+                out.append((i + rows, cols, s[rows, cols]))
+            rows, cols, score = (np.concatenate(x) for x in zip(*out, strict=True))
             hit = right.take(pa.array(cols))
-            return pa.table([pa.array(left["q_id"].to_numpy()[own[rows]]), hit["id"], pa.array(np.full(len(rows), cell), pa.int32()), hit["slot"], pa.array(score), *(hit[f] for f in more)], schema=schema)
+            return pa.table([pa.array(asking["q_id"].to_numpy()[own[rows]]), hit["id"], pa.array(np.full(len(rows), cell), pa.int32()), hit["slot"], pa.array(score), *(hit[f] for f in more)], schema=schema)
 
         return run
 
@@ -273,17 +369,44 @@ class IVFPQIndex:
         """q_id, cell, slot, score of given pairs (q_id, cell, slot); addresses without an entry are absent."""
         return self._similarity(queries, pairs.withColumn("cell", F.col("cell").cast("int")), ["cell", "slot"])
 
+    # on disk
+
+    def _settings(self) -> dict:
+        own = {"n_subvectors": self.pq.m, "n_cells": self.n_cells, "distance": self.distance, "residual": self.residual, "n_pq_clusters": int(self.pq.codebook.shape[1]), "packed": self.pq.packed}
+        return {"kind": type(self).__name__, "new": own, "n_probe": self.n_probe, "use_smart_probing": self.use_smart_probing, "temperature": self.temperature}
+
+    def _arrays(self) -> dict[str, np.ndarray]:
+        return {"centroids": self.vq.codebook, "codebook": self.pq.codebook, "sizes": self._sizes}
+
+    def _restore(self, arrays: dict[str, np.ndarray]) -> None:
+        self.set_codebooks(arrays["centroids"], arrays["codebook"])
+
     def save(self, path: str, spark) -> None:
-        settings = {"m": self.pq.m, "n_cells": self.n_cells, "distance": self.distance, "residual": self.residual, "k": int(self.pq.codebook.shape[1]), "n_probe": self.n_probe, "smart": self.use_smart_probing, "temperature": self.temperature, "packed": self.pq.packed}
-        persist.save(path, spark, settings, {"centroids": self.vq.codebook, "codebook": self.pq.codebook}, {"codes": self._stored()}, {"codes": "shelf"})
+        """A new version of the index at path: the living rows, the inverse map and the codebooks. The index goes on with it.
+        Readers of the version before are not disturbed (of older ones see `persist`)."""
+        n, new = sum(int((p.high - p.low).sum()) for p in self._parts), []
+
+        def write(folder: str) -> dict[str, tuple[DataFrame, persist.Bucketed]]:
+            part = self._put(self.rows, n, np.zeros(self.n_cells, np.int64), self._sizes, folder)
+            new.append(part)
+            return {"codes": (part.codes, persist.Bucketed("unit", ["unit", "slot"], part.buckets)), "ids": (part.ids, persist.Bucketed("id", ["id"], part.buckets))}
+
+        persist.save(path, spark, self._settings(), self._arrays(), write)
+        self._parts, self._gone = new, []
 
     @classmethod
     def load(cls, path: str, spark) -> IVFPQIndex:
-        s, arrays, tables = persist.load(path, spark)
-        index = cls(s["m"], s["n_cells"], s["distance"], s["residual"], s["k"], packed=s["packed"])
-        index.set_codebooks(arrays["centroids"], arrays["codebook"])
-        index.n_probe, index.use_smart_probing, index.temperature = s["n_probe"], s["smart"], s["temperature"]
-        index.codes = tables["codes"]
+        """The newest version of an index of this class, or of a subclass, as which it answers."""
+        settings, arrays, tables = persist.load(path, spark)
+        kinds = {c.__name__: c for c in (IVFPQIndex, IVFPQRIndex)}
+        kind = kinds.get(settings.get("kind"))
+        if kind is None or not issubclass(kind, cls):
+            raise TypeError(f"{path} holds a {settings.get('kind')}, not a {cls.__name__}")
+        index = kind(**settings["new"])
+        index._restore(arrays)
+        index.n_probe, index.use_smart_probing, index.temperature = settings["n_probe"], settings["use_smart_probing"], settings["temperature"]
+        index._sizes = arrays["sizes"].astype(np.int64)
+        index._parts = [Part(tables["codes"].select(*index._columns()), tables["ids"], 0, np.zeros(index.n_cells, np.int64), index._sizes)]
         return index
 
 
@@ -295,6 +418,17 @@ class IVFPQRIndex(IVFPQIndex):
         self.factor = rerank_factor
         self.fine = PQCodec(n_rerank, n_pq_clusters, max_iter=25)
 
+    def _settings(self) -> dict:
+        own = super()._settings()
+        return own | {"new": own["new"] | {"n_rerank": self.fine.m, "rerank_factor": self.factor}}
+
+    def _arrays(self) -> dict[str, np.ndarray]:
+        return super()._arrays() | {"fine": self.fine.codebook}
+
+    def _restore(self, arrays: dict[str, np.ndarray]) -> None:
+        super()._restore(arrays)
+        self.fine = PQCodec(self.fine.m, arrays["fine"].shape[1], codebook=arrays["fine"])
+
     def train(self, df: DataFrame, force_retrain: bool = False) -> None:
         super().train(df, force_retrain)
         if force_retrain or not self.fine.is_trained:

@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -54,10 +53,12 @@ def _grid(table: str) -> str:
 
 
 _PQ = _pq()
+#: The seeds, by themselves: a join of two large tables otherwise.
+_S16 = "s16 as materialized (select vec_id, pos, x from l where vec_id < 16)"
 _RES = (
-    "rv as materialized (select l.vec_id, l.pos, l.x - s.x x from l join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = l.pos), "
+    _S16 + ", rv as materialized (select l.vec_id, l.pos, l.x - s.x x from l join cells using (vec_id) join s16 s on s.vec_id = cells.cell and s.pos = l.pos), "
     + _grid("rv").replace("dec as", "rd as")
-    + ", dec as (select rd.vec_id, rd.pos, rd.x + s.x x from rd join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = rd.pos)"
+    + ", dec as (select rd.vec_id, rd.pos, rd.x + s.x x from rd join cells using (vec_id) join s16 s on s.vec_id = cells.cell and s.pos = rd.pos)"
 )
 #: Cells that a search probes, of 16.
 N_PROBE = 14
@@ -224,7 +225,7 @@ def _subvectors(spark, sf_dir):
     return subs.select("id", "sub", r6(M.total(M.subvector(F.col("vec"), F.col("sub"), 8))).alias("total"))
 
 
-@query("p3_residual", f"with {_CELLS} select l.vec_id id, l.pos, round(l.x - s.x, 6) + 0.0 x from l join cells using (vec_id) join l s on s.vec_id = cells.cell and s.pos = l.pos")
+@query("p3_residual", f"with {_CELLS}, {_S16} select l.vec_id id, l.pos, round(l.x - s.x, 6) + 0.0 x from l join cells using (vec_id) join s16 s on s.vec_id = cells.cell and s.pos = l.pos")
 def _residual(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     near = base.join(cells16(base), "id").join(F.broadcast(seed_rows(base)), "cell")
@@ -328,7 +329,7 @@ def _pq_decode(spark, sf_dir):
     return positions(pq.decode(pq.encode(base)))
 
 
-@query("j9_vq_decode", f"with {_CELLS} select cells.vec_id id, s.pos, round(s.x, 6) + 0.0 x from cells join l s on s.vec_id = cells.cell")
+@query("j9_vq_decode", f"with {_CELLS}, {_S16} select cells.vec_id id, s.pos, round(s.x, 6) + 0.0 x from cells join s16 s on s.vec_id = cells.cell")
 def _vq_decode(spark, sf_dir):
     base = embeddings(spark, sf_dir)
     vq = codecs.VQCodec(16, seeds(base))
@@ -900,6 +901,40 @@ def _index_remove(spark, sf_dir):
     return hits(index.search(queries_of(base), 10))
 
 
+_AGAIN = " where dec.vec_id % 3 <> 0 or dec.vec_id % 6 = 0 and dec.vec_id % 12 <> 0"
+
+
+@query("i9_remove_add", f"with {_CELLS}, {_grid('l')}{_PROBES}{_IVF.format(where=_AGAIN)}{_HITS}")
+def _index_log(spark, sf_dir):
+    """Every third id is removed, every sixth added again, every twelfth removed once more; saved and loaded in between."""
+    base, path = embeddings(spark, sf_dir), scratch.folder(spark)
+    index = grid_index(base)
+    index.remove(base.where("id % 3 = 0").select("id"))
+    index.save(path, spark)
+    index = ivf.IVFPQIndex.load(path, spark)
+    index.add(base.where("id % 6 = 0"))
+    index.remove(base.where("id % 12 = 0").select("id"))
+    return hits(index.search(queries_of(base), 10))
+
+
+@query("j12_inverse_map", f"with {_CELLS}, s as (select vec_id id, cell, row_number() over (partition by cell order by vec_id) - 1 slot from cells) select id, cell, slot from s where id % 50 = 0 and id % 100 <> 0")
+def _inverse_map(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = index16(base)
+    index.remove(base.where("id % 100 = 0").select("id"))
+    return index.addresses(base.where("id % 50 = 0").select("id"))
+
+
+@query("t12_packed_search", f"with {_CELLS}, {_PQ}, dec as (select codes.vec_id, pos, c x from codes join cb using (sub, code)){_PROBES}{_IVF.format(where='')}{_HITS}")
+def _packed(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = ivf.IVFPQIndex(8, 16, n_pq_clusters=16, packed=True)
+    index.set_codebooks(seeds(base), seeds(base).reshape(16, 8, 8).transpose(1, 0, 2).copy())
+    index.n_probe, index.use_smart_probing = N_PROBE, False
+    index.add(base)
+    return hits(index.search(queries_of(base), 10))
+
+
 _LEFT = ", lv as materialized (select l.vec_id, l.pos, cb.c c1, l.x - cb.c x from codes join cb using (sub, code) join l on l.vec_id = codes.vec_id and l.pos = cb.pos), "
 _FIRST = (
     ", s1 as (select probes.q_id, lv.vec_id id, 0.0 - sum((l.x - c1) * (l.x - c1)) score from probes join cells using (cell) join lv using (vec_id) join l on l.vec_id = probes.q_id and l.pos = lv.pos group by all)"
@@ -973,6 +1008,18 @@ def _stream_index(spark, sf_dir):
     return codecs.long_codes(codes).join(codes.select("id", "cell"), "id").select("id", "cell", "sub", "code")
 
 
+@query("st2_stream_changes", f"with {_CELLS}, {_PQ} select vec_id id, cell, sub, code from codes join cells using (vec_id) where vec_id % 4 <> 0 or vec_id % 8 = 0")
+def _stream_changes(spark, sf_dir):
+    """Every vector is added at its id; ids divisible by 4 are removed later, and those divisible by 8 added again."""
+    base, path = embeddings(spark, sf_dir), scratch.folder(spark)
+    own = base.select("id", "vec", F.lit(False).alias("removed"), F.col("id").alias("seq"))
+    later = lambda some, removed, at: base.where(f"id % {some} = 0").select("id", "vec", F.lit(removed).alias("removed"), (F.col("id") + at).alias("seq"))
+    changes = own.unionByName(later(4, True, 10**6)).unionByName(later(8, False, 2 * 10**6))
+    incremental.index_changes(_stream(spark, changes), index16(base), path, f"{path}/c").awaitTermination()
+    codes = incremental.live_codes(spark, path)
+    return codecs.long_codes(codes).join(codes.select("id", "cell"), "id").select("id", "cell", "sub", "code")
+
+
 def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -998,10 +1045,3 @@ def _volume(spark, sf_dir):
 def _cov_volume(spark, sf_dir):
     _, _, cov = codecs.covariance(line_vectors(spark, sf_dir), 4)
     return spark.createDataFrame([(round(float(cov[0, 0]), 6), round(float(cov[0, 1]), 6))], "aa double, ab double")
-
-
-@query("a5_window_counts", "select l_returnflag flag, count(*) n from lineitem group by all")
-def _flags(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    counted = t.select("l_returnflag", F.row_number().over(W.partitionBy("l_returnflag", "l_linenumber").orderBy("l_orderkey")).alias("n"), "l_linenumber")
-    return counted.groupBy("l_returnflag", "l_linenumber").agg(F.max("n").alias("n")).groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("n").cast("long").alias("n"))
