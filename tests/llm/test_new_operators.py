@@ -205,3 +205,26 @@ def test_long_units_are_summed_and_walked_like_short_ones(monkeypatch):
         assert np.allclose(p, out[0][0], rtol=1e-9, atol=0)
         assert [[x[0] for x in row] for row in leaves] == [[x[0] for x in row] for row in out[0][1]]
         assert np.allclose([x[1] for row in leaves for x in row], [x[1] for row in out[0][1] for x in row])
+
+
+def test_line_dedup_streams_its_sorted_runs(spark, docs):  # noqa: F811
+    """The plan: range exchange, sort, window, with nothing between them; marks are the first occurrences."""
+    from veclode.llm import line_dedup
+
+    runs = line_dedup.stream(line_dedup.occurrences(docs))
+    plan = [line.strip(" +-:") for line in runs._jdf.queryExecution().executedPlan().toString().splitlines()]
+    nodes = [line.split("(")[0].split(" ")[0] for line in plan if line and not line.startswith(("Adaptive", "*", "Project"))]
+    assert nodes[:3] == ["Window", "Sort", "Exchange"] and "rangepartitioning" in next(line for line in plan if line.startswith("Exchange")), plan
+    first = {}
+    for r in runs.collect():
+        first.setdefault((r["h1"], r["h2"], r["row"]), []).append((r["pos"], r["first"]))
+    assert all([mark for _, mark in sorted(x)] == [True] + [False] * (len(x) - 1) for x in first.values())
+
+
+def test_line_dedup_of_a_row_repeated_very_often(spark):
+    from veclode.llm import line_dedup
+
+    one = spark.range(3000).selectExpr("7L as doc_id", "'Again\nand again \nx' as text")
+    more = spark.range(9).selectExpr("id + 100 as doc_id", "concat('rare', chr(10), 'Rare', chr(10), 'own', id) as text")
+    out = line_dedup.digest(one.unionByName(more)).groupBy("doc_id", "n_lines", "n_dropped").count().collect()
+    assert sorted(map(tuple, out)) == [(7, 3, 3, 3000)] + [(100 + i, 3, 0, 1) for i in range(9)]

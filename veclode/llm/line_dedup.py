@@ -2,11 +2,12 @@
 
 A line's key is the line without white space at its ends, A-Z lower-cased. Each occurrence is a row of two
 64-bit hashes, a document key and a position: the text itself is never sorted or grouped. These narrow rows are
-made once and kept. They are range-partitioned by (hash, document), so that the run of one very common line spans
-as many partitions as it fills, and sorted by position within that. Each partition streams its runs into one row a
-document and then one row a hash; only these partial rows are shuffled to be merged. What is frequent is joined
-with the narrow rows, broadcast only below a checked size, and a document's positions become its run-compressed
-keep bitmap; texts are split again only where a bitmap is applied.
+made once and kept. They are range-partitioned by (hash, document, row), so that the run of one very common line, or of one
+row that is repeated very often, spans as many partitions as it fills, and sorted by position within that. A pass over
+each sorted partition compares an occurrence with the first one of its run, and marks the first occurrences of a key in a
+document; this stream is kept too. The marked rows are counted, in each partition before they are shuffled, to find the
+frequent keys. These are joined with the stream, broadcast only below a checked size, and a document's positions
+become its run-compressed keep bitmap; texts are split again only where a bitmap is applied.
 
 Defined cases: a null or empty text is one empty line, an empty key never drops, a row that repeats another
 counts as a document of its own, a null doc_id is kept as null, and an empty table gives an empty result.
@@ -15,6 +16,7 @@ counts as a document of its own, a null doc_id is kept as null, and an empty tab
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WS, ascii_lower, cut, partitions, texts, with_key
@@ -24,33 +26,37 @@ BROADCAST_KEYS = 250_000
 
 
 def occurrences(docs: DataFrame, min_len: int = 1) -> DataFrame:
-    """doc_id, k1, k2 (they name a row), pos, h1, h2 (a key's hashes) of every line with a key, computed once."""
+    """doc_id, k1, k2 (they name a row, and those that repeat it), row (a number of its own), pos, h1, h2 (a key's hashes) of
+    every line with a key, computed once."""
     key = ascii_lower(F.btrim(F.col("line"), F.lit(WS)))
-    lines = with_key(texts(docs)).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "k1", "k2", "pos", key.alias("key")).where(F.length("key") >= min_len)
-    return cut(lines.select("doc_id", "k1", "k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")))
+    lines = with_key(texts(docs)).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "k1", "k2", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc_id", "k1", "k2", "row", "pos", key.alias("key")).where(F.length("key") >= min_len)
+    return cut(lines.select("doc_id", "k1", "k2", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")))
 
 
-def frequent_keys(lines: DataFrame, min_docs: int = 10) -> DataFrame:
+def stream(lines: DataFrame) -> DataFrame:
+    """The occurrences in range partitions, sorted by key, document and position, each with `first`: whether it is the first
+    of its key in its document. The window's runs lie inside the range partitions, so they are read off the sorted rows."""
+    run = ["h1", "h2", "doc_id", "row"]
+    ranged = lines.repartitionByRange(partitions(lines.sparkSession), *run).sortWithinPartitions(*run, "pos")
+    return ranged.withColumn("first", F.col("pos") == F.first("pos").over(W.partitionBy(*run).orderBy("pos")))
+
+
+def frequent_keys(runs: DataFrame, min_docs: int = 10) -> DataFrame:
     """h1, h2, n_docs and the first occurrence (by doc_id, key, position) of each key in min_docs documents or more."""
-    at = ["h1", "h2", "doc_id", "k1", "k2"]
-    runs = lines.repartitionByRange(partitions(lines.sparkSession), *at)
-    # one row a document and key; the range partitioning already holds these together. Repeated rows repeat a position.
-    per_doc = runs.sortWithinPartitions(*at, "pos").groupBy(*at, "pos").agg(F.count("*").alias("copies"))
-    per_doc = per_doc.groupBy(*at).agg(F.min("pos").alias("pos"), F.max("copies").alias("copies"))
     first = F.min(F.struct("doc_id", "k1", "k2", "pos")).alias("first")
-    return per_doc.groupBy("h1", "h2").agg(F.sum("copies").alias("n_docs"), first).where(F.col("n_docs") >= min_docs)
+    return runs.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), first).where(F.col("n_docs") >= min_docs)
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_len: int = 1, keep: str = "none") -> DataFrame:
     """k1, k2 and `dropped`, the sorted positions that a document loses; documents that lose none are absent.
 
     keep: of a frequent key stay "none" of its lines, or the "first" one in the corpus."""
-    lines = occurrences(docs, min_len)
+    lines = cut(stream(occurrences(docs, min_len)))
     frequent = cut(frequent_keys(lines, min_docs).drop("n_docs", *([] if keep == "first" else ["first"])))
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
-    hits = lines.join(frequent, ["h1", "h2"])
+    hits = lines.drop("first").join(frequent, ["h1", "h2"])
     if keep == "first":
         hits = hits.where(~F.struct("k1", "k2", "pos").eqNullSafe(F.struct("first.k1", "first.k2", "first.pos")))
     return hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
