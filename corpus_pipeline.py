@@ -4,6 +4,12 @@ Texts that quality ranking rejects go; lines found in ten documents or more go (
 lines stays, empty); of each near-duplicate group the smallest doc_id stays; sources are mixed to their target
 weights, so a document may come twice, be cut at the budget's last word, or go; and each document is encoded
 into sampled segmentations.
+
+Defined cases: all stages but the last keep the columns of documents, whatever their names, and read doc_id and text alone
+(mixing source too). A null or empty text is an empty one: quality ranking scores it like any other, line dedup leaves it,
+near dedup links it to nothing, so that it stays, and mixing, which serves words, leaves it out. A null doc_id is kept; near
+dedup prefers a row that has one. Of rows that repeat doc_id and text near dedup keeps one; of a group, ties aside, the
+smallest doc_id. Each served row is encoded by itself. An empty table gives an empty result.
 """
 
 from __future__ import annotations

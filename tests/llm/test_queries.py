@@ -71,3 +71,23 @@ def test_pipeline_run(spark):
     root = shared_dir(spark).removeprefix("file:")
     kept = [sorted(os.listdir(f"{root}/{x}")) for x in os.listdir(root) if x.startswith("pipeline-")]
     assert ["4"] in kept
+
+
+def test_pipeline_of_awkward_rows(spark):
+    """Nulls, repeats, ties and columns named like the stages' own: no stage fails, and columns keep their values."""
+    import corpus_pipeline
+
+    names = ["_q_score", "_k1", "_K2", "_dropped", "_row", "_text", "node", "score", "size", "finish", "pos"]
+    words = [" ".join(f"{w}{i}" for w in ("the", "quick", "brown", "fox", "jumped", "over", "lazy", "dogs", "and", "ran") for i in range(k, k + 6)) + "." for k in range(30)]
+    data = [(i, words[i], f"s{i % 3}") for i in range(30)] + [(40, words[3], None), (41, words[4] + " one more", "s1"), (3, words[3], "s0"), (None, words[5], "s0"), (42, None, "s1"), (43, "", None), (None, None, None)]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *(f"{n}{r[0]}" for n in names)) for r in data], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, DATA).cache()
+        rows = docs.collect()
+        if k < 4:
+            assert docs.columns == [f.split(" ")[0] for f in schema.split(", ")]
+            assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        if k == 2:
+            assert len([r for r in rows if r["text"] == words[3]]) <= 1 and len([r for r in rows if r["doc_id"] == 41]) == 0
+    assert rows and all(r["decoded"] for r in rows)

@@ -37,6 +37,12 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")})
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, whatever its case."""
+    own = {c.lower() for c in docs.columns}
+    return [next(x for x in (f"_{name}{'_' * i}" for i in range(len(own) + 1)) if x.lower() not in own) for name in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder: the cluster's spark.checkpoint.dir. Where that is unset, a temporary folder serves a local
     master, on which every task sees it; any other master is refused."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, cut, partitions, texts, with_key
+from .common import WS, ascii_lower, cut, partitions, spare, texts, with_key
 
 #: Frequent keys up to this many (16 bytes each) are broadcast; more of them are joined by a shuffle.
 BROADCAST_KEYS = 250_000
@@ -92,11 +92,12 @@ def without_frequent_lines(docs: DataFrame, min_docs: int = 10, min_len: int = 1
     """docs with the kept lines as text (n_chars, if there is such a column, follows); a null text stays null."""
     row = {"k1": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))}
     row["k2"] = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), F.col("doc_id").cast("long"))
-    keyed = docs.withColumns({f"_l_{k}": v for k, v in row.items()})
-    hits = keep_bitmaps(docs, min_docs, min_len).select(F.col("k1").alias("_l_k1"), F.col("k2").alias("_l_k2"), F.col("dropped").alias("_l_dropped"))
-    lines, none = F.split("text", "\n", -1), F.col("_l_dropped").isNull()
-    kept = F.array_join(F.flatten(F.transform(kept_runs(F.col("_l_dropped"), F.size(lines)), lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
-    out = keyed.join(hits, ["_l_k1", "_l_k2"], "left").withColumn("text", F.when(none, F.col("text")).otherwise(kept))
+    k1, k2, dropped = spare(docs, "k1", "k2", "dropped")
+    keyed = docs.withColumns({k1: row["k1"], k2: row["k2"]})
+    hits = keep_bitmaps(docs, min_docs, min_len).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("dropped").alias(dropped))
+    lines, none = F.split("text", "\n", -1), F.col(dropped).isNull()
+    kept = F.array_join(F.flatten(F.transform(kept_runs(F.col(dropped), F.size(lines)), lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    out = keyed.join(hits, [k1, k2], "left").withColumn("text", F.when(none, F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

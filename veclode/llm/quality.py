@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, held_out, learn_sample, sigmoid, texts
+from .common import batches, held_out, learn_sample, sigmoid, spare, texts
 
 SAMPLE, PAIRS, RIDGE = 20_000, 60_000, 1.0
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\n", b".,;:'\"-()?", b"!#$%&*+/<=>@[]^_`{|}~\\", bytes(range(128, 256)))
@@ -98,22 +98,23 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) ->
     return Ranking(x[order], y[order])
 
 
-def scored(docs: DataFrame, model: Ranking, at: float) -> DataFrame:
-    """docs with a column `_q_score`."""
+def scored(docs: DataFrame, model: Ranking, at: float, name: str = "score") -> DataFrame:
+    """docs with a column of that name."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             x = np.array([statistics(t.as_py() or "") for t in b.column("text")])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x, at))], names=[*b.schema.names, "_q_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x, at))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_q_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = scored(texts(docs), fit(docs, labels, 5, 0), 0.3)
-    return out.select("doc_id", held_out(5, 0).alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts."""
-    return scored(docs, fit(docs, labels, 5, 0), 0.3).where("_q_score >= 0.3").drop("_q_score")
+    (name,) = spare(docs, "q_score")
+    return scored(docs, fit(docs, labels, 5, 0), 0.3, name).where(F.col(name) >= 0.3).select(*docs.columns)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, list_array, texts, with_key
+from .common import batches, cut, list_array, spare, texts, with_key
 from .components import components
 
 SEED, CHUNK, BINS = 42, 65_536, 512
@@ -435,12 +435,13 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     named = nodes.join(components(near_links(docs, prints, similarity)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("first").alias("stays")), "root").select("node", "stays")
     other = (F.col("k1") != F.col("stays.k1")) | (F.col("k2") != F.col("stays.k2"))
-    gone = prints.select("node", "k1", "k2").join(named, "node").where(other).select(F.col("k1").alias("_n_k1"), F.col("k2").alias("_n_k2")).distinct()
+    k1, k2 = spare(docs, "k1", "k2")
+    gone = prints.select("node", "k1", "k2").join(named, "node").where(other).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_n_k1": F.xxhash64(doc_id, text), "_n_k2": F.xxhash64(F.lit(1), text, doc_id)})
-    out = keyed.join(gone, ["_n_k1", "_n_k2"], "left_anti")
-    again = cut(prints.groupBy(F.col("k1").alias("_n_k1"), F.col("k2").alias("_n_k2")).count().where("count > 1").drop("count"))
+    keyed = docs.withColumns({k1: F.xxhash64(doc_id, text), k2: F.xxhash64(F.lit(1), text, doc_id)})
+    out = keyed.join(gone, [k1, k2], "left_anti")
+    again = cut(prints.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).count().where("count > 1").drop("count"))
     if not again.isEmpty():
-        once = out.join(again, ["_n_k1", "_n_k2"], "left_semi").dropDuplicates(["_n_k1", "_n_k2"])
-        out = out.join(again, ["_n_k1", "_n_k2"], "left_anti").unionByName(once)
+        once = out.join(again, [k1, k2], "left_semi").dropDuplicates([k1, k2])
+        out = out.join(again, [k1, k2], "left_anti").unionByName(once)
     return out.select(*docs.columns)
