@@ -326,6 +326,39 @@ def test_numbers_are_dense_over_many_partitions(spark, conf):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_numbers_within_a_group_that_holds_nearly_all_rows(spark, monkeypatch):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        n = 40_000
+        rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("pos"), F.when(F.col("id") % 400 == 0, F.col("id") % 1200).when(F.col("id") % 401 == 0, None).otherwise(7).cast("int").alias("cell"))
+        plain = store.W.partitionBy("cell").orderBy("pos")
+        out = store.index_of_appearance(rows.repartition(5))
+        wrong = out.withColumn("want", F.row_number().over(plain) - 1).where("ioa <> want").count()
+        assert wrong == 0 and out.count() == n
+        windows = re.findall(r"Window \[row_number.*", out._jdf.queryExecution().executedPlan().toString())
+        assert windows and all("_p#" in w for w in windows)
+        assert store.index_of_appearance(rows.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_core_seeds_cover_like_serial_ones(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 4)) * np.array([8, 1, 1, 0.1])
+    df = frame(spark, v).unionByName(spark.createDataFrame([(9001, None), (9002, [1.0]), (9003, [float("nan")] * 4)], "id long, vec array<double>")).repartition(6)
+
+    def radius(seeds):
+        return np.sqrt(((v[:, None] - seeds[None]) ** 2).sum(-1).min(1).max())
+
+    serial = v[clustering._greedy("euclidean", v, np.arange(len(v)), 256)]
+    seeds = clustering.core_seeds(df, 256)
+    monkeypatch.setattr(clustering, "CORE", 600)
+    tree = clustering.core_seeds(df, 256)
+    assert seeds.shape == tree.shape == (256, 4) and len(np.unique(seeds, axis=0)) == 256
+    assert radius(seeds) <= 2 * radius(serial) and radius(tree) <= 2 * radius(serial)
+    assert clustering.core_seeds(df.limit(0), 5).shape == (0, 0) and clustering.core_seeds(frame(spark, v[:3]), 5).shape == (3, 4)
+
+
 def test_group_store(spark, df, x):
     group = df.select("id", F.slice("vec", 1, 3).alias("vec_0"), F.slice("vec", 4, 5).alias("vec_1"))
     full = store.flat_add(group.where("id < 100").withColumn("address", F.col("id")).select("address", "id", "vec_0", "vec_1"), group.where("id >= 100"))

@@ -29,6 +29,8 @@ CENTROID_BYTES = 256_000_000
 TILE_BYTES, TIE, CHUNK = 2_000_000, 1e-12, 32
 #: Seeds after which the running minimum of farthest_first is written out, so that lineage stays short.
 SEEDS_A_CUT = 16
+#: Rows of which core_seeds takes seeds in one task, and at last in the driver (or twice the seeds, if that is more).
+CORE = 16_384
 
 
 def _prepared(df: DataFrame) -> DataFrame:
@@ -236,6 +238,63 @@ class MultiKMeans:
         return nearest_cells(df, self.centroids, k, self.distance)
 
 
+def _greedy(metric: str, x: np.ndarray, ids: np.ndarray, k: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Positions of k rows, each the farthest (of the least largest similarity) from those before it, ties to the smaller id;
+    the first is the farthest from `first`, or else the one of the smallest id."""
+    order = np.argsort(ids, kind="stable")
+    own = x[order]
+    near = np.full(len(own), -np.inf) if first is None else np.round(M.matrix(metric, own, first), 12).max(1)
+    out = []
+    for _ in range(min(k, len(own))):
+        at = int(near.argmin())
+        out.append(at)
+        near = np.maximum(near, np.round(M.matrix(metric, own, own[at : at + 1]), 12)[:, 0])
+        near[at] = np.inf
+    return order[np.array(out, np.int64)]
+
+
+def core_seeds(df: DataFrame, k: int, distance: str = "euclidean") -> np.ndarray:
+    """[k, d] seeds far from each other, in two jobs however many they are: each task takes k rows farthest-first from its
+    own vectors (id, vec), in batches whose picks compete again, and the same is done over the union of the tasks' picks in a
+    tree of groups of at most CORE rows. Every vector lies within a few times the best possible radius of a seed (a core
+    set of core sets), where `farthest_first` gives twice the radius in k jobs. Fewer vectors than k give fewer seeds."""
+    metric = M.canonical(distance)
+    width = df.select(F.size("vec").alias("w")).where("w >= 0").groupBy("w").count().orderBy(F.desc("count"), F.desc("w")).first()
+    if width is None:
+        return np.zeros((0, 0))
+
+    def picked(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        at = _greedy(metric, x, ids, k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), from_matrix(x[at])], names=["id", "vec"])
+
+    def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = np.zeros(0, np.int64), np.zeros((0, width["w"]))
+        for b in it:
+            more, at = usable(b.column("vec"), width["w"])
+            ids, x = np.append(ids, b.column("id").to_numpy()[at]), np.concatenate([x, more])
+            if len(ids) > 4 * k:
+                at = _greedy(metric, x, ids, k)
+                ids, x = ids[at], x[at]
+        if len(ids):
+            yield picked(ids, x)
+
+    def merged(t: pa.Table) -> pa.Table:
+        x, at = usable(t["vec"], width["w"])
+        return pa.Table.from_batches([picked(t["id"].to_numpy()[at], x)])
+
+    rows = df.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("vec")).mapInArrow(own, "id long, vec array<double>")
+    rows = scratch.cut(rows.withColumn("_g", F.monotonically_increasing_id()))
+    n = rows.count()
+    while n > max(CORE, 2 * k):
+        groups = -(-n // max(CORE, 2 * k))
+        rows = rows.withColumn("_g", F.pmod(F.xxhash64("_g"), F.lit(groups))).groupBy("_g").applyInArrow(merged, "id long, vec array<double>")
+        rows = scratch.cut(rows.withColumn("_g", F.monotonically_increasing_id()))
+        n = rows.count()
+    t = rows.select("id", "vec").toArrow()  # at most CORE rows or 2 k
+    x, at = usable(t["vec"], width["w"])
+    return x[_greedy(metric, x, t["id"].to_numpy()[at], k)]
+
+
 class KMeans(MultiKMeans):
     """Lloyd's algorithm for one problem. An empty cluster's centroid becomes the zero vector."""
 

@@ -483,8 +483,8 @@ def _starts(spark, sf_dir):
 
 @query("w5_query_ranking", f"with {_CELLS} select vec_id id, cell, (row_number() over (partition by cell order by round(dd, 9), vec_id))::integer rank from cells")
 def _cell_ranks(spark, sf_dir):
-    ranked = cells16(embeddings(spark, sf_dir)).withColumn("s", F.round("score", 9))
-    return search.top_k(ranked, 1 << 30, ["cell"], "s").select("id", "cell", "rank")
+    ranked = cells16(embeddings(spark, sf_dir)).select("id", "cell", (F.lit(0.0) - F.round("score", 9)).alias("s"))
+    return store.numbered_within(ranked, "cell", ["s", "id"], "n").select("id", "cell", (F.col("n") + 1).cast("int").alias("rank"))
 
 
 # Sources, sinks, set operations
@@ -651,6 +651,20 @@ def _farthest(spark, sf_dir):
     return base.join(F.broadcast(picked), "vec").select("n", "id")
 
 
+@query("c4_core_seeds")
+def _core(spark, sf_dir):
+    """64 seeds, and how many vectors are nearest to each. What a core set picks depends on how the vectors are dealt."""
+    base = embeddings(spark, sf_dir)
+    return clustering.assign(base, clustering.core_seeds(base, 64)).groupBy("cell").agg(F.count("*").alias("size"))
+
+
+@query("w5_line_ranking", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, (row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey)) - 1 n from lineitem")
+def _line_ranks(spark, sf_dir):
+    """Three groups hold all rows of the largest table."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", (F.lit(0.0) - F.col("l_extendedprice").cast("double")).alias("price"))
+    return store.numbered_within(t, "l_returnflag", ["price", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "n").drop("price")
+
+
 @query("c5_similarity_matrix", f"with {_L} select a.vec_id id, b.vec_id::integer cell, round({_SCORES['cosine']}, 6) + 0.0 score from l a join l b using (pos) where b.vec_id < 16 group by all")
 def _matrix(spark, sf_dir):
     base = embeddings(spark, sf_dir)

@@ -42,6 +42,24 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_a") + F.col("_r") - 1).drop("_p", "_r", "_a", "_t")
 
 
+def numbered_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with dense numbers from 0 within each group, in the given order; rows equal in `order` follow a hash of the row. As
+    `numbered`: rows are range-partitioned by group and order, so that a group of any size spans as many partitions as it
+    fills; a partition numbers its own part of a group, and what the group has in the partitions before it comes from
+    counts, one row a group and partition. The window over those is as long as a group has partitions."""
+    tie = F.xxhash64(*df.columns)
+    ranged = df.withColumn("_t", tie).repartitionByRange(group, *order, "_t").sortWithinPartitions(group, *order, "_t")
+    ranged = scratch.cut(ranged.withColumn("_p", F.spark_partition_id()))
+    ahead = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_p", group).agg(F.count("*").alias("_c")).withColumn("_a", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+    # only a group that begins in an earlier partition needs an offset: at most one a partition
+    later = sizes.where("_a > 0").select("_p", F.struct(F.col(group).alias("g"), "_a").alias("_s"))
+    later = later.groupBy("_p").agg(F.first("_s").alias("_s"))
+    ranged = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p", group).orderBy(*order, "_t")))
+    shift = F.when(F.col("_s.g").eqNullSafe(F.col(group)), F.col("_s._a")).otherwise(F.lit(0).cast("long"))
+    return ranged.join(F.broadcast(later), "_p", "left").withColumn(name, shift + F.col("_r") - 1).drop("_p", "_r", "_s", "_t")
+
+
 def with_auto_ids(new: DataFrame, store: DataFrame | None, order: list[str]) -> DataFrame:
     """new with dense ids from the store's largest id + 1 (0 for an empty store)."""
     top = -1 if store is None else store.agg(F.max("id")).first()[0]
@@ -140,8 +158,8 @@ def capacity(n: Column, step: int, mode: str = "double", initial: int = 0) -> Co
 
 
 def index_of_appearance(df: DataFrame, order: str = "pos", cell: str = "cell") -> DataFrame:
-    """df with ioa: how often its cell came before, in the order given."""
-    return df.withColumn("ioa", (F.row_number().over(W.partitionBy(cell).orderBy(order)) - 1).cast("long"))
+    """df with ioa: how often its cell came before, in the order given. A cell may hold any share of the rows."""
+    return numbered_within(df, cell, [order], "ioa")
 
 
 def cell_sizes(df: DataFrame, cells: int | None = None) -> DataFrame:
@@ -180,13 +198,13 @@ def cell_of_address(addresses: DataFrame, starts: DataFrame) -> DataFrame:
 def write_slots(store: DataFrame, new: DataFrame, order: str = "id") -> DataFrame:
     """new (cell, ...) with the slot that each row takes: the free slots of its cell from the lowest, then new ones.
 
-    Free slots are counted, not listed: the gap before each taken slot is a run, and the n-th newcomer of a cell
-    finds its run by an equi-join on the cell and the run's place."""
-    taken = store.select("cell", F.col("slot").alias("s"))
-    w = W.partitionBy("cell").orderBy("s")
-    runs = taken.withColumn("free", F.col("s") - F.coalesce(F.lag("s").over(w), F.lit(-1)) - 1).withColumn("seen", F.sum("free").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    holes = runs.where("free > 0").select("cell", F.explode(F.sequence(F.col("s") - F.col("free"), F.col("s") - 1)).alias("slot"))
-    holes = holes.withColumn("ioa", (F.row_number().over(W.partitionBy("cell").orderBy("slot")) - 1).cast("long"))
+    The gap before each taken slot is a run of free ones: taken slots are numbered within their cell, each meets the one
+    before it by an equi-join on the cell and the number, and the n-th newcomer of a cell takes its n-th free slot."""
+    taken = numbered_within(store.select("cell", F.col("slot").alias("s")), "cell", ["s"], "n")
+    before = taken.select("cell", (F.col("n") + 1).alias("n"), F.col("s").alias("last"))
+    runs = taken.join(before, ["cell", "n"], "left").select("cell", "s", (F.coalesce("last", F.lit(-1)) + 1).alias("from"))
+    holes = runs.where(F.col("from") < F.col("s")).select("cell", F.explode(F.sequence("from", F.col("s") - 1)).alias("slot"))
+    holes = numbered_within(holes, "cell", ["slot"], "ioa")
     ends = store.groupBy("cell").agg(F.max("slot").alias("top"), F.count("*").alias("n"))
     out = index_of_appearance(new, order).join(holes, ["cell", "ioa"], "left").join(ends, "cell", "left")
     beyond = F.coalesce("top", F.lit(-1)) + 1 + F.col("ioa") - (F.coalesce("top", F.lit(-1)) + 1 - F.coalesce("n", F.lit(0)))
