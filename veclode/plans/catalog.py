@@ -839,6 +839,17 @@ def _pca_back(spark, sf_dir):
     return positions(pca.decode(pca.encode(base)))
 
 
+@query("e11_pca_covariance", f"with {_L}, v as (select pos, var_samp(x) v from l group by pos) select round(sum(v), 6) + 0.0 trace, 0.0::double off_diagonal from v")
+def _pca_covariance(spark, sf_dir):
+    """All components together have the variance of the vectors, and no two of them vary together."""
+    base = embeddings(spark, sf_dir)
+    pca = codecs.PCA(64)
+    pca.train(base)
+    _, _, cov = codecs.covariance(pca.encode(base), 64)
+    off = float(np.abs(cov - np.diag(np.diag(cov))).max())
+    return spark.createDataFrame([(round(float(np.trace(cov)), 6) + 0.0, round(off, 6) + 0.0)], "trace double, off_diagonal double")
+
+
 # Indexes
 
 
