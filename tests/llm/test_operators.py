@@ -383,18 +383,15 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     assert Counter(out) == Counter([(1, a), (2, other), (None, "x y")])
 
 
-def test_sketches_estimate_similarity():
+def test_similar_sets_share_a_band():
     rng = np.random.default_rng(6)
-    for share in (0.0, 0.3, 0.6, 0.8, 0.95, 1.0):
+    for share in (0.8, 0.9, 0.95, 1.0):
         for n in (40, 3000):
-            both = rng.integers(0, 1 << 63, round(n * share), dtype=np.uint64)
-            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, (n - len(both)) // 2, dtype=np.uint64)])) for _ in range(2))
-            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            x, y = (np.frombuffer(simhash.sketch(simhash.low(h)), np.uint8)[None] for h in (a, b))
-            assert abs(simhash.similar(x, y)[0] - true) < simhash.LOOSE
-            if true == 1:
-                assert (simhash.bands(simhash.low(a)) == simhash.bands(simhash.low(b))).all()
-    assert simhash.similar(np.zeros((1, simhash.BINS), np.uint8), np.zeros((1, simhash.BINS), np.uint8)) == 1
+            for _ in range(20):
+                both = rng.integers(0, 1 << 63, round(n * share), dtype=np.uint64)
+                a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, (n - len(both)) // 2, dtype=np.uint64)])) for _ in range(2))
+                x, y = simhash.bands(simhash.low(a)), simhash.bands(simhash.low(b))
+                assert (x == y).any() if share < 1 else (x == y).all()
 
 
 def test_wide_fingerprints():

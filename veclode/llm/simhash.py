@@ -42,7 +42,7 @@ SEED, CHUNK, BINS = 42, 65_536, 512
 #: Nodes of a shard's tree, on average; a shard of over twice as many is dealt into tiles.
 SHARD = 1024
 #: Candidates agree in one of BANDS bands of ROWS minima: a pair of similarity 0.8 does not with probability 7e-5.
-BANDS, ROWS, LOOSE = 24, 5, 0.08
+BANDS, ROWS = 24, 5
 #: Words of 64 bits of a set's fingerprint, and the deviations above the mean up to which differing bits make a candidate.
 #: At similarity 0.8 that is a radius of 74: it is passed with probability 7e-9 in large sets, 3e-5 at most (4 shingles of 5).
 WORDS, DEVIATIONS = 4, 6
@@ -107,18 +107,6 @@ def radius_of(similarity: float) -> int:
     return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
-def sketch(lows: np.ndarray) -> bytes:
-    """One-permutation MinHash, which near_dedup does not use: of the smallest hash in each of BINS bins, 8 bits; 0 where a bin is empty."""
-    return np.where(lows != EMPTY, 1 + (lows * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The similarity (Jaccard) of sets by the rows of their sketches; where sets are smaller than BINS, nearly exact."""
-    union = ((a > 0) | (b > 0)).sum(1)
-    same = ((a == b) & (a > 0)).sum(1) / np.maximum(union, 1)
-    return np.where(union == 0, 1.0, (same - 1 / 255) / (1 - 1 / 255))
-
-
 def fingerprints(docs: DataFrame, views: dict[str, Callable]) -> DataFrame:
     """doc_id and a bigint fingerprint for each view (name: features of the words)."""
 
