@@ -52,6 +52,38 @@ def test_knn_paths_agree_with_numpy(df, x, metric, monkeypatch):
     assert found(search.knn(df, q, 7, metric)) == want
 
 
+@pytest.mark.parametrize("metric", METRICS)
+def test_all_vectors_against_all_with_a_hot_cell(spark, metric, monkeypatch):
+    """Clusters far apart, and one vector that a third of the rows repeat: rows reach few cells, tasks see bounded parts."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(25, 1, 4)) * 50 + rng.normal(size=(25, 16, 4)), np.zeros((1, 1, 4)) + np.full((1, 200, 4), 3.0)], axis=None).reshape(-1, 4)
+    monkeypatch.setattr(search, "TILE", 64)
+    monkeypatch.setattr(search, "SHARD", 32)
+    monkeypatch.setattr(search, "FAN", 2)
+    seen, sent = [], search.sent
+    monkeypatch.setattr(search, "sent", lambda rows, space, reach: seen.append(sent(rows, space, reach)) or seen[-1])
+    base = frame(spark, x).withColumnRenamed("vec", "v")
+    out = search.knn_join(base, base.withColumnRenamed("id", "q_id"), 3, metric)
+    s = np.stack([M.direct(metric, np.repeat(x[i : i + 1], len(x), 0), x) for i in range(len(x))])
+    assert found(out) == [(i, n + 1, int(j)) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), -np.round(s[i], 9)))[:3])]
+    cells = int(len(x) ** 0.5)
+    moved = seen[0].agg(F.sum(F.size("cells"))).first()[0]
+    if metric in ("euclidean", "manhattan"):
+        assert moved < 0.2 * cells * len(x)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_the_join_of_neighbours_at_the_edges(spark):
+    rows = [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, None), (3, [float("nan"), 0.0]), (4, [1.0]), (5, [2.0, 2.0]), (None, [0.0, 0.0])]
+    base = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = base.withColumnRenamed("id", "q_id").where("q_id is null or q_id in (2, 4, 5)")
+    out = search.knn_join(base, asked, 9)
+    assert sorted((r["q_id"], r["rank"], r["id"]) for r in out.collect()) == [(4, 1, 4), (5, 1, 5), (5, 2, 1), (5, 3, 1)]
+    for a, b in ((base.limit(0), asked), (base, asked.limit(0))):
+        assert search.knn_join(a, b, 3).count() == 0
+
+
 def test_ties_go_to_the_smaller_id_and_padding(spark):
     base = frame(spark, [[0, 0], [1, 0], [0, 1], [-1, 0], [0, -1]] * 4)
     q = as_queries(frame(spark, [[0.0, 0.0]]))
@@ -685,3 +717,32 @@ def test_block_masks(spark, df, x):
     out = {(r["i"], r["j"]): r["score"] for r in search.block_masked_product(a, b, blocks, 8).collect()}
     assert set(out) == {(i, j) for i in range(8) for j in range(8, 16)} | {(i, j) for i in range(16, 24) for j in range(16, 24)}
     assert all(s == pytest.approx(x[i] @ x[j]) for (i, j), s in out.items())
+
+
+@pytest.mark.parametrize("metric,residual", [("euclidean", False), ("euclidean", True), ("inner", False), ("cosine", False), ("manhattan", False)])
+def test_bounds_spare_cells_and_lose_no_hit(spark, metric, residual, tmp_path):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(16, 8)) * 20
+    x = (middle[:, None] + rng.normal(size=(16, 30, 8))).reshape(-1, 8)
+    df = frame(spark, x)
+    index = ivf.IVFPQIndex(8, 16, metric, residual)
+    low, high = (x.min(0), x.max(0)) if not residual else (np.full(8, -6.0), np.full(8, 6.0))
+    if metric == "cosine":
+        low, high = np.full(8, -1.0), np.full(8, 1.0)
+    index.set_codebooks(M.unit_rows(middle, 1e-9) if metric == "cosine" else middle, (low + (np.arange(256)[:, None] + 0.5) / 256 * (high - low)).T[:, :, None])
+    index.n_probe, index.use_smart_probing = 16, False
+    index.add(df.where("id % 3 > 0"))
+    index.add(df.where("id % 3 = 0"))
+    index.remove(df.where("id % 7 = 0").select("id"))
+    q = as_queries(df.where("id % 20 = 0"))
+    plain = found(index.search(q, 5))
+    index.bounded = True
+    assert found(index.search(q, 5)) == plain
+    _, rest = index._bounded(q, index.probe(q), 5, index._reach())
+    n = rest.count()
+    assert n < (0.6 if metric in ("inner", "cosine") else 0.1) * 24 * 15  # of the probes beyond the nearest cell; products are bounded less tightly
+    index.save(str(tmp_path / "i"), spark)
+    again = ivf.IVFPQIndex.load(str(tmp_path / "i"), spark)
+    assert again.bounded and np.array_equal(again._reach(), index._reach()) and found(again.search(q, 5)) == plain
+    again.codes = again.rows  # codes from elsewhere have no reach: nothing is spared
+    assert again._reach() is None and found(again.search(q, 5)) == plain

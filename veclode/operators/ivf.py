@@ -7,6 +7,10 @@ units that they ask for; the codes stay where they were written. They meet in a
 decoded: each query has a table of what every sub-code adds to its score, and the codes' bytes look it up (half-byte codes
 two at once). Only each query's best of a unit go on to be merged.
 
+With `bounded`, a search looks first into the probed cell that is nearest to each query. Each cell knows how far its decoded
+codes reach from its centroid, so the triangle inequality bounds the scores in a cell; those that cannot come up to the
+k-th best found so far are not scanned. The rows are the same as without.
+
 Removes are addresses: an id is looked up in the inverse map when it is removed, and the slots found are dead from then on.
 So order holds: an id that is added again gets a new slot and lives. Dead slots travel to their unit with the queries,
 and `compact` writes the living rows anew. Slots are never given twice.
@@ -31,7 +35,7 @@ from ..functions.arrow import from_matrix, to_matrix, usable
 from ..sources import persist, scratch, store
 from .clustering import KMeans, nearest, nearest_cells
 from .codecs import PQCodec, VQCodec
-from .search import SLACK, best_rows, knn, padded, top_k
+from .search import SLACK, best_rows, knn, padded, top_1, top_k
 
 #: Slots of a unit, queries times codes of a look-up, queries that a unit meets at once, rows of a bucket (about), and units
 #: that a search names to the scan, so that it leaves out other buckets.
@@ -55,7 +59,8 @@ def smart_probes(probes: DataFrame, n_probe: int, temperature: float = 30.0) ->
 
 class Part(NamedTuple):
     """What one add stored: codes (id, cell, slot, unit, code, ...), ids (id, cell, slot), in so many buckets, each cell's
-    first slot and the one after its last, and the folder, where it is the index's own."""
+    first slot and the one after its last, the folder, where it is the index's own, and how far decoded codes are from the
+    cell's centroid at most (None: not known)."""
 
     codes: DataFrame
     ids: DataFrame
@@ -63,6 +68,7 @@ class Part(NamedTuple):
     low: np.ndarray
     high: np.ndarray
     path: str | None = None
+    reach: np.ndarray | None = None
 
 
 def unit(cell: Column, slot: Column) -> Column:
@@ -78,7 +84,7 @@ class IVFPQIndex:
         self.distance, self.residual, self.n_cells = M.canonical(distance), residual, n_cells
         self.vq = VQCodec(n_cells, max_iter=vq_iter, seed=seed)
         self.pq = PQCodec(n_subvectors, n_pq_clusters, "euclidean" if residual else self.distance, pq_iter, packed=packed, seed=seed)
-        self.n_probe, self.use_smart_probing, self.temperature = 1, True, 30.0
+        self.n_probe, self.use_smart_probing, self.temperature, self.bounded = 1, True, 30.0, False
         self._parts: list[Part] = []
         self._gone: list[DataFrame] = []  # unit, slot
         self._sizes = np.zeros(n_cells, np.int64)
@@ -151,9 +157,15 @@ class IVFPQIndex:
                 x, at = usable(b.column("vec"), book.shape[1])
                 x = self._ready(x)
                 cell = nearest("euclidean", x, book)[1]
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(cell, pa.int32()), *self._coded(x, cell)], names=["id", "cell", *fields])
+                codes = self._coded(x, cell)
+                far = self._apart(self._near(cell, codes), book[cell])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(cell, pa.int32()), *codes, pa.array(far)], names=["id", "cell", *fields, "far"])
+
+        return self._plain(df).mapInArrow(run, "id long, cell int, " + ", ".join(f"{f} binary" for f in fields) + ", far double")
 
-        return self._plain(df).mapInArrow(run, "id long, cell int, " + ", ".join(f"{f} binary" for f in fields))
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of rows, in which cells reach: of the Manhattan metric its own, else Euclidean."""
+        return np.abs(a - b).sum(-1) if self.distance == "manhattan" else np.sqrt(((a - b) ** 2).sum(-1))
 
     def encode(self, df: DataFrame) -> DataFrame:
         """id, cell, code of each vector (id, vec), in one pass."""
@@ -221,7 +233,7 @@ class IVFPQIndex:
         """cell and a column of numbers for each name: one row a cell."""
         return spark.createDataFrame(list(enumerate(zip(*(v.tolist() for v in values.values()), strict=True))), f"cell int, v struct<{', '.join(f'{n}: long' for n in values)}>").select("cell", "v.*")
 
-    def _put(self, rows: DataFrame, n: int, low: np.ndarray, high: np.ndarray, path: str | None = None) -> Part:
+    def _put(self, rows: DataFrame, n: int, low: np.ndarray, high: np.ndarray, path: str | None = None, reach: np.ndarray | None = None) -> Part:
         """Writes rows, n of them: codes bucketed by unit and the inverse map bucketed by id, with a bucket for about BUCKET
         rows."""
         spark = rows.sparkSession
@@ -232,16 +244,18 @@ class IVFPQIndex:
         rows = rows.withColumn("unit", unit(F.col("cell"), F.col("slot"))).select(*self._columns())
         codes = persist.write_bucketed(rows, f"{path}/codes", persist.Bucketed("unit", ["unit", "slot"], buckets))
         ids = persist.write_bucketed(codes.select("id", "cell", "slot"), f"{path}/ids", persist.Bucketed("id", ["id"], buckets))
-        return Part(codes, ids, buckets, low, high, own)
+        return Part(codes, ids, buckets, low, high, own, reach)
 
     def add(self, df: DataFrame) -> DataFrame:
         """Appends vectors (id, vec) and returns their codes and addresses: id, cell, slot, code. Slots of a cell go on from
         its last, in the order of id."""
         placed = store.numbered(self._encoded(df), ["cell", "id"], "n")
-        sizes = self._counted(placed, F.count("*"))
+        sizes, reach = np.zeros(self.n_cells, np.int64), np.zeros(self.n_cells)
+        for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # one row a cell
+            sizes[r["cell"]], reach[r["cell"]] = r["n"], r["far"]
         first = self._per_cell(df.sparkSession, shift=self._sizes - (np.cumsum(sizes) - sizes))
         placed = placed.join(first, "cell").withColumn("slot", F.col("n") + F.col("shift"))
-        part = self._put(placed, int(sizes.sum()), self._sizes, self._sizes + sizes)
+        part = self._put(placed, int(sizes.sum()), self._sizes, self._sizes + sizes, reach=reach)
         self._sizes = self._sizes + sizes
         self._parts.append(part)
         return part.codes.drop("unit")
@@ -267,10 +281,15 @@ class IVFPQIndex:
         """Writes the living rows anew, in one part at their old addresses, and forgets what was removed. purge: deletes what
         adds had stored; results that were not computed before cannot be any more."""
         n, old = sum(int((p.high - p.low).sum()) for p in self._parts), self._parts
-        self._parts, self._gone = [self._put(self.rows, n, np.zeros(self.n_cells, np.int64), self._sizes)], []
+        self._parts, self._gone = [self._put(self.rows, n, np.zeros(self.n_cells, np.int64), self._sizes, reach=self._reach())], []
         for path in [p.path for p in old if p.path] if purge else []:
             scratch.remove(self._parts[0].codes.sparkSession, path)
 
+    def _reach(self) -> np.ndarray | None:
+        """How far decoded codes are from their cell's centroid at most, over all parts."""
+        parts = [p.reach for p in self._parts]
+        return None if any(r is None for r in parts) else np.max([np.zeros(self.n_cells), *parts], axis=0)
+
     def cell_starts(self, spark) -> DataFrame:
         """cell, start, capacity: an address is the cell's start and the slot."""
         return store.cell_starts(self._per_cell(spark, capacity=self._sizes))
@@ -294,6 +313,44 @@ class IVFPQIndex:
         return found.select("q_id", "rank", "id", "score", *(["cell", "slot"] if return_address else []))
 
     def _first(self, queries: DataFrame, probes: DataFrame, k: int, *more: str) -> DataFrame:
+        reach = self._reach() if self.bounded else None
+        if reach is None:
+            return self._scanned(queries, probes, k, *more)
+        seen, rest = self._bounded(queries, probes, k, reach, more)
+        both = seen.drop("rank").unionByName(self._scanned(queries, rest, k, *more).drop("rank"))
+        return top_k(both, k, ["q_id"], "_s")
+
+    def _bounded(self, queries: DataFrame, probes: DataFrame, k: int, reach: np.ndarray, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """What each query's nearest probed cell has, and the other probes that may better it. The table of scores has a row
+        a probe; centroids go to the tasks, as in `probe`."""
+        book, kind = self.vq.codebook, self.score_metric
+        full = np.any([p.high > p.low for p in self._parts], axis=0) if self._parts else np.zeros(self.n_cells, bool)
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                x, at = usable(b.column("v"), book.shape[1])
+                x, cell = self._ready(x), b.column("cell").to_numpy()[at]
+                near, r = M.direct(kind, x, book[cell]), reach[cell]
+                if kind == "inner":
+                    most = near + np.sqrt((x * x).sum(1)) * r
+                else:
+                    gap = np.maximum(self._apart(x, book[cell]) - r, 0)
+                    most = -gap if kind == "manhattan" else -gap * gap
+                wide = 1e-8 * (1 + np.abs(near) + (x * x).sum(1) + r * r)  # more than rounding moves a score
+                keep = full[cell]
+                yield pa.RecordBatch.from_arrays([b.column("q_id").take(pa.array(at[keep])), pa.array(cell[keep], pa.int32()), pa.array(near[keep]), pa.array((most + wide)[keep])], names=["q_id", "cell", "near", "most"])
+
+        q = self._plain(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
+        asked = probes.select("q_id", F.col("cell").cast("int").alias("cell")).distinct().join(q, "q_id")
+        scores = asked.mapInArrow(run, "q_id long, cell int, near double, most double")
+        scores = scratch.cut(scores.groupBy("q_id", "cell").agg(F.max("near").alias("near"), F.max("most").alias("most")))
+        first = scratch.cut(top_1(scores.select("q_id", "cell", "near"), ["q_id"], "near", "cell"))
+        seen = scratch.cut(self._scanned(queries, first, k, *more))
+        least = seen.where(F.col("rank") == k).select("q_id", F.col("_s").alias("least"))
+        rest = scores.join(first, ["q_id", "cell"], "left_anti").join(least, "q_id", "left")
+        return seen, rest.where(F.col("least").isNull() | (F.col("most") >= F.col("least"))).select("q_id", "cell")
+
+    def _scanned(self, queries: DataFrame, probes: DataFrame, k: int, *more: str) -> DataFrame:
         q = self._plain(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
         probes = scratch.cut(probes.select("q_id", F.col("cell").cast("int").alias("cell")).distinct())
         most = probes.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
@@ -373,10 +430,10 @@ class IVFPQIndex:
 
     def _settings(self) -> dict:
         own = {"n_subvectors": self.pq.m, "n_cells": self.n_cells, "distance": self.distance, "residual": self.residual, "n_pq_clusters": int(self.pq.codebook.shape[1]), "packed": self.pq.packed}
-        return {"kind": type(self).__name__, "new": own, "n_probe": self.n_probe, "use_smart_probing": self.use_smart_probing, "temperature": self.temperature}
+        return {"kind": type(self).__name__, "new": own, "n_probe": self.n_probe, "use_smart_probing": self.use_smart_probing, "temperature": self.temperature, "bounded": self.bounded}
 
     def _arrays(self) -> dict[str, np.ndarray]:
-        return {"centroids": self.vq.codebook, "codebook": self.pq.codebook, "sizes": self._sizes}
+        return {"centroids": self.vq.codebook, "codebook": self.pq.codebook, "sizes": self._sizes} | ({} if self._reach() is None else {"reach": self._reach()})
 
     def _restore(self, arrays: dict[str, np.ndarray]) -> None:
         self.set_codebooks(arrays["centroids"], arrays["codebook"])
@@ -387,7 +444,7 @@ class IVFPQIndex:
         n, new = sum(int((p.high - p.low).sum()) for p in self._parts), []
 
         def write(folder: str) -> dict[str, tuple[DataFrame, persist.Bucketed]]:
-            part = self._put(self.rows, n, np.zeros(self.n_cells, np.int64), self._sizes, folder)
+            part = self._put(self.rows, n, np.zeros(self.n_cells, np.int64), self._sizes, folder, self._reach())
             new.append(part)
             return {"codes": (part.codes, persist.Bucketed("unit", ["unit", "slot"], part.buckets)), "ids": (part.ids, persist.Bucketed("id", ["id"], part.buckets))}
 
@@ -405,8 +462,9 @@ class IVFPQIndex:
         index = kind(**settings["new"])
         index._restore(arrays)
         index.n_probe, index.use_smart_probing, index.temperature = settings["n_probe"], settings["use_smart_probing"], settings["temperature"]
+        index.bounded = settings.get("bounded", False)
         index._sizes = arrays["sizes"].astype(np.int64)
-        index._parts = [Part(tables["codes"].select(*index._columns()), tables["ids"], 0, np.zeros(index.n_cells, np.int64), index._sizes)]
+        index._parts = [Part(tables["codes"].select(*index._columns()), tables["ids"], 0, np.zeros(index.n_cells, np.int64), index._sizes, reach=arrays.get("reach"))]
         return index
 
 

@@ -1,7 +1,7 @@
 """Exact search: products of queries and base vectors, and top-k.
 
 Defined cases: a vector that is null or holds a null or non-finite element takes no part, and a query meets the base
-vectors of its own width; repeated ids are rows of their own, as bases and as queries share the list of their id; ties
+vectors of its own width; in knn and knn_join a row without an id takes no part; repeated ids are rows of their own, as bases and as queries share the list of their id; ties
 go to the smaller id; empty tables give empty results.
 """
 
@@ -16,10 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.arrow import best_rows, usable, widths
+from ..functions.arrow import best_rows, from_matrix, to_matrix, usable, widths
+from ..sources import scratch
 
-#: A query block sent to every task of the base, and the tiles of the grid that larger sets of queries use.
-BROADCAST_BYTES, TILE = 32_000_000, 4096
+#: A query block sent to every task of the base; what larger sets of queries use: queries of a tile, base vectors of a
+#: shard, pivots at most and their bytes, and lists that are merged at once.
+BROADCAST_BYTES = 32_000_000
+TILE, SHARD, PIVOTS, PIVOT_BYTES, FAN = 4096, 8192, 1024, 16_000_000, 16
 #: What partial selections keep beyond k, for scores that the fast product rounds differently.
 SLACK = 8
 
@@ -71,11 +74,11 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean",
 
     Batches of base vectors are multiplied with a block of queries and keep each query's best; the partial lists
     are merged by a window that cuts each group early. Queries of a checked size are sent to every task; more
-    of them are dealt, with the base, into a grid of tiles. Scores equal up to `digits` rank by id."""
+    of them are joined by knn_join. Scores equal up to `digits` rank by id."""
     M.canonical(metric)
-    small = queries.select(F.col("q_id").cast("long").alias("q_id"), M.doubles("q_vec").alias("v"))
+    small = queries.select(F.col("q_id").cast("long").alias("q_id"), M.doubles("q_vec").alias("v")).where("q_id is not null")
     n, width = small.select(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    base = base.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("v"))
+    base = base.select(F.col("id").cast("long").alias("id"), M.doubles("vec").alias("v")).where("id is not null")
     if n * max(1, width) * 8 <= BROADCAST_BYTES:
         t = small.toArrow()
         blocks_of = [(t.column("q_id").to_numpy().astype(np.int64)[at], q) for w in widths(t.column("v")) for q, at in (usable(t.column("v"), w),) if len(at)]
@@ -89,24 +92,198 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean",
 
         found = base.mapInArrow(run, "q_id long, id long, score double")
     else:
-
-        def tile(key, left, right):
-            out = [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["q_id", "id", "score"])]
-            for w in widths(left["v"]) if left.num_rows and right.num_rows else []:
-                (q, own), (x, at) = usable(left["v"], w), usable(right["v"], w)
-                out.append(_hits(metric, k, left["q_id"].to_numpy()[own], q, right["id"].to_numpy()[at], x))
-            return pa.Table.from_batches(out)
-
-        blocks, shards = -(-n // TILE), max(1, -(-base.count() // TILE))
-        every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-        spread = lambda size, *c: F.pmod(F.xxhash64(*c), F.lit(size)).cast("int")
-        left = small.withColumn("block", spread(blocks, "q_id", "v")).withColumn("shard", every(shards))
-        right = base.withColumn("shard", spread(shards, "id", "v")).withColumn("block", every(blocks))
-        found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(tile, "q_id long, id long, score double")
+        return knn_join(base, small, k, metric, digits)
     ranked = top_k(found.withColumn("_s", F.round("score", digits)), k, ["q_id"], "_s")
     return ranked.select("q_id", "rank", "id", "score")
 
 
+class Space:
+    """Pivots and the distances to them. Similarities become distances that keep the triangle inequality: of the Euclidean
+    and the Manhattan metric their own; for inner products (and cosine, of unit vectors) base vectors get one more
+    coordinate, sqrt(top - |x|^2), and queries a zero, so that |q - x|^2 = |q|^2 + top - 2 q.x."""
+
+    def __init__(self, metric: str, top: float, pivots: np.ndarray, k: int, digits: int, scale: float) -> None:
+        self.metric, self.top, self.k, self.unit = M.canonical(metric), top, k, 2 * 10.0**-digits
+        #: By how much a rounded distance may be wrong.
+        self.slack = 1e-6 * np.sqrt(scale) + 1e-12
+        self.pivots = self._point(pivots, False)
+
+    def _point(self, x: np.ndarray, query: bool) -> np.ndarray:
+        if self.metric == "cosine":
+            x = M.unit_rows(x, M.COSINE_EPS)
+        if self.metric in ("euclidean", "manhattan"):
+            return x
+        return np.column_stack([x, np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - (x * x).sum(1), 0))])
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return -M.matrix("manhattan", a, b) if self.metric == "manhattan" else np.sqrt(np.maximum(-M.matrix("euclidean", a, b), 0))
+
+    def to_pivots(self, x: np.ndarray, query: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """Distances to the pivots, a slice of x at a time."""
+        step = max(1, 4_000_000 // max(1, self.pivots.size if self.metric == "manhattan" else len(self.pivots)))
+        for i in range(0, len(x), step):
+            yield i, self._apart(self._point(x[i : i + step], query), self.pivots)
+
+    def kth(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A distance within which q has k of x; infinite where there are fewer."""
+        if len(x) < self.k:
+            return np.full(len(q), np.inf)
+        a, b, out = self._point(q, True), self._point(x, False), []
+        step = max(1, 4_000_000 // max(1, b.size if self.metric == "manhattan" else len(b)))
+        for i in range(0, len(a), step):
+            out.append(np.partition(self._apart(a[i : i + step], b), self.k - 1, axis=1)[:, self.k - 1])
+        return np.concatenate([np.zeros(0), *out])
+
+    def widened(self, d: np.ndarray) -> np.ndarray:
+        """Distances that still tie with d, once scores are rounded."""
+        return (d + self.unit if self.metric == "manhattan" else np.sqrt(d * d + self.unit)) + self.slack
+
+
+def _sizes(df: DataFrame, metric: str) -> dict[int, tuple[int, float]]:
+    """For each width the usable vectors (v), and the largest squared norm (manhattan: of the sum of magnitudes)."""
+    name = M.canonical(metric)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for w in widths(b.column("v")):
+                x = usable(b.column("v"), w)[0]
+                x = M.unit_rows(x, M.COSINE_EPS) if name == "cosine" else x
+                norm = np.abs(x).sum(1) ** 2 if name == "manhattan" else (x * x).sum(1)
+                rows.append((w, len(x), float(norm.max(initial=0))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.float64())], names=["w", "n", "top"])
+
+    found = df.select("v").mapInArrow(run, "w int, n long, top double").groupBy("w").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    return {r["w"]: (r["n"], r["top"]) for r in found.collect() if r["n"]}  # one row a width
+
+
+def _in_cells(df: DataFrame, id_: str, width: int, space: Space, query: bool) -> DataFrame:
+    """id_, v, row, cell of the usable vectors of a width; of queries also dist to the pivot and theta, within which there
+    are k pivots. Kept in the shared folder: rows are numbered there, and dealt by their numbers."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, at = usable(b.column("v"), width)
+            cell, dist, theta = np.zeros(len(x), np.int32), np.zeros(len(x)), np.full(len(x), np.inf)
+            for i, d in space.to_pivots(x, query):
+                own = d.argmin(1)
+                cell[i : i + len(d)], dist[i : i + len(d)] = own, d[np.arange(len(d)), own]
+                if query and d.shape[1] >= space.k:
+                    theta[i : i + len(d)] = np.partition(d, space.k - 1, axis=1)[:, space.k - 1]
+            yield pa.RecordBatch.from_arrays([b.column(id_).take(pa.array(at)), from_matrix(x), pa.array(cell), pa.array(dist), pa.array(theta)], names=[id_, "v", "cell", "dist", "theta"])
+
+    placed = df.select(id_, "v").mapInArrow(run, f"{id_} long, v array<double>, cell int, dist double, theta double")
+    return scratch.cut(placed.withColumn("row", F.xxhash64(F.monotonically_increasing_id())))
+
+
+def _by_cell(df: DataFrame, cells: int) -> np.ndarray:
+    n = np.zeros(cells, np.int64)
+    for r in df.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row a cell
+        n[r["cell"]] = r["n"]
+    return n
+
+
+def _share(counts: np.ndarray, cell: str = "cell") -> Column:
+    """The number a cell has in an array of at most PIVOTS."""
+    return F.element_at(F.lit([int(c) for c in counts]), F.col(cell) + 1)
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", digits: int = 9) -> DataFrame:
+    """As knn, for query sets of any size (base: id, v; queries: q_id, v), all vectors against all among them, without a grid
+    of all blocks.
+
+    Pivots, a bounded sample of the base, cut the space into cells. A query has k pivots, and k vectors of (a bounded part of)
+    its own cell, within a distance theta; so what it looks for lies within its distance to the pivot plus theta of the
+    pivot. The largest such reach of a cell's queries says which base vectors are sent to the cell, and no other is. Cells
+    with many queries are dealt into tiles and what is sent to a cell into shards, so a task sees a bounded number of either
+    however full a cell is; partial lists are merged by a tree. Exact: reaches are widened by what rounding may hide."""
+    base, queries = base.where("id is not null"), queries.where("q_id is not null")
+    own, asked = _sizes(base, metric), _sizes(queries, metric)
+    out = None
+    for width in sorted(own.keys() & asked.keys()):
+        found = _joined(base, queries, k, metric, digits, width, own[width], asked[width])
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "q_id long, rank int, id long, score double")
+    return top_k(out.withColumn("_s", F.round("score", digits)), k, ["q_id"], "_s").select("q_id", "rank", "id", "score")
+
+
+def sent(rows: DataFrame, space: Space, reach: np.ndarray) -> DataFrame:
+    """rows (id, v, row) with `cells`, the cells whose queries they may serve."""
+    width = space.pivots.shape[1] - (space.metric in ("inner", "cosine"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, parts, sizes = usable(b.column("v"), width)[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, d in space.to_pivots(x):
+                at, cell = np.nonzero(d <= reach)
+                parts.append(cell)
+                sizes.append(np.bincount(at, minlength=len(d)))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("row"), cells], names=["id", "v", "row", "cells"])
+
+    return rows.select("id", "v", "row").mapInArrow(run, "id long, v array<double>, row long, cells array<int>")
+
+
+def _joined(base: DataFrame, queries: DataFrame, k: int, metric: str, digits: int, width: int, own: tuple[int, float], asked: tuple[int, float]) -> DataFrame:
+    """q_id, id, score: lists of the vectors of one width, merged but for the last step."""
+    n = max(1, min(PIVOTS, int(own[0] ** 0.5), PIVOT_BYTES // (8 * (width + 1))))
+
+    def usables(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([from_matrix(usable(b.column("v"), width)[0])], names=["v"])
+
+    some = base.select("v").mapInArrow(usables, "v array<double>").orderBy(F.rand(42)).limit(n).collect()
+    space = Space(metric, own[1], np.array([r["v"] for r in some], float).reshape(len(some), width), k, digits, max(own[1], asked[1]))
+    n = len(some)
+    rows, asking = _in_cells(base, "id", width, space, False), _in_cells(queries, "q_id", width, space, True)
+    one = F.lit(1).alias("n")
+    held, asks = _by_cell(rows.select("cell", one), n), _by_cell(asking.select("cell", one), n)
+    tiles = -(-asks // TILE)
+    asking = asking.where(_share(tiles) > 0).withColumn("tile", F.pmod("row", _share(tiles)).cast("int"))
+
+    def reach_of(key, left, right):
+        theta = left["theta"].to_numpy()
+        if left.num_rows:
+            theta = np.minimum(theta, space.kth(to_matrix(left["v"]), to_matrix(right["v"]))) if right.num_rows else theta
+        far = float((space.widened(theta) + left["dist"].to_numpy() + space.slack).max(initial=-np.inf))
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "reach": [far]})
+
+    parts = np.maximum(1, -(-held // SHARD))
+    near = rows.where((_share(tiles) > 0) & (F.pmod("row", _share(parts)) == 0)).select("cell", "v", _every(_share(tiles)).alias("tile"))
+    left = asking.select("cell", "tile", "v", "dist", "theta").groupBy("cell", "tile")
+    found = left.cogroup(near.groupBy("cell", "tile")).applyInArrow(reach_of, "cell int, reach double").groupBy("cell").agg(F.max("reach").alias("reach"))
+    reach = np.full(n, -np.inf)
+    for r in found.collect():  # one row a cell
+        reach[r["cell"]] = r["reach"]
+
+    candidates = sent(rows, space, reach)
+    counts = _by_cell(candidates.select(F.explode("cells").alias("cell"), one), n)
+    shards = -(-counts // SHARD)
+
+    def tile(key, left, right):
+        q, x = (to_matrix(t["v"]) if t.num_rows else np.zeros((0, width)) for t in (left, right))
+        hits = _hits(metric, k, left["q_id"].to_numpy(), q, right["id"].to_numpy(), x) if len(q) and len(x) else _hits(metric, k, np.zeros(0, np.int64), q[:0], np.zeros(0, np.int64), x[:0])
+        return pa.Table.from_batches([hits]).append_column("shard", pa.array(np.full(hits.num_rows, key[2].as_py()), pa.int32()))
+
+    right = candidates.select("id", "v", "row", F.explode("cells").alias("cell"))
+    right = right.select("id", "v", "cell", F.pmod(F.xxhash64("row"), _share(shards)).cast("int").alias("shard"), _every(_share(tiles)).alias("tile"))
+    left = asking.where(_share(shards) > 0).select("q_id", "v", "cell", "tile", _every(_share(shards)).alias("shard"))
+    key = ["cell", "tile", "shard"]
+    lists = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(tile, "q_id long, id long, score double, shard int")
+    most = int(shards.max(initial=0))
+    while most > FAN:
+        most = -(-most // FAN)
+        lists = lists.withColumns({"shard": F.floor(F.col("shard") / FAN).cast("int"), "_s": F.round("score", digits)})
+        lists = top_k(lists, k, ["q_id", "shard"], "_s").drop("rank", "_s")
+    return lists.drop("shard")
+
+
 def knn_expr(base: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", where: Column | None = None, digits: int = 9) -> DataFrame:
     """As knn, by column expressions over all pairs of a stated query set: the SQL surface, and what knn is held against.
     where: a condition that pairs must meet (columns q_id, id and any others of the two tables)."""

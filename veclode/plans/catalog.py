@@ -888,6 +888,14 @@ def _ivfpq(spark, sf_dir):
     return hits(grid_index(base).search(queries_of(base), 10))
 
 
+@query("t4_bounded_search", f"with {_CELLS}, {_grid('l')}{_PROBES.replace(f'<= {N_PROBE}', '<= 16')}{_IVF.format(where='')}{_HITS}")
+def _bounded(spark, sf_dir):
+    base = embeddings(spark, sf_dir)
+    index = grid_index(base, n_probe=16)
+    index.bounded = True
+    return hits(index.search(queries_of(base), 10))
+
+
 @query("i6_search_cells", f"with {_CELLS}, {_grid('l')}, probes as (select vec_id q_id, (vec_id // 50 % 16)::integer cell from embeddings where vec_id % 50 = 0 union all select vec_id, ((vec_id // 50 + 3) % 16)::integer from embeddings where vec_id % 50 = 0){_IVF.format(where='')}{_HITS}")
 def _search_cells(spark, sf_dir):
     base = embeddings(spark, sf_dir)
@@ -1070,3 +1078,9 @@ def _volume(spark, sf_dir):
 def _cov_volume(spark, sf_dir):
     _, _, cov = codecs.covariance(line_vectors(spark, sf_dir), 4)
     return spark.createDataFrame([(round(float(cov[0, 0]), 6), round(float(cov[0, 1]), 6))], "aa double, ab double")
+
+
+@query("j5_all_neighbours", f"with {_PAIRS.format(score=_SCORES['l2']).replace(' where a.vec_id % 50 = 0', '')}, {_RANKED.format(s='score', t='p')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10")
+def _all_neighbours(spark, sf_dir):
+    base = embeddings(spark, sf_dir).withColumnRenamed("vec", "v")
+    return hits(search.knn_join(base, base.withColumnRenamed("id", "q_id"), 10))
