@@ -746,3 +746,26 @@ def test_bounds_spare_cells_and_lose_no_hit(spark, metric, residual, tmp_path):
     assert again.bounded and np.array_equal(again._reach(), index._reach()) and found(again.search(q, 5)) == plain
     again.codes = again.rows  # codes from elsewhere have no reach: nothing is spared
     assert again._reach() is None and found(again.search(q, 5)) == plain
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_centroids_beyond_what_tasks_are_sent(spark, df, x, metric, monkeypatch):
+    book = np.random.default_rng(9).normal(size=(40, 8))
+    twice = df.unionByName(df.where("id < 5"))  # rows that repeat an id have lists of their own
+    want = sorted(map(tuple, clustering.assign(twice, book, metric).select("id", "cell").collect()))
+    cells = sorted((r["q_id"], r["rank"], r["cell"]) for r in clustering.nearest_cells(df, book, 3, metric).collect())
+    monkeypatch.setattr(clustering, "CENTROID_BYTES", 0)
+    assert sorted(map(tuple, clustering.assign(twice, book, metric).select("id", "cell").collect())) == want
+    assert sorted((r["q_id"], r["rank"], r["cell"]) for r in clustering.nearest_cells(df, book, 3, metric).collect()) == cells
+
+
+@pytest.mark.parametrize("width", [1, 63, 64, 100])
+def test_covariance_in_blocks(spark, width, monkeypatch):
+    monkeypatch.setattr(codecs, "BLOCK", 32)
+    monkeypatch.setattr(codecs, "BLOCK_BYTES", 3 * 8 * 32 * 32)  # three blocks a turn
+    x = np.random.default_rng(width).normal(size=(50, width)) + 1e6
+    df = frame(spark, x).unionByName(spark.createDataFrame([(99, None), (98, [1.0] * (width + 1))], "id long, vec array<double>"))
+    n, mean, cov = codecs.covariance(df, width)
+    assert n == 50 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T).reshape(width, width), atol=1e-8)
+    n, _, cov = codecs.covariance(df.limit(0), width)
+    assert n == 0 and not cov.any()

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.arrow import best_rows, from_matrix, usable
 from ..sources import scratch
+from .search import knn_join
 
-#: Bytes of centroids that are sent to every task; more are refused here (search.knn assigns to larger sets).
+#: Bytes of centroids that are sent to every task; larger sets are joined with the vectors instead.
 CENTROID_BYTES = 256_000_000
 #: Bytes of similarities that a task holds at once (about what a core's cache holds); what counts as a tie; sums that
 #: travel in one row.
@@ -69,9 +70,10 @@ def nearest_k(metric: str, x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
 
 
 def assign(df: DataFrame, centroids: np.ndarray, metric: str = "euclidean") -> DataFrame:
-    """id, cell, score: the nearest centroid of each vector (id, vec)."""
+    """id, cell, score: the nearest centroid of each vector (id, vec); of centroids beyond CENTROID_BYTES by nearest_joined."""
     if centroids.nbytes > CENTROID_BYTES:
-        raise ValueError("too many centroids to send to every task; use search.knn with k = 1")
+        found = nearest_joined(df, centroid_table(df.sparkSession, centroids), 1, metric)
+        return found.select(F.col("q_id").alias("id"), "cell", "score")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -82,6 +84,27 @@ def assign(df: DataFrame, centroids: np.ndarray, metric: str = "euclidean") -> D
     return _prepared(df).mapInArrow(run, "id long, cell int, score double")
 
 
+def centroid_table(spark, centroids: np.ndarray) -> DataFrame:
+    """cell, vec of centroids [k, d], sent to Spark by slices."""
+    step, out = max(1, 32_000_000 // (8 * max(1, centroids.shape[1]))), None
+    for i in range(0, len(centroids), step):
+        own = centroids[i : i + step]
+        one = spark.createDataFrame(pa.table({"cell": pa.array(np.arange(i, i + len(own)), pa.int32()), "vec": from_matrix(own)}))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def nearest_joined(df: DataFrame, centroids: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """q_id, rank, cell, score of the k most similar centroids (cell, vec) of each vector (id, vec), where centroids are a table
+    of any size: no task sees them all. Vectors and centroids meet in the cells of pivots of centroids, as in
+    search.knn_join; ties (to 12 digits) go to the lower cell, and rows that repeat an id have lists of their own."""
+    rows = scratch.cut(_prepared(df).withColumn("row", F.monotonically_increasing_id()))
+    base = centroids.select(F.col("cell").cast("long").alias("id"), M.doubles("vec").alias("v"))
+    found = knn_join(base, rows.select(F.col("row").alias("q_id"), F.col("vec").alias("v")), k, metric, digits=12)
+    found = found.select(F.col("q_id").alias("row"), "rank", F.col("id").cast("int").alias("cell"), "score")
+    return rows.select("row", F.col("id").alias("q_id")).join(found, "row").select("q_id", "rank", "cell", "score")
+
+
 def grouped_means(df: DataFrame, by: str, width: int, cells: int | None = None) -> DataFrame:
     """by, mean (array<double>) and n of the vectors of each group; with `cells`, one row for each of 0..cells-1, zero
     where a group is empty. Expressions only: partial sums by group and position, then one row a group. Vectors that
@@ -317,6 +340,8 @@ def nearest_cells(df: DataFrame, centroids: np.ndarray, k: int, metric: str = "e
     """q_id, rank, cell, score of the k centroids [n, d] nearest to each vector (id, vec); of several problems, centroids
     [l, n, d] and vectors of l * d elements, with a column `problem`."""
     several = centroids.ndim == 3
+    if not several and centroids.nbytes > CENTROID_BYTES:
+        return nearest_joined(df, centroid_table(df.sparkSession, centroids), k, metric)
     book = centroids if several else centroids[None]
     k = min(k, book.shape[1])
 

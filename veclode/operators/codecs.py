@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.arrow import from_matrix, usable
-from .clustering import KMeans, MultiKMeans, assign, nearest
+from .clustering import CHUNK, KMeans, MultiKMeans, assign, nearest
+
+
+#: Columns of a block of a covariance (a multiple of CHUNK), and bytes of blocks that a task adds up.
+BLOCK, BLOCK_BYTES = 512, 64_000_000
 
 
 class BaseCodec(ABC):
@@ -242,24 +246,43 @@ class SQCodec(BaseCodec):
 
 
 def covariance(df: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, the mean and the covariance (over n - 1) of vec. Tasks add up X'X around a pilot mean, so that a large offset
-    does not cancel; width^2 + width + 1 numbers a task are summed by an aggregate, by position."""
+    """n, the mean and the covariance (over n - 1) of vec. Tasks add up X'X around a pilot mean, so that a large offset does
+    not cancel, in blocks of BLOCK by BLOCK numbers, those above the diagonal alone. A task holds BLOCK_BYTES of blocks: where
+    there are more, the vectors are read in turns, each for blocks of its own. Blocks travel in rows of CHUNK numbers, which a
+    hash aggregate sums; the driver gets the matrix, once."""
     some = df.where(whole("vec") & (F.size("vec") == width)).select(M.doubles("vec").alias("v")).limit(1).toArrow()
     pilot = np.array(some["v"].to_pylist()[:1] or [[0.0] * width])[0]
+    starts = range(0, width + 1, BLOCK)  # the last column is of ones
+    pairs = [(i, j) for i in starts for j in starts if i <= j]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + 1, width + 1))
-        for b in it:
-            own = usable(b.column("v"), width)[0]
-            x = np.concatenate([own - pilot, np.ones((len(own), 1))], axis=1)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "x"])
-
-    parts = df.select(M.doubles("vec").alias("v")).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
-    t = parts.toPandas().sort_values("at")["x"].to_numpy().reshape(width + 1, width + 1)
-    n = int(round(t[-1, -1]))
-    mean = t[-1, :-1] / max(1, n)
-    return n, mean + pilot, (t[:-1, :-1] - n * np.outer(mean, mean)) / max(1, n - 1)
+    def adding(own: list[tuple[int, int]]):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {at: np.zeros((min(BLOCK, width + 1 - at[0]), -(-min(BLOCK, width + 1 - at[1]) // CHUNK) * CHUNK)) for at in own}
+            for b in it:
+                v = usable(b.column("v"), width)[0]
+                x = np.concatenate([v - pilot, np.ones((len(v), 1))], axis=1)
+                for (i, j), t in total.items():
+                    y = x[:, j : j + BLOCK]
+                    t[:, : y.shape[1]] += x[:, i : i + BLOCK].T @ y
+            for (i, j), t in total.items():
+                chunks = t.shape[1] // CHUNK
+                row, chunk = np.repeat(i + np.arange(len(t)), chunks), np.tile(j // CHUNK + np.arange(chunks), len(t))
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(chunk, pa.int32()), from_matrix(t.reshape(-1, CHUNK))], names=["row", "chunk", "x"])
+
+        return run
+
+    v, parts = df.select(M.doubles("vec").alias("v")), None
+    turn = max(1, BLOCK_BYTES // (8 * BLOCK * BLOCK))
+    for at in range(0, len(pairs), turn):
+        one = v.mapInArrow(adding(pairs[at : at + turn]), "row int, chunk int, x array<double>")
+        parts = one if parts is None else parts.unionByName(one)
+    t = parts.groupBy("row", "chunk").agg(*(F.sum(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(CHUNK))).toPandas()
+    every = np.zeros((width + 1, width // CHUNK + 1, CHUNK))
+    every[t["row"], t["chunk"]] = t[[f"x{i}" for i in range(CHUNK)]].to_numpy()
+    every = np.triu(every.reshape(width + 1, -1)[:, : width + 1])
+    n, mean = int(round(every[-1, -1])), every[:-1, -1] / max(1.0, every[-1, -1])
+    upper = (every[:-1, :-1] - n * np.outer(mean, mean)) / max(1, n - 1)
+    return n, mean + pilot, np.triu(upper) + np.triu(upper, 1).T
 
 
 class PCA(BaseCodec):

@@ -1084,3 +1084,11 @@ def _cov_volume(spark, sf_dir):
 def _all_neighbours(spark, sf_dir):
     base = embeddings(spark, sf_dir).withColumnRenamed("vec", "v")
     return hits(search.knn_join(base, base.withColumnRenamed("id", "q_id"), 10))
+
+
+@query("c6_joined_labels", "with l as materialized (select vec_id, (i - 1)::integer pos, embedding[i]::double x from embeddings, range(1, 65) r(i)), s as (select a.vec_id, b.vec_id cell, sum((a.x - b.x) * (a.x - b.x)) dd from l a join l b using (pos) where b.vec_id % 10 = 0 group by all) select vec_id id, cell::integer cell from (select *, row_number() over (partition by vec_id order by round(dd, 12), cell) rn from s) where rn = 1")
+def _joined_labels(spark, sf_dir):
+    """Centroids that grow with the table, every tenth vector: a table joined with the vectors."""
+    base = embeddings(spark, sf_dir)
+    centroids = base.where("id % 10 = 0").select(F.col("id").alias("cell"), "vec")
+    return clustering.nearest_joined(base, centroids, 1).select(F.col("q_id").alias("id"), "cell")
