@@ -335,6 +335,36 @@ def test_sql_functions(spark, df, x):
     assert [r["id"] for r in near] == np.argsort(((x - x[3]) ** 2).sum(1))[:4].tolist()
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "inner", "manhattan"])
+def test_vec_knn_over_many_pieces(spark, df, x, metric):
+    sqlfn.register_vec_knn(spark)
+    df.withColumn("score", F.lit("no score")).createOrReplaceTempView("kb")
+    df.where("id % 3 = 0").createOrReplaceTempView("kq")
+    want = {(r["q_id"], r["rank"], r["id"], round(r["score"], 6)) for r in search.knn(df, df.where("id % 3 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), 7, metric).collect()}
+    for shard, tile in ((8192, 4096), (40, 9)):
+        got = spark.sql(sqlfn.knn_statement("kb", "kq", 7, metric, shard, tile)).collect()
+        assert len(got) == len(want) == 700 and {(r["q_id"], r["rank"], r["id"], round(r["score"], 6)) for r in got} == want
+
+
+def test_vec_knn_defined_cases(spark):
+    sqlfn.register_vec_knn(spark)
+    nan = float("nan")
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (None, [0.0, 0.0]), (6, []), (7, [1.0]), (8, [0.0, 1.0])]
+    spark.createDataFrame(rows, "id long, vec array<float>").createOrReplaceTempView("kb")
+    spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (9, [2.0]), (10, None), (None, [0.0, 0.0])], "id int, vec array<float>").createOrReplaceTempView("kq")
+    for shard, tile in ((8192, 4096), (2, 1)):
+        got = spark.sql(sqlfn.knn_statement("kb", "kq", 4, "euclidean", shard, tile)).collect()
+        assert sorted((r["q_id"], r["rank"], r["id"], r["score"]) for r in got) == [(1, 1, 1, 0.0), (1, 2, 1, 0.0), (1, 3, 2, -1.0), (1, 4, 2, -1.0), (9, 1, 7, -1.0)]
+    spark.sql("select * from kb where id > 100").createOrReplaceTempView("none")
+    assert spark.sql(sqlfn.knn_statement("none", "kq", 4)).count() == 0 and spark.sql(sqlfn.knn_statement("kb", "none", 4)).count() == 0
+    with pytest.raises(Exception, match="k is 1 or more"):
+        spark.sql("select * from vec_knn(TABLE(select true is_query, id, vec from kb), 0, 'l2')").collect()
+    with pytest.raises(Exception, match="is_query"):
+        spark.sql("select * from vec_knn(TABLE(select id, vec from kb), 2, 'l2')").collect()
+    with pytest.raises(ValueError, match="no such metric"):
+        sqlfn.knn_statement("kb", "kq", 2, "none")
+
+
 @pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}, {"spark.sql.adaptive.enabled": "false"}])
 def test_numbers_are_dense_over_many_partitions(spark, conf):
     old = {k: spark.conf.get(k, None) for k in (*conf, "spark.sql.shuffle.partitions")}

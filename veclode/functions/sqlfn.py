@@ -1,5 +1,17 @@
-"""Vector functions for SQL: vec_l2, vec_dot, vec_cosine, vec_l1, vec_normalize, pq_encode, pq_decode and the table function
-knn_partial, whose lists `knn` merges."""
+"""Vector functions for SQL: vec_l2, vec_dot, vec_cosine, vec_l1, vec_normalize, pq_encode, pq_decode, the table function
+knn_partial, whose lists `knn` merges, and the table function vec_knn, of many queries and any metric.
+
+vec_knn(TABLE(SELECT is_query, id, vec, ... FROM rows) PARTITION BY ... ORDER BY (is_query DESC), k, metric) gives q_id, id, score:
+for each query of a piece (the rows of one PARTITION BY key) the k most similar base vectors of the piece. Rows come in Arrow
+batches; such functions have no `analyze` in this version of Spark, so columns and arguments are checked when the first
+batch comes, and base vectors before queries are an error. `knn_statement` writes the SQL around it: what is put into
+pieces, and the lists of all pieces ranked.
+
+Defined cases of vec_knn: a row whose is_query or id is null and a vector that is null or holds a null or non-finite
+element take no part; a query meets the base vectors of its own width; repeated ids are rows of their own, as queries they
+share a list once knn_statement has ranked it; ties go to the smaller id; other columns are not read; an
+empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .arrow import usable
+from .arrow import best_rows, usable, widths
 
 _PAIR = "CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}"
 _SUM = "aggregate(zip_with(a, b, (x, y) -> {0}), 0.0D, (s, x) -> s + x)"
@@ -77,3 +90,95 @@ def knn(spark: SparkSession, view: str, query: list[float], k: int) -> DataFrame
     """id, score of the k nearest of a view (id, vec) to a query: the partial lists, k rows a partition, merged."""
     register_knn(spark)
     return spark.sql(f"SELECT * FROM knn_partial(TABLE({view}), '{json.dumps(list(map(float, query)))}', {int(k)}) ORDER BY score DESC, id LIMIT {int(k)}")
+
+
+#: Of knn_statement: base vectors and queries of a piece, on average. Of vec_knn: bytes of queries that a piece may hold.
+SHARD, TILE, QUERY_BYTES = 8192, 4096, 256_000_000
+#: What a batch's selection keeps beyond k, for scores that the fast product rounds differently.
+SLACK = 8
+
+
+@F.arrow_udtf(returnType="q_id bigint, id bigint, score double")
+class _VecKnn:
+    """vec_knn; see the module. A piece's queries are kept, its base vectors stream through."""
+
+    def __init__(self) -> None:
+        #: For each width the queries' ids and vectors, as they came and joined; the best so far: query's row, id, score.
+        self.coming: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.bytes, self.met = 0, False
+
+    def eval(self, rows: pa.RecordBatch, k: pa.Array, metric: pa.Array) -> Iterator[pa.Table]:
+        n, name = k[0].as_py(), metric[0].as_py()
+        if not {"is_query", "id", "vec"} <= set(rows.schema.names) or rows.schema.field("is_query").type != pa.bool_():
+            raise ValueError("vec_knn: the table has no columns is_query (boolean), id and vec")
+        if n is None or n < 1 or name is None:
+            raise ValueError("vec_knn: k is 1 or more, and neither it nor the metric is null")
+        M.canonical(name)
+        rows = rows.filter(pc.and_(rows.column("is_query").is_valid(), rows.column("id").is_valid()))
+        asks = rows.column("is_query")
+        if self.met and pc.any(asks).as_py():
+            raise ValueError("vec_knn: queries come first; say ORDER BY is_query DESC")
+        for query in (True, False):
+            part = rows.filter(asks if query else pc.invert(asks))
+            self.met |= not query and part.num_rows > 0
+            for w in widths(part.column("vec")):
+                x, at = usable(part.column("vec"), w)
+                ids = part.column("id").cast(pa.int64()).to_numpy()[at]
+                if query and len(x):
+                    self.bytes += x.nbytes
+                    if self.bytes > QUERY_BYTES:
+                        raise ValueError(f"vec_knn: the queries of a piece exceed {QUERY_BYTES} bytes; deal them into more pieces")
+                    self.coming.setdefault(w, []).append((ids, x))
+                elif len(x):
+                    self._meet(w, ids, x, n, name)
+        yield from ()
+
+    def _meet(self, w: int, ids: np.ndarray, x: np.ndarray, k: int, metric: str) -> None:
+        if w in self.coming:  # queries come first, so this is done once a width
+            own = self.coming.pop(w)
+            self.queries[w] = np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own])
+        if w not in self.queries:
+            return
+        q = self.queries[w][1]
+        step = max(1, 4_000_000 // (len(ids) * (w if M.canonical(metric) == "manhattan" else 1) or 1))
+        found = [self.best[w]] if w in self.best else []
+        for i in range(0, len(q), step):
+            r, c = best_rows(np.round(M.matrix(metric, q[i : i + step], x), 12), ids, k + SLACK)
+            found.append((i + r, ids[c], M.direct(metric, q[i + r], x[c])))
+        row, id_, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((id_, -np.round(score, 9), row))
+        place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        order = order[place < k]
+        self.best[w] = row[order], id_[order], score[order]
+
+    def terminate(self) -> Iterator[pa.Table]:
+        for w, (row, id_, score) in self.best.items():
+            yield pa.table({"q_id": pa.array(self.queries[w][0][row], pa.int64()), "id": pa.array(id_, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
+def register_vec_knn(spark: SparkSession) -> None:
+    spark.udtf.register("vec_knn", _VecKnn)
+
+
+def knn_statement(base: str, queries: str, k: int, metric: str = "euclidean", shard: int = SHARD, tile: int = TILE) -> str:
+    """SQL for q_id, rank, id, score: the k most similar vectors of a relation (id, vec) for each query of another (id, vec).
+
+    The relations are dealt into about count / shard shards and count / tile blocks by their rows, not their ids, so that
+    repeated ids do not gather; a piece is a shard with a block. A base vector is copied once a block, a query once a shard;
+    for very many queries search.knn_join copies less."""
+    M.canonical(metric)
+    return f"""
+WITH n AS (SELECT (SELECT cast(count(*) DIV {int(shard)} + 1 AS int) FROM {base}) AS shards, (SELECT cast(count(*) DIV {int(tile)} + 1 AS int) FROM {queries}) AS blocks),
+b AS (SELECT id, vec, xxhash64(monotonically_increasing_id()) AS h FROM {base}),
+q AS (SELECT id, vec, xxhash64(monotonically_increasing_id()) AS h FROM {queries}),
+rows AS (
+  SELECT pmod(h, (SELECT shards FROM n)) * (SELECT blocks FROM n) + block AS piece, false AS is_query, id, vec
+  FROM b LATERAL VIEW explode(sequence(0, (SELECT blocks FROM n) - 1)) AS block
+  UNION ALL
+  SELECT shard * (SELECT blocks FROM n) + pmod(h, (SELECT blocks FROM n)) AS piece, true AS is_query, id, vec
+  FROM q LATERAL VIEW explode(sequence(0, (SELECT shards FROM n) - 1)) AS shard),
+lists AS (SELECT q_id, id, score FROM vec_knn(TABLE(SELECT piece, is_query, id, vec FROM rows) PARTITION BY piece ORDER BY (is_query DESC), {int(k)}, '{metric}')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id) AS rank FROM lists)
+SELECT q_id, rank, id, score FROM ranked WHERE rank <= {int(k)}"""

@@ -1007,6 +1007,16 @@ def _sql(spark, sf_dir):
     return pairs.select("q_id", "id", r6(F.expr("vec_l2(q_vec, vec)")).alias("score"))
 
 
+@query("f3_knn_table_function", f"with {_PAIRS.format(score=_SCORES['cosine'])}, {_RANKED.format(s='score', t='p')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 10")
+def _knn_table(spark, sf_dir):
+    """Search by the table function vec_knn, in SQL alone."""
+    sqlfn.register_vec_knn(spark)
+    base = embeddings(spark, sf_dir)
+    base.createOrReplaceTempView("veclode_knn_base")
+    base.where("id % 50 = 0").createOrReplaceTempView("veclode_knn_queries")
+    return hits(spark.sql(sqlfn.knn_statement("veclode_knn_base", "veclode_knn_queries", 10, "cosine")))
+
+
 @query("f2_nibbles", f"with {_L}, {_PQ} select a.vec_id id, (a.sub // 2)::integer pos, a.code high, b.code low from codes a join codes b on a.vec_id = b.vec_id and b.sub = a.sub + 1 where a.sub % 2 = 0")
 def _nibbles(spark, sf_dir):
     base = embeddings(spark, sf_dir)
