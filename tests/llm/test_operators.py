@@ -443,6 +443,49 @@ def test_trees_of_wide_fingerprints_lose_no_link(spark, most):
     assert [root.get(i, i) for i in range(len(prints))] == label.tolist()
 
 
+@pytest.mark.parametrize("most", [16, 40, 1000])
+@pytest.mark.parametrize("loose", [0.6 - 1e-6, None])
+def test_leaders_of_large_groups_lose_no_link(spark, most, loose):
+    """The components of sets' links against all pairs: many copies of one, chains that drift away from it, strangers, empty sets."""
+    from veclode.llm.components import components
+
+    rng, own = np.random.default_rng(10), []
+    for copies, drift in ((150, False), (60, True), (40, False), (25, True)):
+        x = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+        for _ in range(copies):
+            y = x.copy()
+            y[rng.choice(60, rng.integers(1, 5), replace=False)] = rng.integers(0, 1 << 62, 1, dtype=np.uint64)
+            own.append(np.unique(y))
+            x = y if drift else x
+    own += [np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64)) for _ in range(30)] + [own[0][:0]] * 3
+    own = [own[i] for i in rng.permutation(len(own))]
+    same = lambda a, b: len(a) > 0 and len(b) > 0 and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    near = np.array([[i == j or same(a, b) for j, b in enumerate(own)] for i, a in enumerate(own)])
+    label = np.arange(len(own))
+    while (label != (new := np.array([label[x].min() for x in near]))).any():
+        label = new
+    keys = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(own)) if k == 1 or i % 7 == 0], "key long, node long")
+    loads = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(own)], "node long, load binary")
+    root = {r["node"]: r["root"] for r in components(simhash.grouped_links(keys, loads, simhash.by_set, 0.8, most, loose)).collect()}
+    assert [root.get(i, i) for i in range(len(own))] == label.tolist()
+
+
+def test_a_large_group_of_copies_is_sent_once(spark, monkeypatch):
+    """Its nodes meet their leader; neither they nor far strangers go into pairs of tiles, which would be 40 copies of each."""
+    sent, linked = [], simhash._linked
+    monkeypatch.setattr(simhash, "_linked", lambda rows, *a: (sent.append(rows.count()), linked(rows, *a))[1])
+    rng = np.random.default_rng(11)
+    x, far = np.arange(100, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
+    own = [np.append(x, np.uint64(5000 + i)) for i in range(400)] + [np.append(far, np.uint64(9000 + i)) for i in range(8)]
+    keys = spark.createDataFrame([(1, int(i)) for i in rng.permutation(len(own))], "key long, node long")
+    loads = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(own)], "node long, load binary")
+    from veclode.llm.components import components
+
+    root = {r["node"]: r["root"] for r in components(simhash.grouped_links(keys, loads, simhash.by_set, 0.8, 10, 0.6 - 1e-6)).collect()}
+    assert [root.get(i, i) for i in range(len(own))] == [0] * 400 + [400] * 8
+    assert sum(sent) <= 16
+
+
 def test_near_dedup_finds_its_pairs_in_the_trees(spark, monkeypatch):
     """A near copy goes because a tree's search returns it: with a radius that returns nothing, only equal sets go."""
     words = [f"w{i}" for i in range(200)]

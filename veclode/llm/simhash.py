@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, cut, list_array, spare, texts, with_key
@@ -41,6 +41,8 @@ from .components import components
 SEED, CHUNK, BINS = 42, 65_536, 512
 #: Nodes of a shard's tree, on average; a shard of over twice as many is dealt into tiles.
 SHARD = 1024
+#: Leaders that a key of very many nodes gets, one after another, before what is left is compared in pairs of tiles.
+TURNS = 4
 #: Candidates agree in one of BANDS bands of ROWS minima: a pair of similarity 0.8 does not with probability 7e-5.
 BANDS, ROWS = 24, 5
 #: Words of 64 bits of a set's fingerprint, and the deviations above the mean up to which differing bits make a candidate.
@@ -372,16 +374,26 @@ def by_set(loads: list[bytes], least: float) -> Callable[[int, np.ndarray], np.n
     return near
 
 
-def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, bound: float, most: int) -> DataFrame:
-    """A spanning forest (u, v) of the links between nodes that share a key. rows: key, node, distinct; loads: node,
-    load, what links_of makes links from, within the bound. Keys share shards of `most` rows on average; a larger one is dealt into
-    tiles, and each pair of tiles is a task."""
+_UV = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def tiled(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key, node) as shard, key, node, a, b: keys share shards of `most` rows on average; a larger one is dealt into tiles,
+    and each pair of tiles (a, b) is a task."""
     rows = rows.withColumn("shard", F.pmod("key", F.lit(max(1, rows.count() // most))))
     sizes = rows.groupBy("shard").count().where(F.col("count") > 2 * most)
     rows = rows.join(sizes, "shard", "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / most).cast("int"))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("tile", _dealt("tiles", 3))
     ends = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least("tile", x).alias("a"), F.greatest("tile", x).alias("b")))
-    rows = rows.select("shard", "key", "node", F.inline(ends)).join(loads, "node")
+    return rows.select("shard", "key", "node", F.inline(ends))
+
+
+def _dealt(n: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+
+
+def _linked(rows: DataFrame, links_of: Callable, bound: float) -> DataFrame:
+    """A spanning forest (u, v) of the links in each task (shard, a, b) between nodes that share a key."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -393,9 +405,64 @@ def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, bound:
             own = np.flatnonzero(label != np.arange(len(part)))
             u.append(node[part[own]])
             v.append(node[part[label[own]]])
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-    return rows.groupBy("shard", "a", "b").applyInArrow(run, "u long, v long")
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)}, schema=_UV)
+
+    return rows.select("shard", "a", "b", "key", "node", "load").groupBy("shard", "a", "b").applyInArrow(run, "u long, v long")
+
+
+def led_links(rows: DataFrame, loads: DataFrame, links_of: Callable, bound: float, loose: float | None, most: int) -> DataFrame:
+    """As grouped_links, for keys of very many nodes, which a group of near copies has: rows key, node, count (of the key).
+
+    A leader of each key meets every node of it, tile by tile, so a load is sent once. What is linked to it needs no comparing
+    with one another. Of the rest only the shell, what is within the loose bound of the leader, may be linked to those: by the
+    triangle inequality, a loose bound of twice the distance of the bound loses no link (None: all of the rest is shell). The rest
+    of a key gets its own leader next, up to TURNS of them; what is left then is compared in pairs of tiles."""
+    tiles = F.ceil(F.col("count") / most).cast("int")
+    held = cut(rows.withColumn("tiles", tiles).join(loads, "node").select("key", "node", "load", "tiles", _dealt("tiles", 3).alias("tile")))
+
+    def met(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by([("leads", "descending")])
+        load, own = t.column("load").to_pylist(), np.arange(1, t.num_rows)
+        node = t.column("node").to_numpy()
+        on = links_of(load, bound)(0, own) | (node[1:] == node[0])
+        shell = np.ones(len(own), bool) if loose is None else links_of(load, loose)(0, own)
+        at = np.flatnonzero(on | shell)
+        return pa.table({"key": t.column("key").to_numpy()[1:][at], "node": node[1:][at], "lead": np.full(len(at), node[0]), "on": on[at]})
+
+    rest, edges, tasks = held, None, None
+    for turn in range(TURNS):
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("first")
+        lead = rest.groupBy("key").agg(first).select("key", F.col("first.node").alias("node"))
+        lead = rest.join(lead, ["key", "node"], "left_semi").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        both = rest.withColumn("leads", F.lit(False)).unionByName(lead.withColumn("leads", F.lit(True)))
+        hits = cut(both.groupBy("key", "tile").applyInArrow(met, "key long, node long, lead long, on boolean"))
+        links = hits.where("on").select(F.col("node").alias("u"), F.col("lead").alias("v")).where("u <> v")
+        sizes = hits.groupBy("key").agg(F.ceil(F.count_if("on") / most).cast("int").alias("as"), F.ceil(F.count_if(~F.col("on")) / most).cast("int").alias("bs")).where("bs > 0")
+        sides = held.join(hits, ["key", "node"]).join(sizes, "key").withColumn("shard", F.xxhash64("key", F.lit(turn)))
+        one = sides.where("on").withColumns({"a": _dealt("as", 5), "b": F.explode(F.sequence(F.lit(0), F.col("bs") - 1))})
+        other = sides.where("not on").withColumns({"b": _dealt("bs", 5), "a": F.explode(F.sequence(F.lit(0), F.col("as") - 1))})
+        pairs = one.unionByName(other).select("shard", "key", "node", "a", "b", "load")
+        edges, tasks = (links, pairs) if turn == 0 else (edges.unionByName(links), tasks.unionByName(pairs))
+        rest = rest.join(hits.where("on"), ["key", "node"], "left_anti")
+        if rest.groupBy("key").count().where(F.col("count") > 2 * most).isEmpty():
+            break
+    rest = cut(rest.select("key", "node"))
+    tasks = tasks.unionByName(tiled(rest, most).withColumn("shard", F.xxhash64("shard", F.lit(TURNS))).join(held.select("key", "node", "load"), ["key", "node"]).select(tasks.columns))
+    return edges.unionByName(_linked(tasks, links_of, bound))
+
+
+def grouped_links(rows: DataFrame, loads: DataFrame, links_of: Callable, bound: float, most: int, loose: float | None = None, loads_of: Callable | None = None) -> DataFrame:
+    """A spanning forest (u, v), and some links more, of the links between nodes that share a key. rows: key, node, distinct; loads:
+    node, load, what links_of makes links from, within the bound; loads_of(nodes) instead makes them for those alone. Keys of
+    more than 2 * most nodes go by leaders, the others share tasks."""
+    rows_of = loads_of or (lambda nodes: loads)
+    large = cut(rows.groupBy("key").count().where(F.col("count") > 2 * most))
+    few = rows if large.isEmpty() else rows.join(large, "key", "left_anti")
+    out = _linked(tiled(few, most).join(rows_of(few.select("node")), "node"), links_of, bound)
+    if few is rows:
+        return out
+    many = rows.join(large, "key")
+    return out.unionByName(led_links(many, rows_of(many.select("node")), links_of, bound, loose, most))
 
 
 def near_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
@@ -410,8 +477,13 @@ def near_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFra
     roots = components(grouped_links(rows, nodes.select("node", "load"), by_tree, radius_of(similarity), SHARD))
     roots = cut(roots.select("root", "node").unionByName(roots.select("root", F.col("root").alias("node"))).distinct())
     named = nodes.join(roots.select("node"), "node", "left_semi").select("node", "row.k1", "row.k2")
-    some = with_key(texts(docs)).join(named, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
-    return grouped_links(roots.withColumnRenamed("root", "key"), sets(some), by_set, similarity, SHARD // 4)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        own = named.join(wanted.distinct(), "node", "left_semi")
+        return sets(with_key(texts(docs)).join(own, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
+
+    loose = max(0.0, 2 * similarity - 1 - 1e-6)
+    return grouped_links(roots.withColumnRenamed("root", "key"), None, by_set, similarity, SHARD // 4, loose, sets_of)
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
