@@ -123,6 +123,28 @@ def test_substring_dedup(docs, empty):
     assert substring.digest(empty).collect() == []
 
 
+def test_substring_dedup_of_repeated_rows(spark, monkeypatch):
+    """Rows that repeat id and text: all their windows go, those that others share go there too, and they are hashed once."""
+    from pyspark.sql import functions as F
+
+    sent, by_home = [], substring._by_home
+    monkeypatch.setattr(substring, "_by_home", lambda packed, *a: (sent.append(packed.agg(F.sum(F.length("pos") / 4)).first()[0] or 0), by_home(packed, *a))[1])
+    words = [f"w{i}" for i in range(200)]
+    own = [f"v{i}" for i in range(60)]
+    data = [(1, " ".join(words), "s")] * 150 + [(None, " ".join(own[:34]), "s")] * 3 + [(None, " ".join(own[:40] + words[:40]), "s")] * 2
+    data += [(2, " ".join(own[5:50] + words[100:150]), "s"), (1, " ".join(words[:34]), "s"), (3, None, "s"), (3, None, "s")]
+    sizes, starts, want = 35, Counter(), []
+    for _, t, _ in data:
+        w = (t or "").split()
+        starts.update(tuple(w[a : a + sizes]) for a in range(len(w) - sizes + 1))
+    for i, t, _ in data:
+        w = (t or "").split()
+        gone = {p for a in range(len(w) - sizes + 1) if starts[tuple(w[a : a + sizes])] > 1 for p in range(a, a + sizes)}
+        want.append((i, len(w), len(gone), sha(" ".join(x for p, x in enumerate(w) if p not in gone))))
+    assert got(substring.digest(frame(spark, data)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert sent and max(sent) < 400
+
+
 def test_cover_meets_every_difference():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 

@@ -13,6 +13,9 @@ is then known, to any bucket: a passage that a third of all documents share is o
 number of buckets follows the size of the corpus, so a bucket's arrays keep their size. What comes back is packed by
 home (a few documents) with an index by document, so that a document takes its own positions before it reaches Python.
 
+Rows that repeat a doc_id and a text are hashed once, whatever their number: all their windows occur elsewhere, so nothing
+needs to come back to them.
+
 Defined cases: null or empty texts have no words; fewer words than a window hold none; rows that repeat a
 doc_id and a text repeat each other's windows; a null doc_id is a document; an empty table gives an empty result.
 """
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, list_array, texts, with_key
+from .common import batches, cut, list_array, texts, with_key
 
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members (fixed values).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -208,25 +211,36 @@ def _by_home(packed: DataFrame, buckets: int, homes: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, k1, k2, text of every row and found: the packed starts of its windows whose words also start elsewhere. A home is some HOME documents by their key, so that what comes back from the buckets is a row
+    """doc_id, k1, k2, text of every row, found: the packed starts of its windows whose words also start elsewhere, and whole: all
+    of its windows do (found is null then), since the row repeats another. A home is some HOME documents by their key, so that what comes back from the buckets is a row
     a home, not one a document. Both steps join the same exchange of the texts, which Spark runs once."""
     assert size >= PERIOD, "a window must be as long as the period of the cover"
-    rows = with_key(texts(docs))
+    all_ = rows = with_key(texts(docs))
+    again = cut(rows.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    repeat = not again.isEmpty()
+    if repeat:
+        once = rows.join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        rows = rows.join(again, ["k1", "k2"], "left_anti").unionByName(once)
     chars, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets, homes = max(8, -(-(chars or 0) // BUCKET_CHARS)), max(64, n // HOME)
     rows = rows.withColumn("home", F.pmod("k1", F.lit(homes)))
     anchors = _by_home(rows.select("k1", "k2", "text").mapInArrow(_anchors(size, buckets), _PACK), buckets, homes)
     near = rows.join(anchors, "home", "left").select("doc_id", "k1", "k2", "text", _own().alias("found"))  # the same columns as below: one exchange
     ends = _by_home(near.mapInArrow(_extended(size, buckets), _PACK), buckets, homes)
-    return rows.join(ends, "home", "left").select("doc_id", "k1", "k2", "text", _own().alias("found"))
+    out = rows.join(ends, "home", "left").select("doc_id", "k1", "k2", "text", _own().alias("found"), F.lit(False).alias("whole"))
+    if not repeat:
+        return out
+    copies = all_.join(again, ["k1", "k2"], "left_semi").select("doc_id", "k1", "k2", "text", F.lit(None).cast("array<binary>").alias("found"), F.lit(True).alias("whole"))
+    return out.join(again, ["k1", "k2"], "left_anti").select(copies.columns).unionByName(copies)
 
 
 def _kept(size: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             n_words, n_removed, texts_ = [], [], []
-            for text, found in zip(b.column("text"), b.column("found"), strict=True):
-                words, p = text.as_py().encode().split(), _positions(found)
+            for text, found, whole in zip(b.column("text"), b.column("found"), b.column("whole"), strict=True):
+                words = text.as_py().encode().split()
+                p = np.arange(len(words) - size + 1) if whole.as_py() else _positions(found)
                 if len(p):
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, p, 1)
