@@ -799,3 +799,39 @@ def test_covariance_in_blocks(spark, width, monkeypatch):
     assert n == 50 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T).reshape(width, width), atol=1e-8)
     n, _, cov = codecs.covariance(df.limit(0), width)
     assert n == 0 and not cov.any()
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_pairs_are_scored_in_bounded_blocks(spark, df, x, metric, monkeypatch):
+    """Theta joins form no row a pair: tasks hold so many scores at once, by broadcast queries or in a grid, and keep the best."""
+    s = np.stack([M.direct(metric, np.repeat(x[i : i + 1], len(x), 0), x) for i in range(12)])
+    assert np.allclose(M.each_pair(metric, x[:12], x), s, atol=1e-12)
+    want = [(i, n + 1, int(j)) for i in range(12) for n, j in enumerate(np.lexsort((np.arange(len(x)), -np.round(s[i], 9)))[:7])]
+    most = max(len(part[0]) for part in search.selected(metric, 7, x, np.arange(len(x)), x))
+    monkeypatch.setattr(search, "PAIRS", 1000)
+    parts = [len(part[0]) for part in search.selected(metric, 7, x, np.arange(len(x)), x)]
+    assert most == 300 * 15 and max(parts) <= 3 * 15 and sum(parts) == most
+    monkeypatch.setattr(search, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(search, "TASK_PAIRS", 500)
+    monkeypatch.setattr(search, "GRID", (5, 40))
+    q = as_queries(df.where("id < 12"))
+    for most in (search.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(search, "BROADCAST_BYTES", most)
+        out = search.knn_expr(df, q, 7, metric)
+        assert found(out) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        every = {(r["q_id"], r["id"]): r["score"] for r in search.all_pairs(df, q, metric).collect()}
+        assert len(every) == 12 * 300 and all(v == pytest.approx(s[k], abs=1e-9) for k, v in every.items())
+    near = search.knn_expr(df, q, 300, metric, where=F.col("id") % 2 == F.col("q_id") % 2)
+    assert near.count() == 12 * 150
+
+
+def test_a_norm_is_computed_once_a_vector(spark):
+    wide = frame(spark, np.ones((2, 3000)))
+    plan = wide.select(M.normalize(F.col("vec")).alias("v"))
+    assert plan.first()["v"][0] == pytest.approx(1 / (np.sqrt(3000) + M.NORM_EPS))
+    assert spark.createDataFrame([(None,), ([],)], "vec array<double>").select(M.normalize(F.col("vec")).alias("v")).collect() == [(None,), ([],)]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    at = text.index("transform(array(")  # the norm is below the outer array, not below the transform of the elements
+    assert "SQRT" in text[at:] and "SQRT" not in text[text.index(", lambdafunction(", at) :].split("AS v")[0]

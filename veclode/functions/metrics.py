@@ -43,8 +43,8 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column, eps: float = NORM_EPS) -> Column:
     """a / (|a| + eps)"""
-    n = norm(a) + F.lit(eps)
-    return F.transform(a, lambda x: x / n)
+    # the norm is an element of an array, so that it is computed once a vector and not once an element
+    return F.get(F.transform(F.array(norm(a) + F.lit(eps)), lambda n: F.transform(a, lambda x: x / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -107,6 +107,29 @@ def matrix(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s if name != "euclidean" else 2 * s - (q * q).sum(1)[:, None] - (b * b).sum(1)[None]
 
 
+def each_pair(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of each row of q and each row of b as sums over the elements, in slices that stay in a core's cache."""
+    name = canonical(metric)
+    if name == "cosine":
+        q, b = unit_rows(q, COSINE_EPS), unit_rows(b, COSINE_EPS)
+    out, bt = np.zeros((len(q), len(b))), np.ascontiguousarray(b.T)
+    wide = 2048
+    for j in range(0, len(b), wide):
+        part = bt[:, j : j + wide]
+        for i in range(0, len(q), 8):
+            own, s = q[i : i + 8], out[i : i + 8, j : j + wide]
+            total, x = np.zeros(s.shape), np.empty(s.shape)
+            for d in range(q.shape[1]):
+                if name in ("euclidean", "manhattan"):
+                    np.subtract(own[:, d, None], part[d], out=x)
+                    np.abs(x, out=x) if name == "manhattan" else np.multiply(x, x, out=x)
+                else:
+                    np.multiply(own[:, d, None], part[d], out=x)
+                total += x
+            s[:] = -total if name in ("euclidean", "manhattan") else total
+    return out
+
+
 def half_matrix(metric: str, q: np.ndarray, b: np.ndarray, mode: str = "none") -> np.ndarray:
     """Similarities as matrix, of elements kept in half precision: mode "a" divides the queries by their largest magnitude
     before and multiplies after, "b" the base vectors, "both" either, "none" neither (beyond 65504 is infinite then)."""
