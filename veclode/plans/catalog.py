@@ -171,7 +171,7 @@ for _k, _n in ((1, "t2_top1"), (32, "t3_top32"), (1000, "t4_top1000"), (128, "j5
 @query("t1_topk_any", f"with {_PAIRS.format(score=_SCORES['inner'])}, {_RANKED.format(s='score', t='p')} select q_id, rank, id, round(score, 6) + 0.0 score from r where rank <= 50")
 def _topk(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    pairs = search.scored_pairs(queries_of(base).crossJoin(base), "inner")
+    pairs = search.best_pairs(base, queries_of(base), 50, "inner")
     return hits(search.top_k(pairs.withColumn("score", F.round("score", 9)), 50, ["q_id"]))
 
 
