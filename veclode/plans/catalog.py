@@ -178,7 +178,7 @@ def _topk(spark, sf_dir):
 @query("t3_top1_aggregate", f"with {_PAIRS.format(score=_SCORES['l2'])}, {_RANKED.format(s='score', t='p')} select q_id, id, round(score, 6) + 0.0 score from r where rank = 1")
 def _top1(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    pairs = search.scored_pairs(queries_of(base).crossJoin(base)).withColumn("score", F.round("score", 9))
+    pairs = search.best_pairs(base, queries_of(base), 1).withColumn("score", F.round("score", 9))
     return search.top_1(pairs, ["q_id"]).select("q_id", "id", r6("score").alias("score"))
 
 
