@@ -835,3 +835,38 @@ def test_a_norm_is_computed_once_a_vector(spark):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     at = text.index("transform(array(")  # the norm is below the outer array, not below the transform of the elements
     assert "SQRT" in text[at:] and "SQRT" not in text[text.index(", lambdafunction(", at) :].split("AS v")[0]
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_masks_and_listed_pairs_carry_no_vectors(spark, df, x, sent, monkeypatch):
+    if not sent:
+        monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(search, "GRID", (7, 50))
+    q = as_queries(df.where("id < 30"))
+    out = search.masked_product(q.withColumn("m", F.col("q_id") % 7), df.withColumn("m", F.col("id") % 7), "m")
+    got = {(r["q_id"], r["id"]): r["score"] for r in out.collect()}
+    assert got.keys() == {(i, j) for i in range(30) for j in range(300) if i % 7 == j % 7} and all(v == pytest.approx(x[i] @ x[j]) for (i, j), v in got.items())
+    if sent:
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    index = ivf.IVFPQIndex(4, 4, n_pq_clusters=8)
+    index.set_codebooks(x[:4], x[:8].reshape(8, 4, 2).transpose(1, 0, 2).copy())
+    index.add(df)
+    pairs = spark.createDataFrame([(1, 5), (1, 5), (2, 299), (2, 1000), (77, 3), (None, 4), (3, 5)], "q_id long, id long")
+    again = q.unionByName(q.where("q_id = 3"))  # a query that is there twice counts twice
+    got = sorted((r["q_id"], r["id"], round(r["score"], 9)) for r in index.similarity_at_id(again, pairs).collect())
+    near = index.pq.decoded(index.pq.codes(x))
+    want = [(1, 5), (1, 5), (2, 299), (3, 5), (3, 5)]
+    assert got == [(i, j, round(-float(((x[i] - near[j]) ** 2).sum()), 9)) for i, j in want]
+    carried = re.findall(r"Exchange hashpartitioning.*", index.similarity_at_id(q, pairs)._jdf.queryExecution().executedPlan().toString())
+    assert len(index.similarity_at_id(q, pairs).columns) == 3 and all("vec" not in c for c in carried)
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_vec_pairs(spark, df, x, metric):
+    sqlfn.register_vec_pairs(spark)
+    df.createOrReplaceTempView("pb")
+    spark.sql("select id, vec from pb where id < 20 union all values (500, null), (501, array(1.0d)), (null, array(0d, 0d, 0d, 0d, 0d, 0d, 0d, 0d))").createOrReplaceTempView("pq")
+    for shard, tile in ((8192, 4096), (40, 9)):
+        got = [((r["q_id"], r["id"]), r["score"]) for r in spark.sql(sqlfn.pairs_statement("pb", "pq", metric, shard, tile)).collect()]
+        assert len(got) == len(dict(got)) == 20 * 300
+        assert all(v == pytest.approx(M.direct(metric, x[i][None], x[j][None])[0], abs=1e-9) for (i, j), v in got)

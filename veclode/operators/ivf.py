@@ -35,7 +35,7 @@ from ..functions.arrow import from_matrix, to_matrix, usable
 from ..sources import persist, scratch, store
 from .clustering import KMeans, nearest, nearest_cells
 from .codecs import PQCodec, VQCodec
-from .search import SLACK, best_rows, knn, padded, top_1, top_k
+from .search import SLACK, best_rows, knn, listed_product, padded, top_1, top_k
 
 #: Slots of a unit, queries times codes of a look-up, queries that a unit meets at once, rows of a bucket (about), and units
 #: that a search names to the scan, so that it leaves out other buckets.
@@ -407,16 +407,11 @@ class IVFPQIndex:
         return run
 
     def _similarity(self, queries: DataFrame, pairs: DataFrame, on: list[str]) -> DataFrame:
-        q = self._mapped(self._plain(queries, "q_id", "q_vec"), lambda x: x).select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
-        some = self.rows.join(pairs.select(*on).distinct(), on, "left_semi")
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                near = self._near(b.column("cell").to_numpy(), [b.column("code")])
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cell"), b.column("slot"), from_matrix(near)], names=["id", "cell", "slot", "vec"])
-
-        near = some.select("id", "cell", "slot", "code").mapInArrow(run, "id long, cell int, slot long, vec array<double>")
-        return pairs.join(near, on).join(q, "q_id").select("q_id", *on, M.similarity(self.score_metric, F.col("v"), F.col("vec")).alias("score"))
+        """Pairs meet the codes, which are decoded where they are scored: neither carries a vector through the shuffle."""
+        q = self._mapped(self._plain(queries, "q_id", "q_vec"), lambda x: x).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+        met = pairs.select("q_id", *on).join(self.rows.select("id", "cell", "slot", "code"), on)
+        near = lambda b: self._near(b.column("cell").to_numpy(), [b.column("code")])
+        return listed_product(met, q, near, "code" if "cell" in on else "cell code", ", ".join(f"{c} {'int' if c == 'cell' else 'long'}" for c in on), self.score_metric)
 
     def similarity_at_id(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """q_id, id, score of given pairs (q_id, id); unknown ids are absent."""

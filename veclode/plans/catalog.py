@@ -300,10 +300,8 @@ for _e, _x in (("nmadd", "0.0 - sum(a.x * b.x)"), ("squared_l2", "sum((a.x - b.x
 @query("j6_masked_product", f"with {_L} select a.vec_id q_id, b.vec_id id, round(sum(a.x * b.x), 6) + 0.0 score from l a join l b using (pos) where a.vec_id % 50 = 0 and (a.vec_id + b.vec_id) % 10 = 0 group by all")
 def _masked(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    ids = base.select("id")
-    mask = queries_of(base).select("q_id", ((F.lit(10) - F.col("q_id") % 10) % 10).alias("m")).join(ids.withColumn("m", F.col("id") % 10), "m").select("q_id", "id")
-    pairs = mask.join(F.broadcast(queries_of(base)), "q_id").join(base, "id")
-    return search.masked_product(pairs, mask, ["q_id", "id"]).select("q_id", "id", r6("score").alias("score"))
+    queries = queries_of(base).withColumn("m", F.pmod(F.lit(0) - F.col("q_id"), F.lit(10)))
+    return search.masked_product(queries, base.withColumn("m", F.pmod("id", F.lit(10))), "m").select("q_id", "id", r6("score").alias("score"))
 
 
 @query("j6_block_masked", f"with {_L}, bl as (select distinct (vec_id // 10) bi, (vec_id // 10 * 7) % 50 bj from embeddings) select a.vec_id i, b.vec_id j, round(sum(a.x * b.x), 6) + 0.0 score from bl join l a on a.vec_id // 10 = bi join l b on b.vec_id // 10 = bj and a.pos = b.pos group by all")
@@ -361,7 +359,8 @@ def _cell_of(spark, sf_dir):
 @query("j15_similarity_at_id", f"with {_L}, {_PQ}{_ADC}, pr as (select a.vec_id q_id, b.vec_id id from embeddings a, embeddings b where a.vec_id % 50 = 0 and (a.vec_id // 50 * 7 + b.vec_id) % 50 = 0) select q.q_id, codes.vec_id id, round(0.0 - sum(dd), 6) + 0.0 score from pr join q using (q_id) join codes on codes.vec_id = pr.id and codes.sub = q.sub and codes.code = q.code group by q.q_id, codes.vec_id")
 def _similarity_at(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    pairs = queries_of(base).select("q_id", F.pmod(F.lit(0) - F.floor(F.col("q_id") / 50) * 7, F.lit(50)).alias("m")).join(base.select("id", (F.col("id") % 50).alias("m")), "m").select("q_id", "id")
+    asked = queries_of(base).select("q_id", F.pmod(F.lit(0) - F.floor(F.col("q_id") / 50) * 7, F.lit(50)).alias("m"))
+    pairs = base.select("id", (F.col("id") % 50).alias("m")).repartition("id").join(F.broadcast(asked), "m").select("q_id", "id")
     return index16(base).similarity_at_id(queries_of(base), pairs).select("q_id", "id", r6("score").alias("score"))
 
 
