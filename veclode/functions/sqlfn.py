@@ -1,5 +1,5 @@
 """Vector functions for SQL: vec_l2, vec_dot, vec_cosine, vec_l1, vec_normalize, pq_encode, pq_decode, the table function
-knn_partial, whose lists `knn` merges, and the table function vec_knn, of many queries and any metric.
+knn_partial, whose lists `knn` merges, and the table functions vec_knn, of many queries and any metric, and vec_pairs, of all pairs.
 
 vec_knn(TABLE(SELECT is_query, id, vec, ... FROM rows) PARTITION BY ... ORDER BY (is_query DESC), k, metric) gives q_id, id, score:
 for each query of a piece (the rows of one PARTITION BY key) the k most similar base vectors of the piece. Rows come in Arrow
@@ -30,7 +30,8 @@ from .arrow import best_rows, usable, widths
 
 _PAIR = "CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}"
 _SUM = "aggregate(zip_with(a, b, (x, y) -> {0}), 0.0D, (s, x) -> s + x)"
-_UNIT = "transform({0}, x -> x / (sqrt(aggregate({0}, 0.0D, (s, y) -> s + y * y)) + {1}))"
+# The norm is an element of an array, so that it is computed once a vector and not once an element.
+_UNIT = "get(transform(array(sqrt(aggregate({0}, 0.0D, (s, y) -> s + y * y)) + {1}), n -> transform({0}, x -> x / n)), 0)"
 
 
 def register(spark: SparkSession) -> None:
@@ -94,6 +95,8 @@ def knn(spark: SparkSession, view: str, query: list[float], k: int) -> DataFrame
 
 #: Of knn_statement: base vectors and queries of a piece, on average. Of vec_knn: bytes of queries that a piece may hold.
 SHARD, TILE, QUERY_BYTES = 8192, 4096, 256_000_000
+#: Of vec_pairs: pairs that leave a task at once.
+PAIRS = 250_000
 #: What a batch's selection keeps beyond k, for scores that the fast product rounds differently.
 SLACK = 8
 
@@ -162,15 +165,54 @@ def register_vec_knn(spark: SparkSession) -> None:
     spark.udtf.register("vec_knn", _VecKnn)
 
 
-def knn_statement(base: str, queries: str, k: int, metric: str = "euclidean", shard: int = SHARD, tile: int = TILE) -> str:
-    """SQL for q_id, rank, id, score: the k most similar vectors of a relation (id, vec) for each query of another (id, vec).
+@F.arrow_udtf(returnType="q_id bigint, id bigint, score double")
+class _VecPairs:
+    """vec_pairs(TABLE(is_query, id, vec, ...) PARTITION BY ... ORDER BY (is_query DESC), metric): every query of a piece with
+    every base vector of it. Defined cases as of vec_knn."""
 
-    The relations are dealt into about count / shard shards and count / tile blocks by their rows, not their ids, so that
-    repeated ids do not gather; a piece is a shard with a block. A base vector is copied once a block, a query once a shard;
-    for very many queries search.knn_join copies less."""
+    def __init__(self) -> None:
+        self.coming: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.bytes, self.met = 0, False
+
+    def eval(self, rows: pa.RecordBatch, metric: pa.Array) -> Iterator[pa.Table]:
+        name = M.canonical(metric[0].as_py())
+        rows = rows.filter(pc.and_(rows.column("is_query").is_valid(), rows.column("id").is_valid()))
+        asks = rows.column("is_query")
+        if self.met and pc.any(asks).as_py():
+            raise ValueError("vec_pairs: queries come first; say ORDER BY is_query DESC")
+        for query in (True, False):
+            part = rows.filter(asks if query else pc.invert(asks))
+            self.met |= not query and part.num_rows > 0
+            for w in widths(part.column("vec")):
+                x, at = usable(part.column("vec"), w)
+                ids = part.column("id").cast(pa.int64()).to_numpy()[at]
+                if query:
+                    self.bytes += x.nbytes
+                    if self.bytes > QUERY_BYTES:
+                        raise ValueError(f"vec_pairs: the queries of a piece exceed {QUERY_BYTES} bytes; deal them into more pieces")
+                    self.coming.setdefault(w, []).append((ids, x))
+                    continue
+                step = max(1, PAIRS // max(1, len(ids)))
+                for qid, q in self.coming.get(w, []) if len(ids) else []:
+                    for i in range(0, len(q), step):
+                        s = M.each_pair(name, q[i : i + step], x)
+                        yield pa.table({"q_id": np.repeat(qid[i : i + step], len(ids)), "id": np.tile(ids, len(s)), "score": s.ravel()})
+
+
+def register_vec_pairs(spark: SparkSession) -> None:
+    spark.udtf.register("vec_pairs", _VecPairs)
+
+
+def pairs_statement(base: str, queries: str, metric: str = "euclidean", shard: int = SHARD, tile: int = TILE) -> str:
+    """SQL for q_id, id, score of every vector of a relation (id, vec) with each query of another (id, vec), in pieces as those
+    of knn_statement."""
     M.canonical(metric)
-    return f"""
-WITH n AS (SELECT (SELECT cast(count(*) DIV {int(shard)} + 1 AS int) FROM {base}) AS shards, (SELECT cast(count(*) DIV {int(tile)} + 1 AS int) FROM {queries}) AS blocks),
+    return f"WITH {_pieces(base, queries, shard, tile)} SELECT q_id, id, score FROM vec_pairs(TABLE(SELECT piece, is_query, id, vec FROM rows) PARTITION BY piece ORDER BY (is_query DESC), '{metric}')"
+
+
+def _pieces(base: str, queries: str, shard: int, tile: int) -> str:
+    """CTEs up to rows (piece, is_query, id, vec)."""
+    return f"""n AS (SELECT (SELECT cast(count(*) DIV {int(shard)} + 1 AS int) FROM {base}) AS shards, (SELECT cast(count(*) DIV {int(tile)} + 1 AS int) FROM {queries}) AS blocks),
 b AS (SELECT id, vec, xxhash64(monotonically_increasing_id()) AS h FROM {base}),
 q AS (SELECT id, vec, xxhash64(monotonically_increasing_id()) AS h FROM {queries}),
 rows AS (
@@ -178,7 +220,18 @@ rows AS (
   FROM b LATERAL VIEW explode(sequence(0, (SELECT blocks FROM n) - 1)) AS block
   UNION ALL
   SELECT shard * (SELECT blocks FROM n) + pmod(h, (SELECT blocks FROM n)) AS piece, true AS is_query, id, vec
-  FROM q LATERAL VIEW explode(sequence(0, (SELECT shards FROM n) - 1)) AS shard),
+  FROM q LATERAL VIEW explode(sequence(0, (SELECT shards FROM n) - 1)) AS shard)"""
+
+
+def knn_statement(base: str, queries: str, k: int, metric: str = "euclidean", shard: int = SHARD, tile: int = TILE) -> str:
+    """SQL for q_id, rank, id, score: the k most similar vectors of a relation (id, vec) for each query of another (id, vec).
+
+    The relations are dealt into about count / shard shards and count / tile blocks by their rows, not their ids, so that
+    repeated ids do not gather; a piece is a shard with a block. A base vector is copied once a block, a query once a shard;
+    for very many queries search.knn_join copies less."""
+    M.canonical(metric)
+    return f"""
+WITH {_pieces(base, queries, shard, tile)},
 lists AS (SELECT q_id, id, score FROM vec_knn(TABLE(SELECT piece, is_query, id, vec FROM rows) PARTITION BY piece ORDER BY (is_query DESC), {int(k)}, '{metric}')),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id) AS rank FROM lists)
 SELECT q_id, rank, id, score FROM ranked WHERE rank <= {int(k)}"""
