@@ -870,3 +870,16 @@ def test_vec_pairs(spark, df, x, metric):
         got = [((r["q_id"], r["id"]), r["score"]) for r in spark.sql(sqlfn.pairs_statement("pb", "pq", metric, shard, tile)).collect()]
         assert len(got) == len(dict(got)) == 20 * 300
         assert all(v == pytest.approx(M.direct(metric, x[i][None], x[j][None])[0], abs=1e-9) for (i, j), v in got)
+
+
+def test_a_unit_gives_a_bounded_number_of_hits_at_once(df, monkeypatch):
+    """Re-ranking asks for many hits a query: then fewer queries meet a unit at once, and the hits are the same."""
+    index = ivf.IVFPQRIndex(4, 8, 2, 20, n_pq_clusters=16, vq_iter=3, pq_iter=3)
+    index.train(df)
+    index.add(df)
+    index.n_probe, index.use_smart_probing = 2, False
+    want, gave, scan = found(index.search(as_queries(df), 2)), [], ivf.IVFPQIndex._scan
+    monkeypatch.setattr(ivf, "GIVEN", 48 * 100)
+    monkeypatch.setattr(ivf.IVFPQIndex, "_scan", lambda self, k, more: gave.append(k) or scan(self, k, more))
+    assert found(index.search(as_queries(df), 2)) == want
+    assert gave == [40] * 3  # 300 queries, a hundred at once

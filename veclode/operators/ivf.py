@@ -37,9 +37,9 @@ from .clustering import KMeans, nearest, nearest_cells
 from .codecs import PQCodec, VQCodec
 from .search import SLACK, best_rows, knn, listed_product, padded, top_1, top_k
 
-#: Slots of a unit, queries times codes of a look-up, queries that a unit meets at once, rows of a bucket (about), and units
-#: that a search names to the scan, so that it leaves out other buckets.
-PIECE, LOOKED, ASKING, BUCKET, NAMED = 65_536, 1 << 21, 16_384, 1 << 20, 1000
+#: Slots of a unit, queries times codes of a look-up, queries that a unit meets at once and hits that it gives at once, rows of
+#: a bucket (about), and units that a search names to the scan, so that it leaves out other buckets.
+PIECE, LOOKED, ASKING, GIVEN, BUCKET, NAMED = 65_536, 1 << 21, 16_384, 300_000, 1 << 20, 1000
 
 
 def smart_probes(probes: DataFrame, n_probe: int, temperature: float = 30.0) -> DataFrame:
@@ -354,7 +354,7 @@ class IVFPQIndex:
         q = self._plain(queries, "q_id", "q_vec").select(F.col("id").alias("q_id"), F.col("vec").alias("v"))
         probes = scratch.cut(probes.select("q_id", F.col("cell").cast("int").alias("cell")).distinct())
         most = probes.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-        turns = max(1, -(-most // ASKING))  # a unit meets a bounded number of queries at once
+        turns = max(1, -(-most // max(1, min(ASKING, GIVEN // (k + SLACK)))))  # a unit meets, and gives, a bounded number at once
         probed = [r["cell"] for r in probes.select("cell").distinct().limit(NAMED + 1).collect()]
         schema = ", ".join(["q_id long, id long, cell int, slot long, score double", *(f"{f} binary" for f in more)])
         found = []
