@@ -3,6 +3,7 @@
 import os
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from veclode.functions import metrics as M
 from veclode.functions import sqlfn
 from veclode.operators import clustering, codecs, ivf, search
+from veclode.plans import catalog
 from veclode.sources import persist, store
 from veclode.streaming import incremental
 
@@ -278,6 +280,17 @@ def test_cell_store_fills_holes_first(spark, df):
     assert store.truncate(out).count() == 0
 
 
+@pytest.mark.parametrize("name", ["u1_cell_add", "w2_write_slots"])
+def test_cells_of_any_id_equal_sql(spark, tmp_path, name):
+    """Ids beyond 2^53, which doubles round, negative, repeated and null ones."""
+    con = duckdb.connect()
+    ids = [None, None, 0, 0, 1, 1, 2, 3, 3, 3, 6, 7, -1, -2, -3, -4, -8, *range(2**53 - 5, 2**53 + 30), *range(2**63 - 20, 2**63)]
+    con.execute("create table embeddings as select unnest(?::bigint[]) vec_id, [0.5, 1]::float[] embedding", [ids])
+    con.execute(f"copy embeddings to '{tmp_path}/embeddings.parquet'")
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select("id", "cell", "slot").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.ORACLE_SQL[name]).fetchall())
+
+
 def test_unknown_ids_and_updates(spark, df, x):
     got = {r["id"]: r["vec"] for r in store.get_by_id(df, spark.range(298, 303), 8).collect()}
     assert np.allclose(got[299], x[299]) and got[301] == [0.0] * 8

@@ -453,8 +453,8 @@ def _ioa(spark, sf_dir):
 
 
 def cell_store(base: DataFrame) -> DataFrame:
-    """Even ids in cells (id / 2) % 4 at slots by id, every third of them deleted again."""
-    rows = base.where("id % 2 = 0").withColumn("cell", ((F.col("id") / 2) % 4).cast("int"))
+    """Even ids in cells (id div 2) % 4 at slots by id, every third of them deleted again."""
+    rows = base.where("id % 2 = 0").withColumn("cell", F.expr("cast(id div 2 % 4 as int)"))
     slots = store.index_of_appearance(rows, "id").withColumnRenamed("ioa", "slot").select("cell", "slot", "id", "vec")
     return store.remove(slots, slots.where("id % 3 = 0").select("id"))
 
@@ -465,7 +465,7 @@ _SLOTS = "with a as (select vec_id id, ((vec_id // 2) % 4)::integer cell from em
 @query("w2_write_slots", _SLOTS + " select i.id, i.cell, f.slot from i join f using (cell, ioa)")
 def _slots(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    new = base.where("id % 2 = 1").withColumn("cell", F.floor((F.col("id") / 2) % 4).cast("int"))
+    new = base.where("id % 2 = 1").withColumn("cell", F.expr("cast(id div 2 % 4 as int)"))
     return store.write_slots(cell_store(base), new).select("id", "cell", "slot")
 
 
@@ -551,7 +551,7 @@ def _flat_add(spark, sf_dir):
 @query("u1_cell_add", _SLOTS + " select id, cell, slot from k union all select i.id, i.cell, f.slot from i join f using (cell, ioa)")
 def _cell_add(spark, sf_dir):
     base = embeddings(spark, sf_dir)
-    new = base.where("id % 2 = 1").withColumn("cell", F.floor((F.col("id") / 2) % 4).cast("int"))
+    new = base.where("id % 2 = 1").withColumn("cell", F.expr("cast(id div 2 % 4 as int)"))
     return store.cell_add(cell_store(base), new).select("id", "cell", "slot")
 
 
