@@ -95,8 +95,8 @@ def knn(spark: SparkSession, view: str, query: list[float], k: int) -> DataFrame
 
 #: Of knn_statement: base vectors and queries of a piece, on average. Of vec_knn: bytes of queries that a piece may hold.
 SHARD, TILE, QUERY_BYTES = 8192, 4096, 256_000_000
-#: Of vec_pairs: pairs that leave a task at once.
-PAIRS = 250_000
+#: Of vec_pairs: pairs that leave a task at once, pairs that are sorted at once, bytes of base vectors that wait for more.
+PAIRS, SORTED, BASE_BYTES = 250_000, 8_000_000, 32_000_000
 #: What a batch's selection keeps beyond k, for scores that the fast product rounds differently.
 SLACK = 8
 
@@ -168,14 +168,19 @@ def register_vec_knn(spark: SparkSession) -> None:
 @F.arrow_udtf(returnType="q_id bigint, id bigint, score double")
 class _VecPairs:
     """vec_pairs(TABLE(is_query, id, vec, ...) PARTITION BY ... ORDER BY (is_query DESC), metric): every query of a piece with
-    every base vector of it. Defined cases as of vec_knn."""
+    every base vector of it. Defined cases as of vec_knn.
+
+    Pairs leave in the order of their scores, so many at once: what is equal once it is rounded is stored side by side, and
+    a table of all pairs, which nothing else makes smaller, takes about half the disk."""
 
     def __init__(self) -> None:
+        #: For each width the ids and vectors of the queries, as they came, and of the base vectors that wait.
         self.coming: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.bytes, self.met = 0, False
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.bytes, self.met, self.metric = 0, False, ""
 
     def eval(self, rows: pa.RecordBatch, metric: pa.Array) -> Iterator[pa.Table]:
-        name = M.canonical(metric[0].as_py())
+        self.metric = M.canonical(metric[0].as_py())
         rows = rows.filter(pc.and_(rows.column("is_query").is_valid(), rows.column("id").is_valid()))
         asks = rows.column("is_query")
         if self.met and pc.any(asks).as_py():
@@ -191,12 +196,25 @@ class _VecPairs:
                     if self.bytes > QUERY_BYTES:
                         raise ValueError(f"vec_pairs: the queries of a piece exceed {QUERY_BYTES} bytes; deal them into more pieces")
                     self.coming.setdefault(w, []).append((ids, x))
-                    continue
-                step = max(1, PAIRS // max(1, len(ids)))
-                for qid, q in self.coming.get(w, []) if len(ids) else []:
-                    for i in range(0, len(q), step):
-                        s = M.each_pair(name, q[i : i + step], x)
-                        yield pa.table({"q_id": np.repeat(qid[i : i + step], len(ids)), "id": np.tile(ids, len(s)), "score": s.ravel()})
+                elif w in self.coming and len(ids):
+                    self.waiting.setdefault(w, []).append((ids, x))
+                    if sum(i.nbytes + v.nbytes for i, v in self.waiting[w]) >= BASE_BYTES:
+                        yield from self._meet(w)
+
+    def terminate(self) -> Iterator[pa.Table]:
+        for w in list(self.waiting):
+            yield from self._meet(w)
+
+    def _meet(self, w: int) -> Iterator[pa.Table]:
+        (qid, q), (ids, x) = (tuple(np.concatenate(c) for c in zip(*own, strict=True)) for own in (self.coming[w], self.waiting.pop(w)))
+        self.coming[w] = [(qid, q)]
+        step = max(1, SORTED // len(ids))
+        for i in range(0, len(q), step):
+            s = M.each_pair(self.metric, q[i : i + step], x).ravel()
+            order = np.argsort(s)
+            for j in range(0, len(s), PAIRS):
+                row, at = np.divmod(order[j : j + PAIRS], len(ids))
+                yield pa.table({"q_id": qid[i + row], "id": ids[at], "score": s[order[j : j + PAIRS]]})
 
 
 def register_vec_pairs(spark: SparkSession) -> None:
